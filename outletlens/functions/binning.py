@@ -37,15 +37,16 @@ def commission_bucket(df: DataFrame, col: str = "CommissionRate", name: str = "C
     return df.withColumns({name: lab, name + "_idx": idx})
 
 
-def _round_frac(x: Column, precision: int) -> Column:
+def _round_frac(x: Column, precision) -> Column:
+    precision = precision if isinstance(precision, Column) else F.lit(precision)
     whole_zero = (x > F.lit(-1.0)) & (x < F.lit(1.0))
-    digits = F.when(whole_zero, -F.floor(F.log10(F.abs(x))) - 1 + precision).otherwise(F.lit(precision))
+    digits = F.when(whole_zero, -F.floor(F.log10(F.abs(x))) - 1 + precision).otherwise(precision)
     scale = F.pow(F.lit(10.0), digits.cast("double"))
     return F.when((x == 0) | F.isnan(x), x).otherwise(F.rint(x * scale) / scale)
 
 
-def edge_stats(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """One row: ``e0..e{bins}`` edges and ``l1..l{bins}`` interval labels."""
+def edge_stats(df: DataFrame, col: str, bins: int, labels: bool = False) -> DataFrame:
+    """One row: ``e0..e{bins}`` edges (and ``l1..l{bins}`` interval labels)."""
     v = col_(col).cast("double")
     mm = df.agg(F.min(v).alias("mn"), F.max(v).alias("mx"))
     mn, mx = F.col("mn"), F.col("mx")
@@ -64,6 +65,8 @@ def edge_stats(df: DataFrame, col: str, bins: int) -> DataFrame:
             e = F.when(F.col("_same"), e).otherwise(e - (t - s) * F.lit(0.001))
         edges[f"e{i}"] = e
     out = mm.select(*[e.alias(k) for k, e in edges.items()])
+    if not labels:
+        return out
     # label precision: smallest p in [3, 20) with all rounded edges distinct
     def distinct_at(p):
         r = [_round_frac(F.col(f"e{i}"), p) for i in range(bins + 1)]
@@ -73,22 +76,16 @@ def edge_stats(df: DataFrame, col: str, bins: int) -> DataFrame:
         return cond
     prec = F.coalesce(*[F.when(distinct_at(p), F.lit(p)) for p in range(3, 20)], F.lit(3))
     out = out.withColumn("_prec", prec)
-    rounded = {}
-    for i in range(bins + 1):
-        expr = None
-        for p in range(3, 20):
-            rp = _round_frac(F.col(f"e{i}"), p)
-            expr = F.when(F.col("_prec") == p, rp) if expr is None else expr.when(F.col("_prec") == p, rp)
-        rounded[i] = expr
-    labels = {f"l{i + 1}": F.concat(F.lit("("), rounded[i].cast("string"), F.lit(", "),
+    rounded = {i: _round_frac(F.col(f"e{i}"), F.col("_prec")) for i in range(bins + 1)}
+    texts = {f"l{i + 1}": F.concat(F.lit("("), rounded[i].cast("string"), F.lit(", "),
                                      rounded[i + 1].cast("string"), F.lit("]"))
               for i in range(bins)}
-    return out.withColumns(labels).drop("_prec")
+    return out.withColumns(texts).drop("_prec")
 
 
-def assign_bins(df: DataFrame, col: str, bins: int, name: str) -> DataFrame:
-    """Add ``{name}`` (1-based bin), ``{name}_lo``, ``{name}_hi``, ``{name}_label``."""
-    stats = edge_stats(df, col, bins)
+def assign_bins(df: DataFrame, col: str, bins: int, name: str, labels: bool = False) -> DataFrame:
+    """Add ``{name}`` (1-based bin), ``{name}_lo``, ``{name}_hi`` (and ``{name}_label``)."""
+    stats = edge_stats(df, col, bins, labels)
     v = col_(col).cast("double")
     joined = df.join(F.broadcast(stats), F.lit(True), "left")  # one row
     idx = F.lit(1)
@@ -97,7 +94,9 @@ def assign_bins(df: DataFrame, col: str, bins: int, name: str) -> DataFrame:
     idx = F.when(v.isNotNull(), idx)
     lo = F.element_at(F.array(*[F.col(f"e{i}") for i in range(bins)]), idx)
     hi = F.element_at(F.array(*[F.col(f"e{i}") for i in range(1, bins + 1)]), idx)
-    lab = F.element_at(F.array(*[F.col(f"l{i}") for i in range(1, bins + 1)]), idx)
-    extra = [f"e{i}" for i in range(bins + 1)] + [f"l{i}" for i in range(1, bins + 1)]
-    return joined.withColumns({name: idx.cast("int"), name + "_lo": lo, name + "_hi": hi,
-                               name + "_label": lab}).drop(*extra)
+    cols = {name: idx.cast("int"), name + "_lo": lo, name + "_hi": hi}
+    extra = [f"e{i}" for i in range(bins + 1)]
+    if labels:
+        cols[name + "_label"] = F.element_at(F.array(*[F.col(f"l{i}") for i in range(1, bins + 1)]), idx)
+        extra += [f"l{i}" for i in range(1, bins + 1)]
+    return joined.withColumns(cols).drop(*extra)

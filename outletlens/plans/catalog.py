@@ -16,13 +16,17 @@ from ..functions.compat import r6
 from ..operators import features
 from ..schema import KEY_COLS
 from ..sources.fixture import outlet_month
+from .oracle import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def register(name: str):
+def register(name: str, sql: str | None = None):
+    """Register a query; ``sql`` is its DuckDB twin (omit for rows-only)."""
     def deco(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
     return deco
 
@@ -72,3 +76,7 @@ def f1_outlier_flags(spark, sf_dir):
 def f2_exclude_outliers(spark, sf_dir):
     t = features.exclude_outliers(base_table(spark, sf_dir))
     return report(t.select(*KEY_COLS, "TotalNetProfit"))
+
+
+# Area modules register themselves on import (kept last: they import this one).
+from . import q_aggregates  # noqa: E402,F401

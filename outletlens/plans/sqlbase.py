@@ -116,3 +116,44 @@ def with_base(final: str, *extra: str) -> str:
     """Full oracle text: fixture + features + outlier flag + extra CTEs."""
     ctes = [FIXTURE_CTES.strip(), FEATURE_CTES.strip()] + [e.strip() for e in extra if e.strip()]
     return "WITH " + ",\n".join(ctes) + "\n" + final.strip()
+
+
+def EDGES_CTE(name: str, src: str, col: str, bins: int) -> str:
+    """Equal-width edges ``e0..e{bins}`` of ``col`` (same arithmetic as binning.edge_stats)."""
+    v = f"CAST({col} AS DOUBLE)"
+    s = "CASE WHEN mn = mx THEN mn - (CASE WHEN mn <> 0 THEN 1e-3 * abs(mn) ELSE 1e-3 END) ELSE mn END"
+    t = "CASE WHEN mn = mx THEN mx + (CASE WHEN mx <> 0 THEN 1e-3 * abs(mx) ELSE 1e-3 END) ELSE mx END"
+    cols = []
+    for i in range(bins + 1):
+        if i == bins:
+            e = "_t"
+        else:
+            e = f"CAST({i} AS DOUBLE) * ((_t - _s) / CAST({bins} AS DOUBLE)) + _s"
+        if i == 0:
+            e = f"CASE WHEN _same THEN ({e}) ELSE ({e}) - (_t - _s) * 1e-3 END"
+        cols.append(f"{e} AS e{i}")
+    return (f"{name} AS (SELECT {', '.join(cols)} FROM (SELECT {s} AS _s, {t} AS _t, mn = mx AS _same "
+            f"FROM (SELECT min({v}) AS mn, max({v}) AS mx FROM {src}) m0) m1)")
+
+
+def BIN_IDX(col: str, edges: str, bins: int) -> str:
+    """1-based bin of ``col`` given the edges CTE alias (right-closed)."""
+    v = f"CAST({col} AS DOUBLE)"
+    terms = " + ".join(f"(CASE WHEN {v} > {edges}.e{i} THEN 1 ELSE 0 END)" for i in range(1, bins))
+    return f"(CASE WHEN {col} IS NULL THEN NULL ELSE 1 + {terms} END)"
+
+
+def BIN_EDGE(edges: str, idx: str, bins: int, upper: bool) -> str:
+    off = 1 if upper else 0
+    whens = " ".join(f"WHEN {i} THEN {edges}.e{i - 1 + off}" for i in range(1, bins + 1))
+    return f"(CASE {idx} {whens} END)"
+
+
+COMM_BUCKET = ("(CASE WHEN CommissionRate > 0.26e0 AND CommissionRate <= 0.28e0 THEN '27-28%' "
+               "WHEN CommissionRate > 0.28e0 AND CommissionRate <= 0.3e0 THEN '28-30%' "
+               "WHEN CommissionRate > 0.3e0 AND CommissionRate <= 0.32e0 THEN '30-32%' "
+               "WHEN CommissionRate > 0.32e0 AND CommissionRate <= 0.34e0 THEN '32-33%' END)")
+COMM_BUCKET_IDX = ("(CASE WHEN CommissionRate > 0.26e0 AND CommissionRate <= 0.28e0 THEN 0 "
+                   "WHEN CommissionRate > 0.28e0 AND CommissionRate <= 0.3e0 THEN 1 "
+                   "WHEN CommissionRate > 0.3e0 AND CommissionRate <= 0.32e0 THEN 2 "
+                   "WHEN CommissionRate > 0.32e0 AND CommissionRate <= 0.34e0 THEN 3 END)")
