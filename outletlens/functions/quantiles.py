@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 from .compat import null_nan
 
 
@@ -48,6 +50,8 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
     part = (base.repartitionByRange(parts, *order)
             .sortWithinPartitions(*order)
             .withColumn("_pos", F.monotonically_increasing_id()))
+    # both branches below must see identical positions: materialise once
+    part = materialize(part)
 
     blocks = (part.groupBy(F.shiftright("_pos", 33).alias("_pid"), *by)
               .agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_c")))

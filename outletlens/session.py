@@ -47,3 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="outletlens-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder.
+
+    Used where one derived table is read by two branches that must see the
+    same rows in the same places (positions from ``monotonically_increasing_id``):
+    re-planning (AQE) or a task re-run after an executor loss could otherwise
+    give each branch its own numbering. Also cuts lineage in iterative jobs.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
