@@ -92,12 +92,12 @@ def fold_metrics_segment_mean(prep: DataFrame, segments: DataFrame, by: str = "S
     """M9 on the segment-mean predictor: for each fold, fit on the other
     training folds, score the held-out fold; then mean and population std."""
     d = prep.where(~F.col("is_test")).join(segments.select(*key_cols, by), key_cols)
-    per_fold_group = d.groupBy("fold", by).agg(F.sum("label").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    tot = d.groupBy(by).agg(F.sum("label").alias("_S"), F.count(F.lit(1)).alias("_C"))
+    per_fold_group = d.groupBy("fold", by).agg(F.sum("label").alias("_fs"), F.count(F.lit(1)).alias("_fc"))
+    tot = d.groupBy(by).agg(F.sum("label").alias("_gs"), F.count(F.lit(1)).alias("_gc"))
     # mean of the group over the other folds = (total - this fold) / (count - this fold)
     loo = (per_fold_group.join(tot, by)
-           .select("fold", by, F.try_divide(F.col("_S") - F.col("_s"),
-                                            (F.col("_C") - F.col("_c")).cast("double")).alias("pred")))
+           .select("fold", by, F.try_divide(F.col("_gs") - F.col("_fs"),
+                                            (F.col("_gc") - F.col("_fc")).cast("double")).alias("pred")))
     scored = d.join(loo, ["fold", by], "left").withColumn("model", F.lit("Segment Mean"))
     m = regression_metrics(scored, by=("model", "fold"))
     return m
