@@ -76,10 +76,21 @@ def first_by_actual(df: DataFrame, n: int = 120, actual: str = "label", key_cols
     return top.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))  # n rows only
 
 
-def latest_per_group(df: DataFrame, group: str, ts: str, keep: int, tie: str) -> DataFrame:
-    """T4: keep the newest ``keep`` rows per group (window on the group key)."""
-    w = Window.partitionBy(group).orderBy(F.col(ts).desc(), F.col(tie).desc())
-    return (df.withColumn("recency", F.row_number().over(w))
+def latest_per_group(df: DataFrame, group: str, ts: str, keep: int, tie: str,
+                     salt_buckets: int = 64) -> DataFrame:
+    """T4: keep the newest ``keep`` rows per group.
+
+    Two stages so a hot group never lands in one task: first the newest
+    ``keep`` rows per (group, salt) where salt = hash(tie) mod ``salt_buckets``,
+    then a window over the survivors (at most ``keep x salt_buckets`` rows
+    per group).
+    """
+    order = [F.col(ts).desc(), F.col(tie).desc()]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(tie)), F.lit(salt_buckets)))
+    w1 = Window.partitionBy(group, "_salt").orderBy(*order)
+    stage1 = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= keep).drop("_r", "_salt")
+    w2 = Window.partitionBy(group).orderBy(*order)
+    return (stage1.withColumn("recency", F.row_number().over(w2))
             .where(F.col("recency") <= keep))
 
 

@@ -123,11 +123,16 @@ def outlet_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(f.name).cast(f.dataType) for f in OUTLET.fields])
 
 
-def scenarios_from_outlets(outlets: DataFrame, yr: int = 1998, mo: int = 6) -> DataFrame:
-    """Bulk scenario table: one scenario per outlet observed in (yr, mo)."""
-    o = outlets.where((F.col("Yr") == yr) & (F.col("Mo") == mo))
+def scenarios_from_outlets(outlets: DataFrame) -> DataFrame:
+    """Bulk scenario table: every outlet-month observation becomes a what-if
+    scenario with its own inputs (so the scenario count grows with the data).
+
+    ``scenario_id`` = RestaurantID * 10^6 + Yr * 100 + Mo; ``user`` is the
+    subregion; ``saved_at`` orders scenarios by month, then outlet.
+    """
+    o = outlets
     return o.select(
-        F.col("RestaurantID").alias("scenario_id"),
+        (F.col("RestaurantID") * 1000000 + F.col("Yr") * 100 + F.col("Mo")).cast("bigint").alias("scenario_id"),
         F.col("RestaurantName").alias("name"),
         F.col("Subregion").alias("user"),
         F.col("InStoreShare").alias("in_store"), F.col("UE_share").alias("ue_share"),
@@ -139,7 +144,6 @@ def scenarios_from_outlets(outlets: DataFrame, yr: int = 1998, mo: int = 6) -> D
         F.col("COGSRate").alias("cogs"), F.col("OPEXRate").alias("opex"),
         F.col("CuisineType").alias("cuisine"), F.col("Segment").alias("segment"),
         F.col("Subregion").alias("subregion"),
-        # saved one second apart, in key order, from the start of the month
-        F.timestamp_seconds(F.unix_timestamp(F.make_date(F.lit(yr), F.lit(mo), F.lit(1)))
+        F.timestamp_seconds(F.unix_timestamp(F.make_date(F.col("Yr"), F.col("Mo"), F.lit(1)))
                             + F.col("RestaurantID")).alias("saved_at"),
     )
