@@ -231,16 +231,21 @@ def best_share_bin(df: DataFrame, share: str, bins: int = 5,
 
 # --- A22 --------------------------------------------------------------------------
 def correlation_matrix(df: DataFrame, cols=CORR_COLS) -> DataFrame:
-    """Pearson r for every pair (x < y in list order), pairwise-complete.
+    """Pearson r for every pair (x before y in list order), pairwise-complete.
 
-    All pairs are evaluated in one aggregate (a single scan with partial
-    aggregation), then the one wide row is stacked to (x, y, r).
+    Each row is expanded into one (pair, x, y) row per pair with both values
+    present (a narrow generator), then one small aggregate per pair runs with
+    map-side partial aggregation: at most ``pairs`` rows per task reach the
+    shuffle. A constant column gives NULL, not an error.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[safe_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r"))
-               for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*structs)))
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("vx"), F.col(b).cast("double").alias("vy"))
+        for i, (a, b) in enumerate(pairs)]))).where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
+    r = long.groupBy("pair").agg(F.try_divide(F.covar_pop("vx", "vy"),
+                                              F.stddev_pop("vx") * F.stddev_pop("vy")).alias("r"))
+    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
+    return r.select(F.element_at(names, F.col("pair") + 1).alias("_p"), "r").select("_p.x", "_p.y", "r")
 
 
 # --- A23 --------------------------------------------------------------------------

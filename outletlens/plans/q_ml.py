@@ -20,7 +20,7 @@ from ..ml.quantile import fit_quantile_models, predict_band
 from ..ml.store import missing_metrics
 from ..operators.ranking import first_by_actual
 from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, MODEL_ORDER, SECONDARY_TARGETS
-from .catalog import base_table, register, report
+from .catalog import base_table, register, report, session_key
 from .sqlbase import R6, with_base
 
 KEY = "RestaurantID, Yr, Mo"
@@ -35,7 +35,7 @@ def _bt(spark, sf_dir):
 
 def _trained(spark, sf_dir):
     """Main-target models fitted once per (session, input) in this process."""
-    k = (id(spark), sf_dir, "main")
+    k = (*session_key(spark, sf_dir), "main")
     if k not in _MEMO:
         prep = prepared(_bt(spark, sf_dir)).persist()
         fitted, preds, metrics = train_and_evaluate(prep, **QUERY_PARAMS)
@@ -43,6 +43,15 @@ def _trained(spark, sf_dir):
     return _MEMO[k]
 
 
+def _quantile_models(spark, sf_dir):
+    """Lower / median / upper quantile boosters, fitted once per process."""
+    k = (*session_key(spark, sf_dir), "quantile")
+    if k not in _MEMO:
+        prep = _trained(spark, sf_dir)[0]
+        _MEMO[k] = fit_quantile_models(prep.where(~F.col("is_test")), rounds=QUANTILE_ROUNDS)
+    return _MEMO[k]
+
+
 # --- SQL building blocks ------------------------------------------------------------
 def _hash(seed, mod):
     return (f"CAST(CAST(('0x' || substr(md5(concat_ws('|', CAST(RestaurantID AS VARCHAR), CAST(Yr AS VARCHAR), "
@@ -224,8 +233,7 @@ def s6_bundle_completeness(spark, sf_dir):
 @register("m13_m15_quantile_coverage")
 def m13_m15_quantile_coverage(spark, sf_dir):
     prep = _trained(spark, sf_dir)[0]
-    qm = fit_quantile_models(prep.where(~F.col("is_test")), rounds=QUANTILE_ROUNDS)
-    band = predict_band(qm, prep.where(F.col("is_test")))
+    band = predict_band(_quantile_models(spark, sf_dir), prep.where(F.col("is_test")))
     return E.coverage(band.withColumn("model", F.lit("Quantile Boosting")),
                       lower="q_lower", upper="q_upper", median="q_median")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import round_even
 from ..functions.quantiles import exact_quantiles
-from ..ml.quantile import fit_quantile_models, predict_band
+from ..ml.quantile import predict_band
 from ..operators import aggregates as A
 from ..operators import optimize as O
 from ..operators import scenarios as S
@@ -15,7 +15,7 @@ from ..operators.ranking import best_model
 from ..schema import CATEGORY_COLS, CHANNELS, FEATURES, TARGET_COGS, TARGET_COST_TO_REVENUE, TARGET_OPEX
 from ..sources.fixture import scenarios_from_outlets
 from .catalog import base_table, register, report
-from .q_ml import QUANTILE_ROUNDS, _codes, _trained
+from .q_ml import _codes, _quantile_models, _trained
 from .sqlbase import R6, RN, with_base
 
 SC = ["in_store", "ue_share", "dd_share", "sd_share"]
@@ -156,7 +156,7 @@ def w7_sweep_predictions(spark, sf_dir):
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
     feats = S.scenario_features(S.commission_sweep(scen), bt)
-    qm = fit_quantile_models(prep.where(~F.col("is_test")), rounds=QUANTILE_ROUNDS)
+    qm = _quantile_models(spark, sf_dir)
     scored = fitted[best].predict(feats, keep=["scenario_id", "sweep_idx", "commission", *FEATURES])
     band = predict_band(qm, scored)
     return band.select("scenario_id", "sweep_idx", round_even(F.col("commission") * 100.0, 2).alias("commission_pct"),
@@ -173,7 +173,7 @@ def w3_w4_scenario_forecasts(spark, sf_dir):
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
     feats = S.scenario_features(scen, bt)
-    qm = fit_quantile_models(prep.where(~F.col("is_test")), rounds=QUANTILE_ROUNDS)
+    qm = _quantile_models(spark, sf_dir)
     band = predict_band(qm, feats).select("scenario_id", "band_lower", "band_upper")
     long = None
     for m in fitted:
@@ -206,7 +206,8 @@ def w8_export_summary(spark, sf_dir):
     inputs = scen.select("scenario_id", F.inline(F.array(*[
         F.struct(F.lit("Scenario Inputs").alias("Section"), F.lit(lab).alias("Metric"),
                  F.col(c).cast("string").alias("Value")) for lab, c in zip(labels, cols)]
-        + [F.struct(F.lit("Scenario Inputs"), F.lit("Best Model"), F.lit(best))])))
+        + [F.struct(F.lit("Scenario Inputs").alias("Section"), F.lit("Best Model").alias("Metric"),
+                    F.lit(best).alias("Value"))])))
     fc = None
     for m in fitted:
         p = fitted[m].predict(feats, keep=["scenario_id"]).select(
