@@ -1 +1 @@
-"""ml."""
+"""Distributed model preparation, training, evaluation and persistence."""

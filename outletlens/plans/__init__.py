@@ -1 +1 @@
-"""plans."""
+"""Registered queries and their SQL twins."""

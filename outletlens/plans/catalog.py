@@ -84,9 +84,20 @@ register("p11_per_order_values")(_cols("RevenuePerOrder", "ProfitPerOrder"))
 
 
 # --- S3: the memoised analysis table -------------------------------------------
-@register("s3_analysis_table")
+def _s3_sql():
+    from ..schema import OUTLET
+    from .sqlbase import R6, with_base
+    derived = ["TotalRevenue", "TotalNetProfit", "NetProfitPerOrder", "OverallMargin", "Commission_UE",
+               "DeliveryCost_SD", "GrowthAdj_Orders", "CostToRevenue", "ChannelMixScore", "InStoreRevRatio",
+               "UE_RevRatio", "DD_RevRatio", "SD_RevRatio", "RevenuePerOrder", "ProfitPerOrder"]
+    cols = [f"{R6(f.name)} AS {f.name}" if f.dataType.typeName() == "double" else f.name for f in OUTLET.fields]
+    cols += [f"{R6(c)} AS {c}" for c in derived] + ["IsOutlier"]
+    return with_base(f"SELECT {', '.join(cols)} FROM t")
+
+
+@register("s3_analysis_table", sql=_s3_sql())
 def s3_analysis_table(spark, sf_dir):
-    return base_table(spark, sf_dir)
+    return report(base_table(spark, sf_dir))
 
 
 # --- F: filters --------------------------------------------------------------

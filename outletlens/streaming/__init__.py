@@ -1 +1,7 @@
-"""streaming."""
+"""Streaming.
+
+The analytics this package re-expresses contain no streams (no event-time
+data, watermarks, windows or state), so no streaming operator is built.
+Scenario scoring is already a batch job over a scenarios table; a stream of
+what-if requests can reuse the same functions inside ``foreachBatch``.
+"""
