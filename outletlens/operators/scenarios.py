@@ -21,14 +21,22 @@ from ..schema import (CATEGORY_COLS, CHANNELS, KEEP_SAVED_SCENARIOS, RISK_HIGH_W
 SCEN_CATS = {"CuisineType": "cuisine", "Segment": "segment", "Subregion": "subregion"}
 
 
-def scenario_features(scen: DataFrame, outlets: DataFrame | None = None,
-                      codes: dict | None = None) -> DataFrame:
-    """The 25 model features from scenario inputs (named as FEATURES).
+def attach_codes(scen: DataFrame, outlets: DataFrame | None = None, codes: dict | None = None) -> DataFrame:
+    """Category codes for the scenario's cuisine / segment / subregion, learnt
+    from the fact table (one code table row per category value). An unknown
+    category gets a NULL code and ``feature_error`` set."""
+    codes = codes or {k: code_table(outlets, k) for k in CATEGORY_COLS}
+    out, err = scen, None
+    for cat, scol in SCEN_CATS.items():
+        t = codes[cat].withColumnRenamed(cat, "_v")
+        out = out.join(t, out[scol] == t["_v"], "left").drop("_v")
+        miss = F.when(F.col(cat + "_enc").isNull(), F.lit(f"unknown {scol}"))
+        err = miss if err is None else F.coalesce(err, miss)
+    return out.withColumn("feature_error", err)
 
-    ``codes`` maps category column -> code table; by default they are learnt
-    from ``outlets``. A scenario with an unknown category gets a NULL code
-    and ``feature_error`` set.
-    """
+
+def feature_columns(scen: DataFrame) -> DataFrame:
+    """The 22 numeric model features from scenario inputs (a projection)."""
     c = {k: F.col(k) for k in ["in_store", "ue_share", "dd_share", "sd_share", "commission",
                                "delivery_cost", "radius", "growth", "aov", "orders", "cogs", "opex"]}
     rev = c["aov"] * c["orders"]
@@ -36,7 +44,7 @@ def scenario_features(scen: DataFrame, outlets: DataFrame | None = None,
     ppo_num = (rev * (F.lit(1.0) - c["cogs"] - c["opex"]) - rev_ue * c["commission"]
                - rev_dd * c["commission"] - c["delivery_cost"] * c["orders"] * c["sd_share"])
     ratio = lambda share: F.when(rev != 0, (rev * share) / rev).otherwise(F.lit(0.0))
-    out = scen.withColumns({
+    return scen.withColumns({
         "InStoreShare": c["in_store"], "UE_share": c["ue_share"], "DD_share": c["dd_share"],
         "SD_share": c["sd_share"], "CommissionRate": c["commission"],
         "DeliveryCostPerOrder": c["delivery_cost"], "DeliveryRadiusKM": c["radius"].cast("double"),
@@ -51,14 +59,17 @@ def scenario_features(scen: DataFrame, outlets: DataFrame | None = None,
         "RevenuePerOrder": c["aov"],
         "ProfitPerOrder": F.when(c["orders"] != 0, ppo_num / c["orders"]).otherwise(F.lit(0.0)),
     })
-    codes = codes or {k: code_table(outlets, k) for k in CATEGORY_COLS}
-    err = None
-    for cat, scol in SCEN_CATS.items():
-        t = codes[cat].withColumnRenamed(cat, "_v")
-        out = out.join(t, out[scol] == t["_v"], "left").drop("_v")
-        miss = F.when(F.col(cat + "_enc").isNull(), F.lit(f"unknown {scol}"))
-        err = miss if err is None else F.coalesce(err, miss)
-    return out.withColumn("feature_error", err)
+
+
+def scenario_features(scen: DataFrame, outlets: DataFrame | None = None,
+                      codes: dict | None = None) -> DataFrame:
+    """The 25 model features from scenario inputs (named as FEATURES).
+
+    ``codes`` maps category column -> code table; by default they are learnt
+    from ``outlets``. A scenario with an unknown category gets a NULL code
+    and ``feature_error`` set.
+    """
+    return feature_columns(attach_codes(scen, outlets, codes))
 
 
 def share_check(scen: DataFrame, tol: float = SHARE_SUM_TOLERANCE) -> DataFrame:
@@ -115,7 +126,10 @@ def sweep_points(lo: float = SWEEP_LO, hi: float = SWEEP_HI, n: int = SWEEP_POIN
 
 
 def commission_sweep(scen: DataFrame, n: int = SWEEP_POINTS) -> DataFrame:
-    """Each scenario repeated at ``n`` commission rates (a per-row generator)."""
+    """Each scenario repeated at ``n`` commission rates (a per-row generator).
+
+    Join anything per scenario (codes) before the fan-out, then recompute the
+    commission-dependent features with :func:`feature_columns`."""
     return (scen.select("*", F.posexplode(sweep_points(n=n)).alias("sweep_idx", "_cr"))
             .withColumn("commission", F.col("_cr")).drop("_cr"))
 

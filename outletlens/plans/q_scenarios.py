@@ -145,7 +145,7 @@ _SWEEP = "(CASE WHEN i = 29 THEN 0.33e0 ELSE 0.27e0 + CAST(i AS DOUBLE) * ((0.33
     "FROM scen, (SELECT unnest(range(0, 30)) AS i) r) s", _SCEN_CTE))
 def w7_commission_sweep(spark, sf_dir):
     bt, scen = _scen(spark, sf_dir)
-    sw = S.unit_economics_profit(S.scenario_features(S.commission_sweep(scen), bt))
+    sw = S.unit_economics_profit(S.feature_columns(S.commission_sweep(S.attach_codes(scen, bt))))
     return report(sw.select("scenario_id", "sweep_idx", "commission", "Commission_UE", "ProfitPerOrder", "ue_profit"))
 
 
@@ -155,7 +155,7 @@ def w7_sweep_predictions(spark, sf_dir):
     prep, fitted, _, metrics = _trained(spark, sf_dir)
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
-    feats = S.scenario_features(S.commission_sweep(scen), bt)
+    feats = S.feature_columns(S.commission_sweep(S.attach_codes(scen, bt)))
     qm = _quantile_models(spark, sf_dir)
     scored = fitted[best].predict(feats, keep=["scenario_id", "sweep_idx", "commission", *FEATURES])
     band = predict_band(qm, scored)
@@ -298,7 +298,8 @@ def w10_optimise_with_model(spark, sf_dir):
     _, fitted, _, metrics = _trained(spark, sf_dir)
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
-    return O.optimise_with_model(scen, bt, fitted[best], lambda d: S.scenario_features(d, bt), step_pct=_STEP)
+    # codes are joined per scenario before the candidate fan-out
+    return O.optimise_with_model(S.attach_codes(scen, bt), bt, fitted[best], S.feature_columns, step_pct=_STEP)
 
 
 # --- W11 ------------------------------------------------------------------------------------
