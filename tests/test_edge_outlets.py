@@ -65,3 +65,17 @@ def test_empty_frame_keeps_schema(spark):
     assert A.kpi_summary(t).first().n_restaurants == 0
     assert A.group_means(t, "Segment", "TotalNetProfit").count() == 0
     assert "OptScore" in ranking.optimisation_score(t).columns
+
+
+def test_correlation_paths_agree_pairwise_complete(spark):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    a, b, c = rng.normal(size=(3, 50))
+    rows = [(float(x), float(y), float(z)) for x, y, z in zip(a, b, c)]
+    full = spark.createDataFrame(rows, "a double, b double, c double")
+    fast = {(r.x, r.y): r.r for r in A.correlation_matrix(full, ["a", "b", "c"]).collect()}
+    holed = spark.createDataFrame(rows[:-1] + [(None, rows[-1][1], rows[-1][2])], "a double, b double, c double")
+    slow = {(r.x, r.y): r.r for r in A.correlation_matrix(holed, ["a", "b", "c"]).collect()}
+    assert abs(fast[("a", "b")] - np.corrcoef(a, b)[0, 1]) < 1e-12
+    assert abs(slow[("b", "c")] - np.corrcoef(b, c)[0, 1]) < 1e-12          # no NULL in b, c: all rows
+    assert abs(slow[("a", "b")] - np.corrcoef(a[:-1], b[:-1])[0, 1]) < 1e-12  # pairwise-complete
