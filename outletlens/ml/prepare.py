@@ -32,12 +32,15 @@ def code_table(df: DataFrame, col: str) -> DataFrame:
     return r.select(col, F.col("_rank").cast("int").alias(col + "_enc"))
 
 
-def encode_categories(df: DataFrame, fit_on: DataFrame | None = None, cols=CATEGORY_COLS) -> DataFrame:
-    """M1: add ``<col>_enc`` codes learnt from ``fit_on`` (default: ``df`` itself)."""
+def encode_categories(df: DataFrame, fit_on: DataFrame | None = None, cols=CATEGORY_COLS,
+                      codes: dict | None = None) -> DataFrame:
+    """M1: add ``<col>_enc`` codes learnt from ``fit_on`` (default: ``df`` itself),
+    or taken from ready ``codes`` tables (category column -> code table)."""
     src = df if fit_on is None else fit_on
     out = df
     for c in cols:
-        out = out.join(code_table(src, c), c, "left")
+        # one row per category value: the planner/AQE broadcasts it when small
+        out = out.join(codes[c] if codes else code_table(src, c), c, "left")
     return out
 
 
@@ -93,12 +96,12 @@ def fit_scaler(train: DataFrame, features=FEATURES) -> Scaler:
 
 
 def prepared(df: DataFrame, target: str = TARGET, exclude_outliers: bool = False,
-             features=FEATURES) -> DataFrame:
+             features=FEATURES, codes: dict | None = None) -> DataFrame:
     """Analysis table -> (keys, features, label, is_test, fold).
 
     Main target: codes fitted on all rows. Secondary targets: outliers are
     removed first and codes are fitted on the remaining rows.
     """
     src = df.where(~F.col("IsOutlier")) if exclude_outliers else df
-    enc = encode_categories(src)
+    enc = encode_categories(src, codes=codes)
     return add_split(design_matrix(enc, features, target))

@@ -61,6 +61,30 @@ def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _BASE[k]
 
 
+def code_tables(spark: SparkSession, sf_dir: str, non_outliers: bool = False) -> dict:
+    """M1 code tables (category value -> 0-based code) of the analysis table,
+    built once per session and input (one small checkpoint per category)."""
+    from ..ml.prepare import code_table
+    from ..schema import CATEGORY_COLS
+    k = (*session_key(spark, sf_dir), "codes", non_outliers)
+    if k not in _BASE:
+        bt = base_table(spark, sf_dir)
+        src = bt.where(~F.col("IsOutlier")) if non_outliers else bt
+        _BASE[k] = {c: materialize(code_table(src, c)) for c in CATEGORY_COLS}
+    return _BASE[k]
+
+
+def prepared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main-target model input (keys, 25 features, label, split, fold), once per session."""
+    from ..ml.prepare import add_split, design_matrix, encode_categories
+    k = (*session_key(spark, sf_dir), "prepared")
+    if k not in _BASE:
+        bt = base_table(spark, sf_dir)
+        enc = encode_categories(bt, codes=code_tables(spark, sf_dir))
+        _BASE[k] = materialize(add_split(design_matrix(enc)))
+    return _BASE[k]
+
+
 def derived_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_table(spark, sf_dir)
 

@@ -20,7 +20,7 @@ from ..ml.quantile import fit_quantile_models, predict_band
 from ..ml.store import missing_metrics
 from ..operators.ranking import first_by_actual
 from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, MODEL_ORDER, SECONDARY_TARGETS
-from .catalog import base_table, register, report, session_key
+from .catalog import base_table, code_tables, prepared_table, register, report, session_key
 from .sqlbase import R6, with_base
 
 KEY = "RestaurantID, Yr, Mo"
@@ -37,7 +37,7 @@ def _trained(spark, sf_dir):
     """Main-target models fitted once per (session, input) in this process."""
     k = (*session_key(spark, sf_dir), "main")
     if k not in _MEMO:
-        prep = prepared(_bt(spark, sf_dir)).persist()
+        prep = prepared_table(spark, sf_dir)
         fitted, preds, metrics = train_and_evaluate(prep, **QUERY_PARAMS)
         _MEMO[k] = (prep, fitted, preds.persist(), metrics.persist())
     return _MEMO[k]
@@ -87,7 +87,7 @@ def _metrics_sql(by="'Segment Mean'"):
 
 def _sm_spark(spark, sf_dir):
     bt = _bt(spark, sf_dir)
-    return E.segment_mean_predictions(prepared(bt), bt)
+    return E.segment_mean_predictions(prepared_table(spark, sf_dir), bt)
 
 
 # --- M1-M4 ------------------------------------------------------------------------------
@@ -95,7 +95,8 @@ def _sm_spark(spark, sf_dir):
     f"SELECT {KEY}, " + ", ".join(f"{c}_enc" for c in CATEGORY_COLS) + " FROM e", *_codes("t"),
     f"e AS ({_enc_join('t')})"))
 def m1_label_encoding(spark, sf_dir):
-    return encode_categories(_bt(spark, sf_dir)).select(*KEY_COLS, *[c + "_enc" for c in CATEGORY_COLS])
+    bt = _bt(spark, sf_dir)
+    return encode_categories(bt, codes=code_tables(spark, sf_dir)).select(*KEY_COLS, *[c + "_enc" for c in CATEGORY_COLS])
 
 
 @register("m1_label_encoding_non_outliers", sql=with_base(
@@ -103,19 +104,20 @@ def m1_label_encoding(spark, sf_dir):
     "nt AS (SELECT * FROM t WHERE NOT IsOutlier)", *_codes("nt"), f"e AS ({_enc_join('nt')})"))
 def m1_label_encoding_non_outliers(spark, sf_dir):
     nt = _bt(spark, sf_dir).where(~F.col("IsOutlier"))
-    return encode_categories(nt).select(*KEY_COLS, *[c + "_enc" for c in CATEGORY_COLS])
+    codes = code_tables(spark, sf_dir, non_outliers=True)
+    return encode_categories(nt, codes=codes).select(*KEY_COLS, *[c + "_enc" for c in CATEGORY_COLS])
 
 
 @register("m2_design_matrix", sql=with_base(
     f"SELECT {KEY}, " + ", ".join(R6(f) + f" AS {f}" for f in FEATURES) + f", {R6('label')} AS label FROM sp",
     *_PREP_CTES))
 def m2_design_matrix(spark, sf_dir):
-    return report(design_matrix(encode_categories(_bt(spark, sf_dir))))
+    return report(prepared_table(spark, sf_dir).drop("is_test", "fold"))
 
 
 @register("m3_split_folds", sql=with_base(f"SELECT {KEY}, is_test, fold FROM sp", *_PREP_CTES))
 def m3_split_folds(spark, sf_dir):
-    return add_split(_bt(spark, sf_dir).select(*KEY_COLS)).select(*KEY_COLS, "is_test", "fold")
+    return prepared_table(spark, sf_dir).select(*KEY_COLS, "is_test", "fold")
 
 
 @register("m4_scaler_stats", sql=with_base(" UNION ALL ".join(
@@ -123,7 +125,7 @@ def m3_split_folds(spark, sf_dir):
     f"{R6(f'CASE WHEN stddev_pop({f}) = 0 OR stddev_pop({f}) IS NULL THEN 1e0 ELSE stddev_pop({f}) END')} AS scale "
     "FROM sp WHERE NOT is_test" for i, f in enumerate(FEATURES)), *_PREP_CTES))
 def m4_scaler_stats(spark, sf_dir):
-    prep = prepared(_bt(spark, sf_dir))
+    prep = prepared_table(spark, sf_dir)
     return report(scaler_stats(prep.where(~F.col("is_test"))))
 
 
@@ -143,7 +145,7 @@ def m10_segment_mean_test_metrics(spark, sf_dir):
     "GROUP BY fold", *_PREP_CTES, "tr AS (SELECT * FROM sp WHERE NOT is_test)"))
 def m9_segment_mean_cv_folds(spark, sf_dir):
     bt = _bt(spark, sf_dir)
-    return report(E.fold_metrics_segment_mean(prepared(bt), bt))
+    return report(E.fold_metrics_segment_mean(prepared_table(spark, sf_dir), bt))
 
 
 @register("m11_segment_mean_residual_quantiles", sql=with_base(
@@ -252,7 +254,8 @@ def m17_secondary_targets(spark, sf_dir):
     bt = _bt(spark, sf_dir)
     out = None
     for target in SECONDARY_TARGETS:
-        prep = prepared(bt, target=target, exclude_outliers=True)
+        prep = prepared(bt, target=target, exclude_outliers=True,
+                        codes=code_tables(spark, sf_dir, non_outliers=True))
         _, _, metrics = train_and_evaluate(prep, models=["Random Forest", "Boosted Trees (deep)"],
                                            cv=False, **QUERY_PARAMS)
         best = metrics.orderBy(F.col("R2").desc_nulls_last(), F.col("model_order").asc()).limit(1) \

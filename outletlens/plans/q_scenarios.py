@@ -14,7 +14,7 @@ from ..operators import scenarios as S
 from ..operators.ranking import best_model
 from ..schema import CATEGORY_COLS, CHANNELS, FEATURES, TARGET_COGS, TARGET_COST_TO_REVENUE, TARGET_OPEX
 from ..sources.fixture import scenarios_from_outlets
-from .catalog import base_table, register, report
+from .catalog import base_table, code_tables, register, report
 from .q_ml import _codes, _quantile_models, _trained
 from .sqlbase import R6, RN, with_base
 
@@ -68,7 +68,7 @@ _UE_PROFIT = (f"({_REV} * in_store * (1e0 - cogs - opex) + {_REV} * ue_share * (
     "LEFT JOIN c_Subregion ON c_Subregion.Subregion = scen.subregion", _SCEN_CTE, *_codes("t")))
 def w1_scenario_features(spark, sf_dir):
     bt, scen = _scen(spark, sf_dir)
-    f = S.scenario_features(scen, bt)
+    f = S.scenario_features(scen, codes=code_tables(spark, sf_dir))
     return report(f.select("scenario_id", *FEATURES, "feature_error"))
 
 
@@ -145,7 +145,7 @@ _SWEEP = "(CASE WHEN i = 29 THEN 0.33e0 ELSE 0.27e0 + CAST(i AS DOUBLE) * ((0.33
     "FROM scen, (SELECT unnest(range(0, 30)) AS i) r) s", _SCEN_CTE))
 def w7_commission_sweep(spark, sf_dir):
     bt, scen = _scen(spark, sf_dir)
-    sw = S.unit_economics_profit(S.feature_columns(S.commission_sweep(S.attach_codes(scen, bt))))
+    sw = S.unit_economics_profit(S.feature_columns(S.commission_sweep(S.attach_codes(scen, codes=code_tables(spark, sf_dir)))))
     return report(sw.select("scenario_id", "sweep_idx", "commission", "Commission_UE", "ProfitPerOrder", "ue_profit"))
 
 
@@ -155,7 +155,7 @@ def w7_sweep_predictions(spark, sf_dir):
     prep, fitted, _, metrics = _trained(spark, sf_dir)
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
-    feats = S.feature_columns(S.commission_sweep(S.attach_codes(scen, bt)))
+    feats = S.feature_columns(S.commission_sweep(S.attach_codes(scen, codes=code_tables(spark, sf_dir))))
     qm = _quantile_models(spark, sf_dir)
     scored = fitted[best].predict(feats, keep=["scenario_id", "sweep_idx", "commission", *FEATURES])
     band = predict_band(qm, scored)
@@ -172,7 +172,7 @@ def w3_w4_scenario_forecasts(spark, sf_dir):
     prep, fitted, _, metrics = _trained(spark, sf_dir)
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
-    feats = S.scenario_features(scen, bt)
+    feats = S.scenario_features(scen, codes=code_tables(spark, sf_dir))
     qm = _quantile_models(spark, sf_dir)
     band = predict_band(qm, feats).select("scenario_id", "band_lower", "band_upper")
     long = None
@@ -197,7 +197,7 @@ def w8_export_summary(spark, sf_dir):
     _, fitted, _, metrics = _trained(spark, sf_dir)
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
-    feats = S.scenario_features(scen, bt)
+    feats = S.scenario_features(scen, codes=code_tables(spark, sf_dir))
     labels = ["In-Store Share", "Uber Eats Share", "DoorDash Share", "Self-Delivery Share", "Commission Rate",
               "Delivery Cost/Order", "Delivery Radius (km)", "Growth Factor", "Cuisine Type", "Segment",
               "Subregion", "Avg Order Value", "Monthly Orders", "COGS Rate", "OPEX Rate"]
@@ -299,7 +299,7 @@ def w10_optimise_with_model(spark, sf_dir):
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
     # codes are joined per scenario before the candidate fan-out
-    return O.optimise_with_model(S.attach_codes(scen, bt), bt, fitted[best], S.feature_columns, step_pct=_STEP)
+    return O.optimise_with_model(S.attach_codes(scen, codes=code_tables(spark, sf_dir)), bt, fitted[best], S.feature_columns, step_pct=_STEP)
 
 
 # --- W11 ------------------------------------------------------------------------------------
