@@ -322,3 +322,55 @@ _SCORE = ("(TotalNetProfit / mx_p) * 40e0 + (1e0 - CommissionRate / mx_c) * 30e0
     f"ORDER BY OptScore DESC NULLS LAST, {KEY} LIMIT 15"))
 def t2_optimisation_score_top15(spark, sf_dir):
     return report(ranking.top_score(_bt(spark, sf_dir), 15, formatted=False))
+
+
+# --- X3 display formats of T1 / T2 -----------------------------------------------------
+def _fmt_pct(x, d):
+    if d == 0:
+        return f"format('{{:,.0f}}', round_even({x} * 100e0, 0)) || '%'"
+    return f"format('{{:,.{d}f}}', round_even({x} * 100e0 * 1e{d}, 0) / 1e{d}) || '%'"
+
+
+def _fmt_money(x):
+    return f"'$' || format('{{:,.0f}}', round_even({x}, 0))"
+
+
+@register("t1_top20_profit_formatted", sql=with_base(
+    f"SELECT {KEY}, RestaurantName, CuisineType, Segment, Subregion, {_fmt_pct('InStoreShare', 0)} AS InStoreShare, "
+    f"{_fmt_pct('UE_share', 0)} AS UE_share, {_fmt_pct('SD_share', 0)} AS SD_share, "
+    f"{_fmt_pct('CommissionRate', 1)} AS CommissionRate, {_fmt_money('TotalNetProfit')} AS TotalNetProfit, "
+    f"{_fmt_pct('OverallMargin', 1)} AS OverallMargin FROM t ORDER BY t.TotalNetProfit DESC NULLS LAST, {KEY} LIMIT 20"))
+def t1_top20_profit_formatted(spark, sf_dir):
+    return ranking.top_profit(_bt(spark, sf_dir), 20, formatted=True)
+
+
+@register("t2_optimisation_score_top15_formatted", sql=with_base(
+    f"SELECT {KEY}, RestaurantName, CuisineType, Segment, Subregion, OptScore, "
+    "format('{:,.2f}', OptScore) AS OptScoreText, "
+    f"{_fmt_money('TotalNetProfit')} AS TotalNetProfitText, {_fmt_pct('CommissionRate', 1)} AS CommissionRateText FROM ("
+    f"SELECT t.*, {RN(_SCORE, 2)} AS OptScore FROM t, "
+    "(SELECT max(TotalNetProfit) AS mx_p, max(CommissionRate) AS mx_c, max(GrowthFactor) AS mx_g FROM t) mx) s "
+    f"ORDER BY OptScore DESC NULLS LAST, {KEY} LIMIT 15"))
+def t2_optimisation_score_top15_formatted(spark, sf_dir):
+    return ranking.top_score(_bt(spark, sf_dir), 15, formatted=True)
+
+
+# --- B1, B2 row level ---------------------------------------------------------------------
+@register("b1_commission_buckets", sql=with_base(
+    f"SELECT {KEY}, {R6('CommissionRate')} AS CommissionRate, {COMM_BUCKET} AS CommBucket, "
+    f"{COMM_BUCKET_IDX} AS CommBucket_idx FROM t"))
+def b1_commission_buckets(spark, sf_dir):
+    from ..functions.binning import commission_bucket
+    b = commission_bucket(_bt(spark, sf_dir))
+    return report(b.select(*KEY_COLS, "CommissionRate", "CommBucket", "CommBucket_idx"))
+
+
+@register("b2_equal_width_bins", sql=with_base(
+    f"SELECT {KEY}, CostBin, {R6('CostBin_lo')} AS CostBin_lo, {R6('CostBin_hi')} AS CostBin_hi, RadiusBin, "
+    f"{R6('RadiusBin_lo')} AS RadiusBin_lo, {R6('RadiusBin_hi')} AS RadiusBin_hi FROM g", *_GRID_CTES))
+def b2_equal_width_bins(spark, sf_dir):
+    from ..functions.binning import assign_bins
+    b = assign_bins(_bt(spark, sf_dir), "DeliveryCostPerOrder", 5, "CostBin")
+    b = assign_bins(b, "DeliveryRadiusKM", 5, "RadiusBin")
+    return report(b.select(*KEY_COLS, "CostBin", "CostBin_lo", "CostBin_hi", "RadiusBin", "RadiusBin_lo",
+                           "RadiusBin_hi"))

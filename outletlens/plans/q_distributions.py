@@ -17,7 +17,7 @@ def _bt(spark, sf_dir):
 # --- B3 ----------------------------------------------------------------------------
 def _hist_sql(col, bins):
     return with_base(
-        f"SELECT i AS bin, {R6(BIN_EDGE('he', 'i', bins, False))} AS lo, {R6(BIN_EDGE('he', 'i', bins, True))} AS hi, "
+        f"SELECT CAST(i AS INT) AS bin, {R6(BIN_EDGE('he', 'i', bins, False))} AS lo, {R6(BIN_EDGE('he', 'i', bins, True))} AS hi, "
         "CAST(COALESCE(c.cnt, 0) AS BIGINT) AS count "
         f"FROM he, (SELECT unnest(range(1, {bins + 1})) AS i) ii LEFT JOIN "
         f"(SELECT {BIN_IDX(col, 'he', bins)} AS b, count(*) AS cnt FROM t, he WHERE {col} IS NOT NULL GROUP BY 1) c "

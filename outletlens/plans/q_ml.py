@@ -190,6 +190,14 @@ def t3_first120_by_actual(spark, sf_dir):
     return report(first_by_actual(test, 120, "label"))
 
 
+# --- A25: actual range of the test labels (reference-line ends) ------------------------------
+@register("a25_actual_range", sql=with_base(
+    f"SELECT {R6('min(label)')} AS min_value, {R6('max(label)')} AS max_value FROM sp WHERE is_test", *_PREP_CTES))
+def a25_actual_range(spark, sf_dir):
+    from ..operators.aggregates import value_range
+    return report(value_range(prepared_table(spark, sf_dir).where(F.col("is_test")), "label"))
+
+
 # --- M5-M9, M18, M20, T5, S6: MLlib models (rows-only) ---------------------------------------
 @register("m5_m9_model_metrics")
 def m5_m9_model_metrics(spark, sf_dir):

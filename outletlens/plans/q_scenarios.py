@@ -303,37 +303,68 @@ def w10_optimise_with_model(spark, sf_dir):
 
 
 # --- W11 ------------------------------------------------------------------------------------
-@register("w11_recommendations")
-def w11_recommendations(spark, sf_dir):
-    """Eight recommendation facts (n, title, best, value_1..3)."""
-    bt = _bt(spark, sf_dir)
-    _, _, _, metrics = _trained(spark, sf_dir)
-    ch = A.channel_means(bt).where(F.col("Channel") == "In-Store").select("avg_profit")
-    kpi = A.optimisation_kpis(bt)
+def _rec_row(n, title, best, v1, v2=None, v3=None):
+    none_d = F.lit(None).cast("double")
+    return [F.lit(n).alias("n"), F.lit(title).alias("title"),
+            (best if best is not None else F.lit(None).cast("string")).alias("best"),
+            v1.alias("value_1"), (v2 if v2 is not None else none_d).alias("value_2"),
+            (v3 if v3 is not None else none_d).alias("value_3")]
+
+
+def _recommendation_facts(bt):
+    """Data-driven recommendation rows 1-6 and the fixed cost targets (row 8)."""
+    ch = A.channel_means(bt).where(F.col("Channel") == "In-Store")
+    be = bt.agg(F.max(F.when(F.col("UberEatsNetProfit") > 0, F.col("CommissionRate"))).alias("be"))
     sd = A.self_delivery_thresholds(bt)
     groups = A.best_groups(bt)
-    bm = best_model(metrics).select("model", "R2")
-    n = lambda i, title: (F.lit(i).alias("n"), F.lit(title).alias("title"))
-    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
-    rows = [
-        ch.select(*n(1, "Channel Optimization"), F.lit("In-Store").alias("best"), F.col("avg_profit").alias("value_1"),
-                  none_d.alias("value_2"), none_d.alias("value_3")),
-        kpi.select(*n(2, "Commission Negotiation"), none_s.alias("best"), F.col("breakeven_commission").alias("value_1"),
-                   none_d.alias("value_2"), none_d.alias("value_3")),
-        sd.select(*n(3, "Self-Delivery Expansion"), none_s.alias("best"), F.col("max_profitable_cost").alias("value_1"),
-                  F.col("max_profitable_radius").cast("double").alias("value_2"), F.col("profitable_pct").alias("value_3")),
-    ]
+    rows = [ch.select(*_rec_row(1, "Channel Optimization", F.lit("In-Store"), F.col("avg_profit"))),
+            be.select(*_rec_row(2, "Commission Negotiation", None, F.col("be"))),
+            sd.select(*_rec_row(3, "Self-Delivery Expansion", None, F.col("max_profitable_cost"),
+                                F.col("max_profitable_radius").cast("double"), F.col("profitable_pct")))]
     for i, (dim, title) in enumerate([("Segment", "Best Performing Segment"), ("Subregion", "Subregion Focus"),
                                       ("CuisineType", "Cuisine Mix Strategy")], start=4):
-        rows.append(groups.where(F.col("dimension") == dim).select(
-            *n(i, title), F.col("best"), F.col("mean_value").alias("value_1"), none_d.alias("value_2"),
-            none_d.alias("value_3")))
-    rows.append(bm.select(*n(7, "Predictive Model Adoption"), F.col("model").alias("best"), F.col("R2").alias("value_1"),
-                          (F.col("R2") * 100.0).alias("value_2"), none_d.alias("value_3")))
-    rows.append(bt.sparkSession.range(1).select(
-        *n(8, "Cost Structure Management"), none_s.alias("best"), F.lit(TARGET_COST_TO_REVENUE).alias("value_1"),
-        F.lit(TARGET_COGS).alias("value_2"), F.lit(TARGET_OPEX).alias("value_3")))
+        rows.append(groups.where(F.col("dimension") == dim).select(*_rec_row(i, title, F.col("best"),
+                                                                             F.col("mean_value"))))
+    rows.append(be.select(*_rec_row(8, "Cost Structure Management", None, F.lit(TARGET_COST_TO_REVENUE),
+                                    F.lit(TARGET_COGS), F.lit(TARGET_OPEX))))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def _w11_sql():
+    nd = "CAST(NULL AS DOUBLE)"
+    ns = "CAST(NULL AS VARCHAR)"
+    parts = [
+        f"SELECT 1 AS n, 'Channel Optimization' AS title, 'In-Store' AS best, {R6('avg(InStoreNetProfit)')} AS value_1, "
+        f"{nd} AS value_2, {nd} AS value_3 FROM t",
+        f"SELECT 2, 'Commission Negotiation', {ns}, {R6('max(CASE WHEN UberEatsNetProfit > 0 THEN CommissionRate END)')}, "
+        f"{nd}, {nd} FROM t",
+        f"SELECT 3, 'Self-Delivery Expansion', {ns}, "
+        f"{R6('max(CASE WHEN SelfDeliveryNetProfit > 0 THEN DeliveryCostPerOrder END)')}, "
+        "CAST(max(CASE WHEN SelfDeliveryNetProfit > 0 THEN DeliveryRadiusKM END) AS DOUBLE), "
+        f"{R6('avg(CASE WHEN COALESCE(SelfDeliveryNetProfit > 0, false) THEN 1e0 ELSE 0e0 END) * 100e0')} FROM t",
+    ]
+    for i, (dim, title) in enumerate([("Segment", "Best Performing Segment"), ("Subregion", "Subregion Focus"),
+                                      ("CuisineType", "Cuisine Mix Strategy")], start=4):
+        parts.append(f"SELECT * FROM (SELECT {i}, '{title}', {dim}, {R6('avg(TotalNetProfit)')}, {nd}, {nd} FROM t "
+                     f"WHERE {dim} IS NOT NULL GROUP BY {dim} ORDER BY avg(TotalNetProfit) DESC NULLS LAST, {dim} LIMIT 1)")
+    parts.append(f"SELECT 8, 'Cost Structure Management', {ns}, 70e0, 28e0, 40e0")
+    return with_base(" UNION ALL ".join(parts))
+
+
+@register("w11_recommendation_facts", sql=_w11_sql())
+def w11_recommendation_facts(spark, sf_dir):
+    return report(_recommendation_facts(_bt(spark, sf_dir)))
+
+
+@register("w11_recommendations")
+def w11_recommendations(spark, sf_dir):
+    """All eight recommendation rows, including the best fitted model (row 7)."""
+    bt = _bt(spark, sf_dir)
+    _, _, _, metrics = _trained(spark, sf_dir)
+    bm = best_model(metrics).select("model", "R2")
+    model_row = bm.select(*_rec_row(7, "Predictive Model Adoption", F.col("model"), F.col("R2"),
+                                    F.col("R2") * 100.0))
+    return _recommendation_facts(bt).unionByName(model_row)
