@@ -31,10 +31,13 @@ from .compat import null_nan
 
 def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
                     num_partitions: int | None = None,
-                    bounded_groups: bool = True) -> DataFrame:
+                    bounded_groups: bool = True,
+                    method: str = "linear") -> DataFrame:
     """Per-group quantiles of ``value``; one output column per ``probs`` key.
 
-    ``probs`` maps output column name -> probability in [0, 1]. NULL and NaN
+    ``probs`` maps output column name -> probability in [0, 1]. ``method``:
+    ``linear`` (numpy's default) or ``inverted_cdf`` (the unit-weight
+    percentile used for gradient-boosting leaf values). NULL and NaN
     values are skipped (pandas semantics). Groups with no values are absent.
     ``bounded_groups`` asserts the number of groups is small (a category
     domain), which bounds the broadcast pick list; otherwise the pick join
@@ -65,9 +68,18 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
     names = list(probs)
     wanted_probs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(probs[k])).alias("p"))
                              for k in names])
-    h = (F.col("_n") - 1).cast("double") * F.col("_q.p")
-    lo = F.floor(h).cast("bigint")
-    hi = F.least(lo + 1, F.col("_n") - 1)
+    if method == "linear":
+        # numpy default: rank h = (n - 1) p, interpolate between floor and ceil
+        h = (F.col("_n") - 1).cast("double") * F.col("_q.p")
+        lo = F.floor(h).cast("bigint")
+        hi = F.least(lo + 1, F.col("_n") - 1)
+    elif method == "inverted_cdf":
+        # smallest value whose cumulative count reaches p n (unit-weight percentile)
+        lo = F.greatest(F.ceil(F.col("_n").cast("double") * F.col("_q.p")).cast("bigint") - 1, F.lit(0))
+        hi = lo
+        h = lo.cast("double")
+    else:
+        raise ValueError(f"unknown quantile method {method!r}")
     targets = (blocks.select("*", F.explode(wanted_probs).alias("_q"))
                .select("_p0", "_c", "_off", *by, F.col("_q.name").alias("_name"),
                        (h - lo.cast("double")).alias("_frac"),

@@ -45,3 +45,13 @@ def test_equal_width_bins_match_pandas_cut(spark):
     want = cut.value_counts(sort=False)
     assert [r["count"] for r in got] == [int(c) for c in want.values]
     assert [r.b_label for r in got] == [str(iv) for iv in want.index]
+
+
+def test_inverted_cdf_percentile(spark):
+    xs = [5.0, 1.0, 4.0, 2.0, 3.0]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    got = exact_quantiles(df, "v", {"a": 0.025, "b": 0.5, "c": 0.6, "d": 0.975, "e": 1.0},
+                          method="inverted_cdf").first()
+    s = sorted(xs)
+    want = [s[max(int(np.ceil(p * 5)) - 1, 0)] for p in (0.025, 0.5, 0.6, 0.975, 1.0)]
+    assert [got.a, got.b, got.c, got.d, got.e] == want == [1.0, 3.0, 3.0, 5.0, 5.0]
