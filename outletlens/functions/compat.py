@@ -43,9 +43,14 @@ def null_nan(c) -> Column:
 
 
 def round_even(c, digits: int = 0) -> Column:
-    """numpy/pandas ``round``: half-even on the scaled binary value."""
+    """numpy/pandas ``round``: half-even on the scaled binary value.
+
+    A zero result is returned as +0.0 (never -0.0), so equal results print and
+    hash the same whichever of two equal-valued inputs an engine picked.
+    """
     scale = float(10 ** digits)
-    return F.rint(col_(c) * F.lit(scale)) / F.lit(scale)
+    r = F.rint(col_(c) * F.lit(scale)) / F.lit(scale)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 def r6(c) -> Column:

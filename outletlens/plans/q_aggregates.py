@@ -327,12 +327,12 @@ def t2_optimisation_score_top15(spark, sf_dir):
 # --- X3 display formats of T1 / T2 -----------------------------------------------------
 def _fmt_pct(x, d):
     if d == 0:
-        return f"format('{{:,.0f}}', round_even({x} * 100e0, 0)) || '%'"
-    return f"format('{{:,.{d}f}}', round_even({x} * 100e0 * 1e{d}, 0) / 1e{d}) || '%'"
+        return f"format('{{:,.0f}}', {RN(x + ' * 100e0', 0)}) || '%'"
+    return f"format('{{:,.{d}f}}', {RN(x + ' * 100e0', d)}) || '%'"
 
 
 def _fmt_money(x):
-    return f"'$' || format('{{:,.0f}}', round_even({x}, 0))"
+    return f"'$' || format('{{:,.0f}}', {RN(x, 0)})"
 
 
 @register("t1_top20_profit_formatted", sql=with_base(
@@ -357,12 +357,11 @@ def t2_optimisation_score_top15_formatted(spark, sf_dir):
 
 # --- B1, B2 row level ---------------------------------------------------------------------
 @register("b1_commission_buckets", sql=with_base(
-    f"SELECT {KEY}, {R6('CommissionRate')} AS CommissionRate, {COMM_BUCKET} AS CommBucket, "
-    f"{COMM_BUCKET_IDX} AS CommBucket_idx FROM t"))
+    f"SELECT {KEY}, {R6('CommissionRate')} AS CommissionRate, {COMM_BUCKET} AS CommBucket FROM t"))
 def b1_commission_buckets(spark, sf_dir):
     from ..functions.binning import commission_bucket
     b = commission_bucket(_bt(spark, sf_dir))
-    return report(b.select(*KEY_COLS, "CommissionRate", "CommBucket", "CommBucket_idx"))
+    return report(b.select(*KEY_COLS, "CommissionRate", "CommBucket"))
 
 
 @register("b2_equal_width_bins", sql=with_base(

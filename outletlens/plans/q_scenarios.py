@@ -219,7 +219,7 @@ def w8_export_summary(spark, sf_dir):
 
 @register("w8_export_breakdown", sql=with_base(
     "SELECT scenario_id, channel_order, Channel, " + R6("Revenue") + " AS Revenue, " + R6("NetProfit")
-    + " AS NetProfit, round_even(Margin * 1e4, 0) / 1e4 AS Margin FROM (" + _w6_body() + ") x",
+    + " AS NetProfit, " + RN("Margin", 4) + " AS Margin FROM (" + _w6_body() + ") x",
     _SCEN_CTE))
 def w8_export_breakdown(spark, sf_dir):
     _, scen = _scen(spark, sf_dir)
@@ -230,15 +230,15 @@ def w8_export_breakdown(spark, sf_dir):
 # --- W9 / T4 -------------------------------------------------------------------------------
 def _pct(x, d):
     if d == 0:
-        return f"format('{{:,.0f}}', round_even({x} * 100e0, 0)) || '%'"
-    return f"format('{{:,.{d}f}}', round_even({x} * 100e0 * 1e{d}, 0) / 1e{d}) || '%'"
+        return f"format('{{:,.0f}}', {RN(x + ' * 100e0', 0)}) || '%'"
+    return f"format('{{:,.{d}f}}', {RN(x + ' * 100e0', d)}) || '%'"
 
 
 @register("w9_saved_comparison", sql=with_base(
     "SELECT \"user\", scenario_id, name, CAST(recency AS INT) AS recency, "
     + ", ".join(f"{_pct(c, 0)} AS \"{n}\"" for c, n in zip(SC, ["In-Store", "UE", "DD", "SD"])) + ", "
     + ", ".join(f"{_pct(c, 1)} AS {n}" for c, n in [("commission", "Commission"), ("cogs", "COGS"), ("opex", "OPEX")])
-    + ", '$' || format('{:,.0f}', round_even(ue_profit, 0)) AS Profit, round_even(ue_profit, 0) AS profit_value, "
+    + f", '$' || format('{{:,.0f}}', {RN('ue_profit', 0)}) AS Profit, {RN('ue_profit', 0)} AS profit_value, "
     "count(*) OVER (PARTITION BY \"user\") >= 2 AS comparable FROM ("
     f"SELECT scen.*, {_UE_PROFIT} AS ue_profit, row_number() OVER (PARTITION BY \"user\" "
     "ORDER BY _yr DESC, _mo DESC, _rid DESC, scenario_id DESC) AS recency FROM scen) x WHERE recency <= 5",

@@ -55,11 +55,12 @@ FROM base)
 
 def R6(expr: str) -> str:
     """6-decimal half-even report rounding (same as ``compat.r6``)."""
-    return f"round_even(({expr}) * 1e6, 0) / 1e6"
+    return f"(CASE WHEN round_even(({expr}) * 1e6, 0) = 0 THEN 0e0 ELSE round_even(({expr}) * 1e6, 0) / 1e6 END)"
 
 
 def RN(expr: str, digits: int) -> str:
-    return f"round_even(({expr}) * 1e{digits}, 0) / 1e{digits}"
+    return (f"(CASE WHEN round_even(({expr}) * 1e{digits}, 0) = 0 THEN 0e0 "
+            f"ELSE round_even(({expr}) * 1e{digits}, 0) / 1e{digits} END)")
 
 
 def PD_DIV(n: str, d: str) -> str:
