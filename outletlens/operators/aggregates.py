@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import assign_bins, commission_bucket
-from ..functions.compat import pd_div, safe_corr
+from ..functions.compat import pd_div
 from ..functions.quantiles import exact_quantiles
 from ..schema import (CATEGORY_COLS, CHANNELS, COMMISSION_SPLIT, CORR_COLS, PROFIT_COLS,
                       REVENUE_COLS, SHARE_COLS)

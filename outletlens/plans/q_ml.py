@@ -11,15 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.compat import money, r6
+from ..functions.compat import money
 from ..ml import evaluate as E
 from ..ml.importance import permutation_importance
-from ..ml.models import best_model_name, train_and_evaluate
-from ..ml.prepare import add_split, code_table, design_matrix, encode_categories, prepared, scaler_stats
+from ..ml.models import train_and_evaluate
+from ..ml.prepare import encode_categories, prepared, scaler_stats
 from ..ml.quantile import fit_quantile_models, predict_band
 from ..ml.store import missing_metrics
 from ..operators.ranking import first_by_actual
-from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, MODEL_ORDER, SECONDARY_TARGETS
+from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, SECONDARY_TARGETS
 from .catalog import base_table, code_tables, prepared_table, register, report, session_key
 from .sqlbase import R6, with_base
 
@@ -274,5 +274,3 @@ def m17_secondary_targets(spark, sf_dir):
         out = m if out is None else out.unionByName(m)
     return out
 
-
-__all__ = ["MODEL_ORDER", "best_model_name", "code_table", "r6"]

@@ -60,3 +60,19 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Used for the derived tables that many queries read (analysis table,
+    model input): unlike an RDD checkpoint, the parquet copy gives later
+    scans column pruning, filter pushdown and real size statistics for the
+    planner, and it survives executor loss like any file in shared storage.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
