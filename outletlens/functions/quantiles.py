@@ -24,14 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 
 from .compat import null_nan
 
 
 def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
                     num_partitions: int | None = None,
-                    bounded_groups: bool = True,
+                    bounded_groups: bool = False,
                     method: str = "linear") -> DataFrame:
     """Per-group quantiles of ``value``; one output column per ``probs`` key.
 
@@ -39,9 +39,10 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
     ``linear`` (numpy's default) or ``inverted_cdf`` (the unit-weight
     percentile used for gradient-boosting leaf values). NULL and NaN
     values are skipped (pandas semantics). Groups with no values are absent.
-    ``bounded_groups`` asserts the number of groups is small (a category
-    domain), which bounds the broadcast pick list; otherwise the pick join
-    is left to the planner.
+    ``bounded_groups`` asserts the number of groups has a proven small bound
+    (a fixed list: buckets, models, tree leaves), which allows broadcasting
+    the pick list; otherwise the pick join is left to the planner / AQE
+    (which broadcasts it only from its measured size).
     """
     by = list(by)
     vcol = F.col(value) if isinstance(value, str) else value
@@ -90,8 +91,8 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
     wanted = targets.where(in_block).select(
         (F.col("_p0") + F.col("_t.rank") - F.col("_off")).alias("_pos"),
         *by, "_name", "_frac", F.col("_t.which").alias("_which"))
-    if bounded_groups or not by:
-        wanted = F.broadcast(wanted)
+    # proven bound -> broadcast; otherwise broadcast only after a size check
+    wanted = F.broadcast(wanted) if (bounded_groups or not by) else broadcast_if_small(wanted)
     picked = part.select("_pos", "_v").join(wanted, "_pos")
     per_prob = picked.groupBy(*by, "_name").agg(
         F.max(F.when(F.col("_which") == 0, F.col("_v"))).alias("_lo"),

@@ -39,7 +39,7 @@ def residual_quantiles(preds: DataFrame, probs=INTERVAL_PROBS) -> DataFrame:
     """Empirical residual quantiles per model (linear interpolation)."""
     r = preds.select("model", (F.col("label") - F.col("pred")).alias("residual"))
     return exact_quantiles(r, "residual", {"residual_low": probs[0], "residual_high": probs[1]},
-                           by=["model"])
+                           by=["model"], bounded_groups=True)   # one group per model in the list
 
 
 def with_empirical_interval(preds: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def bucket_stats(df: DataFrame, col: str = "TotalNetProfit") -> DataFrame:
     agg = b.groupBy("CommBucket", "CommBucket_idx").agg(
         F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.count(F.lit(1)).alias("n"))
-    med = exact_quantiles(b, col, {"median": 0.5}, by=["CommBucket"])
+    med = exact_quantiles(b, col, {"median": 0.5}, by=["CommBucket"], bounded_groups=True)   # 4 buckets
     return agg.join(F.broadcast(med), "CommBucket", "left").select(
         "CommBucket", "CommBucket_idx", "n", "mean", "median", "std")
 
@@ -273,7 +273,7 @@ def share_bounds(df: DataFrame, cols=SHARE_COLS, lo: float = 0.10, hi: float = 0
     """
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("share"), F.col(c).cast("double").alias("value"))
                                          for c in cols])))
-    q = exact_quantiles(long, "value", {"p_lo": lo, "p_hi": hi}, by=["share"])
+    q = exact_quantiles(long, "value", {"p_lo": lo, "p_hi": hi}, by=["share"], bounded_groups=True)
     means = df.agg(*[F.avg(c).alias(c) for c in cols])
     total = None
     for c in cols:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import assign_bins, edge_stats
 from ..functions.compat import col_, null_nan
 from ..functions.quantiles import exact_quantiles
+from ..session import broadcast_if_small
 
 # The eight trend-line sites of the dashboard (x, y, colour group).
 TREND_SITES = [
@@ -58,7 +59,8 @@ def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFra
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(by, "q1", "median", "q3",
                       (F.col("q1") - whisker * iqr).alias("_lo"), (F.col("q3") + whisker * iqr).alias("_hi"))
-    joined = d.where(F.col("v").isNotNull()).join(F.broadcast(fences), by)   # one row per group
+    # one row per group: broadcast behind a size check
+    joined = d.where(F.col("v").isNotNull()).join(broadcast_if_small(fences), by)
     inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
     return joined.groupBy(by, "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
@@ -82,13 +84,13 @@ def violin_density(df: DataFrame, col: str, by: str, grid: int = 50, fine_bins:
     q = exact_quantiles(d, "v", {"q1": 0.25, "q3": 0.75}, by=[by])
     st = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
                            F.min("v").alias("mn"), F.max("v").alias("mx"))
-    st = st.join(F.broadcast(q), by)
+    st = broadcast_if_small(st.join(q, by))
     h = (F.lit(1.059) * F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / F.lit(1.349))
          * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     st = st.select(by, "n", "mn", "mx", h.alias("bw"),
                    ((F.col("mx") - F.col("mn")) / F.lit(float(fine_bins))).alias("w"))
     fb = F.least(F.floor((F.col("v") - F.col("mn")) / F.col("w")), F.lit(fine_bins - 1))
-    binned = (d.join(F.broadcast(st.select(by, "mn", "w")), by)
+    binned = (d.join(st.select(by, "mn", "w"), by)   # st: size-checked broadcast above
               .select(by, F.when(F.col("w") > 0, fb).otherwise(F.lit(0)).cast("int").alias("fb"))
               .groupBy(by, "fb").agg(F.count(F.lit(1)).alias("c")))
     pts = st.select(by, "n", "bw", "mn", "mx", "w",

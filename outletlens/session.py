@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -76,3 +77,13 @@ def write_table(df, name: str):
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast hint behind a size check: count the (small, derived) table
+    first; above ``max_rows`` the join stays a shuffle join."""
+    df = df.cache()          # the count and the join read the same rows
+    return F.broadcast(df) if df.count() <= max_rows else df
