@@ -190,6 +190,21 @@ def t3_first120_by_actual(spark, sf_dir):
     return report(first_by_actual(test, 120, "label"))
 
 
+# --- M5-M8 one model at a time (fit on train, metrics on test; rows-only) -------------------------
+def _single_model(name):
+    def q(spark, sf_dir):
+        prep = prepared_table(spark, sf_dir)
+        _, _, metrics = train_and_evaluate(prep, models=[name], cv=False, **QUERY_PARAMS)
+        return metrics
+    return q
+
+
+register("m5_linear_regression")(_single_model("Linear Regression"))
+register("m6_random_forest")(_single_model("Random Forest"))
+register("m7_gradient_boosting")(_single_model("Gradient Boosting"))
+register("m8_boosted_trees_deep")(_single_model("Boosted Trees (deep)"))
+
+
 # --- A25: actual range of the test labels (reference-line ends) ------------------------------
 @register("a25_actual_range", sql=with_base(
     f"SELECT {R6('min(label)')} AS min_value, {R6('max(label)')} AS max_value FROM sp WHERE is_test", *_PREP_CTES))
