@@ -32,6 +32,23 @@ def code_table(df: DataFrame, col: str) -> DataFrame:
     return r.select(col, F.col("_rank").cast("int").alias(col + "_enc"))
 
 
+def code_tables_for(df: DataFrame, cols=CATEGORY_COLS) -> DataFrame:
+    """Code tables of several category columns in one job, long form
+    (category, value, code): one distinct over the unpivoted values and one
+    global rank per category."""
+    long = (df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("string").alias("value"))
+                                         for c in cols])))
+            .where(F.col("value").isNotNull()).distinct())
+    r = with_global_rank(long, ["category"], [F.col("value").asc()], size_col=None)
+    return r.select("category", "value", F.col("_rank").cast("int").alias("code"))
+
+
+def split_code_tables(long: DataFrame, cols=CATEGORY_COLS) -> dict:
+    """Long code table -> {column: (column, column_enc)}."""
+    return {c: long.where(F.col("category") == c).select(F.col("value").alias(c), F.col("code").alias(c + "_enc"))
+            for c in cols}
+
+
 def encode_categories(df: DataFrame, fit_on: DataFrame | None = None, cols=CATEGORY_COLS,
                       codes: dict | None = None) -> DataFrame:
     """M1: add ``<col>_enc`` codes learnt from ``fit_on`` (default: ``df`` itself),

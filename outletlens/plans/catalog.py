@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import r6
 from ..operators import features
 from ..schema import KEY_COLS
-from ..session import write_table
+from ..session import materialize, write_table
 from ..sources.fixture import outlet_month
 from .oracle import ORACLES
 
@@ -57,7 +57,7 @@ def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = session_key(spark, sf_dir)
     if k not in _BASE:
         # the line-item aggregation runs once; the fence and the flag read its result
-        om = write_table(outlet_month(spark, sf_dir), "outlet_month")
+        om = materialize(outlet_month(spark, sf_dir))    # read once, by the step below
         _BASE[k] = write_table(features.prepare(om), "analysis")
     return _BASE[k]
 
@@ -65,13 +65,12 @@ def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_tables(spark: SparkSession, sf_dir: str, non_outliers: bool = False) -> dict:
     """M1 code tables (category value -> 0-based code) of the analysis table,
     built once per session and input (one small checkpoint per category)."""
-    from ..ml.prepare import code_table
-    from ..schema import CATEGORY_COLS
+    from ..ml.prepare import code_tables_for, split_code_tables
     k = (*session_key(spark, sf_dir), "codes", non_outliers)
     if k not in _BASE:
         bt = base_table(spark, sf_dir)
         src = bt.where(~F.col("IsOutlier")) if non_outliers else bt
-        _BASE[k] = {c: write_table(code_table(src, c), f"codes_{c}") for c in CATEGORY_COLS}
+        _BASE[k] = split_code_tables(materialize(code_tables_for(src)))
     return _BASE[k]
 
 
