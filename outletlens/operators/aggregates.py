@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import assign_bins, commission_bucket
 from ..functions.compat import pd_div
 from ..functions.quantiles import exact_quantiles
-from ..schema import (CATEGORY_COLS, CHANNELS, COMMISSION_SPLIT, CORR_COLS, PROFIT_COLS,
+from ..schema import (CATEGORY_COLS, CHANNELS, COMMISSION_EDGES, COMMISSION_SPLIT, CORR_COLS, PROFIT_COLS,
                       REVENUE_COLS, SHARE_COLS)
 
 
@@ -178,9 +178,14 @@ def self_delivery_thresholds(df: DataFrame) -> DataFrame:
 
 
 # --- A17, A18 (commission buckets) -----------------------------------------------
+def _in_buckets(df: DataFrame, col: str = "CommissionRate") -> DataFrame:
+    """Range predicate equal to 'has a bucket', so it reaches the parquet scan."""
+    return df.where((F.col(col) > F.lit(COMMISSION_EDGES[0])) & (F.col(col) <= F.lit(COMMISSION_EDGES[-1])))
+
+
 def bucket_stats(df: DataFrame, col: str = "TotalNetProfit") -> DataFrame:
     """Mean, median, sample std of ``col`` per commission bucket."""
-    b = commission_bucket(df).where(F.col("CommBucket").isNotNull())
+    b = commission_bucket(_in_buckets(df)).where(F.col("CommBucket").isNotNull())
     agg = b.groupBy("CommBucket", "CommBucket_idx").agg(
         F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.count(F.lit(1)).alias("n"))
@@ -191,7 +196,7 @@ def bucket_stats(df: DataFrame, col: str = "TotalNetProfit") -> DataFrame:
 
 def bucket_profitable_pct(df: DataFrame, col: str = "UberEatsNetProfit") -> DataFrame:
     """% of rows with ``col`` > 0 per commission bucket (NULL counts as not)."""
-    b = commission_bucket(df).where(F.col("CommBucket").isNotNull())
+    b = commission_bucket(_in_buckets(df)).where(F.col("CommBucket").isNotNull())
     ok = F.coalesce(F.col(col) > 0, F.lit(False)).cast("double")
     return b.groupBy("CommBucket", "CommBucket_idx").agg((F.avg(ok) * 100.0).alias("profitable_pct"))
 
