@@ -1,22 +1,27 @@
-"""Exact, skew-proof quantiles (linear interpolation, as numpy/pandas).
+"""Exact, skew-proof quantiles (numpy's linear interpolation, or the
+unit-weight inverted-CDF percentile) without sorting the data.
 
 Spark's ``percentile``/``median`` aggregates keep every distinct value of a
 group in one task's buffer, so a group holding a third of a 100 TB table
-would sit in one executor. This operator instead:
-
-1. range-partitions ``(group, value)`` — the sampler splits a hot group
-   across many partitions — and sorts within partitions;
-2. numbers rows by position inside each partition
-   (``monotonically_increasing_id`` after the sort);
-3. aggregates a tiny *block table* (one row per partition x group, at most
-   ``partitions + groups`` rows) to get each block's global rank offset;
-4. turns the wanted ranks ``floor/ceil((n-1)p)`` into row positions on the
-   block table, and picks those rows back with a broadcast semi-join
-   (``2 * len(probs) * groups`` rows, bounded when groups are);
-5. interpolates ``lo + (hi - lo) * frac``.
-
-Everything after the one range shuffle is over tiny tables; the range
-exchange is reused by both branches.
+would sit in one executor. This operator only ever counts:
+
+1. one aggregate gives each group's size, min and max, from which the wanted
+   ranks ``floor/ceil((n-1)p)`` (or ``ceil(p n) - 1``) follow;
+2. while a target's bracket [L, U] still holds more than ``refine_rows``
+   rows, one pass counts the rows of every active bracket in ``bins``
+   equal-width sub-buckets (a filter plus a map-side-combined aggregate:
+   ``targets x bins`` rows reach the shuffle) and the bracket shrinks to the
+   [min, max] of the sub-bucket holding the wanted rank; rows below it are
+   added to the target's exact ``below`` count;
+3. the last pass groups the bracket's rows by distinct value (ties collapse
+   into one row with a count, so a value repeated a billion times costs one
+   row) and a running count picks the value at the wanted rank;
+4. linear interpolation ``lo + (hi - lo) * frac``.
+
+Everything is a deterministic aggregate, so the result does not depend on
+partitioning, row order or task re-execution; only the tiny bracket table
+is checkpointed between passes. Smooth data needs ``log_bins(n / refine_rows)``
+passes; a bracket also stops when it collapses to a single value.
 """
 
 from __future__ import annotations
@@ -25,82 +30,108 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
-
 from .compat import null_nan
 
 
+def _join_targets(base: DataFrame, targets: DataFrame, by, bounded: bool) -> DataFrame:
+    if not by:
+        return base.join(F.broadcast(targets), F.lit(True), "inner")      # global: 2 x |probs| rows
+    t = F.broadcast(targets) if bounded else broadcast_if_small(targets)
+    return base.join(t, list(by), "inner")
+
+
 def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
-                    num_partitions: int | None = None,
-                    bounded_groups: bool = False,
-                    method: str = "linear") -> DataFrame:
+                    bounded_groups: bool = False, method: str = "linear",
+                    bins: int = 1024, refine_rows: int = 200_000, max_passes: int = 16,
+                    num_partitions: int | None = None) -> DataFrame:
     """Per-group quantiles of ``value``; one output column per ``probs`` key.
 
     ``probs`` maps output column name -> probability in [0, 1]. ``method``:
     ``linear`` (numpy's default) or ``inverted_cdf`` (the unit-weight
-    percentile used for gradient-boosting leaf values). NULL and NaN
-    values are skipped (pandas semantics). Groups with no values are absent.
+    percentile used for gradient-boosting leaf values). NULL and NaN values
+    are skipped (pandas semantics); groups with no values are absent.
     ``bounded_groups`` asserts the number of groups has a proven small bound
-    (a fixed list: buckets, models, tree leaves), which allows broadcasting
-    the pick list; otherwise the pick join is left to the planner / AQE
-    (which broadcasts it only from its measured size).
+    (buckets, models, tree leaves), which allows broadcasting the per-target
+    bracket table outright; otherwise it is broadcast only after a size
+    check. ``num_partitions`` is accepted for compatibility and unused.
     """
+    del num_partitions
     by = list(by)
     vcol = F.col(value) if isinstance(value, str) else value
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = (df.select(*[F.col(c) for c in by], null_nan(vcol.cast("double")).alias("_v"))
             .where(F.col("_v").isNotNull()))
-    order = [F.col(c).asc_nulls_first() for c in by] + [F.col("_v").asc()]
-    part = (base.repartitionByRange(parts, *order)
-            .sortWithinPartitions(*order)
-            .withColumn("_pos", F.monotonically_increasing_id()))
-    # both branches below must see identical positions: materialise once
-    part = materialize(part)
-
-    blocks = (part.groupBy(F.shiftright("_pos", 33).alias("_pid"), *by)
-              .agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_c")))
-    wg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    blocks = (blocks
-              .withColumn("_off", F.sum("_c").over(
-                  wg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                  - F.col("_c"))
-              .withColumn("_n", F.sum("_c").over(wg)))
 
+    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"),
+                                  F.max("_v").alias("_mx"))
     names = list(probs)
-    wanted_probs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(probs[k])).alias("p"))
-                             for k in names])
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(probs[k])).alias("p"))
+                                 for k in names]))
+    t = stats.select(*by, "_n", "_mn", "_mx", wanted.alias("_q"))
+    n, p = F.col("_n"), F.col("_q.p")
     if method == "linear":
-        # numpy default: rank h = (n - 1) p, interpolate between floor and ceil
-        h = (F.col("_n") - 1).cast("double") * F.col("_q.p")
+        h = (n - 1).cast("double") * p
         lo = F.floor(h).cast("bigint")
-        hi = F.least(lo + 1, F.col("_n") - 1)
+        hi = F.least(lo + 1, n - 1)
+        frac = h - lo.cast("double")
     elif method == "inverted_cdf":
-        # smallest value whose cumulative count reaches p n (unit-weight percentile)
-        lo = F.greatest(F.ceil(F.col("_n").cast("double") * F.col("_q.p")).cast("bigint") - 1, F.lit(0))
+        lo = F.greatest(F.ceil(n.cast("double") * p).cast("bigint") - 1, F.lit(0).cast("bigint"))
         hi = lo
-        h = lo.cast("double")
+        frac = F.lit(0.0)
     else:
         raise ValueError(f"unknown quantile method {method!r}")
-    targets = (blocks.select("*", F.explode(wanted_probs).alias("_q"))
-               .select("_p0", "_c", "_off", *by, F.col("_q.name").alias("_name"),
-                       (h - lo.cast("double")).alias("_frac"),
-                       F.explode(F.array(
-                           F.struct(F.lit(0).alias("which"), lo.alias("rank")),
-                           F.struct(F.lit(1).alias("which"), hi.alias("rank")))).alias("_t")))
-    in_block = (F.col("_t.rank") >= F.col("_off")) & (F.col("_t.rank") < F.col("_off") + F.col("_c"))
-    wanted = targets.where(in_block).select(
-        (F.col("_p0") + F.col("_t.rank") - F.col("_off")).alias("_pos"),
-        *by, "_name", "_frac", F.col("_t.which").alias("_which"))
-    # proven bound -> broadcast; otherwise broadcast only after a size check
-    wanted = F.broadcast(wanted) if (bounded_groups or not by) else broadcast_if_small(wanted)
-    picked = part.select("_pos", "_v").join(wanted, "_pos")
+    targets = t.select(*by, F.col("_q.name").alias("_name"), frac.alias("_frac"),
+                       F.explode(F.array(F.struct(F.lit(0).alias("w"), lo.alias("r")),
+                                         F.struct(F.lit(1).alias("w"), hi.alias("r")))).alias("_t"),
+                       F.col("_mn").alias("_L"), F.col("_mx").alias("_U"),
+                       F.lit(0).cast("bigint").alias("_below"), n.alias("_cnt"))
+    targets = targets.select(*by, "_name", "_frac", F.col("_t.w").alias("_which"),
+                             F.col("_t.r").alias("_rank"), "_L", "_U", "_below", "_cnt")
+    tkey = [*by, "_name", "_which"]
+    targets = materialize(targets)     # tiny; the full-scan statistics run once
+
+    # 2. narrow the brackets while they are large (each pass: one filtered scan)
+    for _ in range(max_passes):
+        active = targets.where((F.col("_cnt") > refine_rows) & (F.col("_L") < F.col("_U")))
+        if active.limit(1).count() == 0:
+            break
+        rows = _join_targets(base, active.select(*tkey, "_L", "_U"), by, bounded_groups)
+        rows = rows.where((F.col("_v") >= F.col("_L")) & (F.col("_v") <= F.col("_U")))
+        b = F.least(F.floor((F.col("_v") - F.col("_L")) / (F.col("_U") - F.col("_L")) * float(bins)),
+                    F.lit(bins - 1)).cast("int")
+        hist = rows.groupBy(*tkey, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"),
+                                                      F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
+        w = Window.partitionBy(*tkey).orderBy("_b")          # <= bins rows per target
+        hist = hist.withColumn("_before", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        hist = hist.withColumn("_before", F.coalesce(F.col("_before"), F.lit(0)).cast("bigint"))
+        step = (active.select(*tkey, "_rank", "_below").join(hist, tkey)
+                .where((F.col("_below") + F.col("_before") <= F.col("_rank"))
+                       & (F.col("_rank") < F.col("_below") + F.col("_before") + F.col("_c")))
+                .select(*tkey, F.col("_bmin").alias("_nL"), F.col("_bmax").alias("_nU"),
+                        (F.col("_below") + F.col("_before")).alias("_nbelow"), F.col("_c").alias("_ncnt")))
+        targets = (targets.join(step, tkey, "left")
+                   .select(*by, "_name", "_frac", "_which", "_rank",
+                           F.coalesce("_nL", "_L").alias("_L"), F.coalesce("_nU", "_U").alias("_U"),
+                           F.coalesce("_nbelow", "_below").alias("_below"),
+                           F.coalesce("_ncnt", "_cnt").alias("_cnt")))
+        # tiny table (groups x targets rows); cut its lineage so the plan does
+        # not grow with every pass
+        targets = materialize(targets)
+
+    # 3. exact pick inside each bracket over distinct values
+    rows = _join_targets(base, targets.select(*tkey, "_L", "_U"), by, bounded_groups)
+    rows = rows.where((F.col("_v") >= F.col("_L")) & (F.col("_v") <= F.col("_U")))
+    dist = rows.groupBy(*tkey, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*tkey).orderBy("_v")              # bracket: <= refine_rows values
+    dist = dist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    picked = (targets.select(*tkey, "_frac", "_rank", "_below").join(dist, tkey)
+              .where((F.col("_below") + F.col("_cum") - F.col("_c") <= F.col("_rank"))
+                     & (F.col("_rank") < F.col("_below") + F.col("_cum"))))
     per_prob = picked.groupBy(*by, "_name").agg(
         F.max(F.when(F.col("_which") == 0, F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("_which") == 1, F.col("_v"))).alias("_hi"),
         F.max("_frac").alias("_frac"))
     qv = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
-    return (per_prob.groupBy(*by).pivot("_name", names)
-            .agg(F.first(qv)))
+    return per_prob.groupBy(*by).pivot("_name", names).agg(F.first(qv))
 
 
 def quantile_col(q: DataFrame, name: str) -> Column:

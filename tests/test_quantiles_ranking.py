@@ -55,3 +55,23 @@ def test_inverted_cdf_percentile(spark):
     s = sorted(xs)
     want = [s[max(int(np.ceil(p * 5)) - 1, 0)] for p in (0.025, 0.5, 0.6, 0.975, 1.0)]
     assert [got.a, got.b, got.c, got.d, got.e] == want == [1.0, 3.0, 3.0, 5.0, 5.0]
+
+
+def test_bracket_refinement_passes_match_numpy(spark):
+    """Force several narrowing passes (tiny refine size, few sub-buckets)."""
+    rng = np.random.default_rng(11)
+    g = np.where(rng.random(2000) < 0.6, "hot", rng.choice(["a", "b"], 2000))
+    v = np.concatenate([rng.lognormal(size=1500), np.zeros(300), rng.normal(size=200) * 1e6])
+    v = v[rng.permutation(2000)].round(4)
+    df = spark.createDataFrame(list(zip(g.tolist(), v.tolist())), "g string, v double")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
+    for method in ("linear", "inverted_cdf"):
+        got = {r.g: r for r in exact_quantiles(df, "v", probs, by=["g"], refine_rows=7, bins=4,
+                                               method=method).collect()}
+        for grp in ["hot", "a", "b"]:
+            x = np.sort(v[g == grp])
+            if method == "linear":
+                want = np.quantile(x, list(probs.values()))
+            else:
+                want = [x[max(int(np.ceil(p * len(x))) - 1, 0)] for p in probs.values()]
+            assert np.allclose([got[grp][k] for k in probs], want, rtol=0, atol=1e-9), (method, grp)
