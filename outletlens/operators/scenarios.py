@@ -148,3 +148,28 @@ def saved_comparison(saved: DataFrame, keep: int = KEEP_SAVED_SCENARIOS) -> Data
     w = Window.partitionBy("user")   # at most `keep` rows per user after the filter
     return text.withColumns({"profit_value": parse_money("Profit"),
                              "comparable": F.count(F.lit(1)).over(w) >= 2})
+
+
+def score_scenarios(feats: DataFrame, fitted: dict, metrics: DataFrame, best: str,
+                    band: DataFrame | None = None, key: str = "scenario_id") -> DataFrame:
+    """W3 + W4 + W5: every fitted model scores every scenario (one ``transform``
+    per model, unioned long); the best model's interval is the quantile
+    ``band`` (``key, band_lower, band_upper``; the empirical one if absent),
+    the others use ``pred + residual_low .. pred + residual_high``; risk per row.
+    """
+    long = None
+    for m in fitted:
+        p = fitted[m].predict(feats, keep=[key]).withColumn("model", F.lit(m))
+        long = p if long is None else long.unionByName(p)
+    off = metrics.select("model", "residual_low", "residual_high")     # one row per model (a fixed list)
+    out = long.join(F.broadcast(off), "model")
+    is_best = F.col("model") == F.lit(best)
+    lo_emp, hi_emp = F.col("pred") + F.col("residual_low"), F.col("pred") + F.col("residual_high")
+    if band is not None:
+        out = out.join(band.select(key, "band_lower", "band_upper"), key, "left")
+        lo = F.when(is_best, F.col("band_lower")).otherwise(lo_emp)
+        hi = F.when(is_best, F.col("band_upper")).otherwise(hi_emp)
+    else:
+        lo, hi = lo_emp, hi_emp
+    out = out.withColumns({"is_best": is_best, "lower": lo, "upper": hi})
+    return out.select(key, "model", "is_best", "pred", "lower", "upper", *risk_label("lower", "upper", "pred"))

@@ -173,21 +173,8 @@ def w3_w4_scenario_forecasts(spark, sf_dir):
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
     feats = S.scenario_features(scen, codes=code_tables(spark, sf_dir))
-    qm = _quantile_models(spark, sf_dir)
-    band = predict_band(qm, feats).select("scenario_id", "band_lower", "band_upper")
-    long = None
-    for m in fitted:
-        p = fitted[m].predict(feats, keep=["scenario_id"]).withColumn("model", F.lit(m))
-        long = p if long is None else long.unionByName(p)
-    off = metrics.select("model", "residual_low", "residual_high")     # one row per model
-    out = long.join(F.broadcast(off), "model").join(band, "scenario_id")
-    is_best = F.col("model") == F.lit(best)
-    out = out.withColumns({
-        "is_best": is_best,
-        "lower": F.when(is_best, F.col("band_lower")).otherwise(F.col("pred") + F.col("residual_low")),
-        "upper": F.when(is_best, F.col("band_upper")).otherwise(F.col("pred") + F.col("residual_high"))})
-    return out.select("scenario_id", "model", "is_best", "pred", "lower", "upper",
-                      *S.risk_label("lower", "upper", "pred"))
+    band = predict_band(_quantile_models(spark, sf_dir), feats).select("scenario_id", "band_lower", "band_upper")
+    return S.score_scenarios(feats, fitted, metrics, best, band)
 
 
 # --- W8 (exports: summary union, breakdown) -----------------------------------------------

@@ -56,3 +56,22 @@ def test_bundle_round_trip(spark, tmp_path):
     assert [r.pred for r in a] == [r.pred for r in b]
     assert load_bundle(spark, str(tmp_path / "missing")) is None
     assert not bundle_complete(metrics.withColumn("residual_low", F.lit(None).cast("double")))
+
+
+def test_score_scenarios_interval_choice(spark):
+    from outletlens.operators.scenarios import score_scenarios
+    df = planted(spark, 120)
+    m = fit_model("Linear Regression", df, ["x1", "x2", "x3"])
+    m2 = fit_model("Random Forest", df, ["x1", "x2", "x3"], n_trees=3, rf_depth=3)
+    feats = df.withColumnRenamed("RestaurantID", "scenario_id")
+    metrics = spark.createDataFrame([("Linear Regression", -1.0, 2.0), ("Random Forest", -5.0, 5.0)],
+                                    "model string, residual_low double, residual_high double")
+    band = feats.select("scenario_id", F.lit(-100.0).alias("band_lower"), F.lit(100.0).alias("band_upper"))
+    out = score_scenarios(feats, {"Linear Regression": m, "Random Forest": m2}, metrics,
+                          "Random Forest", band).collect()
+    for r in out:
+        if r.model == "Random Forest":
+            assert r.is_best and (r.lower, r.upper) == (-100.0, 100.0) and r.risk == "High"
+        else:
+            assert not r.is_best and abs(r.lower - (r.pred - 1.0)) < 1e-12 and abs(r.upper - (r.pred + 2.0)) < 1e-12
+    assert len(out) == 240
