@@ -83,9 +83,13 @@ def edge_stats(df: DataFrame, col: str, bins: int, labels: bool = False) -> Data
     return out.withColumns(texts).drop("_prec")
 
 
-def assign_bins(df: DataFrame, col: str, bins: int, name: str, labels: bool = False) -> DataFrame:
-    """Add ``{name}`` (1-based bin), ``{name}_lo``, ``{name}_hi`` (and ``{name}_label``)."""
-    stats = edge_stats(df, col, bins, labels)
+def assign_bins(df: DataFrame, col: str, bins: int, name: str, labels: bool = False,
+                stats: DataFrame | None = None) -> DataFrame:
+    """Add ``{name}`` (1-based bin), ``{name}_lo``, ``{name}_hi`` (and ``{name}_label``).
+
+    ``stats``: a ready :func:`edge_stats` row (so callers needing the edges
+    twice aggregate min/max once)."""
+    stats = stats if stats is not None else edge_stats(df, col, bins, labels)
     v = col_(col).cast("double")
     joined = df.join(F.broadcast(stats), F.lit(True), "left")  # one row
     idx = F.lit(1)

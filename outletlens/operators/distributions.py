@@ -40,9 +40,9 @@ BREAK_EVEN_SITES = [6, 7]
 # --- B3 -------------------------------------------------------------------------
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram: every bin 1..n with its edges and count (0 if empty)."""
-    counted = (assign_bins(df, col, bins, "bin").where(F.col("bin").isNotNull())
+    edges = edge_stats(df, col, bins)                       # one row, computed once
+    counted = (assign_bins(df, col, bins, "bin", stats=edges).where(F.col("bin").isNotNull())
                .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    edges = edge_stats(df, col, bins)                       # one row
     all_bins = edges.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("bin"), F.col(f"e{i - 1}").alias("lo"), F.col(f"e{i}").alias("hi"))
         for i in range(1, bins + 1)])))
