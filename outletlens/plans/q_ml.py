@@ -190,6 +190,22 @@ def t3_first120_by_actual(spark, sf_dir):
     return report(first_by_actual(test, 120, "label"))
 
 
+# --- M14 on a relational band (segment quantiles of the training labels) --------------------------
+@register("m14_segment_quantile_band", sql=with_base(
+    f"SELECT {KEY}, {R6('least(q.lo, q.up)')} AS band_lower, {R6('q.md')} AS band_median, "
+    f"{R6('greatest(q.lo, q.up)')} AS band_upper FROM sp JOIN (SELECT Segment, quantile_cont(label, 0.025) AS lo, "
+    "quantile_cont(label, 0.5) AS md, quantile_cont(label, 0.975) AS up FROM sp WHERE NOT is_test GROUP BY Segment) q "
+    "ON q.Segment = sp.Segment WHERE is_test", *_PREP_CTES))
+def m14_segment_quantile_band(spark, sf_dir):
+    from ..functions.quantiles import exact_quantiles
+    bt = _bt(spark, sf_dir)
+    d = prepared_table(spark, sf_dir).join(bt.select(*KEY_COLS, "Segment"), KEY_COLS)
+    q = exact_quantiles(d.where(~F.col("is_test")), "label",
+                        {"q_lower": 0.025, "q_median": 0.5, "q_upper": 0.975}, by=["Segment"])
+    band = d.where(F.col("is_test")).join(q, "Segment")
+    return report(band.select(*KEY_COLS, *E.quantile_band("q_lower", "q_median", "q_upper")))
+
+
 # --- M5-M8 one model at a time (fit on train, metrics on test; rows-only) -------------------------
 def _single_model(name):
     def q(spark, sf_dir):
