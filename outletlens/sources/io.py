@@ -68,3 +68,16 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     (a one-partition write funnels everything through one task)."""
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_exports(path: str, summary: DataFrame, breakdown: DataFrame, sweep: DataFrame) -> dict:
+    """The three scenario exports (summary, channel breakdown, sensitivity
+    sweep) as CSV folders with headers under ``path``; returns their paths.
+    Each is written in parallel by its own tasks (no single-file funnel)."""
+    out = {"scenario_summary": summary, "scenario_breakdown": breakdown,
+           "scenario_sensitivity_sweep": sweep}
+    paths = {}
+    for name, df in out.items():
+        paths[name] = f"{path.rstrip('/')}/{name}"
+        write_csv(df, paths[name])
+    return paths

@@ -32,3 +32,21 @@ def test_entry_contract(spark):
 
 def test_fixture_row_counts(spark):
     assert outlet_month(spark, SF_SMALL).count() == 826
+
+
+def test_scenario_exports_round_trip(spark, tmp_path):
+    from outletlens.operators import scenarios as S
+    from outletlens.sources.io import write_exports
+    from outletlens.plans.catalog import base_table, code_tables
+    from outletlens.sources.fixture import scenarios_from_outlets
+    bt = base_table(spark, SF_SMALL)
+    scen = scenarios_from_outlets(bt)
+    breakdown = S.channel_breakdown(scen)
+    sweep = S.unit_economics_profit(S.feature_columns(S.commission_sweep(
+        S.attach_codes(scen, codes=code_tables(spark, SF_SMALL)))))
+    summary = scen.select("scenario_id", "name", "commission")
+    paths = write_exports(str(tmp_path / "exports"), summary, breakdown,
+                          sweep.select("scenario_id", "sweep_idx", "commission", "ue_profit"))
+    back = spark.read.option("header", True).csv(paths["scenario_breakdown"])
+    assert back.count() == breakdown.count() == 4 * scen.count()
+    assert spark.read.option("header", True).csv(paths["scenario_sensitivity_sweep"]).count() == 30 * scen.count()
