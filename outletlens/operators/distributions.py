@@ -118,14 +118,31 @@ def trend_lines(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def all_trend_lines(df: DataFrame, sites=TREND_SITES) -> DataFrame:
-    """B6 for every site, long: (site, x, y, group_col, group, slope, intercept, r2, n)."""
-    out = None
+    """B6 for every site, long: (site, x, y, group_col, group, slope, intercept, r2, n).
+
+    One scan for all sites: ``groupingSets`` over the distinct colour columns
+    (an Expand of one copy per colour column, then one map-side-combined
+    aggregate holding every site's regression sums); each site then reads
+    the rows of its own grouping set.
+    """
+    group_cols = list(dict.fromkeys(by for _, _, by in sites))
+    d = df
+    aggs = []
+    for i, (x, y, _by) in enumerate(sites):
+        xv, yv = col_(x).cast("double"), col_(y).cast("double")
+        aggs += [F.regr_slope(yv, xv).alias(f"s{i}"), F.regr_intercept(yv, xv).alias(f"i{i}"),
+                 F.regr_r2(yv, xv).alias(f"r{i}"), F.regr_count(yv, xv).alias(f"n{i}")]
+    aggs += [F.grouping(c).alias(f"_g_{c}") for c in group_cols]
+    g = d.groupingSets([[c] for c in group_cols], *group_cols).agg(*aggs)
+    # one projection over the grouped rows (so every site shares the one scan):
+    # each row emits the sites whose colour column is its grouping set
+    per_site = []
     for i, (x, y, by) in enumerate(sites):
-        t = trend_lines(df, x, y, by).select(
-            F.lit(i).alias("site"), F.lit(x).alias("x"), F.lit(y).alias("y"),
-            F.lit(by).alias("group_col"), F.col(by).alias("group"), "slope", "intercept", "r2", "n")
-        out = t if out is None else out.unionByName(t)
-    return out
+        st = F.struct(F.lit(i).alias("site"), F.lit(x).alias("x"), F.lit(y).alias("y"),
+                      F.lit(by).alias("group_col"), F.col(by).alias("group"), F.col(f"s{i}").alias("slope"),
+                      F.col(f"i{i}").alias("intercept"), F.col(f"r{i}").alias("r2"), F.col(f"n{i}").alias("n"))
+        per_site.append(F.when((F.col(f"_g_{by}") == 0) & F.col(by).isNotNull(), st))
+    return g.select(F.inline(F.filter(F.array(*per_site), lambda e: e.isNotNull())))
 
 
 def break_even_x(trends: DataFrame) -> DataFrame:

@@ -45,3 +45,10 @@ def test_fixture_scan_reads_five_lineitem_columns(spark):
     p = plan(outlet_month(spark, SF_SMALL))
     li = [ln for ln in p.splitlines() if ln.startswith("ReadSchema") and "l_orderkey" in ln]
     assert li and li[0].count(":") == 1 + 5          # "ReadSchema:" + five typed fields
+
+
+def test_all_trend_lines_share_one_scan(spark):
+    import __spark_entry__ as e
+    p = plan(e.queries()["b6_trend_lines"](spark, SF_SMALL))
+    assert sum(1 for ln in p.splitlines() if ln.startswith("(") and "Scan parquet" in ln) == 1
+    assert "Expand" in p
