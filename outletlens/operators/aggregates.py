@@ -122,13 +122,18 @@ def group_argmax(df: DataFrame, by: str, col: str = "TotalNetProfit") -> DataFra
                     F.col(f"avg_{col}").alias("mean_value")))
 
 
-def best_groups(df: DataFrame, col: str = "TotalNetProfit") -> DataFrame:
-    """A7 for the three categories, one row each."""
-    out = None
-    for c in CATEGORY_COLS:
-        g = group_argmax(df, c, col)
-        out = g if out is None else out.unionByName(g)
-    return out
+def best_groups(df: DataFrame, col: str = "TotalNetProfit", cols=CATEGORY_COLS) -> DataFrame:
+    """A7 for several categories in one scan: ``groupingSets`` gives every
+    category's group means from one Expand + aggregate; the argmax per
+    category is a window over those few rows (ties -> smallest key)."""
+    g = df.groupingSets([[c] for c in cols], *cols).agg(
+        F.avg(col).alias("_m"), *[F.grouping(c).alias(f"_g_{c}") for c in cols])
+    rows = [F.when((F.col(f"_g_{c}") == 0) & F.col(c).isNotNull(),
+                   F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("best"),
+                            F.col("_m").alias("mean_value"))) for c in cols]
+    long = g.select(F.inline(F.filter(F.array(*rows), lambda e: e.isNotNull())))
+    w = Window.partitionBy("dimension").orderBy(F.col("mean_value").desc_nulls_last(), F.col("best").asc())
+    return long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 # --- A9 / F3 -------------------------------------------------------------------
