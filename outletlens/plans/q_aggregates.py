@@ -274,12 +274,10 @@ def a23_share_bounds(spark, sf_dir):
     f"FROM (SELECT DISTINCT {c} AS value FROM t WHERE {c} IS NOT NULL) d{i}"
     for i, c in enumerate(["CuisineType", "Segment", "Subregion"]))))
 def a24_category_domains(spark, sf_dir):
-    t = _bt(spark, sf_dir)
-    out = None
-    for c in ["CuisineType", "Segment", "Subregion"]:
-        d = A.category_domain(t, c).select(F.lit(c).alias("category"), "value", "code")
-        out = d if out is None else out.unionByName(d)
-    return out
+    """Sorted distinct domain of each category with its 0-based code: one
+    distinct over the unpivoted categories and a range-partitioned rank."""
+    from ..ml.prepare import code_tables_for
+    return code_tables_for(_bt(spark, sf_dir), ["CuisineType", "Segment", "Subregion"])
 
 
 # --- R1, R3 -----------------------------------------------------------------------------------
