@@ -72,11 +72,10 @@ def group_means(df: DataFrame, by, cols) -> DataFrame:
 
 
 def category_domain(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct values of a category (value, 0-based code)."""
-    d = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-    # the domain is a category (small): one window over it is cheap
-    return d.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1)
-                    .cast("int").alias("code"))
+    """Sorted distinct values of a category (value, 0-based code), ranked
+    with a range shuffle (no single-task window)."""
+    from ..ml.prepare import code_tables_for
+    return code_tables_for(df, [col]).select("value", "code")
 
 
 # --- A5, A8, A12, A13 (channel means, wide -> long) ---------------------------
