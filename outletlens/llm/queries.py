@@ -11,5 +11,11 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(docs, width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
+def op6_suffix_array_dedup(spark, sf_dir):
+    from outletlens.llm.substrings import removal_digest
+    return removal_digest(table(spark, sf_dir, "documents"), width=400)
+
+
+QUERIES = {"op6_suffix_array_dedup": op6_suffix_array_dedup,
+           "op9_minhash_near_dedup": op9_minhash_near_dedup}
 ORACLES: dict[str, str] = {}
