@@ -16,6 +16,14 @@ def op6_suffix_array_dedup(spark, sf_dir):
     return removal_digest(table(spark, sf_dir, "documents"), width=400)
 
 
-QUERIES = {"op6_suffix_array_dedup": op6_suffix_array_dedup,
+def op5_line_quality_rules(spark, sf_dir):
+    from outletlens.llm.quality_rules import quality_columns
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_columns(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                        "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {"op5_line_quality_rules": op5_line_quality_rules,
+           "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op9_minhash_near_dedup": op9_minhash_near_dedup}
 ORACLES: dict[str, str] = {}
