@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from outletlens.llm import sharding
 from outletlens.llm.common import table
 
 
@@ -23,7 +24,13 @@ def op5_line_quality_rules(spark, sf_dir):
                                         "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op5_line_quality_rules": op5_line_quality_rules,
+def op8_sharding(spark, sf_dir):
+    from outletlens.llm.sharding import interleave
+    return interleave(table(spark, sf_dir, "documents"), shards=24)
+
+
+QUERIES = {"op8_sharding": op8_sharding,
+           "op5_line_quality_rules": op5_line_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op9_minhash_near_dedup": op9_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_sharding": sharding.SQL}
