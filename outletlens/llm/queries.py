@@ -29,7 +29,15 @@ def op8_sharding(spark, sf_dir):
     return interleave(table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {"op8_sharding": op8_sharding,
+def op4_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from outletlens.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+QUERIES = {"op4_best_fit_packing": op4_best_fit_packing,
+           "op8_sharding": op8_sharding,
            "op5_line_quality_rules": op5_line_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op9_minhash_near_dedup": op9_minhash_near_dedup}
