@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from outletlens.llm import sharding
-from outletlens.llm.common import table
+from outletlens.llm.common import held_out, table
 
 
 def op9_minhash_near_dedup(spark, sf_dir):
@@ -36,7 +38,16 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-QUERIES = {"op4_best_fit_packing": op4_best_fit_packing,
+def op3_language_id(spark, sf_dir):
+    from outletlens.llm.langid import fit, identify
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
+    model = fit(docs, ~F.col("held_out"))
+    return identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "known")
+
+
+QUERIES = {"op3_language_id": op3_language_id,
+           "op4_best_fit_packing": op4_best_fit_packing,
            "op8_sharding": op8_sharding,
            "op5_line_quality_rules": op5_line_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
