@@ -46,7 +46,15 @@ def op3_language_id(spark, sf_dir):
     return identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "known")
 
 
-QUERIES = {"op3_language_id": op3_language_id,
+def op10_quality_classifier(spark, sf_dir):
+    from outletlens.llm.quality_model import score_quality
+    out = held_out(F.col("doc_id"), 3, 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", out.alias("held_out"))
+    return score_quality(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"), ["doc_id", "held_out"])
+
+
+QUERIES = {"op10_quality_classifier": op10_quality_classifier,
+           "op3_language_id": op3_language_id,
            "op4_best_fit_packing": op4_best_fit_packing,
            "op8_sharding": op8_sharding,
            "op5_line_quality_rules": op5_line_quality_rules,
