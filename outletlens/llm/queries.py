@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outletlens.llm import sharding
+from outletlens.llm import sharding, url_filter
 from outletlens.llm.common import held_out, table
 
 
@@ -53,11 +53,17 @@ def op10_quality_classifier(spark, sf_dir):
     return score_quality(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"), ["doc_id", "held_out"])
 
 
-QUERIES = {"op10_quality_classifier": op10_quality_classifier,
+def op7_url_filter(spark, sf_dir):
+    from outletlens.llm.url_filter import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op7_url_filter": op7_url_filter,
+           "op10_quality_classifier": op10_quality_classifier,
            "op3_language_id": op3_language_id,
            "op4_best_fit_packing": op4_best_fit_packing,
            "op8_sharding": op8_sharding,
            "op5_line_quality_rules": op5_line_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op9_minhash_near_dedup": op9_minhash_near_dedup}
-ORACLES: dict[str, str] = {"op8_sharding": sharding.SQL}
+ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op8_sharding": sharding.SQL}
