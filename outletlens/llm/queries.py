@@ -58,7 +58,23 @@ def op7_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op7_url_filter": op7_url_filter,
+def op2_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    from outletlens.llm.pieces import encode_digest
+    return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op1_exact_top_k(spark, sf_dir):
+    from outletlens.llm.bm25 import search
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search(docs, queries, k=10)
+
+
+QUERIES = {"op1_exact_top_k": op1_exact_top_k,
+           "op2_sentencepiece": op2_sentencepiece,
+           "op7_url_filter": op7_url_filter,
            "op10_quality_classifier": op10_quality_classifier,
            "op3_language_id": op3_language_id,
            "op4_best_fit_packing": op4_best_fit_packing,
