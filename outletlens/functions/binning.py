@@ -45,9 +45,15 @@ def _round_frac(x: Column, precision) -> Column:
     return F.when((x == 0) | F.isnan(x), x).otherwise(F.rint(x * scale) / scale)
 
 
-def edge_stats(df: DataFrame, col: str, bins: int, labels: bool = False) -> DataFrame:
-    """One row: ``e0..e{bins}`` edges (and ``l1..l{bins}`` interval labels)."""
+def _finite(col) -> Column:
+    """The column as double; infinite values and NaN become NULL (they have no bin)."""
     v = col_(col).cast("double")
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
+def edge_stats(df: DataFrame, col: str, bins: int, labels: bool = False) -> DataFrame:
+    """One row: ``e0..e{bins}`` edges of the finite values, ``_s, _t, _step`` (and ``l1..l{bins}`` interval labels)."""
+    v = _finite(col)
     mm = df.agg(F.min(v).alias("mn"), F.max(v).alias("mx"))
     mn, mx = F.col("mn"), F.col("mx")
     same = mn == mx
@@ -64,7 +70,7 @@ def edge_stats(df: DataFrame, col: str, bins: int, labels: bool = False) -> Data
         if i == 0:
             e = F.when(F.col("_same"), e).otherwise(e - (t - s) * F.lit(0.001))
         edges[f"e{i}"] = e
-    out = mm.select(*[e.alias(k) for k, e in edges.items()])
+    out = mm.select(s, t, step.alias("_step"), *[e.alias(k) for k, e in edges.items()])
     if not labels:
         return out
     # label precision: smallest p in [3, 20) with all rounded edges distinct
@@ -90,17 +96,20 @@ def assign_bins(df: DataFrame, col: str, bins: int, name: str, labels: bool = Fa
     ``stats``: a ready :func:`edge_stats` row (so callers needing the edges
     twice aggregate min/max once)."""
     stats = stats if stats is not None else edge_stats(df, col, bins, labels)
-    v = col_(col).cast("double")
-    joined = df.join(F.broadcast(stats), F.lit(True), "left")  # one row
-    idx = F.lit(1)
-    for i in range(1, bins):
-        idx = idx + F.when(v > F.col(f"e{i}"), 1).otherwise(0)
-    idx = F.when(v.isNotNull(), idx)
-    lo = F.element_at(F.array(*[F.col(f"e{i}") for i in range(bins)]), idx)
-    hi = F.element_at(F.array(*[F.col(f"e{i}") for i in range(1, bins + 1)]), idx)
-    cols = {name: idx.cast("int"), name + "_lo": lo, name + "_hi": hi}
-    extra = [f"e{i}" for i in range(bins + 1)]
+    v = _finite(col)
+    shown = [f"l{i}" for i in range(1, bins + 1)] if labels else []
+    joined = df.join(F.broadcast(stats.select("_s", "_t", "_step", "e0", *shown)), F.lit(True), "left")  # one row
+    s, t, step, n = F.col("_s"), F.col("_t"), F.col("_step"), F.lit(bins)
+
+    def edge(i):         # the same arithmetic as edge_stats
+        return F.when(i >= n, t).otherwise(i.cast("double") * step + s)
+    # the bin by arithmetic, then at most one edge away from it
+    guess = F.greatest(F.least(F.ceil(F.try_divide(v - s, step)), n), F.lit(1)).cast("int")
+    idx = guess + F.when((guess < n) & (v > edge(guess)), 1).when((guess > 1) & (v <= edge(guess - 1)), -1).otherwise(0)
+    joined = joined.withColumn(name, F.when(v.isNotNull(), idx).cast("int"))
+    at = F.col(name)
+    cols = {name + "_lo": F.when(at.isNull(), F.lit(None)).when(at == 1, F.col("e0")).otherwise(edge(at - 1)),
+            name + "_hi": F.when(at.isNotNull(), edge(at))}
     if labels:
-        cols[name + "_label"] = F.element_at(F.array(*[F.col(f"l{i}") for i in range(1, bins + 1)]), idx)
-        extra += [f"l{i}" for i in range(1, bins + 1)]
-    return joined.withColumns(cols).drop(*extra)
+        cols[name + "_label"] = F.element_at(F.array(*[F.col(x) for x in shown]), at)
+    return joined.withColumns(cols).drop("_s", "_t", "_step", "e0", *shown)

@@ -21,7 +21,8 @@ would sit in one executor. This operator only ever counts:
 Everything is a deterministic aggregate, so the result does not depend on
 partitioning, row order or task re-execution; only the tiny bracket table
 is checkpointed between passes. Smooth data needs ``log_bins(n / refine_rows)``
-passes; a bracket also stops when it collapses to a single value.
+passes; a bracket also stops when it collapses to a single value. Infinite values
+have sub-buckets of their own, so one pass leaves them behind.
 """
 
 from __future__ import annotations
@@ -30,7 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
-from .compat import null_nan
+from .compat import INF, null_nan
+
+MAX = 1.7976931348623157e308
+
+
+def _half(c: str) -> Column:
+    """Half of a value with its ends at the largest finite double (no overflow in differences)."""
+    return F.greatest(F.least(F.col(c), F.lit(MAX)), F.lit(-MAX)) / 2.0
 
 
 def _join_targets(base: DataFrame, targets: DataFrame, by, bounded: bool) -> DataFrame:
@@ -42,8 +50,7 @@ def _join_targets(base: DataFrame, targets: DataFrame, by, bounded: bool) -> Dat
 
 def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
                     bounded_groups: bool = False, method: str = "linear",
-                    bins: int = 1024, refine_rows: int = 200_000, max_passes: int = 16,
-                    num_partitions: int | None = None) -> DataFrame:
+                    bins: int = 1024, refine_rows: int = 200_000) -> DataFrame:
     """Per-group quantiles of ``value``; one output column per ``probs`` key.
 
     ``probs`` maps output column name -> probability in [0, 1]. ``method``:
@@ -53,9 +60,8 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
     ``bounded_groups`` asserts the number of groups has a proven small bound
     (buckets, models, tree leaves), which allows broadcasting the per-target
     bracket table outright; otherwise it is broadcast only after a size
-    check. ``num_partitions`` is accepted for compatibility and unused.
+    check. Infinite values are ordinary values at the ends of the order.
     """
-    del num_partitions
     by = list(by)
     vcol = F.col(value) if isinstance(value, str) else value
     base = (df.select(*[F.col(c) for c in by], null_nan(vcol.cast("double")).alias("_v"))
@@ -89,21 +95,26 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
     tkey = [*by, "_name", "_which"]
     targets = materialize(targets)     # tiny; the full-scan statistics run once
 
-    # 2. narrow the brackets while they are large (each pass: one filtered scan)
-    for _ in range(max_passes):
+    # 2. narrow the brackets while they are large (each pass: one filtered scan). Targets that
+    # share a bracket are counted once. Both ends of a bracket are values of the data and
+    # fall into different sub-buckets, so every pass takes rows away.
+    bkey = [*by, "_L", "_U"]
+    while True:
         active = targets.where((F.col("_cnt") > refine_rows) & (F.col("_L") < F.col("_U")))
-        if active.limit(1).count() == 0:
+        if active.isEmpty():
             break
-        rows = _join_targets(base, active.select(*tkey, "_L", "_U"), by, bounded_groups)
+        rows = _join_targets(base, active.select(*bkey).distinct(), by, bounded_groups)
         rows = rows.where((F.col("_v") >= F.col("_L")) & (F.col("_v") <= F.col("_U")))
-        b = F.least(F.floor((F.col("_v") - F.col("_L")) / (F.col("_U") - F.col("_L")) * float(bins)),
-                    F.lit(bins - 1)).cast("int")
-        hist = rows.groupBy(*tkey, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"),
+        lo, hi = _half("_L"), _half("_U")
+        b = F.least(F.floor((_half("_v") - lo) / (hi - lo) * float(bins)), F.lit(bins - 1)).cast("int")
+        # an infinite end has a sub-bucket of its own
+        b = F.when(F.col("_v") == F.lit(-INF), F.lit(-1)).when(F.col("_v") == F.lit(INF), F.lit(bins)).otherwise(b)
+        hist = rows.groupBy(*bkey, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"),
                                                       F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
-        w = Window.partitionBy(*tkey).orderBy("_b")          # <= bins rows per target
+        w = Window.partitionBy(*bkey).orderBy("_b")          # <= bins + 2 rows per bracket
         hist = hist.withColumn("_before", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         hist = hist.withColumn("_before", F.coalesce(F.col("_before"), F.lit(0)).cast("bigint"))
-        step = (active.select(*tkey, "_rank", "_below").join(hist, tkey)
+        step = (active.select(*tkey, "_rank", "_below", "_L", "_U").join(hist, bkey)
                 .where((F.col("_below") + F.col("_before") <= F.col("_rank"))
                        & (F.col("_rank") < F.col("_below") + F.col("_before") + F.col("_c")))
                 .select(*tkey, F.col("_bmin").alias("_nL"), F.col("_bmax").alias("_nU"),
@@ -118,21 +129,18 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
         targets = materialize(targets)
 
     # 3. exact pick inside each bracket over distinct values
-    rows = _join_targets(base, targets.select(*tkey, "_L", "_U"), by, bounded_groups)
+    rows = _join_targets(base, targets.select(*bkey).distinct(), by, bounded_groups)
     rows = rows.where((F.col("_v") >= F.col("_L")) & (F.col("_v") <= F.col("_U")))
-    dist = rows.groupBy(*tkey, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*tkey).orderBy("_v")              # bracket: <= refine_rows values
+    dist = rows.groupBy(*bkey, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*bkey).orderBy("_v")              # bracket: <= refine_rows rows or one value
     dist = dist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    picked = (targets.select(*tkey, "_frac", "_rank", "_below").join(dist, tkey)
+    picked = (targets.select(*tkey, "_frac", "_rank", "_below", "_L", "_U").join(dist, bkey)
               .where((F.col("_below") + F.col("_cum") - F.col("_c") <= F.col("_rank"))
                      & (F.col("_rank") < F.col("_below") + F.col("_cum"))))
     per_prob = picked.groupBy(*by, "_name").agg(
         F.max(F.when(F.col("_which") == 0, F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("_which") == 1, F.col("_v"))).alias("_hi"),
         F.max("_frac").alias("_frac"))
-    qv = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    qv = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
     return per_prob.groupBy(*by).pivot("_name", names).agg(F.first(qv))
-
-
-def quantile_col(q: DataFrame, name: str) -> Column:
-    return q[name]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..schema import INTERVAL_PROBS, KEY_COLS
+from ..session import broadcast_if_small
 
 
 def regression_metrics(preds: DataFrame, by=("model",), label: str = "label",
@@ -69,7 +70,12 @@ def coverage(preds: DataFrame, by=("model",), lower: str = "lower", upper: str =
         F.avg(F.abs(y - F.col(median))).alias("median_mae"))
 
 
-def segment_mean_predictions(prep: DataFrame, segments: DataFrame, by: str = "Segment",
+def _with_group(prep: DataFrame, segments: DataFrame | None, by: str, key_cols) -> DataFrame:
+    """``prep`` with the group column: its own, or joined from ``segments`` by the row key."""
+    return prep if by in prep.columns else prep.join(segments.select(*key_cols, by), key_cols)
+
+
+def segment_mean_predictions(prep: DataFrame, segments: DataFrame | None = None, by: str = "Segment",
                              key_cols=KEY_COLS, z: float = 1.96) -> DataFrame:
     """A relational predictor used to check the evaluators against SQL.
 
@@ -77,28 +83,27 @@ def segment_mean_predictions(prep: DataFrame, segments: DataFrame, by: str = "Se
     to the group column. Prediction = mean label of the row's group among
     training rows; band = pred -/+ z * sample std.
     """
-    d = prep.join(segments.select(*key_cols, by), key_cols)
+    d = _with_group(prep, segments, by, key_cols)
     stats = (d.where(~F.col("is_test")).groupBy(by)
              .agg(F.avg("label").alias("_m"), F.stddev_samp("label").alias("_s")))
-    # one row per group value: the planner/AQE broadcasts it when small
-    out = d.join(stats, by, "left")
+    out = d.join(broadcast_if_small(stats), by, "left")     # one row per group value
     return out.select(F.lit("Segment Mean").alias("model"), *key_cols, by, "is_test", "fold", "label",
                       F.col("_m").alias("pred"), (F.col("_m") - z * F.col("_s")).alias("lower"),
                       (F.col("_m") + z * F.col("_s")).alias("upper"))
 
 
-def fold_metrics_segment_mean(prep: DataFrame, segments: DataFrame, by: str = "Segment",
+def fold_metrics_segment_mean(prep: DataFrame, segments: DataFrame | None = None, by: str = "Segment",
                               key_cols=KEY_COLS, folds: int = 5) -> DataFrame:
     """M9 on the segment-mean predictor: for each fold, fit on the other
     training folds, score the held-out fold; then mean and population std."""
-    d = prep.where(~F.col("is_test")).join(segments.select(*key_cols, by), key_cols)
+    d = _with_group(prep.where(~F.col("is_test")), segments, by, key_cols)
     per_fold_group = d.groupBy("fold", by).agg(F.sum("label").alias("_fs"), F.count(F.lit(1)).alias("_fc"))
     tot = d.groupBy(by).agg(F.sum("label").alias("_gs"), F.count(F.lit(1)).alias("_gc"))
     # mean of the group over the other folds = (total - this fold) / (count - this fold)
     loo = (per_fold_group.join(tot, by)
            .select("fold", by, F.try_divide(F.col("_gs") - F.col("_fs"),
                                             (F.col("_gc") - F.col("_fc")).cast("double")).alias("pred")))
-    scored = d.join(loo, ["fold", by], "left").withColumn("model", F.lit("Segment Mean"))
+    scored = d.join(broadcast_if_small(loo), ["fold", by], "left").withColumn("model", F.lit("Segment Mean"))
     m = regression_metrics(scored, by=("model", "fold"))
     return m
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import key_hash_bucket
 from ..functions.ranking import with_global_rank
-from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, TARGET
+from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, LEAKY_FEATURES, TARGET
+from ..session import broadcast_if_small
 
 SPLIT_SEED = 42
 TEST_PERCENT = 20
@@ -56,19 +57,38 @@ def encode_categories(df: DataFrame, fit_on: DataFrame | None = None, cols=CATEG
     src = df if fit_on is None else fit_on
     out = df
     for c in cols:
-        # one row per category value: the planner/AQE broadcasts it when small
-        out = out.join(codes[c] if codes else code_table(src, c), c, "left")
+        # one row per category value: broadcast behind a size check, so the rows are
+        # not shuffled onto a handful of keys
+        out = out.join(broadcast_if_small(codes[c] if codes else code_table(src, c)), c, "left")
     return out
 
 
 def design_matrix(df: DataFrame, features=FEATURES, target: str = TARGET,
-                  key_cols=KEY_COLS) -> DataFrame:
-    """M2: keys, the features with NULL -> 0, and ``label`` (NULL -> 0)."""
-    return df.select(*key_cols,
+                  key_cols=KEY_COLS, carry=()) -> DataFrame:
+    """M2: keys, the features with NULL -> 0, and ``label`` (NULL -> 0); ``carry`` columns
+    come along unchanged (a group column that evaluators need)."""
+    return df.select(*key_cols, *carry,
                      *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
                      F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("label"))
 
 
+def usable_features(features=FEATURES, exclude_leaky: bool = False) -> list:
+    """The feature list; ``exclude_leaky`` leaves out the per-order values and revenue
+    ratios, which are computed from the target's own revenue and profit."""
+    return [f for f in features if not (exclude_leaky and f in LEAKY_FEATURES)]
+
+
+def check_finite(df: DataFrame, features=FEATURES, label: str = "label") -> DataFrame:
+    """``df``, after one aggregate that raises if a feature or the label is infinite or NaN,
+    naming the columns and their counts (the learners would only fail in a task)."""
+    cols = [*features, label]
+    bad = df.agg(*[F.count_if(~(F.abs(F.col(c)) < F.lit(float("inf")))).alias(c) for c in cols]).first()
+    wrong = {c: bad[c] for c in cols if bad[c]}
+    if wrong:
+        raise ValueError(f"infinite or NaN values in {wrong}; exclude these rows or columns before fitting")
+    return df
+
+
 def add_split(df: DataFrame, key_cols=KEY_COLS, seed: int = SPLIT_SEED,
               test_percent: int = TEST_PERCENT, folds: int = N_FOLDS) -> DataFrame:
     """M3 + fold ids: ``is_test`` (about ``test_percent`` %) and ``fold`` in [0, folds)."""

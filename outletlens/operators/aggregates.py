@@ -113,14 +113,6 @@ def channel_efficiency(df: DataFrame) -> DataFrame:
 
 
 # --- A7 -----------------------------------------------------------------------
-def group_argmax(df: DataFrame, by: str, col: str = "TotalNetProfit") -> DataFrame:
-    """The group with the highest mean; ties -> smallest key."""
-    m = group_means(df, by, col)
-    return (m.orderBy(F.col(f"avg_{col}").desc_nulls_last(), F.col(by).asc()).limit(1)
-            .select(F.lit(by).alias("dimension"), F.col(by).alias("best"),
-                    F.col(f"avg_{col}").alias("mean_value")))
-
-
 def best_groups(df: DataFrame, col: str = "TotalNetProfit", cols=CATEGORY_COLS) -> DataFrame:
     """A7 for several categories in one scan: ``groupingSets`` gives every
     category's group means from one Expand + aggregate; the argmax per
@@ -142,7 +134,9 @@ def commission_impact(df: DataFrame, split: float = COMMISSION_SPLIT) -> DataFra
     row = df.agg(F.avg(F.when(comm > split, p)).alias("high_comm_profit"),
                  F.avg(F.when(comm <= split, p)).alias("low_comm_profit"))
     hi, lo = F.col("high_comm_profit"), F.col("low_comm_profit")
-    delta = F.when(hi != 0, (lo - hi) / F.abs(hi) * 100.0).otherwise(F.lit(0.0))
+    # a side without rows has no mean: the impact is then unknown (NULL), not 0 %
+    delta = F.when(hi.isNull() | lo.isNull(), F.lit(None).cast("double")).when(
+        hi != 0, (lo - hi) / F.abs(hi) * 100.0).otherwise(F.lit(0.0))
     return row.select("high_comm_profit", "low_comm_profit", delta.alias("impact_pct"),
                       F.when(delta > 0, F.lit("more")).otherwise(F.lit("less")).alias("direction"))
 
@@ -163,12 +157,12 @@ def optimisation_kpis(df: DataFrame) -> DataFrame:
     """A14 sensitivity index, A15 break-even commission (F4), A16 uplift potential."""
     q = exact_quantiles(df, "TotalNetProfit", {"p75": 0.75})
     row = df.agg(
-        (F.stddev_samp("TotalNetProfit") / F.avg("TotalRevenue") * 100.0).alias("sensitivity_index"),
+        (pd_div(F.stddev_samp("TotalNetProfit"), F.avg("TotalRevenue")) * 100.0).alias("sensitivity_index"),
         F.max(F.when(F.col("UberEatsNetProfit") > 0, F.col("CommissionRate"))).alias("breakeven_commission"),
         F.avg("TotalNetProfit").alias("_mean"))
     out = row.join(F.broadcast(q), F.lit(True), "left")   # both one row
     return out.select("sensitivity_index", "breakeven_commission",
-                      ((F.col("p75") - F.col("_mean")) / F.abs(F.col("_mean")) * 100.0)
+                      (pd_div(F.col("p75") - F.col("_mean"), F.abs(F.col("_mean"))) * 100.0)
                       .alias("uplift_pct"))
 
 
@@ -242,35 +236,46 @@ def best_share_bin(df: DataFrame, share: str, bins: int = 5,
 def correlation_matrix(df: DataFrame, cols=CORR_COLS) -> DataFrame:
     """Pearson r for every pair (x before y in list order), pairwise-complete.
 
-    Fast path (no NULL in any column, checked with one small aggregate): one
-    MLlib ``Correlation.corr`` pass - a distributed Gramian with tree
-    aggregation, whose result is the k x k matrix (bounded by the column
-    count). Otherwise each row is expanded into one (pair, x, y) row per pair
-    with both values present and one small aggregate runs per pair. A
-    constant column gives NULL, not an error.
+    NULL, NaN and infinite values count as missing. Two aggregates, whatever is
+    missing: the columns' means and deviations, then one MLlib ``Correlation.corr``
+    pass (a distributed Gramian) over each column's standardised value (0 where
+    missing), its square and its presence. All of a pair's sums over the rows where
+    both are present are products of two of these: ``n = p_x.p_y``, ``sum x = x.p_y``,
+    ``sum x^2 = x^2.p_y``, ``sum xy = x.y``. The result is a 3k x 3k matrix (bounded by the
+    column count). A pair without rows or with a constant side gives NULL.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    nulls = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c)
-                     for c in cols]).first()
-    if all(nulls[c] == 0 for c in cols):
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(
-            df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-        m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()      # k x k
-        idx = {c: i for i, c in enumerate(cols)}
-        rows = []
-        for a, b in pairs:
-            r = float(m[idx[a], idx[b]])
-            rows.append((a, b, None if r != r else r))
-        return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("vx"), F.col(b).cast("double").alias("vy"))
-        for i, (a, b) in enumerate(pairs)]))).where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
-    r = long.groupBy("pair").agg(F.try_divide(F.covar_pop("vx", "vy"),
-                                              F.stddev_pop("vx") * F.stddev_pop("vy")).alias("r"))
-    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
-    return r.select(F.element_at(names, F.col("pair") + 1).alias("_p"), "r").select("_p.x", "_p.y", "r")
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    k, names = len(cols), [f"_c{i}" for i in range(len(cols))]
+    finite = lambda v: F.when(F.abs(v) < F.lit(float("inf")), v)  # noqa: E731  (NaN is above every number)
+    d = df.select(*[finite(F.col(c).cast("double")).alias(n) for c, n in zip(cols, names)])
+    stats = d.agg(*[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_pop(n).alias(f"s{n}") for n in names]).first()
+    z = {n: F.coalesce((F.col(n) - F.lit(stats[f"m{n}"] or 0.0)) / F.lit(stats[f"s{n}"] or 1.0), F.lit(0.0)) for n in names}
+    wide = d.select(*[z[n].alias(f"z{n}") for n in names], *[(z[n] * z[n]).alias(f"q{n}") for n in names],
+                    *[F.col(n).isNotNull().cast("double").alias(f"p{n}") for n in names])
+    moments = wide.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(wide.columns)],
+                       *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(wide.columns)]).first()
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    rows = [(cols[i], cols[j], None) for i, j in pairs]
+    if moments["n"]:
+        vec = VectorAssembler(inputCols=wide.columns, outputCol="_v").transform(wide)
+        m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+        mean = [moments[f"m{i}"] for i in range(3 * k)]
+        sd = [moments[f"s{i}"] for i in range(3 * k)]
+
+        def product(a, b):      # mean of the product of two columns; a constant one has no covariance
+            return mean[a] * mean[b] + (m[a, b] * sd[a] * sd[b] if sd[a] > 0 and sd[b] > 0 else 0.0)
+        rows = [(cols[i], cols[j], _pair_r(product(2 * k + i, 2 * k + j), product(i, 2 * k + j), product(j, 2 * k + i),
+                                           product(k + i, 2 * k + j), product(k + j, 2 * k + i), product(i, j))) for i, j in pairs]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
+
+
+def _pair_r(n, x, y, xx, yy, xy):
+    """Pearson r from mean presence, sums and products over the rows where both are present."""
+    if n <= 0:
+        return None
+    vx, vy = xx / n - (x / n) ** 2, yy / n - (y / n) ** 2
+    return None if min(vx, vy) <= 1e-12 else float((xy / n - x * y / n ** 2) / (vx * vy) ** 0.5)
 
 
 # --- A23 --------------------------------------------------------------------------
@@ -289,7 +294,7 @@ def share_bounds(df: DataFrame, cols=SHARE_COLS, lo: float = 0.10, hi: float = 0
         total = F.col(c) if total is None else total + F.col(c)
     m = means.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("share_order"), F.lit(c).alias("share"), F.col(c).alias("mean"),
-                 (F.col(c) / total).alias("mean_normalised")) for i, c in enumerate(cols)])))
+                 pd_div(c, total).alias("mean_normalised")) for i, c in enumerate(cols)])))
     return m.join(F.broadcast(q), "share", "left").select(
         "share_order", "share", "p_lo", "p_hi", "mean", "mean_normalised")
 
@@ -304,13 +309,13 @@ def value_range(df: DataFrame, col: str) -> DataFrame:
 def cuisine_segment_pivot(df: DataFrame, values=None) -> DataFrame:
     """Mean profit, cuisine rows x segment columns.
 
-    Passing the segment ``values`` avoids Spark's extra distinct job; the
-    default is the fixed segment list of the fixture.
+    The columns are the segments of the data (one small distinct job), so none
+    is ever left out; ``values`` skips that job where the domain (A24) is known.
     """
-    from ..sources.fixture import SEGMENTS
-    values = list(values or SEGMENTS)
     d = df.where(F.col("CuisineType").isNotNull() & F.col("Segment").isNotNull())
-    return d.groupBy("CuisineType").pivot("Segment", values).agg(F.avg("TotalNetProfit"))
+    if values is None:
+        values = sorted(r[0] for r in d.select("Segment").distinct().collect())   # one row per category
+    return d.groupBy("CuisineType").pivot("Segment", list(values)).agg(F.avg("TotalNetProfit"))
 
 
 def channels_long(df: DataFrame, key_cols) -> DataFrame:

@@ -80,16 +80,18 @@ def violin_density(df: DataFrame, col: str, by: str, grid: int = 50, fine_bins:
     ``groups x fine_bins`` and ``groups x grid`` rows, independent of the data size.
     """
     d = (df.where(F.col(by).isNotNull())
-         .select(by, null_nan(col_(col).cast("double")).alias("v")).where(F.col("v").isNotNull()))
+         .select(by, null_nan(col_(col).cast("double")).alias("v"))
+         .where(F.abs(F.col("v")) < F.lit(float("inf"))))          # infinite values have no place on the axis
     q = exact_quantiles(d, "v", {"q1": 0.25, "q3": 0.75}, by=[by])
     st = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
                            F.min("v").alias("mn"), F.max("v").alias("mx"))
     st = broadcast_if_small(st.join(q, by))
-    h = (F.lit(1.059) * F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / F.lit(1.349))
-         * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    # a group of one row (no deviation) or without spread has no bandwidth: its density is NULL
+    spread = F.when(F.col("sd").isNotNull(), F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / F.lit(1.349)))
+    h = F.when(spread > 0, F.lit(1.059) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     st = st.select(by, "n", "mn", "mx", h.alias("bw"),
                    ((F.col("mx") - F.col("mn")) / F.lit(float(fine_bins))).alias("w"))
-    fb = F.least(F.floor((F.col("v") - F.col("mn")) / F.col("w")), F.lit(fine_bins - 1))
+    fb = F.least(F.floor(F.try_divide(F.col("v") - F.col("mn"), F.col("w"))), F.lit(fine_bins - 1))
     binned = (d.join(st.select(by, "mn", "w"), by)   # st: size-checked broadcast above
               .select(by, F.when(F.col("w") > 0, fb).otherwise(F.lit(0)).cast("int").alias("fb"))
               .groupBy(by, "fb").agg(F.count(F.lit(1)).alias("c")))
@@ -108,15 +110,6 @@ def violin_density(df: DataFrame, col: str, by: str, grid: int = 50, fine_bins:
 
 
 # --- B6, B8 -----------------------------------------------------------------------
-def trend_lines(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """OLS of ``y`` on ``x`` per group: slope, intercept, R^2 and row count."""
-    d = df.where(F.col(by).isNotNull())
-    xv, yv = col_(x).cast("double"), col_(y).cast("double")
-    return d.groupBy(by).agg(
-        F.regr_slope(yv, xv).alias("slope"), F.regr_intercept(yv, xv).alias("intercept"),
-        F.regr_r2(yv, xv).alias("r2"), F.regr_count(yv, xv).alias("n"))
-
-
 def all_trend_lines(df: DataFrame, sites=TREND_SITES) -> DataFrame:
     """B6 for every site, long: (site, x, y, group_col, group, slope, intercept, r2, n).
 

@@ -56,6 +56,11 @@ def outlier_fence(df: DataFrame, col: str = "TotalNetProfit",
                     (F.col("q3") + factor * iqr).alias("fence_hi"))
 
 
+def outside(value, lo, hi):
+    """Strictly outside [lo, hi]; false where anything is missing."""
+    return F.coalesce((value < lo.cast("double")) | (value > hi.cast("double")), F.lit(False))
+
+
 def flag_outliers(df: DataFrame, col: str = "TotalNetProfit",
                   factor: float = OUTLIER_IQR_FACTOR) -> DataFrame:
     """strict 3xIQR fence; NULL values are not outliers."""
@@ -63,8 +68,7 @@ def flag_outliers(df: DataFrame, col: str = "TotalNetProfit",
     v = F.col(col)
     # one row (or none for an empty table), fixed size -> broadcast
     out = df.join(F.broadcast(fence), F.lit(True), "left")
-    flag = F.coalesce((v < F.col("fence_lo")) | (v > F.col("fence_hi")), F.lit(False))
-    return out.withColumn("IsOutlier", flag).drop("fence_lo", "fence_hi")
+    return out.withColumn("IsOutlier", outside(v, F.col("fence_lo"), F.col("fence_hi"))).drop("fence_lo", "fence_hi")
 
 
 def exclude_outliers(df: DataFrame) -> DataFrame:

@@ -12,26 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import money, percent, round_even
-from ..schema import KEY_COLS, SCORE_WEIGHTS
-
-TOP20_COLS = ["RestaurantName", "CuisineType", "Segment", "Subregion",
-              "InStoreShare", "UE_share", "SD_share", "CommissionRate",
-              "TotalNetProfit", "OverallMargin"]
-
+from ..functions.compat import money, pd_div, percent, round_even
+from ..schema import KEY_COLS, SCORE_WEIGHTS, TOP20_COLS
 
 def top_n(df: DataFrame, n: int, by: str, key_cols=KEY_COLS, ascending: bool = False) -> DataFrame:
     order = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
     return df.orderBy(order, *[F.col(k).asc() for k in key_cols]).limit(n)
 
 
-def top_profit(df: DataFrame, n: int = 20, formatted: bool = True) -> DataFrame:
-    """Top n rows by TotalNetProfit with the display columns."""
-    top = top_n(df, n, "TotalNetProfit").select(*KEY_COLS, *TOP20_COLS)
+def top_profit(df: DataFrame, n: int = 20, formatted: bool = True, key_cols=KEY_COLS) -> DataFrame:
+    """Top n rows by TotalNetProfit with the display columns. ``key_cols`` are the
+    row key (tie-break) of the table at hand, e.g. only the restaurant where it has no month."""
+    top = top_n(df, n, "TotalNetProfit", key_cols).select(*key_cols, *TOP20_COLS)
     if not formatted:
         return top
     return top.select(
-        *KEY_COLS, "RestaurantName", "CuisineType", "Segment", "Subregion",
+        *key_cols, "RestaurantName", "CuisineType", "Segment", "Subregion",
         percent("InStoreShare").alias("InStoreShare"), percent("UE_share").alias("UE_share"),
         percent("SD_share").alias("SD_share"), percent("CommissionRate", 1).alias("CommissionRate"),
         money("TotalNetProfit").alias("TotalNetProfit"),
@@ -47,19 +43,19 @@ def optimisation_score(df: DataFrame) -> DataFrame:
     mx = df.agg(F.max("TotalNetProfit").alias("_mx_p"), F.max("CommissionRate").alias("_mx_c"),
                 F.max("GrowthFactor").alias("_mx_g"))
     w_p, w_c, w_s, w_g = SCORE_WEIGHTS
-    raw = ((F.col("TotalNetProfit") / F.col("_mx_p")) * w_p
-           + (F.lit(1.0) - F.col("CommissionRate") / F.col("_mx_c")) * w_c
+    raw = (pd_div("TotalNetProfit", "_mx_p") * w_p
+           + (F.lit(1.0) - pd_div("CommissionRate", "_mx_c")) * w_c
            + F.col("InStoreShare") * w_s
-           + (F.col("GrowthFactor") / F.col("_mx_g")) * w_g)
+           + pd_div("GrowthFactor", "_mx_g") * w_g)
     return (df.join(F.broadcast(mx), F.lit(True), "left")
             .withColumn("OptScore", round_even(raw, 2))
             .drop("_mx_p", "_mx_c", "_mx_g"))
 
 
-def top_score(df: DataFrame, n: int = 15, formatted: bool = True) -> DataFrame:
+def top_score(df: DataFrame, n: int = 15, formatted: bool = True, key_cols=KEY_COLS) -> DataFrame:
     """T2 (flagship): top n outlets by the optimisation score."""
-    top = top_n(optimisation_score(df), n, "OptScore")
-    cols = [*KEY_COLS, "RestaurantName", "CuisineType", "Segment", "Subregion"]
+    top = top_n(optimisation_score(df), n, "OptScore", key_cols)
+    cols = [*key_cols, "RestaurantName", "CuisineType", "Segment", "Subregion"]
     if not formatted:
         return top.select(*cols, "OptScore", "TotalNetProfit", "CommissionRate")
     return top.select(

@@ -17,6 +17,7 @@ from ..ml.prepare import code_table
 from ..operators.ranking import latest_per_group
 from ..schema import (CATEGORY_COLS, CHANNELS, KEEP_SAVED_SCENARIOS, RISK_HIGH_WIDTH,
                       RISK_MEDIUM_WIDTH, SHARE_SUM_TOLERANCE, SWEEP_HI, SWEEP_LO, SWEEP_POINTS)
+from ..session import broadcast_if_small
 
 SCEN_CATS = {"CuisineType": "cuisine", "Segment": "segment", "Subregion": "subregion"}
 
@@ -28,13 +29,20 @@ def attach_codes(scen: DataFrame, outlets: DataFrame | None = None, codes: dict
     codes = codes or {k: code_table(outlets, k) for k in CATEGORY_COLS}
     out, err = scen, None
     for cat, scol in SCEN_CATS.items():
-        t = codes[cat].withColumnRenamed(cat, "_v")
+        t = broadcast_if_small(codes[cat]).withColumnRenamed(cat, "_v")     # one row per category value
         out = out.join(t, out[scol] == t["_v"], "left").drop("_v")
         miss = F.when(F.col(cat + "_enc").isNull(), F.lit(f"unknown {scol}"))
         err = miss if err is None else F.coalesce(err, miss)
     return out.withColumn("feature_error", err)
 
 
+def split_errors(feats: DataFrame):
+    """(scorable rows, rows with a ``feature_error`` or None if the column is absent)."""
+    if "feature_error" not in feats.columns:
+        return feats, None
+    return feats.where("feature_error IS NULL"), feats.where("feature_error IS NOT NULL")
+
+
 def feature_columns(scen: DataFrame) -> DataFrame:
     """The 22 numeric model features from scenario inputs (a projection)."""
     c = {k: F.col(k) for k in ["in_store", "ue_share", "dd_share", "sd_share", "commission",
@@ -156,11 +164,17 @@ def score_scenarios(feats: DataFrame, fitted: dict, metrics: DataFrame, best: st
     per model, unioned long); the best model's interval is the quantile
     ``band`` (``key, band_lower, band_upper``; the empirical one if absent),
     the others use ``pred + residual_low .. pred + residual_high``; risk per row.
+    A scenario with a ``feature_error`` gets one row per model with NULL results, and
+    does not fail the others.
     """
+    ok, bad = split_errors(feats)
     long = None
     for m in fitted:
-        p = fitted[m].predict(feats, keep=[key]).withColumn("model", F.lit(m))
+        p = fitted[m].predict(ok, keep=[key]).withColumn("model", F.lit(m))
         long = p if long is None else long.unionByName(p)
+    if bad is not None:
+        names = F.explode(F.array(*[F.lit(m) for m in fitted])).alias("model")
+        long = long.unionByName(bad.select(key, names), allowMissingColumns=True)
     off = metrics.select("model", "residual_low", "residual_high")     # one row per model (a fixed list)
     out = long.join(F.broadcast(off), "model")
     is_best = F.col("model") == F.lit(best)
@@ -172,4 +186,6 @@ def score_scenarios(feats: DataFrame, fitted: dict, metrics: DataFrame, best: st
     else:
         lo, hi = lo_emp, hi_emp
     out = out.withColumns({"is_best": is_best, "lower": lo, "upper": hi})
-    return out.select(key, "model", "is_best", "pred", "lower", "upper", *risk_label("lower", "upper", "pred"))
+    risk, width = risk_label("lower", "upper", "pred")
+    return out.select(key, "model", "is_best", "pred", "lower", "upper",
+                      F.when(F.col("pred").isNotNull(), risk).alias("risk"), width)

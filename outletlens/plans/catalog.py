@@ -42,8 +42,18 @@ _BASE: dict = {}
 
 
 def session_key(spark: SparkSession, sf_dir: str):
+    """Key of what is memoised per application and input; a rewritten input gets a new key."""
     sc = spark.sparkContext
-    return (sc.applicationId, id(spark), sf_dir)
+    fs_path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    status = fs_path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(fs_path)
+    return (sc.applicationId, id(spark), sf_dir, status.getModificationTime(), status.getLen())
+
+
+def release() -> None:
+    """Forget every memoised table (their files go with the application)."""
+    from . import q_ml
+    _BASE.clear()
+    q_ml.release()
 
 
 def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +62,15 @@ def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     the shared checkpoint folder (column pruning and pushdown for every later
     scan; survives executor loss). It is an aggregate of
     ``lineitem`` (one row per supplier-month), so every later query scans
-    this small table instead of re-aggregating the line items.
+    this small table instead of re-aggregating the line items. The outlier fence
+    is two numbers from a scan of one column; the flag is a projection over them.
     """
     k = session_key(spark, sf_dir)
     if k not in _BASE:
-        # the line-item aggregation runs once; the fence and the flag read its result
-        om = materialize(outlet_month(spark, sf_dir))    # read once, by the step below
-        _BASE[k] = write_table(features.prepare(om), "analysis")
+        t = write_table(features.derive(outlet_month(spark, sf_dir)), "analysis")
+        fence = features.outlier_fence(t).first()          # one row, none for an empty table
+        lo, hi = (fence["fence_lo"], fence["fence_hi"]) if fence else (None, None)
+        _BASE[k] = t.withColumn("IsOutlier", features.outside(F.col("TotalNetProfit"), F.lit(lo), F.lit(hi)))
     return _BASE[k]
 
 
@@ -81,17 +93,13 @@ def prepared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if k not in _BASE:
         bt = base_table(spark, sf_dir)
         enc = encode_categories(bt, codes=code_tables(spark, sf_dir))
-        _BASE[k] = write_table(add_split(design_matrix(enc)), "model_input")
+        _BASE[k] = write_table(add_split(design_matrix(enc, carry=["Segment"])), "model_input")
     return _BASE[k]
 
 
-def derived_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base_table(spark, sf_dir)
-
-
 def _cols(*cols):
     def q(spark, sf_dir):
-        return report(derived_table(spark, sf_dir).select(*KEY_COLS, *cols))
+        return report(base_table(spark, sf_dir).select(*KEY_COLS, *cols))
     return q
 
 

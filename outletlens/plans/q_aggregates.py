@@ -132,7 +132,7 @@ def a7_best_groups(spark, sf_dir):
 
 
 # --- A9 / F3 --------------------------------------------------------------------------
-_A9_D = "(CASE WHEN hi <> 0 THEN (lo - hi) / abs(hi) * 100e0 ELSE 0e0 END)"
+_A9_D = "(CASE WHEN hi IS NULL OR lo IS NULL THEN NULL WHEN hi <> 0 THEN (lo - hi) / abs(hi) * 100e0 ELSE 0e0 END)"
 
 
 @register("a9_commission_impact", sql=with_base(

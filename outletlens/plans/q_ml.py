@@ -17,9 +17,10 @@ from ..ml.importance import permutation_importance
 from ..ml.models import train_and_evaluate
 from ..ml.prepare import encode_categories, prepared, scaler_stats
 from ..ml.quantile import fit_quantile_models, predict_band
-from ..ml.store import missing_metrics
+from ..ml.store import bundle_completeness
 from ..operators.ranking import first_by_actual
 from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, SECONDARY_TARGETS
+from ..session import broadcast_if_small
 from .catalog import base_table, code_tables, prepared_table, register, report, session_key
 from .sqlbase import R6, with_base
 
@@ -29,6 +30,15 @@ QUANTILE_ROUNDS = 5
 _MEMO: dict = {}
 
 
+def release() -> None:
+    """Drop the fitted models and unpersist their predictions and metrics."""
+    for v in _MEMO.values():
+        for x in v if isinstance(v, tuple) else ():
+            if hasattr(x, "unpersist"):
+                x.unpersist()
+    _MEMO.clear()
+
+
 def _bt(spark, sf_dir):
     return base_table(spark, sf_dir)
 
@@ -86,8 +96,7 @@ def _metrics_sql(by="'Segment Mean'"):
 
 
 def _sm_spark(spark, sf_dir):
-    bt = _bt(spark, sf_dir)
-    return E.segment_mean_predictions(prepared_table(spark, sf_dir), bt)
+    return E.segment_mean_predictions(prepared_table(spark, sf_dir))
 
 
 # --- M1-M4 ------------------------------------------------------------------------------
@@ -112,7 +121,7 @@ def m1_label_encoding_non_outliers(spark, sf_dir):
     f"SELECT {KEY}, " + ", ".join(R6(f) + f" AS {f}" for f in FEATURES) + f", {R6('label')} AS label FROM sp",
     *_PREP_CTES))
 def m2_design_matrix(spark, sf_dir):
-    return report(prepared_table(spark, sf_dir).drop("is_test", "fold"))
+    return report(prepared_table(spark, sf_dir).drop("Segment", "is_test", "fold"))
 
 
 @register("m3_split_folds", sql=with_base(f"SELECT {KEY}, is_test, fold FROM sp", *_PREP_CTES))
@@ -144,8 +153,7 @@ def m10_segment_mean_test_metrics(spark, sf_dir):
     "JOIN (SELECT Segment, sum(label) AS S, count(*) AS C FROM tr GROUP BY Segment) g ON g.Segment = tr.Segment) x "
     "GROUP BY fold", *_PREP_CTES, "tr AS (SELECT * FROM sp WHERE NOT is_test)"))
 def m9_segment_mean_cv_folds(spark, sf_dir):
-    bt = _bt(spark, sf_dir)
-    return report(E.fold_metrics_segment_mean(prepared_table(spark, sf_dir), bt))
+    return report(E.fold_metrics_segment_mean(prepared_table(spark, sf_dir)))
 
 
 @register("m11_segment_mean_residual_quantiles", sql=with_base(
@@ -198,11 +206,10 @@ def t3_first120_by_actual(spark, sf_dir):
     "ON q.Segment = sp.Segment WHERE is_test", *_PREP_CTES))
 def m14_segment_quantile_band(spark, sf_dir):
     from ..functions.quantiles import exact_quantiles
-    bt = _bt(spark, sf_dir)
-    d = prepared_table(spark, sf_dir).join(bt.select(*KEY_COLS, "Segment"), KEY_COLS)
+    d = prepared_table(spark, sf_dir)
     q = exact_quantiles(d.where(~F.col("is_test")), "label",
                         {"q_lower": 0.025, "q_median": 0.5, "q_upper": 0.975}, by=["Segment"])
-    band = d.where(F.col("is_test")).join(q, "Segment")
+    band = d.where(F.col("is_test")).join(broadcast_if_small(q), "Segment")
     return report(band.select(*KEY_COLS, *E.quantile_band("q_lower", "q_median", "q_upper")))
 
 
@@ -267,7 +274,7 @@ def m20_model_comparison(spark, sf_dir):
 
 @register("s6_bundle_completeness")
 def s6_bundle_completeness(spark, sf_dir):
-    return missing_metrics(_trained(spark, sf_dir)[3])
+    return bundle_completeness(_trained(spark, sf_dir)[3])
 
 
 # --- M13, M14, M15 ------------------------------------------------------------------------------

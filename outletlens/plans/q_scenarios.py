@@ -14,6 +14,7 @@ from ..operators import scenarios as S
 from ..operators.ranking import best_model
 from ..schema import CATEGORY_COLS, CHANNELS, FEATURES, TARGET_COGS, TARGET_COST_TO_REVENUE, TARGET_OPEX
 from ..sources.fixture import scenarios_from_outlets
+from ..session import broadcast_if_small
 from .catalog import base_table, code_tables, register, report
 from .q_ml import _codes, _quantile_models, _trained
 from .sqlbase import R6, RN, with_base
@@ -100,7 +101,7 @@ def w5_risk_labels(spark, sf_dir):
     bt, scen = _scen(spark, sf_dir)
     q = exact_quantiles(bt.where(F.col("Segment").isNotNull()), "TotalNetProfit",
                         {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, by=["Segment"])
-    q = q.withColumnRenamed("Segment", "_seg")
+    q = broadcast_if_small(q).withColumnRenamed("Segment", "_seg")      # one row per segment
     p = S.unit_economics_profit(scen).join(q, F.col("segment") == F.col("_seg"), "left")
     p = p.select("scenario_id", F.col("ue_profit").alias("pred"),
                  (F.col("ue_profit") + (F.col("_q1") - F.col("_q2"))).alias("lower"),
@@ -239,10 +240,12 @@ def w9_saved_comparison(spark, sf_dir):
 
 
 # --- W10 -----------------------------------------------------------------------------------
-_STEP = 5
+_STEP = 1
 
 
 def _w10_sql(step=_STEP):
+    """Brute force over in-store and the two aggregators' common share: both earn the same, so
+    the split between them is decided by the tie rule (the smallest Uber Eats share that fits)."""
     shares = list(zip(SC, ["InStoreShare", "UE_share", "DD_share", "SD_share"]))
     b0 = ", ".join(f"quantile_cont({c}, 0.1) AS lo_{s}, quantile_cont({c}, 0.9) AS hi_{s}, avg({c}) AS m_{s}"
                    for s, c in shares)
@@ -252,14 +255,15 @@ def _w10_sql(step=_STEP):
                    f"CAST(floor(hi_{s} * 100e0 / {step} + 1e-9) AS INT) * {step} AS ihi_{s}" for s, _ in shares)
     grid = ("grid AS (SELECT a, b, c, 100 - a - b - c AS d FROM bnd, "
             "LATERAL (SELECT unnest(range(bnd.ilo_in_store, bnd.ihi_in_store + 1, {st})) AS a) ta, "
-            "LATERAL (SELECT unnest(range(bnd.ilo_ue_share, least(bnd.ihi_ue_share, 100 - ta.a) + 1, {st})) AS b) tb, "
-            "LATERAL (SELECT unnest(range(bnd.ilo_dd_share, least(bnd.ihi_dd_share, 100 - ta.a - tb.b) + 1, {st})) AS c) tc "
+            "LATERAL (SELECT greatest(ilo_ue_share, m - ihi_dd_share) AS b, m - greatest(ilo_ue_share, m - ihi_dd_share) AS c "
+            "FROM (SELECT unnest(range(bnd.ilo_ue_share + bnd.ilo_dd_share, "
+            "least(bnd.ihi_ue_share + bnd.ihi_dd_share, 100 - ta.a) + 1, {st})) AS m) u) tb "
             "WHERE 100 - a - b - c >= bnd.ilo_sd_share AND 100 - a - b - c <= bnd.ihi_sd_share)").format(st=step)
     cand = ("cand AS (SELECT scenario_id, a, b, c, d, " + _UE_PROFIT + " AS obj FROM ("
             "SELECT scen.* EXCLUDE (in_store, ue_share, dd_share, sd_share), a, b, c, d, a / 100e0 AS in_store, "
             "b / 100e0 AS ue_share, c / 100e0 AS dd_share, d / 100e0 AS sd_share FROM scen, grid) x)")
-    best = ("best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY obj DESC, a, b, c) "
-            "AS rn FROM cand) y WHERE rn = 1)")
+    best = ("best AS (SELECT scenario_id, p.a AS a, p.b AS b, p.c AS c, p.d AS d, p.obj AS obj FROM (SELECT scenario_id, "
+            "arg_max({'a': a, 'b': b, 'c': c, 'd': d, 'obj': obj}, [obj, -a, -b, -c]) AS p FROM cand GROUP BY scenario_id) y)")
     base = ("basel AS (SELECT scenario_id, base_in_store, base_ue_share, base_dd_share, base_sd_share, "
             + _UE_PROFIT + " AS bobj FROM (SELECT scen.* EXCLUDE (in_store, ue_share, dd_share, sd_share), "
             "base_in_store, base_ue_share, base_dd_share, base_sd_share, base_in_store AS in_store, "

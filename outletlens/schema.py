@@ -29,6 +29,13 @@ FEATURES = [
     "CuisineType_enc", "Segment_enc", "Subregion_enc",
 ]
 TARGET = "TotalNetProfit"
+# Columns shown by the top-20 table.
+TOP20_COLS = ["RestaurantName", "CuisineType", "Segment", "Subregion",
+              "InStoreShare", "UE_share", "SD_share", "CommissionRate",
+              "TotalNetProfit", "OverallMargin"]
+# Features derived from the row's own revenue and profit.
+LEAKY_FEATURES = ["InStoreRevRatio", "UE_RevRatio", "DD_RevRatio", "SD_RevRatio",
+                  "RevenuePerOrder", "ProfitPerOrder"]
 SECONDARY_TARGETS = ["NetProfitPerOrder", "OverallMargin"]
 
 CORR_COLS = ["TotalNetProfit", "TotalRevenue", "MonthlyOrders", "AOV",

@@ -83,11 +83,17 @@ def write_table(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_ROWS = 100_000
 
 
 def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast hint behind a size check: count the (small, derived) table
-    first; above ``max_rows`` the join stays a shuffle join."""
-    df = df.cache()          # the count and the join read the same rows
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Broadcast hint behind a size check, for small derived tables (one row per
+    category, group or fence).
+
+    At most ``max_rows + 1`` rows are fetched, once: a table within the limit becomes
+    a local one and is broadcast (and is not computed again by each join); beyond the
+    limit the join stays a shuffle join of ``df`` itself."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
