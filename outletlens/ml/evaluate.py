@@ -93,7 +93,7 @@ def segment_mean_predictions(prep: DataFrame, segments: DataFrame | None = None,
 
 
 def fold_metrics_segment_mean(prep: DataFrame, segments: DataFrame | None = None, by: str = "Segment",
-                              key_cols=KEY_COLS, folds: int = 5) -> DataFrame:
+                              key_cols=KEY_COLS, model: str = "Segment Mean") -> DataFrame:
     """M9 on the segment-mean predictor: for each fold, fit on the other
     training folds, score the held-out fold; then mean and population std."""
     d = _with_group(prep.where(~F.col("is_test")), segments, by, key_cols)
@@ -103,7 +103,7 @@ def fold_metrics_segment_mean(prep: DataFrame, segments: DataFrame | None = None
     loo = (per_fold_group.join(tot, by)
            .select("fold", by, F.try_divide(F.col("_gs") - F.col("_fs"),
                                             (F.col("_gc") - F.col("_fc")).cast("double")).alias("pred")))
-    scored = d.join(broadcast_if_small(loo), ["fold", by], "left").withColumn("model", F.lit("Segment Mean"))
+    scored = d.join(broadcast_if_small(loo), ["fold", by], "left").withColumn("model", F.lit(model))
     m = regression_metrics(scored, by=("model", "fold"))
     return m
 

@@ -23,19 +23,19 @@ from pyspark.sql import functions as F
 
 from ..schema import FEATURES, KEY_COLS, MODEL_ORDER
 from .evaluate import cv_summary, regression_metrics, residual_quantiles
-from .prepare import Scaler, fit_scaler
+from .prepare import check_finite, Scaler, fit_scaler
 
 SEED = 42
 
 
-def make_estimator(name: str, n_trees: int = 100, rf_depth: int = 10, rounds: int = 100):
+def make_estimator(name: str, n_trees: int = 100, rf_depth: int = 30, rounds: int = 100, bootstrap: bool = True):
     """The four reference models; tree counts / rounds are parameters."""
     if name == "Linear Regression":
         return LinearRegression(featuresCol="features", labelCol="label", regParam=0.0,
                                 elasticNetParam=0.0, solver="auto")
     if name == "Random Forest":
         return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=n_trees,
-                                     featureSubsetStrategy="all", maxDepth=rf_depth, seed=SEED)
+                                     featureSubsetStrategy="all", maxDepth=rf_depth, bootstrap=bootstrap, seed=SEED)
     if name == "Gradient Boosting":
         return GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds,
                             maxDepth=3, stepSize=0.1, seed=SEED)
@@ -62,6 +62,7 @@ class FittedModel:
 
 
 def fit_model(name: str, train: DataFrame, features=FEATURES, **params) -> FittedModel:
+    check_finite(train, features)
     scaler = fit_scaler(train, features) if name == "Linear Regression" else None
     x = scaler.transform(train, features) if scaler else train
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features",
@@ -100,6 +101,7 @@ def train_and_evaluate(prep: DataFrame, models=MODEL_ORDER, features=FEATURES, c
     for i, m in enumerate(models):
         p = fitted[m].predict(test, keep=[*key_cols, "label"]).withColumn("model", F.lit(m))
         preds = p if preds is None else preds.unionByName(p)
+    preds = _persist(preds)          # the residual quantiles read them several times
     order = F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(i))])
     metrics = regression_metrics(preds).join(residual_quantiles(preds), "model", "left")
     if cv:
@@ -112,7 +114,10 @@ def train_and_evaluate(prep: DataFrame, models=MODEL_ORDER, features=FEATURES, c
                 fold_preds = p if fold_preds is None else fold_preds.unionByName(p)
         metrics = metrics.join(cv_summary(regression_metrics(fold_preds, by=("model", "fold"))),
                                "model", "left")
-    metrics = metrics.withColumn("model_order", order[F.col("model")])
+    # scored and measured once, then the training copy goes
+    metrics = _persist(metrics.withColumn("model_order", order[F.col("model")]))
+    metrics.count()
+    train.unpersist()
     return fitted, preds, metrics
 
 

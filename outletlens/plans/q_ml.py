@@ -11,18 +11,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.compat import money
+from ..functions.compat import money, round_even
 from ..ml import evaluate as E
 from ..ml.importance import permutation_importance
-from ..ml.models import train_and_evaluate
+from ..ml.models import fit_model, train_and_evaluate
 from ..ml.prepare import encode_categories, prepared, scaler_stats
 from ..ml.quantile import fit_quantile_models, predict_band
+from ..ml.relational import GROUP_MODELS, train_group_models
 from ..ml.store import bundle_completeness
-from ..operators.ranking import first_by_actual
+from ..operators.ranking import best_model, first_by_actual
 from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, SECONDARY_TARGETS
 from ..session import broadcast_if_small
 from .catalog import base_table, code_tables, prepared_table, register, report, session_key
-from .sqlbase import R6, with_base
+from .sqlbase import R6, RN, with_base
 
 KEY = "RestaurantID, Yr, Mo"
 QUERY_PARAMS = dict(n_trees=10, rf_depth=8, rounds=10)
@@ -49,7 +50,7 @@ def _trained(spark, sf_dir):
     if k not in _MEMO:
         prep = prepared_table(spark, sf_dir)
         fitted, preds, metrics = train_and_evaluate(prep, **QUERY_PARAMS)
-        _MEMO[k] = (prep, fitted, preds.persist(), metrics.persist())
+        _MEMO[k] = (prep, fitted, preds, metrics)
     return _MEMO[k]
 
 
@@ -261,9 +262,8 @@ def m12_model_intervals(spark, sf_dir):
     return E.with_empirical_interval(preds, metrics)
 
 
-@register("m20_model_comparison")
-def m20_model_comparison(spark, sf_dir):
-    m = _trained(spark, sf_dir)[3]
+def comparison(m):
+    """The metrics table as display text."""
     pm = lambda a, b, d: F.concat(F.format_number(a, d), F.lit(" ± "), F.format_number(b, d))
     return m.orderBy("model_order").select(
         "model", money("RMSE").alias("RMSE"), F.format_number("R2", 4).alias("R2"), money("MAE").alias("MAE"),
@@ -272,11 +272,122 @@ def m20_model_comparison(spark, sf_dir):
         pm(F.col("CV_MAE_mean"), F.col("CV_MAE_std"), 0).alias("CV_MAE"))
 
 
+@register("m20_model_comparison")
+def m20_model_comparison(spark, sf_dir):
+    return comparison(_trained(spark, sf_dir)[3])
+
+
 @register("s6_bundle_completeness")
 def s6_bundle_completeness(spark, sf_dir):
     return bundle_completeness(_trained(spark, sf_dir)[3])
 
 
+# --- the same reports on the relational model set (SQL-checked) ---------------------------------
+_GM_CTES = _PREP_CTES + [
+    "rp AS (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS model, {i} AS model_order, {KEY}, label, is_test, fold, m.p AS pred FROM sp "
+        f"JOIN (SELECT {g} AS g, avg(label) AS p FROM sp WHERE NOT is_test GROUP BY 1) m ON m.g = sp.{g}"
+        for i, (n, g) in enumerate(GROUP_MODELS)) + ")",
+    "rt AS (SELECT model, model_order, sqrt(avg((label - pred) * (label - pred))) AS RMSE, "
+    "1e0 - sum((label - pred) * (label - pred)) / (count(*) * var_pop(label)) AS R2, avg(abs(label - pred)) AS MAE, "
+    "quantile_cont(label - pred, 0.025) AS residual_low, quantile_cont(label - pred, 0.975) AS residual_high "
+    "FROM rp WHERE is_test GROUP BY model, model_order)",
+    "tr AS (SELECT * FROM sp WHERE NOT is_test)",
+    "cf AS (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS model, tr.fold, label, (a.S - f.s) / CAST(a.C - f.c AS DOUBLE) AS pred FROM tr "
+        f"JOIN (SELECT fold, {g} AS g, sum(label) AS s, count(*) AS c FROM tr GROUP BY 1, 2) f ON f.fold = tr.fold AND f.g = tr.{g} "
+        f"JOIN (SELECT {g} AS g, sum(label) AS S, count(*) AS C FROM tr GROUP BY 1) a ON a.g = tr.{g}"
+        for n, g in GROUP_MODELS) + ")",
+    "cv AS (SELECT model, avg(RMSE) AS rm, stddev_pop(RMSE) AS rs, avg(R2) AS qm, stddev_pop(R2) AS qs, avg(MAE) AS am, "
+    "stddev_pop(MAE) AS asd FROM (SELECT model, fold, sqrt(avg((label - pred) * (label - pred))) AS RMSE, "
+    "1e0 - sum((label - pred) * (label - pred)) / (count(*) * var_pop(label)) AS R2, avg(abs(label - pred)) AS MAE "
+    "FROM cf GROUP BY model, fold) x GROUP BY model)"]
+
+
+def _group_models(spark, sf_dir):
+    """The relational models and their reports, made once per (session, input)."""
+    k = (*session_key(spark, sf_dir), "group means")
+    if k not in _MEMO:
+        fitted, preds, metrics = train_group_models(prepared_table(spark, sf_dir))
+        _MEMO[k] = (fitted, preds, metrics.persist())
+    return _MEMO[k]
+
+
+@register("m5_m9_group_model_metrics", sql=with_base(
+    f"SELECT rt.model, model_order, {R6('RMSE')} AS RMSE, {R6('R2')} AS R2, {R6('MAE')} AS MAE, {R6('residual_low')} AS residual_low, "
+    f"{R6('residual_high')} AS residual_high, {R6('rm')} AS CV_RMSE_mean, {R6('rs')} AS CV_RMSE_std, {R6('qm')} AS CV_R2_mean, "
+    f"{R6('qs')} AS CV_R2_std, {R6('am')} AS CV_MAE_mean, {R6('asd')} AS CV_MAE_std FROM rt JOIN cv ON cv.model = rt.model", *_GM_CTES))
+def m5_m9_group_model_metrics(spark, sf_dir):
+    return report(_group_models(spark, sf_dir)[2].drop("n"))
+
+
+@register("t5_best_group_model", sql=with_base(
+    f"SELECT model, {R6('R2')} AS R2 FROM rt ORDER BY rt.R2 DESC NULLS LAST, model_order LIMIT 1", *_GM_CTES))
+def t5_best_group_model(spark, sf_dir):
+    return report(best_model(_group_models(spark, sf_dir)[2]).select("model", "R2"))
+
+
+@register("m18_m19_group_model_predictions", sql=with_base(
+    f"SELECT model, {KEY}, {R6('label')} AS label, {R6('pred')} AS pred, {R6('label - pred')} AS residual FROM rp WHERE is_test", *_GM_CTES))
+def m18_m19_group_model_predictions(spark, sf_dir):
+    return report(E.residuals(_group_models(spark, sf_dir)[1]))
+
+
+@register("m12_group_model_intervals", sql=with_base(
+    f"SELECT rp.model, {KEY}, {R6('pred')} AS pred, {R6('pred + residual_low')} AS emp_lower, {R6('pred + residual_high')} AS emp_upper "
+    "FROM rp JOIN rt ON rt.model = rp.model WHERE is_test", *_GM_CTES))
+def m12_group_model_intervals(spark, sf_dir):
+    _, preds, metrics = _group_models(spark, sf_dir)
+    return report(E.with_empirical_interval(preds, metrics).select("model", *KEY_COLS, "pred", "emp_lower", "emp_upper"))
+
+
+def _pm_sql(a, b, d):
+    return f"format('{{:,.{d}f}}', {a}) || ' ± ' || format('{{:,.{d}f}}', {b})"
+
+
+@register("m20_group_model_comparison", sql=with_base(
+    f"SELECT rt.model, '$' || format('{{:,.0f}}', RMSE) AS RMSE, format('{{:,.4f}}', R2) AS R2, '$' || format('{{:,.0f}}', MAE) AS MAE, "
+    f"{_pm_sql('rm', 'rs', 0)} AS CV_RMSE, {_pm_sql('qm', 'qs', 4)} AS CV_R2, {_pm_sql('am', 'asd', 0)} AS CV_MAE "
+    "FROM rt JOIN cv ON cv.model = rt.model", *_GM_CTES))
+def m20_group_model_comparison(spark, sf_dir):
+    return comparison(_group_models(spark, sf_dir)[2])
+
+
+@register("s6_group_model_completeness", sql=with_base("SELECT model, '' AS missing, true AS complete FROM rt", *_GM_CTES))
+def s6_group_model_completeness(spark, sf_dir):
+    return bundle_completeness(_group_models(spark, sf_dir)[2])
+
+
+# --- M5-M8 on one feature: the learners' own results in closed form -----------------------------
+_SEG_MEAN_SQL = (f"SELECT {KEY}, {RN('m.p', 4)} AS pred FROM sp JOIN (SELECT Segment_enc AS g, avg(label) AS p FROM sp "
+                 "WHERE NOT is_test GROUP BY 1) m ON m.g = sp.Segment_enc WHERE is_test")
+
+
+def _on_segment(name, **params):
+    """Fitted on the segment code alone, trees of this depth equal the segment means."""
+    def q(spark, sf_dir):
+        prep = prepared_table(spark, sf_dir)
+        model = fit_model(name, prep.where(~F.col("is_test")), features=["Segment_enc"], **params)
+        out = model.predict(prep.where(F.col("is_test")), keep=KEY_COLS)
+        return out.select(*KEY_COLS, round_even("pred", 4).alias("pred"))
+    return q
+
+
+register("m6_random_forest_on_segment", sql=with_base(_SEG_MEAN_SQL, *_PREP_CTES))(_on_segment("Random Forest", n_trees=5, bootstrap=False))
+register("m7_gradient_boosting_on_segment", sql=with_base(_SEG_MEAN_SQL, *_PREP_CTES))(_on_segment("Gradient Boosting", rounds=3))
+register("m8_boosted_trees_deep_on_segment", sql=with_base(_SEG_MEAN_SQL, *_PREP_CTES))(_on_segment("Boosted Trees (deep)", rounds=3))
+
+
+@register("m5_linear_regression_on_aov", sql=with_base(
+    f"SELECT {KEY}, {RN('c.i + c.s * AOV', 4)} AS pred FROM sp, (SELECT regr_slope(label, AOV) AS s, regr_intercept(label, AOV) AS i "
+    "FROM sp WHERE NOT is_test) c WHERE is_test", *_PREP_CTES))
+def m5_linear_regression_on_aov(spark, sf_dir):
+    prep = prepared_table(spark, sf_dir)
+    model = fit_model("Linear Regression", prep.where(~F.col("is_test")), features=["AOV"])
+    out = model.predict(prep.where(F.col("is_test")), keep=KEY_COLS)
+    return out.select(*KEY_COLS, round_even("pred", 4).alias("pred"))
+
+
 # --- M13, M14, M15 ------------------------------------------------------------------------------
 @register("m13_m15_quantile_coverage")
 def m13_m15_quantile_coverage(spark, sf_dir):

@@ -16,7 +16,8 @@ from ..schema import CATEGORY_COLS, CHANNELS, FEATURES, TARGET_COGS, TARGET_COST
 from ..sources.fixture import scenarios_from_outlets
 from ..session import broadcast_if_small
 from .catalog import base_table, code_tables, register, report
-from .q_ml import _codes, _quantile_models, _trained
+from ..ml.relational import GROUP_MODELS
+from .q_ml import _GM_CTES, _codes, _group_models, _quantile_models, _trained
 from .sqlbase import R6, RN, with_base
 
 SC = ["in_store", "ue_share", "dd_share", "sd_share"]
@@ -178,6 +179,28 @@ def w3_w4_scenario_forecasts(spark, sf_dir):
     return S.score_scenarios(feats, fitted, metrics, best, band)
 
 
+_GROUP_SCORES = [
+    "sc AS (" + " UNION ALL ".join(
+        f"SELECT scenario_id, '{n}' AS model, m.p AS pred FROM scen JOIN c_{c} ON c_{c}.{c} = scen.{s} "
+        f"JOIN (SELECT {c}_enc AS g, avg(label) AS p FROM sp WHERE NOT is_test GROUP BY 1) m ON m.g = c_{c}.{c}_enc"
+        for (n, _), c, s in zip(GROUP_MODELS, CATEGORY_COLS, ["cuisine", "segment", "subregion"])) + ")",
+    "ri AS (SELECT scenario_id, sc.model, sc.model = (SELECT model FROM rt ORDER BY R2 DESC NULLS LAST, model_order LIMIT 1) AS is_best, "
+    "pred, pred + residual_low AS lower, pred + residual_high AS upper FROM sc JOIN rt ON rt.model = sc.model)"]
+
+
+@register("w3_w4_group_model_forecasts", sql=with_base(
+    f"SELECT scenario_id, model, is_best, {RN('pred', 2)} AS pred, {RN('lower', 2)} AS lower, {RN('upper', 2)} AS upper, "
+    f"CASE WHEN (lower < 0 AND upper > 0) OR {_W5_WIDTH} >= 80e0 THEN 'High' WHEN {_W5_WIDTH} >= 40e0 THEN 'Medium' "
+    f"ELSE 'Low' END AS risk, {RN(_W5_WIDTH, 4)} AS width_pct FROM ri", *_GM_CTES, _SCEN_CTE, *_GROUP_SCORES))
+def w3_w4_group_model_forecasts(spark, sf_dir):
+    """Every relational model scores every scenario, with its empirical interval and risk."""
+    fitted, _, metrics = _group_models(spark, sf_dir)
+    best = best_model(metrics).first()["model"]
+    _, scen = _scen(spark, sf_dir)
+    out = S.score_scenarios(S.scenario_features(scen, codes=code_tables(spark, sf_dir)), fitted, metrics, best)
+    return out.withColumns({**{c: round_even(c, 2) for c in ("pred", "lower", "upper")}, "width_pct": round_even("width_pct", 4)})
+
+
 # --- W8 (exports: summary union, breakdown) -----------------------------------------------
 @register("w8_export_summary")
 def w8_export_summary(spark, sf_dir):
