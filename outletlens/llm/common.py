@@ -40,9 +40,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small scratch table that go into one file.
+FILE_ROWS = 10_000
+
+
+def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once to the cluster's shared checkpoint folder and reread:
-    later steps neither recompute it nor lose it with an executor."""
+    later steps neither recompute it nor lose it with an executor. ``rows``, where
+    known, is about how many rows it has: few rows go into few files."""
+    if rows is not None:
+        files = rows // FILE_ROWS + 1
+        if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
     return write_table(df, f"llm-{name}")
 
 
@@ -54,16 +63,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def text_key() -> Column:
+    """16-byte md5 of the column text (null: of the empty text)."""
+    return F.unhex(F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8"))).alias("text_key")
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, as an array; null text has none."""
     one_space = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " ")
     return F.array_remove(F.split(one_space, " "), "")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``df`` (a scratch table: its count reads only footers)
-    has at most ``limit`` rows; otherwise the join stays a shuffle join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, of: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if ``of`` (a scratch table that ``df`` has no more rows than, by
+    default ``df`` itself; the count reads only footers) has at most ``limit`` rows;
+    otherwise the join stays a shuffle join."""
+    return F.broadcast(df) if (df if of is None else of).count() <= limit else df
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

@@ -38,14 +38,17 @@ from outletlens.llm.common import scratch, ship, small
 from outletlens.llm.hashing import chunks, mix, powers, prefix_hash, span_hash
 
 GRAM = 64
-_CHUNK = 2 << 20
+#: Bytes of text that a task hashes at once (some 100 bytes of memory each).
+_CHUNK = 1 << 19
 #: Bits of a position within one buffer; longer texts are cut into overlapping buffers.
 _POS = np.uint64(28)
 _LONGEST = (1 << 28) - (1 << 16)
 #: Different runs of one anchor that are compared in one bucket; beyond, they are split by distance.
 GROUP = 2048
-#: Bytes that one bucket of shipped runs should hold.
-BUCKET = 4 << 20
+#: Texts whose spans may be broadcast (about 250 bytes each); beyond, the texts are shuffled to them.
+SPAN_ROWS = 100_000
+#: Bytes that one bucket of shipped runs should hold (its suffixes take some 100 times as much memory).
+BUCKET = 1 << 20
 
 
 def _argmin(key: np.ndarray, w: int) -> np.ndarray:
@@ -107,11 +110,12 @@ def text_runs(docs: DataFrame, width: int) -> DataFrame:
     """tkey (md5 of the text), lo, hi, at, anchor, run: the runs of every text."""
     def go(batches):
         for pdf in batches:
-            raw = _encoded(pdf["text"])
-            raw = [r for r in raw if len(r) >= width]
-            keys = np.array([hashlib.md5(r, usedforsecurity=False).digest() for r in raw], object)
-            for doc, lo, hi, at, anchor, run in _text_runs(raw, width):
-                yield pd.DataFrame({"tkey": keys[doc], "lo": lo, "hi": hi, "at": at, "anchor": anchor, "run": run})
+            texts = pdf["text"].tolist()
+            for first, end in chunks([len(t or "") for t in texts], _CHUNK):
+                raw = [r for r in _encoded(texts[first:end]) if len(r) >= width]
+                keys = np.array([hashlib.md5(r, usedforsecurity=False).digest() for r in raw], object)
+                for doc, lo, hi, at, anchor, run in _text_runs(raw, width):
+                    yield pd.DataFrame({"tkey": keys[doc], "lo": lo, "hi": hi, "at": at, "anchor": anchor, "run": run})
     return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(
         go, "tkey binary, lo long, hi long, at long, anchor long, run long")
 
@@ -234,11 +238,13 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     """tkey, spans (array of [from, to) byte ranges, not yet merged) of every distinct text that loses bytes."""
     ship(docs.sparkSession)
     runs = scratch(text_runs(docs, width), "substr-runs")
-    anchors = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written first: a join of two plain shuffles is one whose hot keys can be split
+    anchors = scratch(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "substr-anchors")
     runs = scratch(runs.join(anchors, "anchor"), "substr-shared")
     kinds = runs.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "lo", "hi", "at")).alias("of"))
     kinds = scratch(kinds, "substr-kinds")
-    anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    anchors = scratch(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+                      .where("kinds > 1 and least = 1").drop("least"), "substr-mixed")
     open_ = scratch(kinds.join(anchors, "anchor").select("anchor", "run", "kinds", "n", "of.*"), "substr-open")
 
     wanted = open_.groupBy("tkey").agg(F.collect_list(F.struct("anchor", "run", "kinds", "lo", "hi", "at")).alias("wanted"))
@@ -269,7 +275,7 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     shipped = texts.join(wanted, "tkey").mapInPandas(
         cut, "anchor long, run long, part long, windows long, distance long, lo long, first long, raw binary")
     found = (shipped.withColumn("bucket", F.pmod(F.xxhash64("anchor", "part"), F.lit(buckets)))
-             .repartition(buckets, "bucket").groupBy("bucket")
+             .groupBy("bucket")
              .applyInPandas(lambda pdf: _compare_bucket(pdf, width), "anchor long, run long, from long, to long"))
     whole = kinds.where("n > 1").select("anchor", "run", F.lit(0).cast("long").alias("from"), (F.col("of.hi") - F.col("of.lo")).alias("to"))
     spans = scratch(found.unionByName(whole), "substr-found")
@@ -293,7 +299,7 @@ def with_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     """The rows of ``docs`` with an extra column llm_spans (null: nothing repeats)."""
     spans = scratch(repeated_spans(docs, width), "substr-spans").withColumnRenamed("tkey", "llm_tkey").withColumnRenamed("spans", "llm_spans")
     key = F.unhex(F.md5(F.encode(F.col("text").cast("string"), "utf-8")))
-    return docs.withColumn("llm_tkey", key).join(small(spans), "llm_tkey", "left").drop("llm_tkey")
+    return docs.withColumn("llm_tkey", key).join(small(spans, limit=SPAN_ROWS), "llm_tkey", "left").drop("llm_tkey")
 
 
 def removal_digest(docs: DataFrame, width: int = 400) -> DataFrame:
