@@ -36,6 +36,11 @@ from .compat import INF, null_nan
 MAX = 1.7976931348623157e308
 
 
+def _local(df: DataFrame) -> DataFrame:
+    """A table of provably few rows (groups x targets) through the driver: no file, no lineage."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _half(c: str) -> Column:
     """Half of a value with its ends at the largest finite double (no overflow in differences)."""
     return F.greatest(F.least(F.col(c), F.lit(MAX)), F.lit(-MAX)) / 2.0
@@ -93,7 +98,9 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
     targets = targets.select(*by, "_name", "_frac", F.col("_t.w").alias("_which"),
                              F.col("_t.r").alias("_rank"), "_L", "_U", "_below", "_cnt")
     tkey = [*by, "_name", "_which"]
-    targets = materialize(targets)     # tiny; the full-scan statistics run once
+    # tiny; the full-scan statistics run once
+    keep = _local if bounded_groups or not by else materialize
+    targets = keep(targets)
 
     # 2. narrow the brackets while they are large (each pass: one filtered scan). Targets that
     # share a bracket are counted once. Both ends of a bracket are values of the data and
@@ -126,7 +133,7 @@ def exact_quantiles(df: DataFrame, value, probs: dict, by=(), *,
                            F.coalesce("_ncnt", "_cnt").alias("_cnt")))
         # tiny table (groups x targets rows); cut its lineage so the plan does
         # not grow with every pass
-        targets = materialize(targets)
+        targets = keep(targets)
 
     # 3. exact pick inside each bracket over distinct values
     rows = _join_targets(base, targets.select(*bkey).distinct(), by, bounded_groups)
