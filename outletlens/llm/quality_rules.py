@@ -88,3 +88,38 @@ def quality_columns(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: int
     return out.select(
         *rest, *names[:5], failed.alias("base_failed"),
         (~failed & (100 * kept_size >= (100 - max_lost) * whole)).alias("kept"), F.array_join("_llm_passed", "\n").alias("clean_text"))
+
+
+SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS k FROM documents),
+words AS (SELECT k, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
+windows AS (
+    SELECT k, i, array_to_string(w[i:i + 7], ' ') AS win
+    FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM words)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
+lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM texts),
+filled AS (
+    SELECT k, line, length(line) AS size, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+        length(line) - length(regexp_replace(line, '[#*$%&|<>!]', '', 'g')) AS symbols,
+        length(line) - length(regexp_replace(line, '\p{Lu}', '', 'g')) AS upper,
+        length(line) - length(regexp_replace(line, '\p{L}', '', 'g')) AS letters,
+        len(string_split_regex(line, '[|»\t]')) AS cells
+    FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (
+    SELECT k, line, size, (symbols >= 3 AND 2 * symbols >= words) OR (words >= 4 AND 10 * upper >= 9 * letters AND letters > 0)
+        OR (cells >= 3 AND words <= 3 * cells) OR (words <= 20 AND regexp_matches(line, '""" + BOILERPLATE + r"""')) AS fails
+    FROM filled),
+by_line AS (
+    SELECT k, count(*) - count(DISTINCT line) AS dup, sum(size) AS whole, coalesce(sum(size) FILTER (NOT fails), 0) AS left_
+    FROM judged GROUP BY 1),
+counted AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, left_, whole
+    FROM texts JOIN words USING (k) LEFT JOIN repeated USING (k) LEFT JOIN by_line USING (k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * left_ >= 50 * whole AS kept
+FROM counted
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outletlens.llm import sharding, url_filter
+from outletlens.llm import neardup, quality_rules, sharding, substrings, url_filter
 from outletlens.llm.common import held_out, table
 
 
@@ -82,4 +82,6 @@ QUERIES = {"op1_exact_top_k": op1_exact_top_k,
            "op5_line_quality_rules": op5_line_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op9_minhash_near_dedup": op9_minhash_near_dedup}
-ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op8_sharding": sharding.SQL}
+ORACLES: dict[str, str] = {"op5_line_quality_rules": quality_rules.SQL, "op6_suffix_array_dedup": substrings.SQL,
+                          "op7_url_filter": url_filter.SQL, "op8_sharding": sharding.SQL,
+                          "op9_minhash_near_dedup": neardup.SQL}
