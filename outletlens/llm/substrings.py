@@ -337,3 +337,22 @@ def strip_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
             return "".join(kept)
         return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
     return with_spans(docs, width).withColumn("text", strip(F.col("text").cast("string"), "llm_spans")).drop("llm_spans")
+
+
+#: The digest by grouping every 400-byte string of the corpus.
+SQL = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER () AS k FROM documents),
+strings AS (
+    SELECT k, i, md5(substr(h, (2 * i + 1)::BIGINT, 800)) AS s
+    FROM (SELECT k, h, unnest(range(length(h) // 2 - 399)) AS i FROM raw)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY s) AS n FROM strings) WHERE n > 1),
+steps AS (SELECT k, i, CASE WHEN i > lag(i) OVER (PARTITION BY k ORDER BY i) + 400 THEN 1 ELSE 0 END AS fresh FROM twice),
+runs AS (
+    SELECT k, min(i) AS lo, max(i) + 400 AS hi
+    FROM (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS run FROM steps) GROUP BY k, run),
+cut AS (SELECT k, sum(hi - lo) AS removed, count(*) AS spans, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM runs GROUP BY k)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, spans + 2), lambda j:
+        substr(h, (2 * coalesce(his[j - 1], 0) + 1)::BIGINT, (2 * (coalesce(los[j], length(h) // 2) - coalesce(his[j - 1], 0)))::BIGINT)), '') END)) AS kept_sha256
+FROM raw LEFT JOIN cut USING (k)
+"""
