@@ -144,13 +144,18 @@ def break_even_x(trends: DataFrame) -> DataFrame:
 
 
 # --- B7 ---------------------------------------------------------------------------
-def scatter_bins(df: DataFrame, x: str, y: str, color: str, size: str | None = None,
-                 bins: int = 50) -> DataFrame:
-    """Scatter at scale: counts (and mean marker size) per colour x 2-D bin."""
+def scatter_bins(df: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None,
+                 bins: int = 50, mean_color: str | None = None) -> DataFrame:
+    """Scatter at scale: counts (and the mean marker size, or the mean of a continuous
+    colour) per 2-D bin, and per category of ``color`` where one is given."""
     b = assign_bins(df, x, bins, "xb")
-    b = assign_bins(b, y, bins, "yb").where(F.col("xb").isNotNull() & F.col("yb").isNotNull()
-                                             & F.col(color).isNotNull())
+    b = assign_bins(b, y, bins, "yb").where(F.col("xb").isNotNull() & F.col("yb").isNotNull())
+    by = []
+    if color:
+        b, by = b.where(F.col(color).isNotNull()), [color]
     aggs = [F.count(F.lit(1)).alias("n")]
     if size:
         aggs.append(F.avg(size).alias("mean_size"))
-    return b.groupBy(color, "xb", "xb_lo", "xb_hi", "yb", "yb_lo", "yb_hi").agg(*aggs)
+    if mean_color:
+        aggs.append(F.avg(mean_color).alias("mean_color"))
+    return b.groupBy(*by, "xb", "xb_lo", "xb_hi", "yb", "yb_lo", "yb_hi").agg(*aggs)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.compat import parse_money, percent, money
+from ..functions.compat import money, parse_money, percent, round_even
 from ..ml.prepare import code_table
 from ..operators.ranking import latest_per_group
 from ..schema import (CATEGORY_COLS, CHANNELS, KEEP_SAVED_SCENARIOS, RISK_HIGH_WIDTH,
@@ -151,13 +151,31 @@ def saved_comparison(saved: DataFrame, keep: int = KEEP_SAVED_SCENARIOS) -> Data
         percent("in_store").alias("In-Store"), percent("ue_share").alias("UE"),
         percent("dd_share").alias("DD"), percent("sd_share").alias("SD"),
         percent("commission", 1).alias("Commission"), percent("cogs", 1).alias("COGS"),
-        percent("opex", 1).alias("OPEX"), money("ue_profit").alias("Profit"))
+        percent("opex", 1).alias("OPEX"), money("delivery_cost", 2).alias("Del Cost"), money("ue_profit").alias("Profit"))
     from pyspark.sql import Window
     w = Window.partitionBy("user")   # at most `keep` rows per user after the filter
     return text.withColumns({"profit_value": parse_money("Profit"),
                              "comparable": F.count(F.lit(1)).over(w) >= 2})
 
 
+def forecast_table(scored: DataFrame, metrics: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """Each model's prediction and interval per scenario with its CV metrics, rounded for export."""
+    cv = metrics.select("model", "CV_RMSE_mean", "CV_R2_mean", "CV_MAE_mean")       # one row per model
+    out = scored.join(F.broadcast(cv), "model")
+    return out.select(key, F.col("model").alias("Model"), round_even("pred", 2).alias("predicted_net_profit"),
+                      round_even("lower", 2).alias("p2_5"), round_even("upper", 2).alias("p97_5"),
+                      round_even("CV_RMSE_mean", 2).alias("cv_rmse_mean"), round_even("CV_R2_mean", 4).alias("cv_r2_mean"),
+                      round_even("CV_MAE_mean", 2).alias("cv_mae_mean"))
+
+
+def saved_forecasts(saved: DataFrame, scored: DataFrame, models: list, key: str = "scenario_id") -> DataFrame:
+    """Every model's prediction of the saved scenarios as text, and the best model's risk."""
+    wide = scored.groupBy(key).agg(
+        *[money(F.max(F.when(F.col("model") == m, F.col("pred")))).alias(f"{m} ($)") for m in models],
+        F.max(F.when(F.col("is_best"), F.col("risk"))).alias("Risk"))
+    return saved.select("user", key).join(wide, key)
+
+
 def score_scenarios(feats: DataFrame, fitted: dict, metrics: DataFrame, best: str,
                     band: DataFrame | None = None, key: str = "scenario_id") -> DataFrame:
     """W3 + W4 + W5: every fitted model scores every scenario (one ``transform``

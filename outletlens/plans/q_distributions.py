@@ -143,3 +143,18 @@ def b7_scatter_orders_profit(spark, sf_dir):
     s = D.scatter_bins(_bt(spark, sf_dir), "MonthlyOrders", "TotalNetProfit", "Segment", "AOV")
     # few rows per cell: a 4-decimal mean keeps engine summation order out of the check
     return report(s.withColumn("mean_size", round_even("mean_size", 4)))
+
+
+@register("b7_scatter_cogs_opex", sql=with_base(
+    f"SELECT xb, {R6('xb_lo')} AS xb_lo, {R6('xb_hi')} AS xb_hi, yb, {R6('yb_lo')} AS yb_lo, "
+    f"{R6('yb_hi')} AS yb_hi, CAST(count(*) AS BIGINT) AS n, {R6(RN('avg(TotalNetProfit)', 4))} AS mean_color FROM ("
+    f"SELECT TotalNetProfit, {BIN_IDX('COGSRate', 'xe', 50)} AS xb, {BIN_IDX('OPEXRate', 'ye', 50)} AS yb, "
+    f"{BIN_EDGE('xe', BIN_IDX('COGSRate', 'xe', 50), 50, False)} AS xb_lo, "
+    f"{BIN_EDGE('xe', BIN_IDX('COGSRate', 'xe', 50), 50, True)} AS xb_hi, "
+    f"{BIN_EDGE('ye', BIN_IDX('OPEXRate', 'ye', 50), 50, False)} AS yb_lo, "
+    f"{BIN_EDGE('ye', BIN_IDX('OPEXRate', 'ye', 50), 50, True)} AS yb_hi FROM t, xe, ye) s "
+    "WHERE xb IS NOT NULL AND yb IS NOT NULL GROUP BY xb, xb_lo, xb_hi, yb, yb_lo, yb_hi",
+    EDGES_CTE("xe", "t", "COGSRate", 50), EDGES_CTE("ye", "t", "OPEXRate", 50)))
+def b7_scatter_cogs_opex(spark, sf_dir):
+    s = D.scatter_bins(_bt(spark, sf_dir), "COGSRate", "OPEXRate", mean_color="TotalNetProfit")
+    return report(s.withColumn("mean_color", round_even("mean_color", 4)))

@@ -23,7 +23,7 @@ from ..operators.ranking import best_model, first_by_actual
 from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, SECONDARY_TARGETS
 from ..session import broadcast_if_small
 from .catalog import base_table, code_tables, prepared_table, register, report, session_key
-from .sqlbase import R6, RN, with_base
+from .sqlbase import BIN_EDGE, BIN_IDX, EDGES_CTE, R6, RN, with_base
 
 KEY = "RestaurantID, Yr, Mo"
 # Reference strength. Forests without a depth limit grow to MLlib's deepest, 30; with five
@@ -362,6 +362,17 @@ def s6_group_model_completeness(spark, sf_dir):
     return bundle_completeness(_group_models(spark, sf_dir)[2])
 
 
+@register("b3_residual_histogram", sql=with_base(
+    f"SELECT CAST(i AS INT) AS bin, {R6(BIN_EDGE('he', 'i', 50, False))} AS lo, {R6(BIN_EDGE('he', 'i', 50, True))} AS hi, "
+    "CAST(COALESCE(c.cnt, 0) AS BIGINT) AS count FROM he, (SELECT unnest(range(1, 51)) AS i) ii LEFT JOIN "
+    f"(SELECT {BIN_IDX('residual', 'he', 50)} AS b, count(*) AS cnt FROM res, he GROUP BY 1) c ON c.b = ii.i", *_GM_CTES,
+    "res AS (SELECT label - pred AS residual FROM rp WHERE is_test AND model = 'Segment Mean')", EDGES_CTE("he", "res", "residual", 50)))
+def b3_residual_histogram(spark, sf_dir):
+    from ..operators.distributions import histogram
+    r = E.residuals(_group_models(spark, sf_dir)[1]).where(F.col("model") == "Segment Mean")
+    return report(histogram(r, "residual", 50))
+
+
 # --- M5-M8 on one feature: the learners' own results in closed form -----------------------------
 _SEG_MEAN_SQL = (f"SELECT {KEY}, {RN('m.p', 4)} AS pred FROM sp JOIN (SELECT Segment_enc AS g, avg(label) AS p FROM sp "
                  "WHERE NOT is_test GROUP BY 1) m ON m.g = sp.Segment_enc WHERE is_test")

@@ -11,8 +11,8 @@ from ..ml.quantile import predict_band
 from ..operators import aggregates as A
 from ..operators import optimize as O
 from ..operators import scenarios as S
-from ..operators.ranking import best_model
-from ..schema import CATEGORY_COLS, CHANNELS, FEATURES, TARGET_COGS, TARGET_COST_TO_REVENUE, TARGET_OPEX
+from ..operators.ranking import best_model, latest_per_group
+from ..schema import CATEGORY_COLS, CHANNELS, FEATURES, KEEP_SAVED_SCENARIOS, TARGET_COGS, TARGET_COST_TO_REVENUE, TARGET_OPEX
 from ..sources.fixture import scenarios_from_outlets
 from ..session import broadcast_if_small
 from .catalog import base_table, code_tables, register, report
@@ -157,7 +157,7 @@ def w7_sweep_predictions(spark, sf_dir):
     prep, fitted, _, metrics = _trained(spark, sf_dir)
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
-    feats = S.feature_columns(S.commission_sweep(S.attach_codes(scen, codes=code_tables(spark, sf_dir))))
+    feats = S.feature_columns(S.commission_sweep(S.split_errors(S.attach_codes(scen, codes=code_tables(spark, sf_dir)))[0]))
     qm = _quantile_models(spark, sf_dir)
     scored = fitted[best].predict(feats, keep=["scenario_id", "sweep_idx", "commission", *FEATURES])
     band = predict_band(qm, scored)
@@ -175,7 +175,7 @@ def w3_w4_scenario_forecasts(spark, sf_dir):
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
     feats = S.scenario_features(scen, codes=code_tables(spark, sf_dir))
-    band = predict_band(_quantile_models(spark, sf_dir), feats).select("scenario_id", "band_lower", "band_upper")
+    band = predict_band(_quantile_models(spark, sf_dir), S.split_errors(feats)[0]).select("scenario_id", "band_lower", "band_upper")
     return S.score_scenarios(feats, fitted, metrics, best, band)
 
 
@@ -219,6 +219,11 @@ def w8_export_summary(spark, sf_dir):
                  F.col(c).cast("string").alias("Value")) for lab, c in zip(labels, cols)]
         + [F.struct(F.lit("Scenario Inputs").alias("Section"), F.lit("Best Model").alias("Metric"),
                     F.lit(best).alias("Value"))])))
+    band = predict_band(_quantile_models(spark, sf_dir), S.split_errors(feats)[0]).select("scenario_id", "band_lower", "band_upper")
+    risk = S.score_scenarios(feats, {best: fitted[best]}, metrics, best, band).select(
+        "scenario_id", F.lit("Scenario Inputs").alias("Section"), F.lit("Best-Model Risk").alias("Metric"), F.col("risk").alias("Value"))
+    inputs = inputs.unionByName(risk)
+    feats = S.split_errors(feats)[0]
     fc = None
     for m in fitted:
         p = fitted[m].predict(feats, keep=["scenario_id"]).select(
@@ -228,6 +233,29 @@ def w8_export_summary(spark, sf_dir):
     return inputs.unionByName(fc)
 
 
+@register("w8_group_model_forecast_table", sql=with_base(
+    f"SELECT scenario_id, ri.model AS Model, {RN('pred', 2)} AS predicted_net_profit, {RN('lower', 2)} AS p2_5, {RN('upper', 2)} AS p97_5, "
+    f"{RN('rm', 2)} AS cv_rmse_mean, {RN('qm', 4)} AS cv_r2_mean, {RN('am', 2)} AS cv_mae_mean FROM ri JOIN cv ON cv.model = ri.model",
+    *_GM_CTES, _SCEN_CTE, *_GROUP_SCORES))
+def w8_group_model_forecast_table(spark, sf_dir):
+    """The export's forecast table: each model's prediction, interval and CV metrics per scenario."""
+    fitted, _, metrics = _group_models(spark, sf_dir)
+    _, scen = _scen(spark, sf_dir)
+    best = best_model(metrics).first()["model"]
+    scored = S.score_scenarios(S.scenario_features(scen, codes=code_tables(spark, sf_dir)), fitted, metrics, best)
+    return S.forecast_table(scored, metrics)
+
+
+@register("w8_forecast_table")
+def w8_forecast_table(spark, sf_dir):
+    """The same table from the fitted MLlib models, with their empirical intervals."""
+    _, fitted, _, metrics = _trained(spark, sf_dir)
+    _, scen = _scen(spark, sf_dir)
+    best = best_model(metrics).first()["model"]
+    scored = S.score_scenarios(S.scenario_features(scen, codes=code_tables(spark, sf_dir)), fitted, metrics, best)
+    return S.forecast_table(scored, metrics)
+
+
 @register("w8_export_breakdown", sql=with_base(
     "SELECT scenario_id, channel_order, Channel, " + R6("Revenue") + " AS Revenue, " + R6("NetProfit")
     + " AS NetProfit, " + RN("Margin", 4) + " AS Margin FROM (" + _w6_body() + ") x",
@@ -249,6 +277,7 @@ def _pct(x, d):
     "SELECT \"user\", scenario_id, name, CAST(recency AS INT) AS recency, "
     + ", ".join(f"{_pct(c, 0)} AS \"{n}\"" for c, n in zip(SC, ["In-Store", "UE", "DD", "SD"])) + ", "
     + ", ".join(f"{_pct(c, 1)} AS {n}" for c, n in [("commission", "Commission"), ("cogs", "COGS"), ("opex", "OPEX")])
+    + f", '$' || format('{{:,.2f}}', {RN('delivery_cost', 2)}) AS \"Del Cost\""
     + f", '$' || format('{{:,.0f}}', {RN('ue_profit', 0)}) AS Profit, {RN('ue_profit', 0)} AS profit_value, "
     "count(*) OVER (PARTITION BY \"user\") >= 2 AS comparable FROM ("
     f"SELECT scen.*, {_UE_PROFIT} AS ue_profit, row_number() OVER (PARTITION BY \"user\" "
@@ -258,10 +287,27 @@ def w9_saved_comparison(spark, sf_dir):
     _, scen = _scen(spark, sf_dir)
     out = S.saved_comparison(S.unit_economics_profit(scen))
     return out.select("user", "scenario_id", "name", F.col("recency").cast("int").alias("recency"),
-                      "In-Store", "UE", "DD", "SD", "Commission", "COGS", "OPEX", "Profit",
+                      "In-Store", "UE", "DD", "SD", "Commission", "COGS", "OPEX", "Del Cost", "Profit",
                       "profit_value", "comparable")
 
 
+@register("w9_group_model_comparison", sql=with_base(
+    "SELECT \"user\", x.scenario_id, " + ", ".join(
+        f"'$' || format('{{:,.0f}}', {RN(f'max(CASE WHEN model = {chr(39)}{n}{chr(39)} THEN pred END)', 0)}) AS \"{n} ($)\"" for n, _ in GROUP_MODELS)
+    + f", max(CASE WHEN is_best THEN CASE WHEN (lower < 0 AND upper > 0) OR {_W5_WIDTH} >= 80e0 THEN 'High' "
+    f"WHEN {_W5_WIDTH} >= 40e0 THEN 'Medium' ELSE 'Low' END END) AS Risk FROM (SELECT scenario_id, \"user\", row_number() OVER (PARTITION BY \"user\" "
+    "ORDER BY _yr DESC, _mo DESC, _rid DESC, scenario_id DESC) AS recency FROM scen) x JOIN ri ON ri.scenario_id = x.scenario_id "
+    "WHERE recency <= 5 GROUP BY 1, 2", *_GM_CTES, _SCEN_CTE, *_GROUP_SCORES))
+def w9_group_model_comparison(spark, sf_dir):
+    """Each saved scenario's prediction by every model, as display text, and the best model's risk."""
+    fitted, _, metrics = _group_models(spark, sf_dir)
+    _, scen = _scen(spark, sf_dir)
+    best = best_model(metrics).first()["model"]
+    saved = latest_per_group(scen, "user", "saved_at", KEEP_SAVED_SCENARIOS, "scenario_id")
+    scored = S.score_scenarios(S.scenario_features(saved, codes=code_tables(spark, sf_dir)), fitted, metrics, best)
+    return S.saved_forecasts(saved, scored, list(fitted))
+
+
 # --- W10 -----------------------------------------------------------------------------------
 _STEP = 1
 #: Scoring every 1 % mix of every scenario with a 100-tree model takes hours here; 5 % takes minutes.
