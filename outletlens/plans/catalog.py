@@ -147,4 +147,4 @@ def f2_exclude_outliers(spark, sf_dir):
 
 
 # Area modules register themselves on import (kept last: they import this one).
-from . import q_aggregates, q_distributions, q_ml, q_scenarios  # noqa: E402,F401
+from . import q_aggregates, q_distributions, q_ml, q_scenarios, q_sources  # noqa: E402,F401

@@ -9,7 +9,8 @@ pushdown reach the scan); CSV is supported for parity.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +37,12 @@ def resolve_path(spark: SparkSession, candidates) -> str:
     raise OutletDataError(f"Data file not found. Expected one of: {', '.join(candidates)}")
 
 
-def read_outlets(spark: SparkSession, path, fmt: str | None = None) -> DataFrame:
+def read_outlets(spark: SparkSession, path, fmt: str | None = None, validate: bool = False) -> DataFrame:
     """Outlet table from CSV (header) or parquet with the OUTLET schema.
 
-    Extra columns are ignored; missing required columns raise OutletDataError.
+    Extra columns are ignored; missing required columns raise OutletDataError. A malformed
+    row is only met when rows are read: ``validate`` reads them all once (one aggregate, no
+    shuffle of rows) and turns such a row into OutletDataError here.
     """
     path = resolve_path(spark, path)
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
@@ -60,7 +63,13 @@ def read_outlets(spark: SparkSession, path, fmt: str | None = None) -> DataFrame
     except AnalysisException as e:
         raise OutletDataError(f"Error loading data file {path}: {e}") from e
     present = [f for f in OUTLET.fields if f.name in df.columns]
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in present])
+    df = df.select(*[F.col(f.name).cast(f.dataType) for f in present])
+    if validate:
+        try:
+            df.agg(F.max(F.xxhash64(*df.columns))).first()
+        except (PySparkException, Py4JError) as e:
+            raise OutletDataError(f"Error loading data file {path}: {str(e).splitlines()[0]}") from e
+    return df
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

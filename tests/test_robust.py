@@ -150,3 +150,15 @@ def test_infinite_training_rows_are_named(spark):
     with pytest.raises(ValueError, match="AOV"):
         check_finite(df, ["AOV"])
     assert "ProfitPerOrder" not in usable_features(exclude_leaky=True) and "AOV" in usable_features(exclude_leaky=True)
+
+
+def test_malformed_rows_are_a_data_error(spark, tmp_path):
+    from outletlens.sources.io import OutletDataError, read_outlets, write_csv
+    path = str(tmp_path / "outlets.csv")
+    write_csv(frame(spark, [outlet_row(RestaurantID=i) for i in range(3)]), path, single_file=True)
+    assert read_outlets(spark, path, validate=True).count() == 3
+    part = next((tmp_path / "outlets.csv").glob("part-*.csv"))
+    rows = part.read_text().splitlines()
+    (tmp_path / "broken.csv").write_text("\n".join([*rows, rows[-1].replace(",100,", ",not a number,", 1)]) + "\n")
+    with pytest.raises(OutletDataError):
+        read_outlets(spark, str(tmp_path / "broken.csv"), validate=True)
