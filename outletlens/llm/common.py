@@ -63,6 +63,34 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def whole(df: DataFrame, names: list) -> DataFrame:
+    """Columns ``names`` for a pandas function, whole numbers as text: pandas would turn a
+    column of long values with a null into doubles, which lose the digits of large ids."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) if kinds[c] == "bigint" else F.col(f"`{c}`") for c in names])
+
+
+def schema_of(df: DataFrame, names: list) -> str:
+    """The schema of ``whole(df, names)`` as a pandas function returns it."""
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{c}` {'string' if kinds[c] == 'bigint' else kinds[c]}" for c in names)
+
+
+def restored(out: DataFrame, df: DataFrame, names: list) -> DataFrame:
+    """``out`` with the columns ``names`` of ``df`` in their own types again."""
+    kinds = dict(df.dtypes)
+    return out.withColumns({c: F.col(f"`{c}`").cast("long") for c in names if kinds[c] == "bigint"})
+
+
+def id_and_text(docs: DataFrame, *more) -> DataFrame:
+    """doc_id (a whole number as text, see ``whole``), text and further columns for a pandas function."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def long_id(out: DataFrame) -> DataFrame:
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def text_key() -> Column:
     """16-byte md5 of the column text (null: of the empty text)."""
     return F.unhex(F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8"))).alias("text_key")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import scratch, ship
+from outletlens.llm.common import restored, schema_of, scratch, ship, whole
 from outletlens.llm.hashing import chunks, mix
 
 SIZES = (2, 3, 4)
@@ -169,6 +169,6 @@ def identify(docs: DataFrame, model: Model, keep: list) -> DataFrame:
         for pdf in batches:
             found = shared.value.predict(pdf["_llm_text"].tolist())
             yield pd.concat([pdf[names].reset_index(drop=True), found], axis=1)
-    rows = docs.select(*names, F.col("text").cast("string").alias("_llm_text"))
-    kinds = ", ".join(f"`{c}` {dict(docs.select(*names).dtypes)[c]}" for c in names)
-    return rows.mapInPandas(go, f"{kinds}, lang_pred string, score double, known double")
+    rows = whole(docs.select(*names, F.col("text").cast("string").alias("_llm_text")), [*names, "_llm_text"])
+    out = rows.mapInPandas(go, f"{schema_of(docs, names)}, lang_pred string, score double, known double")
+    return restored(out, docs, names)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import scratch, ship, small, text_key
+from outletlens.llm.common import id_and_text, long_id, scratch, ship, small, text_key
 from outletlens.llm.components import components
 from outletlens.llm.hashing import chunks, mix, prefix_hash, span_hash
 
@@ -99,8 +99,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 out = [(len(s), k, s[:K].copy()) for s, k in found]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [o[0] for o in out], "node": [o[1] for o in out],
                                     "sketch": [o[2] for o in out], "text_key": part["text_key"].to_numpy()})
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key()).mapInPandas(
-        run, "doc_id long, n_shingles long, node binary, sketch array<long>, text_key binary")
+    return long_id(id_and_text(docs, text_key()).mapInPandas(
+        run, "doc_id string, n_shingles long, node binary, sketch array<long>, text_key binary"))
 
 
 def _postings(nodes: DataFrame) -> DataFrame:

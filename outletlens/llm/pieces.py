@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import ship
+from outletlens.llm.common import id_and_text, long_id, ship
 from outletlens.llm.hashing import BASE, chunks, mix
 
 MARK = "▁"
@@ -314,5 +314,5 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
                     rows.append((len(i), int(((i >= p.byte_first) & (i < p.byte_first + 256)).sum()), zlib.crc32(raw),
                                  decode(p, raw) == t.replace(MARK, " ")))
             yield pd.concat([pdf["doc_id"].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])], axis=1)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    return long_id(id_and_text(docs).mapInPandas(
+        run, "doc_id string, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import scratch, ship
+from outletlens.llm.common import restored, schema_of, scratch, ship, whole
 from outletlens.llm.hashing import chunks
 
 SHRINK = 0.2
@@ -71,8 +71,8 @@ def featured(docs: DataFrame, keep: list) -> DataFrame:
     def go(batches):
         for pdf in batches:
             yield pdf[names].assign(stats=list(statistics(pdf["_llm_text"].tolist())))
-    kinds = ", ".join(f"`{c}` {dict(docs.select(*names).dtypes)[c]}" for c in names)
-    return docs.select(*names, F.col("text").cast("string").alias("_llm_text")).mapInPandas(go, f"{kinds}, stats array<double>")
+    rows = whole(docs.select(*names, F.col("text").cast("string").alias("_llm_text")), [*names, "_llm_text"])
+    return restored(rows.mapInPandas(go, f"{schema_of(docs, names)}, stats array<double>"), docs, names)
 
 
 class Gaussians:
@@ -132,5 +132,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, train, keep: list) -> Data
         for pdf in batches:
             s = model.score(np.stack(pdf["stats"])) if len(pdf) else np.zeros(0)
             yield pdf[names].assign(score=s, predicted=(s >= 0.5).astype("int32"))
-    kinds = ", ".join(f"`{c}` {dict(stats.dtypes)[c]}" for c in names)
-    return stats.select(*names, "stats").mapInPandas(go, f"{kinds}, score double, predicted int")
+    out = whole(stats, [*names, "stats"]).mapInPandas(go, f"{schema_of(stats, names)}, score double, predicted int")
+    return restored(out, stats, names)

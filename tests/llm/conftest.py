@@ -19,7 +19,7 @@ def edge_rows():
     near[60] = "changed"
     rows = [(1, a), (2, a), (2, a), (3, " ".join(near)), (4, None), (5, ""), (6, " \n\t "), (7, "One two"), (None, prose(3, 40)),
             (8, prose(4, 30) + "\n" + passage + "\n" + prose(5, 30)), (9, prose(6, 200) + " " + passage), (10, "é漢字 " * 300),
-            (11, prose(7, 60_000)), (12, "same line\n" * 100), (None, None), (13, "ab" * 2000), (14, "\x00 \x1c nul ▁ \U0001F600")]
+            ((1 << 62) + 11, prose(7, 60_000)), (12, "same line\n" * 100), (None, None), (13, "ab" * 2000), (14, "\x00 \x1c nul ▁ \U0001F600")]
     return [(i, t, "en" if k % 2 else None, f"s{k % 3}" if k % 5 else None, None if t is None else len(t)) for k, (i, t) in enumerate(rows)]
 
 

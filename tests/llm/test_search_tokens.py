@@ -108,7 +108,8 @@ def test_packing(spark, docs, no_docs):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         want += [(i or -1, k // 512, k, len(ids[k:k + 512]), zlib.crc32(ids[k:k + 512].tobytes())) for k in range(0, len(ids), 512)]
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    assert sorted(want) == sorted(out[cols].fillna(-1).astype("int64").itertuples(index=False, name=None))
+    got = pack(docs, path, capacity=512, end_id=1).select(*cols).collect()
+    assert sorted(want) == sorted(tuple(-1 if x is None else x for x in r) for r in got)
     for _, g in out.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 512
@@ -122,7 +123,8 @@ def test_sharding(spark, docs, no_docs):
     from outletlens.llm.sharding import interleave
     out = interleave(docs, shards=4).toPandas()
     want = sorted((i or -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in edge_rows())
-    assert sorted(out[["doc_id", "size", "text_crc32"]].fillna(-1).astype("int64").itertuples(index=False, name=None)) == want
+    got = interleave(docs, shards=4).select("doc_id", "size", "text_crc32").collect()
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in got) == want
     sizes = out.groupby("shard").size()
     assert sizes.max() - sizes.min() <= 1
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
