@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import scratch, ship
+from outletlens.llm.common import id_and_text, long_id, scratch, ship
 from outletlens.llm.hashing import chunks
 from outletlens.llm.tokens import encoder
 
 GROUP_SEQUENCES = 8192
-_CHUNK = 4 << 20
+_CHUNK = 1 << 19
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int):
@@ -72,11 +72,8 @@ def pieces(docs: DataFrame, spec: str, capacity: int, end_id: int) -> DataFrame:
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at:at + 4 * capacity]
                         out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        go, "doc_id long, piece int, start long, length long, ids_crc32 long")
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    return id_and_text(docs).mapInPandas(go, "doc_id string, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -93,5 +90,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         where, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
         return pdf.assign(sequence_id=pdf["lot"] * (1 << 32) + where, offset=offset).drop(columns="lot")
     # the written rows have fixed places, so their numbers survive a lost executor
-    return (cut.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-            .groupBy("lot").applyInPandas(go, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
+    return long_id(cut.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+            .groupBy("lot").applyInPandas(go, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
