@@ -59,11 +59,13 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.select("*", _by_rule(rules, lambda r: r[1] + r[2]).alias("rule"), _by_rule(rules, lambda r: r[0]).alias("ruled"))
 
     # segments that stay literal: frequent at their depth of the host, and without digits
+    # (those are counted as one, so numbered pages do not make rows here)
     seen = (rows.select("host", F.posexplode(_segments(F.col("path"))).alias("depth", "segment"))
+            .withColumn("segment", F.when(~F.col("segment").rlike("[0-9]"), F.col("segment")))
             .groupBy("host", "depth", "segment").agg(F.count("*").alias("n")))
-    share = Window.partitionBy("host", "depth")      # over counts, not pages
-    literal = (seen.withColumn("of", F.sum("n").over(share))
-               .where((F.col("n") * LITERALS >= F.col("of")) & (F.col("n") > 1) & ~F.col("segment").rlike("[0-9]"))
+    total = seen.groupBy("host", "depth").agg(F.sum("n").alias("of"))
+    literal = (seen.where("segment is not null and n > 1").join(total, ["host", "depth"])
+               .where(F.col("n") * LITERALS >= F.col("of"))
                .groupBy("host").agg(F.collect_list(F.concat_ws("/", F.col("depth").cast("string"), "segment")).alias("literals")))
     known = F.coalesce(F.col("literals"), F.array().cast("array<string>"))
     segments = F.transform(_segments(F.col("path")), lambda s, i: F.when(
