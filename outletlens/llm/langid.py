@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import restored, schema_of, scratch, ship, whole
+from outletlens.llm.common import lean, restored, schema_of, scratch, ship, whole
 from outletlens.llm.hashing import chunks, mix
 
 SIZES = (2, 3, 4)
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, train: Column, train_texts: int = TRAIN_TEXTS) -> Model
                 yield frame.groupby(["lang", "h"], sort=False).size().rename("n").reset_index()
                 for name, n in pd.Series(langs[lo:hi]).value_counts().items():
                     yield pd.DataFrame({"lang": [name], "h": [None], "n": [n]})
-    found = scratch(rows.mapInPandas(grams, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "lang-grams")
+    found = scratch(rows.mapInPandas(lean(grams), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "lang-grams")
     drawn = {r["lang"]: r["n"] for r in found.where("h is null").collect()}
     least = F.create_map(*[F.lit(x) for k in languages for x in (k, max(1.0, MIN_SHARE * drawn.get(k, 0)))])
     # at most (mean n-grams of a text) / MIN_SHARE rows for each language, whatever the input's size
@@ -170,5 +170,5 @@ def identify(docs: DataFrame, model: Model, keep: list) -> DataFrame:
             found = shared.value.predict(pdf["_llm_text"].tolist())
             yield pd.concat([pdf[names].reset_index(drop=True), found], axis=1)
     rows = whole(docs.select(*names, F.col("text").cast("string").alias("_llm_text")), [*names, "_llm_text"])
-    out = rows.mapInPandas(go, f"{schema_of(docs, names)}, lang_pred string, score double, known double")
+    out = rows.mapInPandas(lean(go), f"{schema_of(docs, names)}, lang_pred string, score double, known double")
     return restored(out, docs, names)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import id_and_text, long_id, scratch, ship, small, text_key
+from outletlens.llm.common import id_and_text, lean, long_id, scratch, ship, small, text_key
 from outletlens.llm.components import components
 from outletlens.llm.hashing import chunks, mix, prefix_hash, span_hash
 
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [o[0] for o in out], "node": [o[1] for o in out],
                                     "sketch": [o[2] for o in out], "text_key": part["text_key"].to_numpy()})
     return long_id(id_and_text(docs, text_key()).mapInPandas(
-        run, "doc_id string, n_shingles long, node binary, sketch array<long>, text_key binary"))
+        lean(run), "doc_id string, n_shingles long, node binary, sketch array<long>, text_key binary"))
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _full_sets(ends: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     ids = ends.select(F.col("doc_id").alias("end_id")).distinct()
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(small(ids, ends), F.col("doc_id").eqNullSafe(F.col("end_id")), "left_semi").select("text")
-            .mapInPandas(run, "node binary, full array<long>")
+            .mapInPandas(lean(run), "node binary, full array<long>")
             .join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 

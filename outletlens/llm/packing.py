@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import id_and_text, long_id, scratch, ship
+from outletlens.llm.common import id_and_text, lean, long_id, scratch, ship
 from outletlens.llm.hashing import chunks
 from outletlens.llm.tokens import encoder
 
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, spec: str, capacity: int, end_id: int) -> DataFrame:
                         part = raw[at:at + 4 * capacity]
                         out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-    return id_and_text(docs).mapInPandas(go, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return id_and_text(docs).mapInPandas(lean(go), "doc_id string, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

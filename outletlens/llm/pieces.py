@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import id_and_text, long_id, ship
+from outletlens.llm.common import id_and_text, lean, long_id, ship
 from outletlens.llm.hashing import BASE, chunks, mix
 
 MARK = "▁"
@@ -315,4 +315,4 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
                                  decode(p, raw) == t.replace(MARK, " ")))
             yield pd.concat([pdf["doc_id"].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])], axis=1)
     return long_id(id_and_text(docs).mapInPandas(
-        run, "doc_id string, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean"))
+        lean(run), "doc_id string, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import restored, schema_of, scratch, ship, whole
+from outletlens.llm.common import lean, restored, schema_of, scratch, ship, whole
 from outletlens.llm.hashing import chunks
 
 SHRINK = 0.2
@@ -72,7 +72,7 @@ def featured(docs: DataFrame, keep: list) -> DataFrame:
         for pdf in batches:
             yield pdf[names].assign(stats=list(statistics(pdf["_llm_text"].tolist())))
     rows = whole(docs.select(*names, F.col("text").cast("string").alias("_llm_text")), [*names, "_llm_text"])
-    return restored(rows.mapInPandas(go, f"{schema_of(docs, names)}, stats array<double>"), docs, names)
+    return restored(rows.mapInPandas(lean(go), f"{schema_of(docs, names)}, stats array<double>"), docs, names)
 
 
 class Gaussians:
@@ -112,7 +112,7 @@ def fit(stats: DataFrame, label: str, shrink: float = SHRINK) -> Gaussians:
                 yield pd.DataFrame({"label": k, "place": np.arange(1 + d + d * d),
                                     "value": np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))})
     rows = (stats.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), "stats")
-            .mapInPandas(sums, "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).toPandas())
+            .mapInPandas(lean(sums), "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).toPandas())
     total = np.zeros((2, 1 + d + d * d))
     total[rows["label"], rows["place"]] = rows["value"]
     return Gaussians(total[:, 0], total[:, 1:d + 1], total[:, d + 1:].reshape(2, d, d), shrink)
@@ -132,5 +132,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, train, keep: list) -> Data
         for pdf in batches:
             s = model.score(np.stack(pdf["stats"])) if len(pdf) else np.zeros(0)
             yield pdf[names].assign(score=s, predicted=(s >= 0.5).astype("int32"))
-    out = whole(stats, [*names, "stats"]).mapInPandas(go, f"{schema_of(stats, names)}, score double, predicted int")
+    out = whole(stats, [*names, "stats"]).mapInPandas(lean(go), f"{schema_of(stats, names)}, score double, predicted int")
     return restored(out, stats, names)
