@@ -39,6 +39,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def prefix_values(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes' values times BASE**-at: their running sum times BASE**(at) is a prefix hash."""
+    return _BYTE[data] * powers(int(at.max(initial=0)), True)[at]
+
+
 def span_hash(h: np.ndarray, start: np.ndarray, length) -> np.ndarray:
     """Hash of data[start : start + length] from its prefix hashes."""
     p = powers(int(np.max(length, initial=0)) if not np.isscalar(length) else length)

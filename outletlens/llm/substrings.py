@@ -34,19 +34,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import scratch, ship, small
-from outletlens.llm.hashing import chunks, mix, powers, prefix_hash, span_hash
+from outletlens.llm.common import give_back, id_and_text, lean, long_id, scratch, ship, small
+from outletlens.llm.hashing import chunks, mix, powers, prefix_hash, prefix_values, span_hash
 
 GRAM = 64
 #: Bytes of text that a task hashes at once (some 100 bytes of memory each).
 _CHUNK = 1 << 19
 #: Bits of a position within one buffer; longer texts are cut into overlapping buffers.
 _POS = np.uint64(28)
-_LONGEST = (1 << 28) - (1 << 16)
+_LONGEST = 4 << 20
 #: Different runs of one anchor that are compared in one bucket; beyond, they are split by distance.
 GROUP = 2048
-#: Texts whose spans may be broadcast (about 250 bytes each); beyond, the texts are shuffled to them.
-SPAN_ROWS = 100_000
+#: Suffixes that are sorted at once.
+_SORTED = 100_000
 #: Bytes that one bucket of shipped runs should hold (its suffixes take some 100 times as much memory).
 BUCKET = 1 << 20
 
@@ -117,7 +117,7 @@ def text_runs(docs: DataFrame, width: int) -> DataFrame:
                 for doc, lo, hi, at, anchor, run in _text_runs(raw, width):
                     yield pd.DataFrame({"tkey": keys[doc], "lo": lo, "hi": hi, "at": at, "anchor": anchor, "run": run})
     return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(
-        go, "tkey binary, lo long, hi long, at long, anchor long, run long")
+        lean(go), "tkey binary, lo long, hi long, at long, anchor long, run long")
 
 
 def _common(h, p, x, y, width):
@@ -185,12 +185,32 @@ def suffix_sort(data, h, place, group, width):
     return order
 
 
-def _repeated(data, place, group, width):
-    """Which suffixes agree over width bytes with another one of their group."""
+def _row_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Prefix hashes that begin anew at each start (each row of data ends with a byte of its
+    own that no suffix reaches), so that powers only go up to the longest row."""
+    size = np.diff(np.append(starts, len(data)))
+    at = np.arange(len(data)) - np.repeat(starts, size)
+    value = prefix_values(data, at)
+    total = np.cumsum(value) - value                  # before each byte
+    h = (total - np.repeat(total[starts], size)) * powers(int(size.max()))[np.maximum(at - 1, 0)]
+    h[starts] = 0
+    return h
+
+
+def _repeated(data, h, place, group, width):
+    """Which suffixes agree over width bytes with another one of their group (sorted, contiguous)."""
+    hit = np.zeros(len(place), bool)
+    edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    for lo, hi in chunks(np.diff(np.append(edge, len(group))).tolist(), _SORTED):
+        a, b = edge[lo], edge[hi] if hi < len(edge) else len(group)
+        hit[a:b] = _repeated_part(data, h, place[a:b], group[a:b], width)
+    return hit
+
+
+def _repeated_part(data, h, place, group, width):
     hit = np.zeros(len(place), bool)
     if len(place) < 2:
         return hit
-    h = prefix_hash(data)
     order = suffix_sort(data, h, place, group, width)
     x, y = order[:-1], order[1:]
     near = np.flatnonzero(group[x] == group[y])
@@ -210,8 +230,9 @@ def _compare_bucket(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     """tkey, lo, hi of the maximal stretches of repeated windows among the shipped runs of a bucket."""
     pdf = pdf.reset_index(drop=True)
     n = pdf["windows"].to_numpy()
-    data = np.frombuffer(b"".join(pdf["raw"]), np.uint8)
-    size = np.array([len(r) for r in pdf["raw"]])
+    data = np.frombuffer(b"\0".join(pdf["raw"]) + b"\0", np.uint8)
+    size = np.array([len(r) + 1 for r in pdf["raw"]])
+    h = _row_hashes(data, np.cumsum(size) - size)
     row = np.repeat(np.arange(len(pdf)), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     place = np.repeat(np.cumsum(size) - size, n) + step
@@ -222,7 +243,7 @@ def _compare_bucket(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     size = np.unique(group, return_counts=True)[1]
     order = order[np.repeat(size, size) > 1]
     hit = np.zeros(len(row), bool)
-    hit[order] = _repeated(data, place[order], group[order], width)
+    hit[order] = _repeated(data, h, place[order], group[order], width)
     new = np.concatenate(([True], (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])))
     begin = np.flatnonzero(new)
     end = np.concatenate((begin[1:], [len(row)])) - 1
@@ -272,11 +293,15 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
                 yield pd.DataFrame(out, columns=["anchor", "run", "part", "windows", "distance", "lo", "first", "raw"])
     total = open_.agg(F.coalesce(F.sum((F.col("hi") - F.col("lo") + width) * F.least(F.ceil(F.col("kinds") / GROUP), F.lit(width))), F.lit(0))).first()[0]
     buckets = max(1, int(total) // BUCKET)
+    def compare(pdf):
+        out = _compare_bucket(pdf, width)
+        give_back()
+        return out
     shipped = texts.join(wanted, "tkey").mapInPandas(
-        cut, "anchor long, run long, part long, windows long, distance long, lo long, first long, raw binary")
+        lean(cut), "anchor long, run long, part long, windows long, distance long, lo long, first long, raw binary")
     found = (shipped.withColumn("bucket", F.pmod(F.xxhash64("anchor", "part"), F.lit(buckets)))
              .groupBy("bucket")
-             .applyInPandas(lambda pdf: _compare_bucket(pdf, width), "anchor long, run long, from long, to long"))
+             .applyInPandas(compare, "anchor long, run long, from long, to long"))
     whole = kinds.where("n > 1").select("anchor", "run", F.lit(0).cast("long").alias("from"), (F.col("of.hi") - F.col("of.lo")).alias("to"))
     spans = scratch(found.unionByName(whole), "substr-found")
     # kinds are few columns; each of their runs, in every text, loses the same relative bytes
@@ -299,7 +324,7 @@ def with_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     """The rows of ``docs`` with an extra column llm_spans (null: nothing repeats)."""
     spans = scratch(repeated_spans(docs, width), "substr-spans").withColumnRenamed("tkey", "llm_tkey").withColumnRenamed("spans", "llm_spans")
     key = F.unhex(F.md5(F.encode(F.col("text").cast("string"), "utf-8")))
-    return docs.withColumn("llm_tkey", key).join(small(spans, limit=SPAN_ROWS), "llm_tkey", "left").drop("llm_tkey")
+    return docs.withColumn("llm_tkey", key).join(spans, "llm_tkey", "left").drop("llm_tkey")
 
 
 def removal_digest(docs: DataFrame, width: int = 400) -> DataFrame:
@@ -316,9 +341,8 @@ def removal_digest(docs: DataFrame, width: int = 400) -> DataFrame:
                 kept.update(raw[at:])
                 out.append((len(raw), sum(hi - lo for lo, hi in cuts), len(cuts), kept.hexdigest()))
             yield pd.concat([pdf["doc_id"].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(rows, width).select("doc_id", "text", "llm_spans").mapInPandas(
-        go, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return long_id(with_spans(id_and_text(docs), width).select("doc_id", "text", "llm_spans").mapInPandas(
+        lean(go), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def strip_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
