@@ -48,11 +48,13 @@ def test_block_pruning_keeps_the_best():
     texts = [prose(i, 40) for i in range(2000)]
     q = Queries([0, 1], [prose(7, 3), prose(8, 50)])
     q.weigh(2000, 40.0, np.full(len(q.weight), 50.0))
-    shard = Shard(q, texts)
-    for terms, counts in q.bags:
-        everything, all_scores = shard.search(terms, counts, 0.0, 2000)
-        docs, scores = shard.search(terms, counts, 0.0, 5)
-        assert sorted(scores)[-5:] == sorted(all_scores)[-5:]
+    shard = Shard(q, *q.postings(texts))
+    assert (shard.row >= 0).any() and (shard.row < 0).any()
+    for (terms, counts), sums in zip(q.bags, shard.frequent(q.bags), strict=True):
+        everything = shard.exact(terms, counts, np.arange(2000))
+        docs, scores = shard.search(terms, counts, sums, 0.0, 5)
+        assert sorted(scores)[-5:] == sorted(everything)[-5:]
+        assert (everything[docs] == scores).all()
 
 
 def test_pieces_equal_the_library():
