@@ -32,7 +32,8 @@ PROBES = 2
 MIN_SHARE = 0.1
 TRAIN_TEXTS = 6000
 UNKNOWN = "und"
-_CHUNK = 1 << 20
+#: Characters of text whose n-grams a task holds at once (some 250 bytes of memory each).
+_CHUNK = 1 << 18
 _letter: list[np.ndarray] = []
 
 
@@ -165,10 +166,13 @@ def identify(docs: DataFrame, model: Model, keep: list) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)      # SLOTS x 8 bytes for each 64 languages
     names = [c for c in keep if c not in ("lang_pred", "score", "known")]
 
+    texts = "text" if "text" in names and dict(docs.dtypes)["text"] == "string" else "_llm_text"     # the text moves once
+
     def go(batches):
         for pdf in batches:
-            found = shared.value.predict(pdf["_llm_text"].tolist())
+            found = shared.value.predict(pdf[texts].tolist())
             yield pd.concat([pdf[names].reset_index(drop=True), found], axis=1)
-    rows = whole(docs.select(*names, F.col("text").cast("string").alias("_llm_text")), [*names, "_llm_text"])
+    rows = docs if texts == "text" else docs.select(*names, F.col("text").cast("string").alias(texts))
+    rows = whole(rows, list(dict.fromkeys([*names, texts])))
     out = rows.mapInPandas(lean(go), f"{schema_of(docs, names)}, lang_pred string, score double, known double")
     return restored(out, docs, names)
