@@ -280,8 +280,8 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
             for raw, kinds_ in zip(_encoded(pdf["text"]), pdf["wanted"], strict=True):
                 for k in kinds_:
                     lo, hi = k["lo"], k["hi"]
-                    parts = min(-(-k["kinds"] // GROUP), hi - lo + 1, width)
-                    # split by distance to the anchor, so that equal windows meet
+                    # split by distance to the anchor, in the same steps for all its runs, so that equal windows meet
+                    parts = min(-(-k["kinds"] // GROUP), width)
                     each = -(-width // parts)
                     for part in range((k["at"] - hi) // each, (k["at"] - lo) // each + 1):
                         a, b = max(lo, k["at"] - (part + 1) * each + 1), min(hi, k["at"] - part * each)

@@ -53,6 +53,20 @@ def test_substrings_random(spark, monkeypatch, width, group):
     assert digest(df, width) == sorted(removed(texts, width))
 
 
+def test_substrings_hot_anchor_meets_runs_of_any_length(spark, monkeypatch):
+    """One passage in many contexts, some of them so short that a run has few windows."""
+    from outletlens.llm import substrings
+    monkeypatch.setattr(substrings, "GROUP", 4)
+    monkeypatch.setattr(substrings, "BUCKET", 1)
+    r = random.Random(6)
+    passage = prose(900, 90)[:430]
+    texts = [prose(i, 60)[:r.randint(0, 200)] + passage + prose(200 + i, 60)[:r.randint(0, 200)] for i in range(40)]
+    texts += [passage[i:i + 400 + i % 3] for i in range(0, 28, 3)]
+    texts += [prose(i, 60)[:150] + passage[100:380] + prose(400 + i, 60)[:150] for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert digest(df, 400) == sorted(removed(texts, 400))
+
+
 def test_suffix_sort_orders_like_bytes():
     from outletlens.llm.hashing import prefix_hash
     from outletlens.llm.substrings import suffix_sort
