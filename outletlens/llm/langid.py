@@ -46,13 +46,13 @@ def _letters() -> np.ndarray:
 
 def _grams(texts: list):
     """For chunks of texts: first text, end text, hashes of all n-grams of lower-cased words
-    (one separator on each side, none across words), and the text number of each."""
+    (one separator on each side, none across words), and the text number of each. Each text
+    has a leading and a trailing separator of its own, so its n-grams are the same in any chunk."""
     texts = ["" if t is None else t for t in texts]
     for lo, hi in chunks([len(t) + 2 for t in texts], _CHUNK):
         low = [t.lower() for t in texts[lo:hi]]
-        code = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-        owner = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
-        owner = np.concatenate((owner[:1], owner)) if len(owner) else np.zeros(len(code), np.int64)
+        code = np.frombuffer((" " + "  ".join(low) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+        owner = np.repeat(np.arange(len(low)), [len(t) + 2 for t in low])
         letter = _letters()[code]
         value = np.where(letter, code, 0).astype(np.uint64)
         h = np.zeros(len(code), np.uint64)

@@ -48,6 +48,20 @@ def test_bloom_counts_are_corrected_membership():
     assert out.lang_pred.tolist() == ["l64", "l00", "und"] and out.score.tolist()[0] == 1
 
 
+def test_language_id_is_the_same_alone_and_in_a_batch():
+    from outletlens.llm.langid import SLOTS, Model, _grams, _slots
+    texts = ["he", "hi he", "he", "", None, "1 hello", "he!", "é he", "he"]
+    slots = np.zeros((SLOTS, 1), np.uint64)
+    for i, word in enumerate(["he", "hi"]):
+        _, _, h, _ = next(_grams([word]))
+        for s in _slots(h):
+            slots[s, 0] |= np.uint64(1 << i)
+    model = Model(["a", "b"], [1, 1], slots)
+    alone = pd.concat([model.predict([t]) for t in texts], ignore_index=True)
+    pd.testing.assert_frame_equal(model.predict(texts), alone)
+    assert alone.known.tolist()[0] == 1
+
+
 def _base(text):
     word = re.compile("[^\x20\x09-\x0D]+")
     w, seen, cover = word.findall(text or ""), defaultdict(list), set()
