@@ -7,12 +7,13 @@ corrected for that filter's false positives, and the largest decides.
 
 A language's filter holds the n-grams found in at least ``MIN_SHARE`` of its training
 texts, so its size depends on the language and not on the amount of text. Training
-reads at most ``TRAIN_TEXTS`` texts per language in expectation, picked by a hash of
-the text (a documented bound on the fitted sample); every text is predicted in whole.
+reads at most ``TRAIN_TEXTS`` different texts per language in expectation, picked by a
+hash of the text (a documented bound on the fitted sample); copies count as one text
+throughout. Every text is predicted in whole.
 
 Defined cases: null text or text without a letter gives ``und`` and score 0; with no
-training rows every text does; if no n-gram is known, the language with most training
-texts is given with score 0; ties go to the alphabetically first language. Repeated
+training rows every text does; if no n-gram is known, the language with most different
+training texts is given with score 0; ties go to the alphabetically first language. Repeated
 rows get equal predictions; extra columns are not looked at.
 """
 
@@ -82,7 +83,7 @@ def _slots(h: np.ndarray):
 
 
 class Model:
-    """Languages (alphabetical), their training texts, and the bit-sliced filters
+    """Languages (alphabetical), their numbers of different training texts, and the bit-sliced filters
     (slots x words of 64 languages)."""
 
     def __init__(self, languages: list, texts: list, slots: np.ndarray):
@@ -127,13 +128,14 @@ def fit(docs: DataFrame, train: Column, train_texts: int = TRAIN_TEXTS) -> Model
     ship(docs.sparkSession)
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # different texts, known by 64-bit hashes
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", F.xxhash64("text")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], [], np.zeros((SLOTS, 1), np.uint64))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, train_texts / sizes[k]))])
-    # equal texts are drawn together; 2**31 draws
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 31)) < share[F.col("lang")] * float(1 << 31))
+    # equal texts are drawn together and then count once; 2**31 draws
+    rows = rows.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 31)) < share[F.col("lang")] * float(1 << 31)).distinct()
 
     def grams(batches):
         for pdf in batches:

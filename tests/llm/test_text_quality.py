@@ -62,6 +62,18 @@ def test_language_id_is_the_same_alone_and_in_a_batch():
     assert alone.known.tolist()[0] == 1
 
 
+def test_language_id_learns_copies_as_one_text(spark):
+    from pyspark.sql import functions as F
+
+    from outletlens.llm.langid import fit
+    from tests.llm.conftest import prose
+    single = [(prose(i, 12), "en") for i in range(200)] + [(prose(i, 12)[::-1], "xx") for i in range(50)]
+    copies = single + [single[k] for k in (3, 7, 220) for _ in range(300)]
+    a, b = (fit(spark.createDataFrame(rows, "text string, lang string").repartition(4), F.lit(True), train_texts=60) for rows in (single, copies))
+    assert a.texts == b.texts == [200, 50]
+    assert a.slots.any() and (a.slots == b.slots).all()
+
+
 def _base(text):
     word = re.compile("[^\x20\x09-\x0D]+")
     w, seen, cover = word.findall(text or ""), defaultdict(list), set()
