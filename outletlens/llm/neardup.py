@@ -4,7 +4,8 @@ One hash function orders a document's word shingles; the ``K`` smallest distinct
 values are its sketch. If two documents have a Jaccard similarity of 0.8 or more,
 the retained values of their union's bottom are shared with that probability each,
 so some ``RUN`` consecutive values of both sketches agree except with a
-probability below 1e-7 (0.8) or 1e-9 (0.85); sets smaller than ``K`` cannot miss.
+probability below 1e-7 (0.8) or 1e-9 (0.85); sets smaller than ``K`` cannot miss
+(where one differing value could break all runs of a small set, it posts shorter ones too).
 Inverted lists over such runs of retained values give the overlaps:
 
 1. each list links its members to its most central member (a star, never all pairs);
@@ -79,18 +80,28 @@ def _parts(pdf: pd.DataFrame, width: int):
         yield pdf.iloc[lo:hi], _shingles(texts[lo:hi], width)
 
 
-def _runs(sketch: np.ndarray) -> np.ndarray:
-    """Keys of the sketch's runs of RUN consecutive values (of all values, if fewer)."""
+def _runs(sketch: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Keys of the sketch's runs of ``run`` consecutive values (of all values, if fewer)."""
     if len(sketch) == 0:
         return sketch.view(np.uint64)
-    n = max(len(sketch) - RUN + 1, 1)
+    n = max(len(sketch) - run + 1, 1)
     sketch = sketch.view(np.uint64)
     key = np.zeros(n, np.uint64)
-    for j in range(min(RUN, len(sketch))):
+    for j in range(min(run, len(sketch))):
         key = mix(key + sketch[j:j + n])
     return key
 
 
+def _keys(sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Keys under which a sketch is listed. Sets with 2 (RUN - 1) values in common and one more
+    in one of them may share no run of RUN values; if they can reach the threshold, sets of
+    fewer than 2 RUN values are also listed by runs of RUN - 1."""
+    most = 2 * RUN - 1
+    if RUN < len(sketch) <= most and 100 * (most - 1) >= percent * most:
+        return np.concatenate((_runs(sketch), _runs(sketch, RUN - 1)))
+    return _runs(sketch)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, node (16-byte key of the word sequence), sketch, text_key (md5 of the text)."""
     def run(batches):
@@ -103,11 +114,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         lean(run), "doc_id string, n_shingles long, node binary, sketch array<long>, text_key binary"))
 
 
-def _postings(nodes: DataFrame) -> DataFrame:
+def _postings(nodes: DataFrame, percent: int) -> DataFrame:
     """Inverted lists: key, node."""
     @F.pandas_udf("array<long>")
     def keys(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: _runs(np.asarray(v, np.int64)).view(np.int64))
+        return s.map(lambda v: _keys(np.asarray(v, np.int64), percent).view(np.int64))
     return nodes.select("node", F.explode(keys("sketch")).alias("key"))
 
 
@@ -175,7 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = scratch(rows.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
         "neardup-nodes")
-    posted = _postings(nodes)
+    posted = _postings(nodes, percent)
     # written first: a join of two plain shuffles is one whose hot keys can be split
     lists = scratch(posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "neardup-keys")
     listed = scratch(posted.join(lists, "key"), "neardup-lists")

@@ -149,6 +149,15 @@ def test_near_duplicates_of_one_template(spark):
     check(df, rows, 3, 85)
 
 
+def test_near_duplicates_of_few_words(spark):
+    """8 words and the same 8 with one more: sets of 4 and 5 shingles, exactly 0.8 alike."""
+    rows = []
+    for i in range(60):
+        w = [f"w{i}x{j}" for j in range(9)]
+        rows += [(2 * i, " ".join(w[:8])), (2 * i + 1, " ".join(w))]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, 5, 80)
+
+
 def test_one_of_each(spark, docs, no_docs):
     from outletlens.llm.neardup import one_of_each
     out = one_of_each(docs, 3, 85).collect()
