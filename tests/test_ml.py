@@ -29,6 +29,14 @@ def test_linear_regression_recovers_plant_and_unused_feature_has_no_importance(s
     assert abs(imp["x3"]) < 1e-9 and imp["x1"] > imp["x2"] > 0.5
 
 
+def test_permutation_is_the_same_cycle_at_any_size(spark):
+    df = planted(spark)
+    m = fit_model("Linear Regression", df, ["x1", "x2", "x3"])
+    one, many = ({r.feature: (r.importance_mean, r.importance_std) for r in permutation_importance(m, df, n_repeats=3, bucket_rows=b).collect()}
+                 for b in (100_000, 7))
+    assert all(np.allclose(one[f], many[f], rtol=0, atol=1e-9) for f in one) and len(one) == 3
+
+
 def test_quantile_booster_orders_bands(spark):
     rng = np.random.default_rng(5)
     x = rng.uniform(0, 10, 600)
