@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import frame, outlet_row
+from tests.helpers import frame, outlet_row
 from outletlens.functions.binning import commission_bucket, edge_stats
 from outletlens.operators import aggregates as A
 from outletlens.operators import features, ranking

@@ -3,7 +3,7 @@
 import io
 from contextlib import redirect_stdout
 
-from conftest import SF_SMALL
+from tests.helpers import SF_SMALL
 
 
 def plan(df) -> str:

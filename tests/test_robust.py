@@ -18,7 +18,7 @@ from outletlens.operators import ranking
 from outletlens.operators import scenarios as S
 from outletlens.operators.features import prepare
 from outletlens.schema import DEFAULT_SCENARIO
-from tests.conftest import frame, outlet_row
+from tests.helpers import frame, outlet_row
 
 INF = float("inf")
 

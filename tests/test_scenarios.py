@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.helpers import SF_SMALL
 from outletlens.operators import optimize as O
 from outletlens.operators import scenarios as S
 from outletlens.schema import DEFAULT_SCENARIO, SCENARIO

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import SF_SMALL
+from tests.helpers import SF_SMALL
 from outletlens.sources.fixture import outlet_month
 from outletlens.sources.io import OutletDataError, read_outlets, write_csv
 
