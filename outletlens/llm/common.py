@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -30,9 +32,12 @@ def ship(spark: SparkSession) -> None:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     name = os.path.basename(top)
-    path = os.path.join(tempfile.mkdtemp(), f"{name}.zip")
+    folder = tempfile.mkdtemp()
+    # executors that join later fetch the zip from here, so it stays until the driver ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{name}.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder in ("", "llm"):
+        for folder in ("", "functions", "llm"):
             for f in sorted(os.listdir(os.path.join(top, folder))):
                 if f.endswith(".py"):
                     z.write(os.path.join(top, folder, f), os.path.join(name, folder, f))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outletlens.llm import neardup, quality_rules, sharding, substrings, url_filter
+from outletlens.llm import collocations, dialogues, neardup, quality_rules, sharding, substrings, url_filter
 from outletlens.llm.common import held_out, table
 
 
@@ -72,7 +72,26 @@ def op1_exact_top_k(spark, sf_dir):
     return search(docs, queries, k=10)
 
 
-QUERIES = {"op1_exact_top_k": op1_exact_top_k,
+def op11_collocations(spark, sf_dir):
+    from outletlens.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    from outletlens.llm.dialogues import repair_digest
+    return repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_lm_scoring(spark, sf_dir):
+    from outletlens.llm.pitman_yor import score_texts
+    out = score_texts(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7, 2))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op11_collocations": op11_collocations,
+           "op12_conversation_repair": op12_conversation_repair,
+           "op13_lm_scoring": op13_lm_scoring,
+           "op1_exact_top_k": op1_exact_top_k,
            "op2_sentencepiece": op2_sentencepiece,
            "op7_url_filter": op7_url_filter,
            "op10_quality_classifier": op10_quality_classifier,
@@ -82,6 +101,7 @@ QUERIES = {"op1_exact_top_k": op1_exact_top_k,
            "op5_line_quality_rules": op5_line_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op9_minhash_near_dedup": op9_minhash_near_dedup}
-ORACLES: dict[str, str] = {"op5_line_quality_rules": quality_rules.SQL, "op6_suffix_array_dedup": substrings.SQL,
+ORACLES: dict[str, str] = {"op11_collocations": collocations.SQL, "op12_conversation_repair": dialogues.SQL,
+                          "op5_line_quality_rules": quality_rules.SQL, "op6_suffix_array_dedup": substrings.SQL,
                           "op7_url_filter": url_filter.SQL, "op8_sharding": sharding.SQL,
                           "op9_minhash_near_dedup": neardup.SQL}
