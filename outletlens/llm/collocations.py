@@ -64,6 +64,8 @@ def _count_words(seed: int):
         for pdf in batches:
             texts, langs = pdf.text.tolist(), pdf.lang.tolist()
             for lo, data, starts, ends, text, keys, _ in _runs(texts, langs, seed):
+                if not len(keys):
+                    continue
                 keys, first, n = np.unique(keys, return_index=True, return_counts=True)
                 raw = data.tobytes()
                 yield pd.DataFrame({"lang": [langs[lo + t] for t in text[first].tolist()],
@@ -154,7 +156,7 @@ def _shard_filters(sizes: tuple, width: int, cut: dict, bitmap, entries: int):
             kept[n] = quotient.merge([*([kept[n]] if kept[n] else []), *filters])
 
         def pieces(n):
-            rows = list(quotient.split(*kept[n], n * width, cut[n])) if kept[n] else []
+            rows = list(quotient.split(*kept[n], n * width, cut[n]))
             kept[n] = None
             return pd.DataFrame([(n, *r) for r in rows], columns=["n", "part", "entries", "filter"])
 
@@ -173,7 +175,8 @@ def _shard_filters(sizes: tuple, width: int, cut: dict, bitmap, entries: int):
         for n in sizes:
             if waiting[n]:
                 gather(n)
-            yield pieces(n)
+            if kept[n]:
+                yield pieces(n)
     return lean(run)
 
 

@@ -46,9 +46,9 @@ from outletlens.llm.wordhash import kinds, word_chunks
 #: Texts are parted by a byte that UTF-8 has not.
 KIND = kinds(b"\x20\x09\x0a\x0b\x0c\x0d", b"\xff")
 START, END = np.uint64(2), np.uint64(1)
-ENTRIES = 1 << 21
+ENTRIES = 1 << 20
 #: Pairs that a task gathers before it sends them on.
-GATHER = 1 << 20
+GATHER = 1 << 19
 EXACT = 64
 THETA = 1.0
 _MAIL = "kind string, key long, other long, data binary"
@@ -448,7 +448,7 @@ def _score_blocks(rounds: list, model: dict, parts: int):
         if int(key[0]) >= parts:
             return pd.concat([_sum_rows(b["rows"], names(b), b["trains"], b["n"], b["known"].astype(np.int64), b["base"], b["score"]) for b in blocks])
         if not blocks:
-            return _sum_rows([], [], [], [], [], [], [])
+            return _sum_rows([], [], [], [], [], [], []).astype({"doc_id": object})
         room, counts, samples = _load_room(pdf, rounds, model)
         context = np.concatenate([np.repeat(b["u"], b["run"].astype(np.int64)) for b in blocks])
         word = np.concatenate([b["w"] for b in blocks])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from outletlens.llm.hashing import chunks, mix, prefix_hash, span_hash
+from outletlens.llm.hashing import mix, prefix_hash, span_hash
 
 #: Bytes of text that are hashed at once (about 60 bytes of memory each).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -25,14 +25,25 @@ def word_chunks(texts: list, kind: np.ndarray):
     hashes, text of each word from 0 in the run, piece of each word). A-Z are lower-cased; every
     text is a piece or more of its own. All separators are below 0x80, so UTF-8 letters stay whole."""
     cut = bytes([int(np.flatnonzero(kind == 2)[0])])
-    raw = [b"" if t is None else t.encode("utf-8") for t in texts]
-    for lo, hi in chunks([len(r) + 1 for r in raw], CHUNK):
-        data = _LOWER[np.frombuffer(cut.join(raw[lo:hi]) + cut, np.uint8)]
-        of = kind[data]
-        word = np.concatenate(([0], of == 0, [0])).astype(np.int8)
-        edge = np.diff(word)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        size = ends - starts
-        hashes = mix(span_hash(prefix_hash(data), starts, size) + size.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
-        stops = np.cumsum([len(r) + 1 for r in raw[lo:hi]]) - 1
-        yield lo, hi - lo, data, starts, ends, hashes, np.searchsorted(stops, starts), np.cumsum(of == 2)[starts]
+    lo, total, raw = 0, 0, []
+    for t in texts:
+        more = b"" if t is None else t.encode("utf-8")
+        if raw and total + len(more) >= CHUNK:
+            yield _words(lo, raw, kind, cut)
+            lo, total, raw = lo + len(raw), 0, []
+        raw.append(more)
+        total += len(more) + 1
+    if raw:
+        yield _words(lo, raw, kind, cut)
+
+
+def _words(lo: int, raw: list, kind: np.ndarray, cut: bytes) -> tuple:
+    data = _LOWER[np.frombuffer(cut.join(raw) + cut, np.uint8)]
+    of = kind[data]
+    edge = np.diff(np.concatenate(([0], of == 0, [0])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = ends - starts
+    hashes = mix(span_hash(prefix_hash(data), starts, size) + size.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
+    stops = np.cumsum([len(r) + 1 for r in raw]) - 1
+    piece = np.searchsorted(np.flatnonzero(of == 2), starts)
+    return lo, len(raw), data, starts, ends, hashes, np.searchsorted(stops, starts), piece
