@@ -55,12 +55,33 @@ _MAIL = "kind string, key long, other long, data binary"
 _SUMS = "row long, doc_id string, train boolean, n long, known long, base double, score double"
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the fewest bytes that hold them all."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))) if x.dtype == np.int64 and x.min(initial=0) >= 0 else x
+
+
 def _pack(**arrays) -> bytes:
     out = io.BytesIO()
-    np.savez(out, **arrays)
+    np.savez(out, **{k: _small(x) for k, x in arrays.items()})
     return out.getvalue()
 
 
+def _bytes(x: np.ndarray) -> dict:
+    """Counts of which few pass a byte."""
+    big = np.flatnonzero(x > 254)
+    return {"byte": np.minimum(x, 255).astype(np.uint8), "at": big, "big": x[big]}
+
+
+def _counts(g: dict, name: str) -> np.ndarray:
+    out = g[name + "byte"].astype(np.int64)
+    out[g[name + "at"]] = g[name + "big"]
+    return out
+
+
+def _named(name: str, arrays: dict) -> dict:
+    return {name + k: x for k, x in arrays.items()}
+
+
 def _unpack(raw) -> dict:
     with np.load(io.BytesIO(raw)) as z:
         return {k: z[k] for k in z.files}
@@ -104,27 +125,38 @@ def _text_pairs(texts: list):
         yield lo, context, word, owner
 
 
-def _count_words(batches):
-    for pdf in batches:
-        train = pdf.train.to_numpy(bool)
-        for lo, context, word, owner in _text_pairs(pdf.text.tolist()):
-            use = train[lo + owner]
-            keys, n = np.unique(np.concatenate((word, context[context == START])), return_counts=True)
-            c = np.zeros(len(keys), np.int64)
-            here, many = np.unique(word[use], return_counts=True)
-            c[np.searchsorted(keys, here)] = many
-            yield pd.DataFrame({"key": keys.view(np.int64), "n": n, "c": c})
+def _frequent_contexts(share: float):
+    """Per chunk of texts: contexts with at least this share of its tokens, and their counts."""
+    def run(batches):
+        for pdf in batches:
+            for _, context, _, _ in _text_pairs(pdf.text.tolist()):
+                keys, n = np.unique(context, return_counts=True)
+                use = n >= share * len(context)
+                yield pd.DataFrame({"key": keys[use].view(np.int64), "n": n[use]})
+    return lean(run)
 
 
 class _Route:
-    """Part of a pair: by its context, by both words where the context is frequent."""
+    """The lane of a pair: by its context, by both words where the context is frequent. A part is
+    a range of lanes, so pairs in order of lane and word are in order of part and (mostly) context."""
 
     def __init__(self, bits: int, hot):
         self.bits, self.hot = bits, hot
 
     def __call__(self, context, word):
         frequent = _in(context, np.frombuffer(self.hot.value, np.uint64))[1]
-        return _top(np.where(frequent, mix(context ^ mix(word)), mix(context)), self.bits)
+        return np.where(frequent, mix(context ^ mix(word)), mix(context))
+
+    def part(self, lane):
+        return _top(lane, self.bits)
+
+
+def _new(*columns) -> np.ndarray:
+    """Whether an entry differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
 
 def _pair_counts(route):
@@ -133,23 +165,26 @@ def _pair_counts(route):
         waiting = []
 
         def send():
-            context, word, c, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            context, word, train = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            context, word, (c, n) = _types(context, word, (c, n))[:3]
-            part = route(context, word)
-            order = np.argsort(part, kind="stable")
+            lane = route(context, word)
+            order = np.lexsort((word, lane))
+            lane, context, word = lane[order], context[order], word[order]
+            first = np.flatnonzero(_new(context, word))
+            n = np.diff(first, append=len(order))
+            c = np.add.reduceat(train[order].astype(np.int64), first)
+            lane, context, word = lane[first], context[first], word[first]
             rows = []
-            for p, a, b in _split(part[order]):
-                i = order[a:b]
-                new = np.flatnonzero(np.concatenate(([True], context[i][1:] != context[i][:-1])))
-                rows.append(("pairs", p, 0, _pack(u=context[i][new], run=np.diff(new, append=len(i)).astype("<u4"), w=word[i],
-                                                  c=c[i].astype("<u4"), n=n[i].astype("<u4"))))
+            for p, a, b in _split(route.part(lane)):
+                new = np.flatnonzero(_new(context[a:b]))
+                rows.append(("pairs", p, 0, _pack(u=context[a:b][new], run=np.diff(new, append=b - a), w=word[a:b],
+                                                  **_named("c", _bytes(c[a:b])), **_named("n", _bytes(n[a:b])))))
             return _mail(rows)
 
         for pdf in batches:
             train = pdf.train.to_numpy(bool)
             for lo, context, word, owner in _text_pairs(pdf.text.tolist()):
-                waiting.append((context, word, train[lo + owner].astype(np.int64), np.ones(len(word), np.int64)))
+                waiting.append((context, word, train[lo + owner]))
                 if sum(len(x[0]) for x in waiting) >= GATHER:
                     yield send()
         if waiting:
@@ -172,31 +207,44 @@ def _build_rooms(bits: int, hot, entries: int):
         got = [_unpack(d) for d in pdf.data]
         context = np.concatenate([np.repeat(g["u"], g["run"].astype(np.int64)) for g in got])
         word = np.concatenate([g["w"] for g in got])
-        context, word, (c, n) = _types(context, word, [np.concatenate([g[k] for g in got]).astype(np.int64) for k in "cn"])[:3]
+        context, word, (c, n) = _types(context, word, [np.concatenate([_counts(g, k) for g in got]) for k in "cn"])[:3]
         contexts, at_u = np.unique(context, return_inverse=True)
         words, at_w = np.unique(word, return_inverse=True)
+        words, at_w = _by_shard(words, at_w)
         one, many = c == 1, c > 1
-        seated = np.bincount(at_u, c, len(contexts)).astype(np.int64)
         single = np.bincount(at_u[one], minlength=len(contexts))
-        shard = _top(mix(mix(words)), bits)
-        order = np.argsort(shard, kind="stable")
-        rows = [("room", part, 0, _pack(contexts=contexts, seated=seated, single=single, words=words, order=order, shard=shard[order],
-                                        u=at_u[many].astype("<u4"), w=at_w[many].astype("<u4"), c=c[many])),
+        slices = [(q, a, b) for q, a, b in _split(_top(_lane(words), bits))]
+        place, here = _in(contexts, np.frombuffer(hot.value, np.uint64))
+        rows = [("room", part, 0, _pack(single=single, shards=np.array([q for q, _, _ in slices]), sizes=np.array([b - a for _, a, b in slices]),
+                                        u=at_u[many], w=at_w[many], **_named("c", _bytes(c[many])), frequent=np.flatnonzero(here), names=contexts[here])),
+                ("names", part, 0, _pack(contexts=contexts, words=words, seated=np.bincount(at_u, c, len(contexts)).astype(np.int64))),
                 ("tally", 0, 0, _pack(x=np.array([one.sum(), (c == 2).sum()])))]
-        of_word = [np.bincount(at_w, x, len(words)).astype(np.int64)[order] for x in (c, one, many)]
-        for q, a, b in _split(shard[order]):
-            rows.append(("request", q, part, _pack(words=words[order[a:b]], c=of_word[0][a:b], one=of_word[1][a:b], many=of_word[2][a:b])))
+        of_word = [np.bincount(at_w, x, len(words)).astype(np.int64) for x in (c, one, many)]
+        for q, a, b in slices:
+            rows.append(("request", q, part, _pack(words=words[a:b], c=of_word[0][a:b], one=of_word[1][a:b], many=of_word[2][a:b])))
         full = n >= entries
         if full.any():
             rows.append(("full", part, 0, _pack(u=context[full], w=word[full])))
-        here = _in(contexts, np.frombuffer(hot.value, np.uint64))[1]
         if here.any():
-            tables = (single + np.bincount(at_u[many], minlength=len(contexts)))[here]
-            rows.append(("hot", part, 0, _pack(u=contexts[here], seated=seated[here], tables=tables)))
+            seated = np.bincount(at_u, c, len(contexts)).astype(np.int64)
+            tables = single + np.bincount(at_u[many], minlength=len(contexts))
+            rows.append(("hot", part, 0, _pack(u=contexts[here], seated=seated[here], tables=tables[here])))
         return _mail(rows)
     return run
 
 
+def _lane(words: np.ndarray) -> np.ndarray:
+    return mix(mix(words))
+
+
+def _by_shard(words: np.ndarray, at: np.ndarray):
+    """Words in the order of their lanes, so that a shard's are side by side."""
+    order = np.argsort(_lane(words))
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return words[order], place[at]
+
+
 def _build_shards(key, pdf):
     q = int(key[0])
     got = [(p, _unpack(d)) for p, d in sorted(zip(pdf.other.tolist(), pdf.data, strict=True), key=lambda x: x[0])]
@@ -207,7 +255,7 @@ def _build_shards(key, pdf):
         c[i] += g["c"]
         one[i] += g["one"]
         many[i] += g["many"]
-    rows = [("shard", q, 0, _pack(one=one, parts=np.array([p for p, _ in got]), size=np.array([len(i) for i in at]), at=np.concatenate(at).astype("<u4"))),
+    rows = [("shard", q, 0, _pack(one=one, parts=np.array([p for p, _ in got]), size=np.array([len(i) for i in at]), at=np.concatenate(at))),
             ("total", 0, 0, _pack(x=np.array([c.sum(), (c > 0).sum(), (one + many == 1).sum(), (one + many == 2).sum()]))),
             ("first", q, 0, _pack(tables=many))]
     rows += [("counts", p, q, _pack(c=c[i])) for i, (p, _) in zip(at, got, strict=True)]
@@ -266,18 +314,18 @@ def _shard_step(model: dict, sweep: int):
         for kind, other, data in zip(pdf.kind, pdf.other.tolist(), pdf.data, strict=True):
             mail.setdefault(kind, {})[other] = _unpack(data)
         shard = mail["shard"][0]
-        c = shard["one"].copy()
+        c = shard["one"].astype(np.int64)
         places = np.split(shard["at"].astype(np.int64), np.cumsum(shard["size"])[:-1])
         if "first" in mail:
             c += mail["first"][0]["tables"]
         for p, i in zip(shard["parts"].tolist(), places, strict=True):
             if p in mail.get("tables", {}):
                 c[i] += mail["tables"][p]["tables"]
-        old = mail["root"][0]["tables"] if "root" in mail else np.minimum(c, 1)
+        old = mail["root"][0]["tables"].astype(np.int64) if "root" in mail else np.minimum(c, 1)
         t = seat(c, np.maximum(model["T0"] - old, 0), np.full(len(c), 1 / (model["V"] + 1)), model["d0"], np.random.default_rng((1, sweep, q)))
         left = c - model["d0"] * t
         rows = [("root", q, 0, _pack(tables=t)), ("total", 0, 0, _pack(x=np.array([c.sum(), t.sum()])))]
-        rows += [("answer", p, q, _pack(left=left[i])) for p, i in zip(shard["parts"].tolist(), places, strict=True)]
+        rows += [("answer", p, q, _pack(left=left[i].astype(np.float32))) for p, i in zip(shard["parts"].tolist(), places, strict=True)]
         return _mail(rows)
     return run
 
@@ -285,31 +333,25 @@ def _shard_step(model: dict, sweep: int):
 class _Room:
     """A part's restaurants, from its mail."""
 
-    def __init__(self, room: dict, hot, model: dict):
-        self.__dict__.update(room)
-        self.u, self.w = room["u"].astype(np.int64), room["w"].astype(np.int64)
-        self.hot, self.model = hot, model
+    def __init__(self, room: dict):
+        self.single, self.u, self.w, self.frequent = (room[k].astype(np.int64) for k in ("single", "u", "w", "frequent"))
+        self.c, self.names = _counts(room, "c"), room["names"]
+        self.shards, self.sizes = room["shards"].tolist(), room["sizes"].astype(np.int64)
 
     def of_words(self, answers: dict, name: str) -> np.ndarray:
-        """Per word what the shards answered, in the shards' order."""
-        out = np.zeros(len(self.words))
-        out[self.order] = np.concatenate([answers[q][name] for q in sorted(answers)])
-        return out
+        """Per word what the shards answered, shard by shard."""
+        return np.concatenate([answers[q][name] for q in self.shards]).astype(float)
 
     def parent(self, answers: dict, root: dict) -> np.ndarray:
         return (self.of_words(answers, "left") + _root(root)) / (THETA + root["C0"])
 
-    def tables(self, t: np.ndarray, hot: dict) -> np.ndarray:
-        """Tables per restaurant; frequent contexts have theirs in many rooms."""
-        out = self.single + np.bincount(self.u, t, len(self.contexts)).astype(np.int64)
-        at, here = _in(self.contexts, hot["u"])
-        out[here] = hot["tables"][at[here]]
-        return out
+    def own_tables(self, t: np.ndarray) -> np.ndarray:
+        return self.single + np.bincount(self.u, t, len(self.single)).astype(np.int64)
 
-    def customers(self, hot: dict) -> np.ndarray:
-        out = self.seated.copy()
-        at, here = _in(self.contexts, hot["u"])
-        out[here] = hot["seated"][at[here]]
+    def all_of(self, own: np.ndarray, hot: dict, name: str) -> np.ndarray:
+        """Numbers per restaurant; those of frequent contexts are summed over many rooms."""
+        out = own.copy()
+        out[self.frequent] = hot[name][np.searchsorted(hot["u"], self.names)]
         return out
 
 
@@ -319,121 +361,118 @@ def _room_step(model: dict, hot: dict, sweep: int):
         mail = {}
         for kind, other, data in zip(pdf.kind, pdf.other.tolist(), pdf.data, strict=True):
             mail.setdefault(kind, {})[other] = _unpack(data)
-        room = _Room(mail["room"][0], hot, model)
+        room = _Room(mail["room"][0])
         old = mail["state"][0]["t"].astype(np.int64) if "state" in mail else np.ones(len(room.c), np.int64)
         base = room.parent(mail["answer"], model)[room.w]
-        t = seat(room.c, np.maximum(room.tables(old, hot)[room.u] - old, 0), base, model["d1"], np.random.default_rng((2, sweep, part)))
-        of_word = np.bincount(room.w, t, len(room.words)).astype(np.int64)[room.order]
-        rows = [("state", part, 0, _pack(t=t.astype("<u4") if t.max(initial=0) < 1 << 32 else t))]
-        rows += [("tables", q, part, _pack(tables=of_word[a:b])) for q, a, b in _split(room.shard)]
-        here = _in(room.contexts, hot["u"])[1]
-        if here.any():
-            own = room.single + np.bincount(room.u, t, len(room.contexts)).astype(np.int64)
-            rows.append(("hot", part, 0, _pack(u=room.contexts[here], seated=room.seated[here], tables=own[here])))
+        others = room.all_of(room.own_tables(old), hot, "tables")[room.u] - old
+        t = seat(room.c, np.maximum(others, 0), base, model["d1"], np.random.default_rng((2, sweep, part)))
+        ends = np.cumsum(room.sizes)
+        of_word = np.bincount(room.w, t, ends[-1]).astype(np.int64)
+        rows = [("state", part, 0, _pack(t=t))]
+        rows += [("tables", q, part, _pack(tables=of_word[b - n:b])) for q, n, b in zip(room.shards, room.sizes, ends, strict=True)]
+        if len(room.names):
+            rows.append(("hot", part, 0, _pack(u=room.names, tables=room.own_tables(t)[room.frequent])))
         return _mail(rows)
     return run
 
 
-def _scores(room: _Room, samples: list, counts: np.ndarray, u, w, c, t_of):
-    """log10 of base and model probabilities of pairs (places in the room), and whether the word is known."""
-    model = room.model
-    p = np.zeros(len(u))
-    for k, (answers, root, hot, _) in enumerate(samples):
-        t = t_of(k)
-        seated = room.customers(hot)
-        tables = room.tables(samples[k][3], hot)
-        own = np.where(c > 0, c - model["d1"] * t, 0.0)
-        p += (own + (THETA + model["d1"] * tables[u]) * room.parent(answers, root)[w]) / (THETA + seated[u])
-    base = np.log10((counts[w] + 1) / (model["N"] + model["V"] + 1))
-    return base, np.log10(p / len(samples)), counts[w] > 0
-
-
-def _load_room(pdf, rounds: list, model: dict):
-    """The room, its words' counts and its samples (answers, root, frequent contexts, tables) from its mail."""
-    mail = {}
-    for kind, other, data in zip(pdf.kind, pdf.other.tolist(), pdf.data, strict=True):
-        if kind != "block":
+class _Scorer:
+    """A room with its words' counts and its samples: what pairs of it are worth."""
+
+    def __init__(self, pdf, rounds: list, model: dict):
+        mail = {}
+        for kind, other, data in zip(pdf.kind, pdf.other.tolist(), pdf.data, strict=True):
             mail.setdefault(kind, {})[other] = _unpack(data)
-    room = _Room(mail["room"][0], None, model)
-    counts = room.of_words(mail["counts"], "c").astype(np.int64)
-    samples = [(mail[f"answer{k}"], root, hot, mail[f"state{k}"][0]["t"].astype(np.int64)) for k, root, hot in rounds]
-    return room, counts, samples
+        self.room, self.model, names = _Room(mail["room"][0]), model, mail["names"][0]
+        self.contexts, self.lanes = names["contexts"], _lane(names["words"])
+        self.seated = self.room.all_of(names["seated"].astype(np.int64), rounds[0][2], "seated")
+        counts = self.room.of_words(mail["counts"], "c")
+        self.known = counts > 0
+        self.base = np.log10((counts + 1) / (model["N"] + model["V"] + 1))
+        self.samples = []
+        for k, root, hot in rounds:
+            t = mail[f"state{k}"][0]["t"].astype(np.int64)
+            back_off = (THETA + model["d1"] * self.room.all_of(self.room.own_tables(t), hot, "tables")) / (THETA + self.seated)
+            self.samples.append((t, back_off, self.room.parent(mail[f"answer{k}"], root)))
+
+        sampled = self.room.u << 32 | self.room.w
+        self.order = np.argsort(sampled)
+        self.sampled = sampled[self.order]
+
+    def find(self, context, word):
+        """Places of pairs' contexts and words, and among the room's sampled pairs (and whether there)."""
+        u, w = np.searchsorted(self.contexts, context), np.searchsorted(self.lanes, _lane(word))
+        at, here = _in(u << 32 | w, self.sampled)
+        return u, w, np.where(here, self.order[at], 0) if len(self.order) else at, here
+
+    def __call__(self, u, w, c, at):
+        """Base and model logs of pairs with c customers, and whether their words are known."""
+        p = np.zeros(len(u))
+        for t, back_off, parent in self.samples:
+            tables = np.minimum(c, 1)
+            tables[c > 1] = t[at[c > 1]]
+            p += np.where(c > 0, c - self.model["d1"] * tables, 0.0) / (THETA + self.seated[u]) + back_off[u] * parent[w]
+        return self.base[w], np.log10(p / len(self.samples)), self.known[w]
 
 
 def _full_pairs(rounds: list, model: dict):
     """Scores of a room's most frequent pairs, for the tasks that read them."""
     def run(key, pdf):
-        room, counts, samples = _load_room(pdf[pdf.kind != "full"], rounds, model)
+        scorer = _Scorer(pdf[pdf.kind != "full"], rounds, model)
         full = _unpack(pdf.data[pdf.kind == "full"].iloc[0])
-        u, w = np.searchsorted(room.contexts, full["u"]), np.searchsorted(room.words, full["w"])
-        at, many = _in((u << 32 | w).astype(np.int64), (room.u << 32 | room.w).astype(np.int64))
-        c = np.where(many, room.c[at] if len(room.c) else 0, 0)          # rare in training texts: 0 or 1, and that is not kept
-        use = many
-        base, score, known = _scores(room, samples, counts, u[use], w[use], c[use], lambda k: samples[k][3][at[use]])
-        return pd.DataFrame({"u": full["u"][use].view(np.int64), "w": full["w"][use].view(np.int64), "base": base, "score": score, "known": known})
+        u, w, at, many = scorer.find(full["u"], full["w"])
+        u, w, at = u[many], w[many], at[many]                 # the others are rare in training texts, and not kept
+        base, score, known = scorer(u, w, scorer.room.c[at], at)
+        return pd.DataFrame({"u": full["u"][many].view(np.int64), "w": full["w"][many].view(np.int64), "base": base, "score": score, "known": known})
     return run
 
 
-def _sum_rows(rows, docs, trains, n, known, base, score) -> pd.DataFrame:
-    return pd.DataFrame({"row": rows, "doc_id": docs, "train": trains, "n": n, "known": known, "base": base, "score": score})
-
-
 def _text_blocks(route, full, parts: int):
     """Per task: its pairs with their texts, dealt to parts; pairs that have scores already as sums."""
     def run(batches):
-        ready = {k: v for k, v in _unpack(full.value).items()}
-        waiting = []
+        ready = _unpack(full.value)
+        waiting, texts = [], []
 
         def send():
-            context, word, train, row = (np.concatenate(x) for x in list(zip(*waiting, strict=True))[:4])
-            ids = {}
-            for x in waiting:
-                ids.update(x[4])
+            context, word, owner = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            row, doc, missing, train = (np.array(x) for x in zip(*texts, strict=True))
             waiting.clear()
-            local, owner = np.unique(row, return_inverse=True)
-            info = [ids[r] for r in local.tolist()]
-            docs, trains = np.array([d or "" for d, _ in info]), np.array([t for _, t in info])
-            missing = np.array([d is None for d, _ in info])
+            texts.clear()
 
-            def block(i, **more):
-                mine, at = np.unique(owner[i], return_inverse=True)
-                return _pack(rows=local[mine], docs=docs[mine], missing=missing[mine], trains=trains[mine], owner=at.astype("<u4"), **more)
+            def block(owner, **more):
+                mine, at = np.unique(owner, return_inverse=True)
+                return at, len(mine), {"row0": row[:1], "row": row[mine] - row[0], "doc": doc[mine], "missing": missing[mine],
+                                       "train": train[mine], **more}
 
             rows = []
-            if len(ready["u"]):
-                # frequent pairs are sorted by a mix of their words
+            if len(ready["key"]):
                 at, here = _in(mix(context ^ mix(word)), ready["key"])
-                i = np.flatnonzero(here)
-                if len(i):
-                    mine, of = np.unique(owner[i], return_inverse=True)
-                    add = lambda x: np.bincount(of, x, len(mine))
-                    a = at[i]
-                    rows.append(("block", parts + int(local[mine[0]] % 4096), 0, _pack(
-                        rows=local[mine], docs=docs[mine], missing=missing[mine], trains=trains[mine], n=np.bincount(of), known=add(ready["known"][a]),
-                        base=add(ready["base"][a]), score=add(ready["score"][a]))))
-                rest = np.flatnonzero(~here)
-                context, word, train, owner = context[rest], word[rest], train[rest], owner[rest]
-            part = route(context, word)
-            order = np.lexsort((owner, word, context, part))
-            for p, a, b in _split(part[order]):
-                i = order[a:b]
-                cut = np.concatenate(([True], (context[i][1:] != context[i][:-1]) | (word[i][1:] != word[i][:-1]) | (owner[i][1:] != owner[i][:-1])))
-                first = np.flatnonzero(cut)
-                many = np.diff(first, append=len(i))
-                i = i[first]
-                pair = np.concatenate(([True], (context[i][1:] != context[i][:-1]) | (word[i][1:] != word[i][:-1])))
-                j = np.flatnonzero(pair)
-                new = np.flatnonzero(np.concatenate(([True], context[i[j]][1:] != context[i[j]][:-1])))
-                rows.append(("block", p, 0, block(i, u=context[i[j]][new], run=np.diff(new, append=len(j)).astype("<u4"), w=word[i[j]],
-                                                  texts=np.diff(j, append=len(i)).astype("<u4"), many=many.astype("<u4"))))
+                if here.any():
+                    of, n, more = block(owner[here])
+                    sums = {k: np.bincount(of, ready[k][at[here]], n) for k in ("known", "base", "score")}
+                    rows.append(("block", parts + int(row[0] % 4096), 0, _pack(n=np.bincount(of), **sums, **more)))
+                    context, word, owner = context[~here], word[~here], owner[~here]
+            lane = route(context, word)
+            order = np.lexsort((word, lane))               # stable: a pair's texts stay in order
+            lane, context, word, owner = lane[order], context[order], word[order], owner[order]
+            first = np.flatnonzero(_new(context, word, owner))
+            many = np.diff(first, append=len(order))
+            lane, context, word, owner = lane[first], context[first], word[first], owner[first]
+            for p, a, b in _split(route.part(lane)):
+                of, _, more = block(owner[a:b])
+                pair = np.flatnonzero(_new(context[a:b], word[a:b]))
+                u = context[a:b][pair]
+                new = np.flatnonzero(_new(u))
+                rows.append(("block", p, 0, _pack(u=u[new], run=np.diff(new, append=len(pair)), w=word[a:b][pair], texts=np.diff(pair, append=b - a),
+                                                  owner=of, **_named("many", _bytes(many[a:b])), **more)))
             return _mail(rows)
 
         for pdf in batches:
-            train, row, doc = pdf.train.to_numpy(bool), pdf.row.to_numpy(np.int64), pdf.doc_id.tolist()
+            about = list(zip(pdf.row.tolist(), [0 if d is None else int(d) for d in pdf.doc_id], [d is None for d in pdf.doc_id],
+                             pdf.train.tolist(), strict=True))
             for lo, context, word, owner in _text_pairs(pdf.text.tolist()):
-                at = lo + owner
-                mine = np.unique(at).tolist()
-                waiting.append((context, word, train[at], row[at], {int(row[k]): (doc[k], bool(train[k])) for k in mine}))
+                waiting.append((context, word, owner + len(texts)))
+                texts += about[lo:lo + int(owner[-1]) + 1]
                 if sum(len(x[0]) for x in waiting) >= GATHER:
                     yield send()
         if waiting:
@@ -441,40 +480,34 @@ def _text_blocks(route, full, parts: int):
     return lean(run)
 
 
+def _sums(b: dict, n, known, base, score) -> pd.DataFrame:
+    docs = [None if m else str(d) for d, m in zip(b["doc"].tolist(), b["missing"].tolist(), strict=True)]
+    return pd.DataFrame({"row": b["row"].astype(np.int64) + int(b["row0"][0]), "doc_id": pd.Series(docs, dtype=object), "train": b["train"],
+                         "n": n.astype(np.int64), "known": known.astype(np.int64), "base": base, "score": score})
+
+
 def _score_blocks(rounds: list, model: dict, parts: int):
     def run(key, pdf):
         blocks = [_unpack(d) for d in pdf.data[pdf.kind == "block"]]
-        names = lambda b: [None if m else d for d, m in zip(b["docs"].tolist(), b["missing"].tolist(), strict=True)]
         if int(key[0]) >= parts:
-            return pd.concat([_sum_rows(b["rows"], names(b), b["trains"], b["n"], b["known"].astype(np.int64), b["base"], b["score"]) for b in blocks])
-        if not blocks:
-            return _sum_rows([], [], [], [], [], [], []).astype({"doc_id": object})
-        room, counts, samples = _load_room(pdf, rounds, model)
-        context = np.concatenate([np.repeat(b["u"], b["run"].astype(np.int64)) for b in blocks])
-        word = np.concatenate([b["w"] for b in blocks])
-        seen = []
-        for b in blocks:
-            of = np.repeat(np.arange(len(b["w"])), b["texts"].astype(np.int64))
-            seen.append(np.bincount(of, b["many"] * b["trains"][b["owner"].astype(np.int64)], len(b["w"])).astype(np.int64))
-        context, word, (c,), pair, order = _types(context, word, [np.concatenate(seen)])
-        u, w = np.searchsorted(room.contexts, context), np.searchsorted(room.words, word)
-        multi = np.cumsum(c > 1) - 1                   # the room's order of pairs is this one
-
-        def tables(k):
-            t = np.minimum(c, 1)
-            t[c > 1] = samples[k][3][multi[c > 1]]
-            return t
-        scores = _scores(room, samples, counts, u, w, c, tables)
+            return pd.concat([_sums(b, b["n"], b["known"], b["base"], b["score"]) for b in blocks])
+        scorer = _Scorer(pdf[pdf.kind != "block"], rounds, model)
+        context = np.concatenate([np.repeat(b["u"], b["run"].astype(np.int64)) for b in blocks] or [scorer.contexts[:0]])
+        word = np.concatenate([b["w"] for b in blocks] or [context])
+        entries = [(np.repeat(np.arange(len(b["w"])), b["texts"].astype(np.int64)), b["owner"].astype(np.int64), _counts(b, "many")) for b in blocks]
+        seen = [np.bincount(of, many * b["train"][owner], len(b["w"])).astype(np.int64) for b, (of, owner, many) in zip(blocks, entries, strict=True)]
+        context, word, (c,), pair, order = _types(context, word, [np.concatenate(seen or [np.zeros(0, np.int64)])])
+        u, w, places, _ = scorer.find(context, word)
+        scores = scorer(u, w, c, places)
         back = np.empty(len(order), np.int64)
         back[order] = pair
-        out, at = [], 0
-        for b in blocks:
-            mine = np.repeat(back[at:at + len(b["w"])], b["texts"].astype(np.int64))
+        out, at = [pd.DataFrame(columns=[x.split()[0] for x in _SUMS.split(", ")]).astype({"doc_id": object})], 0
+        for b, (of, owner, many) in zip(blocks, entries, strict=True):
+            mine = back[at + of]
             at += len(b["w"])
-            owner, many, m = b["owner"].astype(np.int64), b["many"].astype(np.int64), len(b["rows"])
-            sums = [np.bincount(owner, many * s[mine], m) for s in scores]
-            out.append(_sum_rows(b["rows"], names(b), b["trains"], np.bincount(owner, many, m).astype(np.int64), sums[2].astype(np.int64), sums[0], sums[1]))
-        return pd.concat(out)
+            sums = [np.bincount(owner, many * s[mine], len(b["row"])) for s in scores]
+            out.append(_sums(b, np.bincount(owner, many, len(b["row"])), sums[2], sums[0], sums[1]))
+        return pd.concat(out[1:] or out)
     return run
 
 
@@ -488,18 +521,18 @@ def _add(table: DataFrame, kind: str) -> np.ndarray:
     return np.array([r.x for r in sorted(rows, key=lambda r: r.at)], np.int64)
 
 
-def _hot_totals(table: DataFrame) -> dict:
-    """Customers and tables of the frequent contexts (at most tokens / ENTRIES), over all rooms."""
+def _hot_totals(table: DataFrame, seated: bool = False) -> dict:
+    """Tables (and customers) of the frequent contexts (at most 2 * tokens / ENTRIES), over all rooms."""
     def run(batches):
         for pdf in batches:
             for d in pdf.data:
                 x = _unpack(d)
-                yield pd.DataFrame({"u": x["u"].view(np.int64), "seated": x["seated"], "tables": x["tables"]})
+                yield pd.DataFrame({"u": x["u"].view(np.int64), "seated": x.get("seated", x["tables"]), "tables": x["tables"]})
     rows = (table.where("kind = 'hot'").select("data").mapInPandas(run, "u long, seated long, tables long")
             .groupBy("u").agg(F.sum("seated").alias("seated"), F.sum("tables").alias("tables")).toPandas())
     u = rows.u.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(u)
-    return {"u": u[order], "seated": rows.seated.to_numpy(np.int64)[order], "tables": rows.tables.to_numpy(np.int64)[order]}
+    return {"u": u[order], "tables": rows.tables.to_numpy(np.int64)[order]} | ({"seated": rows.seated.to_numpy(np.int64)[order]} if seated else {})
 
 
 def _discount(one: int, two: int) -> float:
@@ -520,12 +553,12 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     # the row's number parts repeated ids; it is used within one reading of the table only
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("row"))
-    words = scratch(docs.select("text", "train").mapInPandas(lean(_count_words), "key long, n long, c long")
-                    .groupBy("key").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where(F.col("n") >= entries), "lm-hot", 1)
-    hot_words = np.sort(np.array([r.key for r in words.select("key").collect()], np.int64).view(np.uint64))
     size = docs.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
     bits = max(0, (int(size) // 6 // entries).bit_length())
-    hot_words = sc.broadcast(hot_words.tobytes())
+    # at least half of the occurrences of a context with ``entries`` of them stand in chunks where it has this share
+    found = docs.select("text").mapInPandas(_frequent_contexts(entries / 2 / max(1, size // 4)), "key long, n long")
+    frequent = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= entries / 2).select("key").collect()
+    hot_words = sc.broadcast(np.sort(np.array([r.key for r in frequent], np.int64).view(np.uint64)).tobytes())
     route = _Route(bits, hot_words)
     pairs = docs.select("text", "train").mapInPandas(_pair_counts(route), _MAIL)
     rooms = scratch(pairs.groupBy("key").applyInPandas(_build_rooms(bits, hot_words, entries), _MAIL), "lm-rooms")
@@ -536,7 +569,7 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     tally = _add(rooms, "tally")
     model = {"N": int(totals[0]), "V": int(totals[1]), "d0": _discount(int(totals[2]), int(totals[3])),
              "d1": _discount(*(tally.tolist() if len(tally) else (0, 0))), "T0": int(totals[1]), "C0": 0}
-    hot, mail, state, rounds, kept = _hot_totals(rooms), _of(shards, "shard", "first"), None, [], []
+    hot, mail, state, rounds, kept = _hot_totals(rooms, True), _of(shards, "shard", "first"), None, [], []
     for sweep in range(sweeps + 1):
         root = scratch(mail.groupBy("key").applyInPandas(_shard_step(model, sweep), _MAIL), "lm-root")
         found = _add(root, "total")
@@ -551,9 +584,9 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
         if state is not None:
             seats = seats.unionByName(_of(state, "state"))
         state = scratch(seats.groupBy("key").applyInPandas(_room_step(model, hot, sweep), _MAIL), "lm-seats")
-        hot = _hot_totals(state)
+        hot = hot | _hot_totals(state)
         mail = _of(shards, "shard").unionByName(_of(root, "root")).unionByName(_of(state, "tables"))
-    ready = _of(rooms, "room").unionByName(_of(shards, "counts"))
+    ready = _of(rooms, "room", "names").unionByName(_of(shards, "counts"))
     for k in kept:
         ready = ready.unionByName(k)
     parts = 1 << bits
