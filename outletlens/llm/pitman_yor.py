@@ -15,10 +15,11 @@ restaurants of a sweep draw side by side from the totals before it. A word with
 table, so only counts of 2 and more are sampled. The predictive probability is the mean over the
 sweeps after ``burn``. Draws depend on seed, sweep and part alone, so a task run again repeats them.
 
-Nothing but totals passes the driver. The words' counts are taken over all training texts:
+Nothing but totals passes the driver:
 
-1. words are counted; contexts of more than ``ENTRIES`` tokens (few: tokens / ENTRIES) are dealt out by
-   pair, others by context, over parts of about ``ENTRIES`` pairs, combined before the shuffle;
+1. pairs are counted over all training texts and combined before the shuffle. They are dealt out by
+   context over parts of about ``ENTRIES`` of them, by both words where a sample shows a context of
+   that many (this changes where the work is done, not its result);
 2. a part keeps its restaurants (a *room*), and sends each word's numbers to the word's *shard*;
 3. per sweep, shards seat the root and answer with the words' root counts, rooms seat their customers
    and send back tables per word: aligned arrays, one per room and shard that share words;
@@ -32,7 +33,8 @@ training texts N and V are 0 and all scores too. Only doc_id, text and the train
 
 from __future__ import annotations
 
-import io
+import json
+import struct
 
 import numpy as np
 import pandas as pd
@@ -46,9 +48,11 @@ from outletlens.llm.wordhash import kinds, word_chunks
 #: Texts are parted by a byte that UTF-8 has not.
 KIND = kinds(b"\x20\x09\x0a\x0b\x0c\x0d", b"\xff")
 START, END = np.uint64(2), np.uint64(1)
-ENTRIES = 1 << 20
+ENTRIES = 1 << 21
+#: Frequent contexts are found in a sample of so many bytes, or this share of a larger table.
+SAMPLE_BYTES, SAMPLE_SHARE = 1 << 25, 1e-3
 #: Pairs that a task gathers before it sends them on.
-GATHER = 1 << 19
+GATHER = 3 << 19
 EXACT = 64
 THETA = 1.0
 _MAIL = "kind string, key long, other long, data binary"
@@ -61,30 +65,43 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(**arrays) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **{k: _small(x) for k, x in arrays.items()})
-    return out.getvalue()
+    arrays = {k: np.ascontiguousarray(_small(x)) for k, x in arrays.items()}
+    head = json.dumps([(k, x.dtype.str, len(x)) for k, x in arrays.items()]).encode()
+    return b"".join((struct.pack("<i", len(head)), head, *[x.tobytes() for x in arrays.values()]))
 
 
-def _bytes(x: np.ndarray) -> dict:
-    """Counts of which few pass a byte."""
-    big = np.flatnonzero(x > 254)
-    return {"byte": np.minimum(x, 255).astype(np.uint8), "at": big, "big": x[big]}
+def _unpack(raw) -> dict:
+    at = 4 + struct.unpack_from("<i", raw)[0]
+    out = {}
+    for name, kind, n in json.loads(bytes(raw[4:at])):
+        out[name] = np.frombuffer(raw, kind, n, at)
+        at += n * out[name].itemsize
+    return out
+
+
+def _sparse(name: str, x: np.ndarray) -> dict:
+    """Counts that mostly are 1."""
+    more = np.flatnonzero(x != 1)
+    return {f"{name}size": np.array([len(x)]), f"{name}gap": np.diff(more, prepend=0), f"{name}more": x[more]}
 
 
-def _counts(g: dict, name: str) -> np.ndarray:
-    out = g[name + "byte"].astype(np.int64)
-    out[g[name + "at"]] = g[name + "big"]
+def _full(g: dict, name: str) -> np.ndarray:
+    out = np.ones(int(g[f"{name}size"][0]), np.int64)
+    out[np.cumsum(g[f"{name}gap"].astype(np.int64))] = g[f"{name}more"]
     return out
 
 
-def _named(name: str, arrays: dict) -> dict:
-    return {name + k: x for k, x in arrays.items()}
+def _words_of(word: np.ndarray) -> dict:
+    """Words as places in the list of different ones."""
+    known, at = np.unique(word, return_inverse=True)
+    return {"w": known, "wat": at}
 
 
-def _unpack(raw) -> dict:
-    with np.load(io.BytesIO(raw)) as z:
-        return {k: z[k] for k in z.files}
+def _pairs_of(got: list):
+    """Contexts and words of blocks, one after another."""
+    none = [np.zeros(0, np.uint64)]
+    return (np.concatenate([np.repeat(g["u"], g["run"].astype(np.int64)) for g in got] or none),
+            np.concatenate([g["w"][g["wat"]] for g in got] or none))
 
 
 def _mail(rows: list) -> pd.DataFrame:
@@ -137,8 +154,7 @@ def _frequent_contexts(share: float):
 
 
 class _Route:
-    """The lane of a pair: by its context, by both words where the context is frequent. A part is
-    a range of lanes, so pairs in order of lane and word are in order of part and (mostly) context."""
+    """The part of a pair: by its context, by both words where the context is frequent."""
 
     def __init__(self, bits: int, hot):
         self.bits, self.hot = bits, hot
@@ -147,8 +163,11 @@ class _Route:
         frequent = _in(context, np.frombuffer(self.hot.value, np.uint64))[1]
         return np.where(frequent, mix(context ^ mix(word)), mix(context))
 
-    def part(self, lane):
-        return _top(lane, self.bits)
+    def deal(self, context, word):
+        """(part, places of its pairs in their order)."""
+        part = _top(self(context, word), self.bits)
+        order = np.argsort(part.astype(np.uint16) if self.bits <= 16 else part, kind="stable")
+        return ((p, order[a:b]) for p, a, b in _split(part[order]))
 
 
 def _new(*columns) -> np.ndarray:
@@ -167,18 +186,17 @@ def _pair_counts(route):
         def send():
             context, word, train = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            lane = route(context, word)
-            order = np.lexsort((word, lane))
-            lane, context, word = lane[order], context[order], word[order]
-            first = np.flatnonzero(_new(context, word))
-            n = np.diff(first, append=len(order))
-            c = np.add.reduceat(train[order].astype(np.int64), first)
-            lane, context, word = lane[first], context[first], word[first]
             rows = []
-            for p, a, b in _split(route.part(lane)):
-                new = np.flatnonzero(_new(context[a:b]))
-                rows.append(("pairs", p, 0, _pack(u=context[a:b][new], run=np.diff(new, append=b - a), w=word[a:b],
-                                                  **_named("c", _bytes(c[a:b])), **_named("n", _bytes(n[a:b])))))
+            for p, i in route.deal(context, word):
+                u, w = context[i], word[i]
+                order = np.lexsort((w, u))
+                u, w, t = u[order], w[order], train[i][order].astype(np.int64)
+                first = np.flatnonzero(_new(u, w))
+                n, c = np.diff(first, append=len(order)), np.add.reduceat(t, first)
+                u, w = u[first], w[first]
+                new = np.flatnonzero(_new(u))
+                rows.append(("pairs", p, 0, _pack(u=u[new], run=np.diff(new, append=len(u)), **_words_of(w), **_sparse("c", c),
+                                                  **_sparse("h", n - c + 1))))
             return _mail(rows)
 
         for pdf in batches:
@@ -205,24 +223,23 @@ def _build_rooms(bits: int, hot, entries: int):
     def run(key, pdf):
         part = int(key[0])
         got = [_unpack(d) for d in pdf.data]
-        context = np.concatenate([np.repeat(g["u"], g["run"].astype(np.int64)) for g in got])
-        word = np.concatenate([g["w"] for g in got])
-        context, word, (c, n) = _types(context, word, [np.concatenate([_counts(g, k) for g in got]) for k in "cn"])[:3]
-        contexts, at_u = np.unique(context, return_inverse=True)
-        words, at_w = np.unique(word, return_inverse=True)
-        words, at_w = _by_shard(words, at_w)
+        sums = [np.concatenate([_full(g, "c") for g in got]), np.concatenate([_full(g, "h") - 1 for g in got])]
+        context, word, (c, h) = _types(*_pairs_of(got), sums)[:3]
+        new = _new(context)
+        contexts, at_u = context[new], np.cumsum(new) - 1
+        lanes, at_w = np.unique(_lane(word), return_inverse=True)
         one, many = c == 1, c > 1
         single = np.bincount(at_u[one], minlength=len(contexts))
-        slices = [(q, a, b) for q, a, b in _split(_top(_lane(words), bits))]
+        slices = [(q, a, b) for q, a, b in _split(_top(lanes, bits))]
         place, here = _in(contexts, np.frombuffer(hot.value, np.uint64))
         rows = [("room", part, 0, _pack(single=single, shards=np.array([q for q, _, _ in slices]), sizes=np.array([b - a for _, a, b in slices]),
-                                        u=at_u[many], w=at_w[many], **_named("c", _bytes(c[many])), frequent=np.flatnonzero(here), names=contexts[here])),
-                ("names", part, 0, _pack(contexts=contexts, words=words, seated=np.bincount(at_u, c, len(contexts)).astype(np.int64))),
+                                        u=at_u[many], w=at_w[many], c=c[many], frequent=np.flatnonzero(here), names=contexts[here])),
+                ("names", part, 0, _pack(contexts=contexts, lanes=lanes, seated=np.bincount(at_u, c, len(contexts)).astype(np.int64))),
                 ("tally", 0, 0, _pack(x=np.array([one.sum(), (c == 2).sum()])))]
-        of_word = [np.bincount(at_w, x, len(words)).astype(np.int64) for x in (c, one, many)]
+        of_word = [np.bincount(at_w, x, len(lanes)).astype(np.int64) for x in (c, one, many)]
         for q, a, b in slices:
-            rows.append(("request", q, part, _pack(words=words[a:b], c=of_word[0][a:b], one=of_word[1][a:b], many=of_word[2][a:b])))
-        full = n >= entries
+            rows.append(("request", q, part, _pack(lanes=lanes[a:b], c=of_word[0][a:b], one=of_word[1][a:b], many=of_word[2][a:b])))
+        full = c + h >= entries
         if full.any():
             rows.append(("full", part, 0, _pack(u=context[full], w=word[full])))
         if here.any():
@@ -237,20 +254,12 @@ def _lane(words: np.ndarray) -> np.ndarray:
     return mix(mix(words))
 
 
-def _by_shard(words: np.ndarray, at: np.ndarray):
-    """Words in the order of their lanes, so that a shard's are side by side."""
-    order = np.argsort(_lane(words))
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
-    return words[order], place[at]
-
-
 def _build_shards(key, pdf):
     q = int(key[0])
     got = [(p, _unpack(d)) for p, d in sorted(zip(pdf.other.tolist(), pdf.data, strict=True), key=lambda x: x[0])]
-    words = np.unique(np.concatenate([g["words"] for _, g in got]))
-    c, one, many = (np.zeros(len(words), np.int64) for _ in range(3))
-    at = [np.searchsorted(words, g["words"]) for _, g in got]
+    lanes = np.unique(np.concatenate([g["lanes"] for _, g in got]))
+    c, one, many = (np.zeros(len(lanes), np.int64) for _ in range(3))
+    at = [np.searchsorted(lanes, g["lanes"]) for _, g in got]
     for i, (_, g) in zip(at, got, strict=True):
         c[i] += g["c"]
         one[i] += g["one"]
@@ -334,8 +343,8 @@ class _Room:
     """A part's restaurants, from its mail."""
 
     def __init__(self, room: dict):
-        self.single, self.u, self.w, self.frequent = (room[k].astype(np.int64) for k in ("single", "u", "w", "frequent"))
-        self.c, self.names = _counts(room, "c"), room["names"]
+        self.single, self.u, self.w, self.c, self.frequent = (room[k].astype(np.int64) for k in ("single", "u", "w", "c", "frequent"))
+        self.names = room["names"]
         self.shards, self.sizes = room["shards"].tolist(), room["sizes"].astype(np.int64)
 
     def of_words(self, answers: dict, name: str) -> np.ndarray:
@@ -384,7 +393,7 @@ class _Scorer:
         for kind, other, data in zip(pdf.kind, pdf.other.tolist(), pdf.data, strict=True):
             mail.setdefault(kind, {})[other] = _unpack(data)
         self.room, self.model, names = _Room(mail["room"][0]), model, mail["names"][0]
-        self.contexts, self.lanes = names["contexts"], _lane(names["words"])
+        self.contexts, self.lanes = names["contexts"], names["lanes"]
         self.seated = self.room.all_of(names["seated"].astype(np.int64), rounds[0][2], "seated")
         counts = self.room.of_words(mail["counts"], "c")
         self.known = counts > 0
@@ -452,19 +461,20 @@ def _text_blocks(route, full, parts: int):
                     sums = {k: np.bincount(of, ready[k][at[here]], n) for k in ("known", "base", "score")}
                     rows.append(("block", parts + int(row[0] % 4096), 0, _pack(n=np.bincount(of), **sums, **more)))
                     context, word, owner = context[~here], word[~here], owner[~here]
-            lane = route(context, word)
-            order = np.lexsort((word, lane))               # stable: a pair's texts stay in order
-            lane, context, word, owner = lane[order], context[order], word[order], owner[order]
-            first = np.flatnonzero(_new(context, word, owner))
-            many = np.diff(first, append=len(order))
-            lane, context, word, owner = lane[first], context[first], word[first], owner[first]
-            for p, a, b in _split(route.part(lane)):
-                of, _, more = block(owner[a:b])
-                pair = np.flatnonzero(_new(context[a:b], word[a:b]))
-                u = context[a:b][pair]
+            for p, i in route.deal(context, word):
+                u, w, o = context[i], word[i], owner[i]
+                order = np.lexsort((w, u))                     # stable: a pair's texts stay in order
+                u, w, o = u[order], w[order], o[order]
+                first = np.flatnonzero(_new(u, w, o))
+                many = np.diff(first, append=len(order))
+                u, w, o = u[first], w[first], o[first]
+                pair = np.flatnonzero(_new(u, w))
+                of, _, more = block(o)
+                texts_of = np.diff(pair, append=len(o))
+                u, w = u[pair], w[pair]
                 new = np.flatnonzero(_new(u))
-                rows.append(("block", p, 0, _pack(u=u[new], run=np.diff(new, append=len(pair)), w=word[a:b][pair], texts=np.diff(pair, append=b - a),
-                                                  owner=of, **_named("many", _bytes(many[a:b])), **more)))
+                rows.append(("block", p, 0, _pack(u=u[new], run=np.diff(new, append=len(u)), **_words_of(w), **_sparse("texts", texts_of),
+                                                  owner=of, **_sparse("many", many), **more)))
             return _mail(rows)
 
         for pdf in batches:
@@ -492,11 +502,9 @@ def _score_blocks(rounds: list, model: dict, parts: int):
         if int(key[0]) >= parts:
             return pd.concat([_sums(b, b["n"], b["known"], b["base"], b["score"]) for b in blocks])
         scorer = _Scorer(pdf[pdf.kind != "block"], rounds, model)
-        context = np.concatenate([np.repeat(b["u"], b["run"].astype(np.int64)) for b in blocks] or [scorer.contexts[:0]])
-        word = np.concatenate([b["w"] for b in blocks] or [context])
-        entries = [(np.repeat(np.arange(len(b["w"])), b["texts"].astype(np.int64)), b["owner"].astype(np.int64), _counts(b, "many")) for b in blocks]
-        seen = [np.bincount(of, many * b["train"][owner], len(b["w"])).astype(np.int64) for b, (of, owner, many) in zip(blocks, entries, strict=True)]
-        context, word, (c,), pair, order = _types(context, word, [np.concatenate(seen or [np.zeros(0, np.int64)])])
+        entries = [(np.repeat(np.arange(len(b["wat"])), _full(b, "texts")), b["owner"].astype(np.int64), _full(b, "many")) for b in blocks]
+        seen = [np.bincount(of, many * b["train"][owner], len(b["wat"])).astype(np.int64) for b, (of, owner, many) in zip(blocks, entries, strict=True)]
+        context, word, (c,), pair, order = _types(*_pairs_of(blocks), [np.concatenate(seen or [np.zeros(0, np.int64)])])
         u, w, places, _ = scorer.find(context, word)
         scores = scorer(u, w, c, places)
         back = np.empty(len(order), np.int64)
@@ -504,7 +512,7 @@ def _score_blocks(rounds: list, model: dict, parts: int):
         out, at = [pd.DataFrame(columns=[x.split()[0] for x in _SUMS.split(", ")]).astype({"doc_id": object})], 0
         for b, (of, owner, many) in zip(blocks, entries, strict=True):
             mine = back[at + of]
-            at += len(b["w"])
+            at += len(b["wat"])
             sums = [np.bincount(owner, many * s[mine], len(b["row"])) for s in scores]
             out.append(_sums(b, np.bincount(owner, many, len(b["row"])), sums[2], sums[0], sums[1]))
         return pd.concat(out[1:] or out)
@@ -555,9 +563,10 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
                        F.coalesce(train, F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("row"))
     size = docs.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
     bits = max(0, (int(size) // 6 // entries).bit_length())
-    # at least half of the occurrences of a context with ``entries`` of them stand in chunks where it has this share
-    found = docs.select("text").mapInPandas(_frequent_contexts(entries / 2 / max(1, size // 4)), "key long, n long")
-    frequent = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= entries / 2).select("key").collect()
+    # as for the borders of a range shuffle, a sample tells how to deal pairs out; results do not depend on it
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(1, size)))
+    found = docs.sample(share, 1).select("text").mapInPandas(_frequent_contexts(share * entries / 2 / max(1, share * size // 4)), "key long, n long")
+    frequent = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= share * entries / 2).select("key").collect()
     hot_words = sc.broadcast(np.sort(np.array([r.key for r in frequent], np.int64).view(np.uint64)).tobytes())
     route = _Route(bits, hot_words)
     pairs = docs.select("text", "train").mapInPandas(_pair_counts(route), _MAIL)
