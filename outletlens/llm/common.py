@@ -60,6 +60,12 @@ def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return write_table(df, f"llm-{name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over. It does so when the driver's JVM finds
+    that nothing refers to them, which it looks for each half hour, or when asked."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

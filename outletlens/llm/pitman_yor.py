@@ -33,7 +33,6 @@ training texts N and V are 0 and all scores too. Only doc_id, text and the train
 
 from __future__ import annotations
 
-import json
 import struct
 
 import numpy as np
@@ -41,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import lean, scratch, ship
+from outletlens.llm.common import lean, release, scratch, ship
 from outletlens.llm.hashing import mix
 from outletlens.llm.wordhash import kinds, word_chunks
 
@@ -51,8 +50,8 @@ START, END = np.uint64(2), np.uint64(1)
 ENTRIES = 1 << 21
 #: Frequent contexts are found in a sample of so many bytes, or this share of a larger table.
 SAMPLE_BYTES, SAMPLE_SHARE = 1 << 25, 1e-3
-#: Pairs that a task gathers before it sends them on.
-GATHER = 3 << 19
+#: Pairs that a task gathers before it sends them on, without and with their texts.
+GATHER, GATHER_TEXTS = 1 << 20, 3 << 18
 EXACT = 64
 THETA = 1.0
 _MAIL = "kind string, key long, other long, data binary"
@@ -66,16 +65,17 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def _pack(**arrays) -> bytes:
     arrays = {k: np.ascontiguousarray(_small(x)) for k, x in arrays.items()}
-    head = json.dumps([(k, x.dtype.str, len(x)) for k, x in arrays.items()]).encode()
+    head = ";".join(f"{k},{x.dtype.str},{len(x)}" for k, x in arrays.items()).encode()
     return b"".join((struct.pack("<i", len(head)), head, *[x.tobytes() for x in arrays.values()]))
 
 
 def _unpack(raw) -> dict:
     at = 4 + struct.unpack_from("<i", raw)[0]
     out = {}
-    for name, kind, n in json.loads(bytes(raw[4:at])):
-        out[name] = np.frombuffer(raw, kind, n, at)
-        at += n * out[name].itemsize
+    for field in bytes(raw[4:at]).decode().split(";"):
+        name, kind, n = field.split(",")
+        out[name] = np.frombuffer(raw, kind, int(n), at)
+        at += out[name].nbytes
     return out
 
 
@@ -483,7 +483,7 @@ def _text_blocks(route, full, parts: int):
             for lo, context, word, owner in _text_pairs(pdf.text.tolist()):
                 waiting.append((context, word, owner + len(texts)))
                 texts += about[lo:lo + int(owner[-1]) + 1]
-                if sum(len(x[0]) for x in waiting) >= GATHER:
+                if sum(len(x[0]) for x in waiting) >= GATHER_TEXTS:
                     yield send()
         if waiting:
             yield send()
@@ -571,6 +571,7 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     route = _Route(bits, hot_words)
     pairs = docs.select("text", "train").mapInPandas(_pair_counts(route), _MAIL)
     rooms = scratch(pairs.groupBy("key").applyInPandas(_build_rooms(bits, hot_words, entries), _MAIL), "lm-rooms")
+    release(spark)
     shards = scratch(_of(rooms, "request").groupBy("key").applyInPandas(_build_shards, _MAIL), "lm-shards")
     totals = _add(shards, "total")
     if not len(totals):
@@ -595,6 +596,7 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
         state = scratch(seats.groupBy("key").applyInPandas(_room_step(model, hot, sweep), _MAIL), "lm-seats")
         hot = hot | _hot_totals(state)
         mail = _of(shards, "shard").unionByName(_of(root, "root")).unionByName(_of(state, "tables"))
+    release(spark)
     ready = _of(rooms, "room", "names").unionByName(_of(shards, "counts"))
     for k in kept:
         ready = ready.unionByName(k)
