@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -62,8 +63,11 @@ def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are over. It does so when the driver's JVM finds
-    that nothing refers to them, which it looks for each half hour, or when asked."""
-    spark.sparkContext._jvm.System.gc()
+    that nothing refers to them, which it looks for each half hour, or when asked. Python's own
+    references go first."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:
@@ -78,7 +82,6 @@ def give_back() -> None:
     """Return what a Python worker has freed to the machine: workers live on between tasks
     and would keep it from the next task's, or the executor's own, memory."""
     import ctypes
-    import gc
 
     import pyarrow
     gc.collect()

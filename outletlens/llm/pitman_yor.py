@@ -450,8 +450,8 @@ def _text_blocks(route, full, parts: int):
 
             def block(owner, **more):
                 mine, at = np.unique(owner, return_inverse=True)
-                return at, len(mine), {"row0": row[:1], "row": row[mine] - row[0], "doc": doc[mine], "missing": missing[mine],
-                                       "train": train[mine], **more}
+                return at, len(mine), {"row0": row[:1], "row": row[mine] - row[0], "doc": doc[mine],
+                                       "flags": (2 * missing + train)[mine].astype(np.uint8), **more}
 
             rows = []
             if len(ready["key"]):
@@ -491,8 +491,8 @@ def _text_blocks(route, full, parts: int):
 
 
 def _sums(b: dict, n, known, base, score) -> pd.DataFrame:
-    docs = [None if m else str(d) for d, m in zip(b["doc"].tolist(), b["missing"].tolist(), strict=True)]
-    return pd.DataFrame({"row": b["row"].astype(np.int64) + int(b["row0"][0]), "doc_id": pd.Series(docs, dtype=object), "train": b["train"],
+    docs = [None if m else str(d) for d, m in zip(b["doc"].tolist(), (b["flags"] > 1).tolist(), strict=True)]
+    return pd.DataFrame({"row": b["row"].astype(np.int64) + int(b["row0"][0]), "doc_id": pd.Series(docs, dtype=object), "train": (b["flags"] & 1) == 1,
                          "n": n.astype(np.int64), "known": known.astype(np.int64), "base": base, "score": score})
 
 
@@ -503,7 +503,7 @@ def _score_blocks(rounds: list, model: dict, parts: int):
             return pd.concat([_sums(b, b["n"], b["known"], b["base"], b["score"]) for b in blocks])
         scorer = _Scorer(pdf[pdf.kind != "block"], rounds, model)
         entries = [(np.repeat(np.arange(len(b["wat"])), _full(b, "texts")), b["owner"].astype(np.int64), _full(b, "many")) for b in blocks]
-        seen = [np.bincount(of, many * b["train"][owner], len(b["wat"])).astype(np.int64) for b, (of, owner, many) in zip(blocks, entries, strict=True)]
+        seen = [np.bincount(of, many * (b["flags"] & 1)[owner], len(b["wat"])).astype(np.int64) for b, (of, owner, many) in zip(blocks, entries, strict=True)]
         context, word, (c,), pair, order = _types(*_pairs_of(blocks), [np.concatenate(seen or [np.zeros(0, np.int64)])])
         u, w, places, _ = scorer.find(context, word)
         scores = scorer(u, w, c, places)
@@ -569,8 +569,7 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     frequent = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= share * entries / 2).select("key").collect()
     hot_words = sc.broadcast(np.sort(np.array([r.key for r in frequent], np.int64).view(np.uint64)).tobytes())
     route = _Route(bits, hot_words)
-    pairs = docs.select("text", "train").mapInPandas(_pair_counts(route), _MAIL)
-    rooms = scratch(pairs.groupBy("key").applyInPandas(_build_rooms(bits, hot_words, entries), _MAIL), "lm-rooms")
+    rooms = scratch(docs.select("text", "train").mapInPandas(_pair_counts(route), _MAIL).groupBy("key").applyInPandas(_build_rooms(bits, hot_words, entries), _MAIL), "lm-rooms")
     release(spark)
     shards = scratch(_of(rooms, "request").groupBy("key").applyInPandas(_build_shards, _MAIL), "lm-shards")
     totals = _add(shards, "total")
