@@ -234,11 +234,9 @@ def _build_rooms(bits: int, hot, entries: int):
         place, here = _in(contexts, np.frombuffer(hot.value, np.uint64))
         rows = [("room", part, 0, _pack(single=single, shards=np.array([q for q, _, _ in slices]), sizes=np.array([b - a for _, a, b in slices]),
                                         u=at_u[many], w=at_w[many], c=c[many], frequent=np.flatnonzero(here), names=contexts[here])),
-                ("names", part, 0, _pack(contexts=contexts, lanes=lanes, seated=np.bincount(at_u, c, len(contexts)).astype(np.int64))),
+                ("names", part, 0, _pack(contexts=contexts, lanes=lanes, seated=np.bincount(at_u, c, len(contexts)).astype(np.int64),
+                                         **{k: np.bincount(at_w, x, len(lanes)).astype(np.int64) for k, x in (("c", c), ("one", one), ("many", many))})),
                 ("tally", 0, 0, _pack(x=np.array([one.sum(), (c == 2).sum()])))]
-        of_word = [np.bincount(at_w, x, len(lanes)).astype(np.int64) for x in (c, one, many)]
-        for q, a, b in slices:
-            rows.append(("request", q, part, _pack(lanes=lanes[a:b], c=of_word[0][a:b], one=of_word[1][a:b], many=of_word[2][a:b])))
         full = c + h >= entries
         if full.any():
             rows.append(("full", part, 0, _pack(u=context[full], w=word[full])))
@@ -250,6 +248,17 @@ def _build_rooms(bits: int, hot, entries: int):
     return run
 
 
+def _requests(bits: int):
+    """A room's words and their numbers, cut up by shard."""
+    def run(batches):
+        for pdf in batches:
+            for part, data in zip(pdf.key.tolist(), pdf.data, strict=True):
+                g = _unpack(data)
+                yield _mail([("request", q, part, _pack(**{k: g[k][a:b] for k in ("lanes", "c", "one", "many")}))
+                             for q, a, b in _split(_top(g["lanes"], bits))])
+    return run
+
+
 def _lane(words: np.ndarray) -> np.ndarray:
     return mix(mix(words))
 
@@ -264,10 +273,26 @@ def _build_shards(key, pdf):
         c[i] += g["c"]
         one[i] += g["one"]
         many[i] += g["many"]
-    rows = [("shard", q, 0, _pack(one=one, parts=np.array([p for p, _ in got]), size=np.array([len(i) for i in at]), at=np.concatenate(at))),
-            ("total", 0, 0, _pack(x=np.array([c.sum(), (c > 0).sum(), (one + many == 1).sum(), (one + many == 2).sum()]))),
-            ("first", q, 0, _pack(tables=many))]
-    rows += [("counts", p, q, _pack(c=c[i])) for i, (p, _) in zip(at, got, strict=True)]
+    return _mail([("shard", q, 0, _pack(c=c, one=one, many=many, parts=np.array([p for p, _ in got]), size=np.array([len(i) for i in at]), at=np.concatenate(at))),
+                  ("total", 0, 0, _pack(x=np.array([c.sum(), (c > 0).sum(), (one + many == 1).sum(), (one + many == 2).sum()])))])
+
+
+def _places(shard: dict):
+    """(part, places of its words in the shard)."""
+    return zip(shard["parts"].tolist(), np.split(shard["at"].astype(np.int64), np.cumsum(shard["size"].astype(np.int64))[:-1]), strict=True)
+
+
+def _answers(key, pdf):
+    """What a shard tells the rooms: their words' training counts, and per sweep what the root leaves them."""
+    q = int(key[0])
+    mail = {k: _unpack(d) for k, d in zip(pdf.kind, pdf.data, strict=True)}
+    rows = []
+    for p, i in _places(mail["shard"]):
+        for kind, data in mail.items():
+            if kind == "shard":
+                rows.append(("counts", p, q, _pack(c=data["c"][i])))
+            else:
+                rows.append((kind.replace("root", "answer"), p, q, _pack(left=data["left"][i])))
     return _mail(rows)
 
 
@@ -324,18 +349,16 @@ def _shard_step(model: dict, sweep: int):
             mail.setdefault(kind, {})[other] = _unpack(data)
         shard = mail["shard"][0]
         c = shard["one"].astype(np.int64)
-        places = np.split(shard["at"].astype(np.int64), np.cumsum(shard["size"])[:-1])
-        if "first" in mail:
-            c += mail["first"][0]["tables"]
-        for p, i in zip(shard["parts"].tolist(), places, strict=True):
-            if p in mail.get("tables", {}):
-                c[i] += mail["tables"][p]["tables"]
+        tables = mail.get("tables")
+        if tables is None:
+            c += shard["many"]                       # at first each word has one table in each restaurant
+        else:
+            for p, i in _places(shard):
+                c[i] += tables[p]["tables"]
         old = mail["root"][0]["tables"].astype(np.int64) if "root" in mail else np.minimum(c, 1)
         t = seat(c, np.maximum(model["T0"] - old, 0), np.full(len(c), 1 / (model["V"] + 1)), model["d0"], np.random.default_rng((1, sweep, q)))
-        left = c - model["d0"] * t
-        rows = [("root", q, 0, _pack(tables=t)), ("total", 0, 0, _pack(x=np.array([c.sum(), t.sum()])))]
-        rows += [("answer", p, q, _pack(left=left[i].astype(np.float32))) for p, i in zip(shard["parts"].tolist(), places, strict=True)]
-        return _mail(rows)
+        return _mail([("root", q, 0, _pack(tables=t, left=(c - model["d0"] * t).astype(np.float32))),
+                      ("total", 0, 0, _pack(x=np.array([c.sum(), t.sum()])))])
     return run
 
 
@@ -571,14 +594,14 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     route = _Route(bits, hot_words)
     rooms = scratch(docs.select("text", "train").mapInPandas(_pair_counts(route), _MAIL).groupBy("key").applyInPandas(_build_rooms(bits, hot_words, entries), _MAIL), "lm-rooms")
     release(spark)
-    shards = scratch(_of(rooms, "request").groupBy("key").applyInPandas(_build_shards, _MAIL), "lm-shards")
+    shards = scratch(_of(rooms, "names").mapInPandas(lean(_requests(bits)), _MAIL).groupBy("key").applyInPandas(_build_shards, _MAIL), "lm-shards")
     totals = _add(shards, "total")
     if not len(totals):
         totals = np.zeros(4, np.int64)
     tally = _add(rooms, "tally")
     model = {"N": int(totals[0]), "V": int(totals[1]), "d0": _discount(int(totals[2]), int(totals[3])),
              "d1": _discount(*(tally.tolist() if len(tally) else (0, 0))), "T0": int(totals[1]), "C0": 0}
-    hot, mail, state, rounds, kept = _hot_totals(rooms, True), _of(shards, "shard", "first"), None, [], []
+    hot, mail, state, rounds, kept = _hot_totals(rooms, True), _of(shards, "shard"), None, [], []
     for sweep in range(sweeps + 1):
         root = scratch(mail.groupBy("key").applyInPandas(_shard_step(model, sweep), _MAIL), "lm-root")
         found = _add(root, "total")
@@ -586,19 +609,21 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
             model = {**model, "C0": int(found[0]), "T0": int(found[1])}
         if sweep > burn or (sweep and sweep == sweeps):
             rounds.append((sweep, {"C0": model["C0"], "T0": model["T0"], "V": model["V"], "d0": model["d0"]}, hot))
-            kept.append(_of(root, "answer", rename=f"answer{sweep}").unionByName(_of(state, "state", rename=f"state{sweep}")))
+            kept.append((_of(root, "root", rename=f"root{sweep}"), _of(state, "state", rename=f"state{sweep}")))
         if sweep == sweeps:
             break
-        seats = _of(rooms, "room").unionByName(_of(root, "answer"))
+        answers = _of(shards, "shard").unionByName(_of(root, "root")).groupBy("key").applyInPandas(_answers, _MAIL)
+        seats = _of(rooms, "room").unionByName(answers)
         if state is not None:
             seats = seats.unionByName(_of(state, "state"))
         state = scratch(seats.groupBy("key").applyInPandas(_room_step(model, hot, sweep), _MAIL), "lm-seats")
         hot = hot | _hot_totals(state)
         mail = _of(shards, "shard").unionByName(_of(root, "root")).unionByName(_of(state, "tables"))
     release(spark)
-    ready = _of(rooms, "room", "names").unionByName(_of(shards, "counts"))
-    for k in kept:
-        ready = ready.unionByName(k)
+    ready, asked = _of(rooms, "room", "names"), _of(shards, "shard")
+    for root, state in kept:
+        ready, asked = ready.unionByName(state), asked.unionByName(root)
+    ready = ready.unionByName(asked.groupBy("key").applyInPandas(_answers, _MAIL))
     parts = 1 << bits
     keys = _of(rooms, "full").select("key")
     full = (ready.join(keys, "key", "left_semi").select("kind", "key", "other", "data").unionByName(_of(rooms, "full"))
