@@ -12,8 +12,8 @@ Seating is sampled by Gibbs: a sweep seats, for each word of each restaurant, it
 all others, drawing t from its exact conditional (generalised Stirling numbers). Beyond ``EXACT``
 customers they are seated one after another, in leaps of a sixteenth of those that sit. The
 restaurants of a sweep draw side by side from the totals before it. A word with one customer has one
-table, so only counts of 2 and more are sampled. The predictive probability is the mean over the
-sweeps after ``burn``. Draws depend on seed, sweep and part alone, so a task run again repeats them.
+table, so only counts of 2 and more are sampled. Predictive probabilities are means over the sweeps
+after ``burn``, the root's first, then the contexts' with it. Draws depend on seed, sweep and part alone, so a task run again repeats them.
 
 Nothing but totals passes the driver:
 
@@ -282,18 +282,15 @@ def _places(shard: dict):
     return zip(shard["parts"].tolist(), np.split(shard["at"].astype(np.int64), np.cumsum(shard["size"].astype(np.int64))[:-1]), strict=True)
 
 
-def _answers(key, pdf):
-    """What a shard tells the rooms: their words' training counts, and per sweep what the root leaves them."""
-    q = int(key[0])
-    mail = {k: _unpack(d) for k, d in zip(pdf.kind, pdf.data, strict=True)}
-    rows = []
-    for p, i in _places(mail["shard"]):
-        for kind, data in mail.items():
-            if kind == "shard":
-                rows.append(("counts", p, q, _pack(c=data["c"][i])))
-            else:
-                rows.append((kind.replace("root", "answer"), p, q, _pack(left=data["left"][i])))
-    return _mail(rows)
+def _answers(roots: dict, counts: bool):
+    """What a shard tells the rooms: the root's probabilities of their words, as a mean over these
+    samples of the root, and the words' training counts where asked for."""
+    def run(key, pdf):
+        q = int(key[0])
+        mail = {k: _unpack(d) for k, d in zip(pdf.kind, pdf.data, strict=True)}
+        p = np.mean([(mail[k]["left"] + _root(root)) / (THETA + root["C0"]) for k, root in roots.items()], axis=0).astype(np.float32)
+        return _mail([("answer", part, q, _pack(p=p[i], **({"c": mail["shard"]["c"][i]} if counts else {}))) for part, i in _places(mail["shard"])])
+    return run
 
 
 def _stirling(d: float) -> np.ndarray:
@@ -374,9 +371,6 @@ class _Room:
         """Per word what the shards answered, shard by shard."""
         return np.concatenate([answers[q][name] for q in self.shards]).astype(float)
 
-    def parent(self, answers: dict, root: dict) -> np.ndarray:
-        return (self.of_words(answers, "left") + _root(root)) / (THETA + root["C0"])
-
     def own_tables(self, t: np.ndarray) -> np.ndarray:
         return self.single + np.bincount(self.u, t, len(self.single)).astype(np.int64)
 
@@ -395,7 +389,7 @@ def _room_step(model: dict, hot: dict, sweep: int):
             mail.setdefault(kind, {})[other] = _unpack(data)
         room = _Room(mail["room"][0])
         old = mail["state"][0]["t"].astype(np.int64) if "state" in mail else np.ones(len(room.c), np.int64)
-        base = room.parent(mail["answer"], model)[room.w]
+        base = room.of_words(mail["answer"], "p")[room.w]
         others = room.all_of(room.own_tables(old), hot, "tables")[room.u] - old
         t = seat(room.c, np.maximum(others, 0), base, model["d1"], np.random.default_rng((2, sweep, part)))
         ends = np.cumsum(room.sizes)
@@ -417,15 +411,15 @@ class _Scorer:
             mail.setdefault(kind, {})[other] = _unpack(data)
         self.room, self.model, names = _Room(mail["room"][0]), model, mail["names"][0]
         self.contexts, self.lanes = names["contexts"], names["lanes"]
-        self.seated = self.room.all_of(names["seated"].astype(np.int64), rounds[0][2], "seated")
-        counts = self.room.of_words(mail["counts"], "c")
+        self.seated = self.room.all_of(names["seated"].astype(np.int64), rounds[0][1], "seated")
+        counts = self.room.of_words(mail["answer"], "c")
         self.known = counts > 0
         self.base = np.log10((counts + 1) / (model["N"] + model["V"] + 1))
-        self.samples = []
-        for k, root, hot in rounds:
+        self.parent, self.samples = self.room.of_words(mail["answer"], "p"), []
+        for k, hot in rounds:
             t = mail[f"state{k}"][0]["t"].astype(np.int64)
             back_off = (THETA + model["d1"] * self.room.all_of(self.room.own_tables(t), hot, "tables")) / (THETA + self.seated)
-            self.samples.append((t, back_off, self.room.parent(mail[f"answer{k}"], root)))
+            self.samples.append((t, back_off))
 
         sampled = self.room.u << 32 | self.room.w
         self.order = np.argsort(sampled)
@@ -440,10 +434,10 @@ class _Scorer:
     def __call__(self, u, w, c, at):
         """Base and model logs of pairs with c customers, and whether their words are known."""
         p = np.zeros(len(u))
-        for t, back_off, parent in self.samples:
+        for t, back_off in self.samples:
             tables = np.minimum(c, 1)
             tables[c > 1] = t[at[c > 1]]
-            p += np.where(c > 0, c - self.model["d1"] * tables, 0.0) / (THETA + self.seated[u]) + back_off[u] * parent[w]
+            p += np.where(c > 0, c - self.model["d1"] * tables, 0.0) / (THETA + self.seated[u]) + back_off[u] * self.parent[w]
         return self.base[w], np.log10(p / len(self.samples)), self.known[w]
 
 
@@ -601,18 +595,19 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     tally = _add(rooms, "tally")
     model = {"N": int(totals[0]), "V": int(totals[1]), "d0": _discount(int(totals[2]), int(totals[3])),
              "d1": _discount(*(tally.tolist() if len(tally) else (0, 0))), "T0": int(totals[1]), "C0": 0}
-    hot, mail, state, rounds, kept = _hot_totals(rooms, True), _of(shards, "shard"), None, [], []
+    hot, mail, state, rounds, kept, roots = _hot_totals(rooms, True), _of(shards, "shard"), None, [], [], {}
     for sweep in range(sweeps + 1):
         root = scratch(mail.groupBy("key").applyInPandas(_shard_step(model, sweep), _MAIL), "lm-root")
         found = _add(root, "total")
         if len(found):
             model = {**model, "C0": int(found[0]), "T0": int(found[1])}
         if sweep > burn or (sweep and sweep == sweeps):
-            rounds.append((sweep, {"C0": model["C0"], "T0": model["T0"], "V": model["V"], "d0": model["d0"]}, hot))
+            rounds.append((sweep, hot))
+            roots[f"root{sweep}"] = dict(model)
             kept.append((_of(root, "root", rename=f"root{sweep}"), _of(state, "state", rename=f"state{sweep}")))
         if sweep == sweeps:
             break
-        answers = _of(shards, "shard").unionByName(_of(root, "root")).groupBy("key").applyInPandas(_answers, _MAIL)
+        answers = _of(shards, "shard").unionByName(_of(root, "root")).groupBy("key").applyInPandas(_answers({"root": model}, False), _MAIL)
         seats = _of(rooms, "room").unionByName(answers)
         if state is not None:
             seats = seats.unionByName(_of(state, "state"))
@@ -623,7 +618,7 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     ready, asked = _of(rooms, "room", "names"), _of(shards, "shard")
     for root, state in kept:
         ready, asked = ready.unionByName(state), asked.unionByName(root)
-    ready = ready.unionByName(asked.groupBy("key").applyInPandas(_answers, _MAIL))
+    ready = ready.unionByName(asked.groupBy("key").applyInPandas(_answers(roots, True), _MAIL))
     parts = 1 << bits
     keys = _of(rooms, "full").select("key")
     full = (ready.join(keys, "key", "left_semi").select("kind", "key", "other", "data").unionByName(_of(rooms, "full"))
