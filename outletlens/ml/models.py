@@ -12,6 +12,7 @@ small driver thread pool, each fit itself distributed.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+import re
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -60,6 +61,17 @@ class FittedModel:
         out = self.pipeline.transform(x)
         return out.select(*keep, F.col("prediction").alias("pred"))
 
+    def thresholds(self) -> dict | None:
+        """Per feature the sorted split points of a tree model (``x <= t`` goes left): predictions are
+        constant between them. None for a model that is not made of steps."""
+        last = self.pipeline.stages[-1]
+        if not hasattr(last, "toDebugString"):
+            return None
+        out = {}
+        for i, t in re.findall(r"If \(feature (\d+) <= ([^)\s]+)\)", last.toDebugString):
+            out.setdefault(self.features[int(i)], set()).add(float(t))
+        return {f: sorted(t) for f, t in out.items()}
+
 
 def fit_model(name: str, train: DataFrame, features=FEATURES, **params) -> FittedModel:
     check_finite(train, features)

@@ -32,6 +32,43 @@ class GroupMeanModel:
         return df.join(means, F.col(self.by).cast("double") == F.col("_code"), "left").select(*keep, F.col("_mean").alias("pred"))
 
 
+    def thresholds(self) -> dict:
+        """No split points: the prediction is the same for every mix."""
+        return {}
+
+
+@dataclass
+class BinMeanModel:
+    """Mean training label per cell of fixed split points of some features, the overall mean elsewhere."""
+    name: str
+    points: dict          # feature -> sorted split points; a value's bin is how many lie below it
+    means: DataFrame      # _b0, _b1, ... , _mean
+    overall: float
+
+    def predict(self, df: DataFrame, keep=None) -> DataFrame:
+        keep = list(keep) if keep is not None else df.columns
+        x = df.select("*", *[b.alias(f"_x{i}") for i, b in enumerate(_bins(self.points))])
+        on = [x[f"_x{i}"] == self.means[f"_b{i}"] for i in range(len(self.points))]
+        out = x.join(F.broadcast(self.means), on, "left")          # one row per cell of fixed points
+        return out.select(*[x[k] for k in keep], F.coalesce("_mean", F.lit(self.overall)).alias("pred"))
+
+    def thresholds(self) -> dict:
+        return self.points
+
+
+def _bins(points: dict):
+    for f, ts in points.items():
+        b = F.lit(0)
+        for t in ts:
+            b = b + F.when(F.col(f) > t, 1).otherwise(0)
+        yield b
+
+
+def fit_bin_mean(name: str, train: DataFrame, points: dict) -> BinMeanModel:
+    means = (train.groupBy(*[b.alias(f"_b{i}") for i, b in enumerate(_bins(points))]).agg(F.avg("label").alias("_mean")))
+    return BinMeanModel(name, points, means, train.agg(F.avg("label")).first()[0])
+
+
 def fit_group_mean(name: str, train: DataFrame, by: str) -> GroupMeanModel:
     means = train.groupBy(F.col(by).cast("double").alias(by)).agg(F.avg("label").alias("_mean"))
     return GroupMeanModel(name, by, broadcast_if_small(means))

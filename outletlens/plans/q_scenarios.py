@@ -15,9 +15,9 @@ from ..operators.ranking import best_model, latest_per_group
 from ..schema import CATEGORY_COLS, CHANNELS, FEATURES, KEEP_SAVED_SCENARIOS, TARGET_COGS, TARGET_COST_TO_REVENUE, TARGET_OPEX
 from ..sources.fixture import scenarios_from_outlets
 from ..session import broadcast_if_small
-from .catalog import base_table, code_tables, register, report
-from ..ml.relational import GROUP_MODELS
-from .q_ml import _GM_CTES, _codes, _group_models, _quantile_models, _trained
+from .catalog import base_table, code_tables, prepared_table, register, report
+from ..ml.relational import GROUP_MODELS, fit_bin_mean
+from .q_ml import _GM_CTES, _PREP_CTES, _codes, _group_models, _quantile_models, _trained
 from .sqlbase import R6, RN, with_base
 
 SC = ["in_store", "ue_share", "dd_share", "sd_share"]
@@ -310,8 +310,6 @@ def w9_group_model_comparison(spark, sf_dir):
 
 # --- W10 -----------------------------------------------------------------------------------
 _STEP = 1
-#: Scoring every 1 % mix of every scenario with a 100-tree model takes hours here; 5 % takes minutes.
-_MODEL_STEP = 5
 
 
 def _w10_sql(step=_STEP):
@@ -361,7 +359,91 @@ def w10_optimise_with_model(spark, sf_dir):
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
     # codes are joined per scenario before the candidate fan-out
-    return O.optimise_with_model(S.attach_codes(scen, codes=code_tables(spark, sf_dir)), bt, fitted[best], S.feature_columns, step_pct=_MODEL_STEP)
+    return O.optimise_with_model(S.attach_codes(scen, codes=code_tables(spark, sf_dir)), bt, fitted[best], S.feature_columns, step_pct=_STEP)
+
+
+_BOUNDS = "bnd0 AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.1) AS lo_{s}, quantile_cont({c}, 0.9) AS hi_{s}, avg({c}) AS m_{s}"
+                                         for s, c in zip(SC, ["InStoreShare", "UE_share", "DD_share", "SD_share"])) + " FROM t)"
+_REAL = ("bnd AS (SELECT *, " + ", ".join(f"m_{s} / (" + " + ".join(f"m_{x}" for x in SC) + f") AS base_{s}" for s in SC) + " FROM bnd0)")
+_IN_RANGE = " AND ".join(f"base_{s} BETWEEN lo_{s} - 1e-9 AND hi_{s} + 1e-9" for s in SC)
+#: An optimum is a corner: three shares at a bound, the fourth takes what is left. Objectives are compared at cents.
+_CORNERS = ("corners AS (SELECT * FROM (" + " UNION ALL ".join(
+    "SELECT " + ", ".join((f"1e0 - ({' + '.join(f'CASE WHEN k{i} THEN lo_{x} ELSE hi_{x} END' for i, x in enumerate(SC) if x != f)}) AS {s}")
+                          if s == f else f"CASE WHEN k{n} THEN lo_{s} ELSE hi_{s} END AS {s}" for n, s in enumerate(SC))
+    + " FROM bnd, " + ", ".join(f"(VALUES (true), (false)) v{n}(k{n})" for n in range(4)) for f in SC) + ") x, "
+    "(SELECT * EXCLUDE (" + ", ".join(f"m_{s}" for s in SC) + ") FROM bnd) y WHERE " + " AND ".join(f"x.{s} BETWEEN lo_{s} - 1e-9 AND hi_{s} + 1e-9" for s in SC) + ")")
+_EXACT = [_SCEN_CTE, _BOUNDS, _REAL, _CORNERS,
+          "cand AS (SELECT scenario_id, in_store, ue_share, dd_share, sd_share, " + _UE_PROFIT + " AS obj FROM "
+          "(SELECT scen.* EXCLUDE (in_store, ue_share, dd_share, sd_share), " + ", ".join(f"corners.{s}" for s in SC) + " FROM scen, corners) z)",
+          "opt AS (SELECT scenario_id, " + ", ".join(f"{s} AS opt_{s}" for s in SC) + ", obj FROM cand QUALIFY row_number() OVER (PARTITION BY "
+          "scenario_id ORDER BY round(obj, 4) DESC, " + ", ".join(f"round({s}, 9)" for s in SC) + ") = 1)",
+          "basel AS (SELECT scenario_id, " + ", ".join(f"{s} AS baseline_{s}" for s in SC) + ", baseline_in_range, " + _UE_PROFIT + " AS bobj FROM "
+          "(SELECT scen.* EXCLUDE (in_store, ue_share, dd_share, sd_share), " + ", ".join(f"base_{s} AS {s}" for s in SC)
+          + f", ({_IN_RANGE}) AS baseline_in_range FROM scen, bnd) z)"]
+
+
+@register("w10_exact_optimum", sql=with_base(
+    "SELECT b.scenario_id, CASE WHEN obj IS NULL THEN 'none' ELSE 'optimal' END AS status, " + R6("bobj") + " AS baseline_objective, "
+    + ", ".join(f"{R6(f'baseline_{s}')} AS baseline_{s}" for s in SC) + ", baseline_in_range, " + R6("obj") + " AS opt_objective, "
+    + ", ".join(f"{R6(f'opt_{s}')} AS opt_{s}" for s in SC) + ", " + R6("obj - bobj") + " AS uplift "
+    "FROM basel b LEFT JOIN opt ON opt.scenario_id = b.scenario_id", *_EXACT))
+def w10_exact_optimum(spark, sf_dir):
+    """The unit-economics optimum on the real observed ranges, with baseline, uplift and status."""
+    bt, scen = _scen(spark, sf_dir)
+    return report(O.optimise_exact(scen, bt))
+
+
+@register("w10_mix_report", sql=with_base(
+    "SELECT b.scenario_id, i AS channel_order, ['In-Store', 'Uber Eats', 'DoorDash', 'Self-Delivery'][i + 1] AS Channel, "
+    + ", ".join(R6("[" + ", ".join(f"{p}_{s}" for s in SC) + "][i + 1]") + f" AS {n}" for p, n in
+                (("baseline", "Baseline"), ("opt", "Optimized"), ("lo", "safe_low"), ("hi", "safe_high")))
+    + ", " + " || '% to ' || ".join("CAST(CAST(" + RN("[" + ", ".join(f"{p}_{s}" for s in SC) + "][i + 1] * 100e0", 0) + " AS BIGINT) AS VARCHAR)" for p in ("lo", "hi"))
+    + " || '%' AS safe_range FROM basel b JOIN opt ON opt.scenario_id = b.scenario_id, bnd, (SELECT CAST(unnest(range(4)) AS INT) AS i) r", *_EXACT))
+def w10_mix_report(spark, sf_dir):
+    bt, scen = _scen(spark, sf_dir)
+    return report(O.mix_report(O.optimise_exact(scen, bt), bt))
+
+
+#: Split points of the checked step model.
+_POINTS = {"InStoreShare": [0.15, 0.3, 0.45, 0.6], "SD_share": [0.1, 0.25, 0.4], "DeliveryCost_SD": [0.5, 1.0]}
+
+
+def _bin_sql(exprs):
+    return ", ".join("(" + " + ".join(f"CASE WHEN {e} > {t}e0 THEN 1 ELSE 0 END" for t in ts) + f") AS b{i}" for i, (e, ts) in enumerate(zip(exprs, _POINTS.values())))
+
+
+def _w10_steps_sql():
+    """Brute force over the grid. The prediction depends on in-store and self-delivery alone, so of the
+    splits between the two aggregators only the first can win."""
+    ints = ", ".join(f"CAST(ceil(lo_{s} * 100e0 - 1e-9) AS INT) AS ilo_{s}, CAST(floor(hi_{s} * 100e0 + 1e-9) AS INT) AS ihi_{s}" for s in SC)
+    grid = ("grid AS (SELECT * FROM (SELECT a, d, greatest(ilo_ue_share, 100 - a - d - ihi_dd_share) AS b, "
+            "100 - a - d - greatest(ilo_ue_share, 100 - a - d - ihi_dd_share) AS c, ihi_ue_share, ilo_dd_share, ihi_dd_share FROM bi, "
+            "LATERAL (SELECT unnest(range(ilo_in_store, ihi_in_store + 1)) AS a) ta, LATERAL (SELECT unnest(range(ilo_sd_share, ihi_sd_share + 1)) AS d) td) g "
+            "WHERE b <= ihi_ue_share AND c BETWEEN ilo_dd_share AND ihi_dd_share)")
+    train = "(SELECT * FROM sp WHERE NOT is_test)"
+    bins = _bin_sql(["in_store", "sd_share", "delivery_cost * sd_share"])
+    final = ("SELECT o.scenario_id, " + R6("bp") + " AS baseline_objective, baseline_in_range, " + R6("CASE WHEN stay THEN bp ELSE p END") + " AS opt_objective, "
+             + ", ".join(R6(f"CASE WHEN stay THEN base_{s} ELSE {v} / 100e0 END") + f" AS opt_{s}" for v, s in zip("abcd", SC))
+             + " FROM (SELECT g.*, b.p AS bp, " + _IN_RANGE + " AS baseline_in_range, (" + _IN_RANGE + ") AND b.p > g.p AS stay, "
+             + ", ".join(f"base_{s}" for s in SC) + " FROM (SELECT * FROM scored WHERE a IS NOT NULL QUALIFY row_number() OVER "
+             "(PARTITION BY scenario_id ORDER BY p DESC, a, b, c) = 1) g JOIN scored b ON b.scenario_id = g.scenario_id AND b.a IS NULL, bnd) o")
+    return with_base(
+        final, *_PREP_CTES, _SCEN_CTE, _BOUNDS, _REAL, f"bi AS (SELECT *, {ints} FROM bnd)", grid,
+        f"means AS (SELECT b0, b1, b2, avg(label) AS m FROM (SELECT label, {_bin_sql(['InStoreShare', 'SD_share', 'DeliveryCost_SD'])} FROM {train} z) y GROUP BY 1, 2, 3)",
+        "mixes AS (SELECT a, b, c, d, a / 100e0 AS in_store, d / 100e0 AS sd_share FROM grid UNION ALL SELECT NULL, NULL, NULL, NULL, base_in_store, base_sd_share FROM bnd)",
+        f"cells AS (SELECT scenario_id, a, b, c, d, {bins} FROM (SELECT scenario_id, delivery_cost FROM scen) s, mixes)",
+        f"scored AS (SELECT c.*, coalesce(m.m, (SELECT avg(label) FROM {train} z)) AS p FROM cells c LEFT JOIN means m "
+        "ON m.b0 = c.b0 AND m.b1 = c.b1 AND m.b2 = c.b2)")
+
+
+@register("w10_step_model_optimum", sql=_w10_steps_sql())
+def w10_step_model_optimum(spark, sf_dir):
+    """The model objective at 1 % through cells, on a model of bin means that SQL can scan in full."""
+    prep = prepared_table(spark, sf_dir)
+    model = fit_bin_mean("Bin Mean", prep.where(~F.col("is_test")), _POINTS)
+    bt, scen = _scen(spark, sf_dir)
+    out = O.optimise_with_model(S.attach_codes(scen, codes=code_tables(spark, sf_dir)), bt, model, S.feature_columns, step_pct=_STEP)
+    return report(out.select("scenario_id", "baseline_objective", "baseline_in_range", "opt_objective", *[f"opt_{s}" for s in SC]))
 
 
 # --- W11 ------------------------------------------------------------------------------------
