@@ -15,9 +15,10 @@ with the same anchor occurrence form a run of about ``width / 2`` windows.
 1. Runs whose anchor hash occurs once in the corpus are unique: they go.
 2. Runs that agree in whole (hash of all their bytes) are counted with map-side
    combine: a count of two or more settles them, however many copies there are.
-3. One run of each content still open ships its bytes to its anchor's bucket; an
-   anchor with many different runs is split by distance, at the limit one bucket
-   per distance. There the suffixes are sorted as above.
+3. One run of each content still open ships its bytes to its anchor's bucket, where the
+   suffixes are sorted as above. An anchor with more than ``GROUP`` different runs (a line or
+   passage all over the corpus) ships none: 64-bit hashes of its windows are counted, and
+   only windows whose hash counts twice are looked at again, by 128 bits.
 
 Defined cases: null text is empty; texts below ``width`` bytes lose nothing; rows
 are judged by text alone, so repeated rows (also with a repeated or null doc_id)
@@ -31,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outletlens.llm.common import give_back, id_and_text, lean, long_id, scratch, ship, small
@@ -43,8 +44,8 @@ _CHUNK = 1 << 19
 #: Bits of a position within one buffer; longer texts are cut into overlapping buffers.
 _POS = np.uint64(28)
 _LONGEST = 4 << 20
-#: Different runs of one anchor that are compared in one bucket; beyond, they are split by distance.
-GROUP = 2048
+#: Different runs of one anchor that are compared in one bucket; beyond, their windows' hashes are counted.
+GROUP = 512
 #: Suffixes that are sorted at once.
 _SORTED = 100_000
 #: Bytes that one bucket of shipped runs should hold (its suffixes take some 100 times as much memory).
@@ -255,6 +256,83 @@ def _compare_bucket(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
                          "to": lo - pdf["first"].to_numpy()[row[begin]] + step[end]})
 
 
+def _texts_with(docs: DataFrame, runs: DataFrame, width: int) -> DataFrame:
+    """Each distinct text that has some of these runs, with them."""
+    wanted = scratch(runs.groupBy("tkey").agg(F.collect_list(F.struct("anchor", "run", "lo", "hi", "at")).alias("wanted")), "substr-wanted")
+    texts = (docs.select(F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= width)
+             .withColumn("tkey", F.unhex(F.md5(F.encode("text", "utf-8"))))
+             .join(small(wanted.select("tkey")), "tkey", "left_semi").dropDuplicates(["tkey"]))
+    return texts.join(wanted, "tkey")
+
+
+def _few_kinds(docs: DataFrame, runs: DataFrame, width: int) -> DataFrame:
+    """(anchor, run, from, to): repeated windows of anchors with few kinds of runs, which are sorted side by side."""
+    def cut(batches):
+        names = ["anchor", "run", "windows", "distance", "lo", "first", "raw"]
+        for pdf in batches:
+            out = []
+            for raw, some in zip(_encoded(pdf["text"]), pdf["wanted"], strict=True):
+                out += [(k["anchor"], k["run"], k["hi"] - k["lo"] + 1, k["at"] - k["lo"], k["lo"], k["lo"], raw[k["lo"]:k["hi"] + width]) for k in some]
+                if len(out) > 5000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    def compare(pdf):
+        out = _compare_bucket(pdf, width)
+        give_back()
+        return out
+    total = runs.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + width), F.lit(0))).first()[0]
+    buckets = max(1, int(total) // BUCKET)
+    shipped = _texts_with(docs, runs, width).mapInPandas(
+        lean(cut), "anchor long, run long, windows long, distance long, lo long, first long, raw binary")
+    return (shipped.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket")
+            .applyInPandas(compare, "anchor long, run long, from long, to long"))
+
+
+def _many_kinds(docs: DataFrame, runs: DataFrame, width: int) -> DataFrame:
+    """The same for anchors in many different contexts (a line or passage all over the corpus). No task
+    takes such an anchor's runs: 64-bit hashes of their windows are counted, combined before the shuffle,
+    and windows with a hash that counts twice are grouped by 128 bits."""
+    none = "anchor long, run long, from long, to long"
+    if runs.isEmpty():
+        return runs.sparkSession.createDataFrame([], none)
+
+    def hashes(data, k):
+        part = data[k["lo"]:k["hi"] + width]
+        at = np.arange(k["hi"] - k["lo"] + 1)
+        # the complement's bytes have values of their own: a second, independent hash
+        return (span_hash(prefix_hash(x), at, width).view(np.int64) for x in (part, 255 - part))
+
+    def count(batches):
+        for pdf in batches:
+            for raw, some in zip(_encoded(pdf["text"]), pdf["wanted"], strict=True):
+                data = np.frombuffer(raw, np.uint8)
+                for lo, hi in chunks([k["hi"] - k["lo"] + 1 for k in some], 1 << 18):
+                    h, n = np.unique(np.concatenate([next(hashes(data, k)) for k in some[lo:hi]]), return_counts=True)
+                    yield pd.DataFrame({"h": h, "n": n})
+
+    def show(batches):
+        for pdf in batches:
+            for raw, some in zip(_encoded(pdf["text"]), pdf["wanted"], strict=True):
+                data = np.frombuffer(raw, np.uint8)
+                for k in some:
+                    h, g = hashes(data, k)
+                    yield pd.DataFrame({"h": h, "g": g, "anchor": k["anchor"], "run": k["run"], "from": np.arange(len(h))})
+
+    texts = _texts_with(docs, runs, width)
+    twice = texts.mapInPandas(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    twice = scratch(twice, "substr-twice")
+    seen = texts.mapInPandas(lean(show), "h long, g long, anchor long, run long, from long").join(small(twice), "h", "left_semi")
+    seen = scratch(seen, "substr-seen")
+    same = scratch(seen.groupBy("h", "g").count().where("count > 1").select("h", "g"), "substr-same")
+    hits = seen.join(small(same), ["h", "g"], "left_semi")
+    # neighbours become one stretch; a run has fewer windows than width
+    island = F.col("from") - F.row_number().over(Window.partitionBy("anchor", "run").orderBy("from"))
+    return hits.withColumn("island", island).groupBy("anchor", "run", "island").agg(F.min("from").alias("from"), F.max("from").alias("to")).drop("island")
+
+
 def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     """tkey, spans (array of [from, to) byte ranges, not yet merged) of every distinct text that loses bytes."""
     ship(docs.sparkSession)
@@ -268,40 +346,7 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
                       .where("kinds > 1 and least = 1").drop("least"), "substr-mixed")
     open_ = scratch(kinds.join(anchors, "anchor").select("anchor", "run", "kinds", "n", "of.*"), "substr-open")
 
-    wanted = open_.groupBy("tkey").agg(F.collect_list(F.struct("anchor", "run", "kinds", "lo", "hi", "at")).alias("wanted"))
-    wanted = scratch(wanted, "substr-wanted")
-    texts = (docs.select(F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= width)
-             .withColumn("tkey", F.unhex(F.md5(F.encode("text", "utf-8"))))
-             .join(small(wanted.select("tkey")), "tkey", "left_semi").dropDuplicates(["tkey"]))
-
-    def cut(batches):
-        for pdf in batches:
-            out = []
-            for raw, kinds_ in zip(_encoded(pdf["text"]), pdf["wanted"], strict=True):
-                for k in kinds_:
-                    lo, hi = k["lo"], k["hi"]
-                    # split by distance to the anchor, in the same steps for all its runs, so that equal windows meet
-                    parts = min(-(-k["kinds"] // GROUP), width)
-                    each = -(-width // parts)
-                    for part in range((k["at"] - hi) // each, (k["at"] - lo) // each + 1):
-                        a, b = max(lo, k["at"] - (part + 1) * each + 1), min(hi, k["at"] - part * each)
-                        out.append((k["anchor"], k["run"], part, b - a + 1, k["at"] - a, a, lo, raw[a:b + width]))
-                    if len(out) > 5000:
-                        yield pd.DataFrame(out, columns=["anchor", "run", "part", "windows", "distance", "lo", "first", "raw"])
-                        out = []
-            if out:
-                yield pd.DataFrame(out, columns=["anchor", "run", "part", "windows", "distance", "lo", "first", "raw"])
-    total = open_.agg(F.coalesce(F.sum((F.col("hi") - F.col("lo") + width) * F.least(F.ceil(F.col("kinds") / GROUP), F.lit(width))), F.lit(0))).first()[0]
-    buckets = max(1, int(total) // BUCKET)
-    def compare(pdf):
-        out = _compare_bucket(pdf, width)
-        give_back()
-        return out
-    shipped = texts.join(wanted, "tkey").mapInPandas(
-        lean(cut), "anchor long, run long, part long, windows long, distance long, lo long, first long, raw binary")
-    found = (shipped.withColumn("bucket", F.pmod(F.xxhash64("anchor", "part"), F.lit(buckets)))
-             .groupBy("bucket")
-             .applyInPandas(compare, "anchor long, run long, from long, to long"))
+    found = _few_kinds(docs, open_.where(F.col("kinds") <= GROUP), width).unionByName(_many_kinds(docs, open_.where(F.col("kinds") > GROUP), width))
     whole = kinds.where("n > 1").select("anchor", "run", F.lit(0).cast("long").alias("from"), (F.col("of.hi") - F.col("of.lo")).alias("to"))
     spans = scratch(found.unionByName(whole), "substr-found")
     # kinds are few columns; each of their runs, in every text, loses the same relative bytes

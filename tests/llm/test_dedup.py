@@ -53,6 +53,19 @@ def test_substrings_random(spark, monkeypatch, width, group):
     assert digest(df, width) == sorted(removed(texts, width))
 
 
+def test_substrings_passage_in_hundreds_of_contexts(spark):
+    """More different runs of one anchor than one bucket takes, at the default limit."""
+    from outletlens.llm import substrings
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnop ", k=n))
+    long, short = noise(430), noise(150)
+    texts = [noise(r.randint(0, 200)) + long + noise(r.randint(0, 120)) for _ in range(substrings.GROUP + 90)]
+    texts += [noise(r.randint(260, 300)) + short + noise(r.randint(0, 200)) for _ in range(40)]
+    texts += [texts[0], long[:399], long[:400]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert digest(df, 400) == sorted(removed(texts, 400))
+
+
 def test_substrings_hot_anchor_meets_runs_of_any_length(spark, monkeypatch):
     """One passage in many contexts, some of them so short that a run has few windows."""
     from outletlens.llm import substrings
