@@ -43,6 +43,17 @@ def test_bm25_edges(spark, docs, no_docs):
     assert search(docs, asked.limit(0), k=3).count() == 0
 
 
+def test_bm25_null_and_repeated_query_ids(spark, monkeypatch):
+    """Each query row has its own results, whatever block it falls into."""
+    from outletlens.llm import bm25
+    monkeypatch.setattr(bm25, "QUERY_CHARS", 40)
+    texts = ["red green blue", "green blue black", "black white grey", "white white snow"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "red"), (7, "snow"), (7, "grey"), (7, "grey"), (None, "black"), (None, "blue")], "query_id long, text string")
+    got = sorted((str(r.query_id), r.rank, r.doc_id) for r in bm25.search(docs, asked, k=5).collect())
+    assert got == sorted([("7", 1, 0), ("7", 1, 3), ("7", 1, 2), ("7", 1, 2), ("None", 1, 1), ("None", 2, 2), ("None", 1, 0), ("None", 2, 1)])
+
+
 def test_block_pruning_keeps_the_best():
     from outletlens.llm.bm25 import Queries, Shard
     texts = [prose(i, 40) for i in range(2000)]
