@@ -34,7 +34,7 @@ MIN_SHARE = 0.1
 TRAIN_TEXTS = 6000
 UNKNOWN = "und"
 #: Characters of text whose n-grams a task holds at once (some 250 bytes of memory each).
-_CHUNK = 1 << 18
+_CHUNK = 1 << 17
 _letter: list[np.ndarray] = []
 
 
