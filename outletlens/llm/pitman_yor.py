@@ -23,7 +23,7 @@ Nothing but totals passes the driver:
 2. a part keeps its restaurants (a *room*), and sends each word's numbers to the word's *shard*;
 3. per sweep, shards seat the root and answer with the words' root counts, rooms seat their customers
    and send back tables per word: aligned arrays, one per room and shard that share words;
-4. all texts are read again, their pairs go to the rooms, and per-text sums of logs come back. Pairs
+4. all texts are read again in ``SLICES`` slices, their pairs go to the rooms, and per-text sums of logs come back. Pairs
    of more than ``ENTRIES`` occurrences (few again) are scored where they are read.
 
 Words are known by 64-bit hashes (two of ten million share one once in some 10**5 corpora). Repeated rows
@@ -50,6 +50,8 @@ START, END = np.uint64(2), np.uint64(1)
 ENTRIES = 1 << 21
 #: Frequent contexts are found in a sample of so many bytes, or this share of a larger table.
 SAMPLE_BYTES, SAMPLE_SHARE = 1 << 25, 1e-3
+#: Slices of the texts that are scored one after another.
+SLICES = 3
 #: Pairs that a task gathers before it sends them on, without and with their texts.
 GATHER, GATHER_TEXTS = 1 << 20, 3 << 18
 EXACT = 64
@@ -628,8 +630,15 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     key = mix(u ^ mix(w))
     order = np.argsort(key)
     full = sc.broadcast(_pack(u=u[order], key=key[order], **{x: full[x].to_numpy()[order].astype(float) for x in ("base", "score", "known")}))
-    blocks = docs.mapInPandas(_text_blocks(route, full, parts), _MAIL)
-    sums = blocks.unionByName(ready).groupBy("key").applyInPandas(_score_blocks(rounds, model, parts), _SUMS)
-    out = sums.groupBy("row", "doc_id", "train").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
+    ready = scratch(ready, "lm-ready")
+    # slice by slice, so that only one slice's pairs are on disk; by content, which reads alike each time
+    out = None
+    for k in range(SLICES):
+        texts = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k)
+        blocks = texts.mapInPandas(_text_blocks(route, full, parts), _MAIL)
+        sums = blocks.unionByName(ready).groupBy("key").applyInPandas(_score_blocks(rounds, model, parts), _SUMS)
+        sums = scratch(sums.groupBy("row", "doc_id", "train").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")]), "lm-sums")
+        out = sums if out is None else out.unionByName(sums)
+        release(spark)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "train", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
                       F.lit(model["N"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
