@@ -58,7 +58,7 @@ def _sql():
 def test_sql_twins(spark, name):
     from outletlens.llm.queries import ORACLES, QUERIES
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     mine, sql = QUERIES[name](spark, SMALL).toPandas(), con.execute(ORACLES[name]).df()
     cols = sorted(mine.columns)
@@ -72,4 +72,4 @@ def test_sql_twins(spark, name):
 def test_queries_are_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
