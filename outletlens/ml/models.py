@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES, KEY_COLS, MODEL_ORDER
+from . import boosting
 from .evaluate import cv_summary, regression_metrics, residual_quantiles
 from .prepare import check_finite, Scaler, fit_scaler
 
@@ -73,8 +74,11 @@ class FittedModel:
         return {f: sorted(t) for f, t in out.items()}
 
 
-def fit_model(name: str, train: DataFrame, features=FEATURES, **params) -> FittedModel:
+def fit_model(name: str, train: DataFrame, features=FEATURES, **params):
     check_finite(train, features)
+    if name == boosting.NAME:      # not MLlib: parameters of other learners are left out
+        own = {k: v for k, v in params.items() if k not in ("n_trees", "rf_depth", "bootstrap")}
+        return boosting.fit_boosted(train, features, **own)
     scaler = fit_scaler(train, features) if name == "Linear Regression" else None
     x = scaler.transform(train, features) if scaler else train
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features",
