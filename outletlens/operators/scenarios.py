@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import money, parse_money, percent, round_even
 from ..ml.prepare import code_table
 from ..operators.ranking import latest_per_group
-from ..schema import (CATEGORY_COLS, CHANNELS, KEEP_SAVED_SCENARIOS, RISK_HIGH_WIDTH,
+from ..schema import (CATEGORY_COLS, CHANNELS, FEATURES, KEEP_SAVED_SCENARIOS, RISK_HIGH_WIDTH,
                       RISK_MEDIUM_WIDTH, SHARE_SUM_TOLERANCE, SWEEP_HI, SWEEP_LO, SWEEP_POINTS)
 from ..session import broadcast_if_small
 
@@ -168,6 +168,42 @@ def forecast_table(scored: DataFrame, metrics: DataFrame, key: str = "scenario_i
                       round_even("CV_MAE_mean", 2).alias("cv_mae_mean"))
 
 
+# Labels of the exported inputs (fixed values) and the scenario columns they show.
+EXPORT_INPUTS = [
+    ("In-Store Share", "in_store"), ("Uber Eats Share", "ue_share"), ("DoorDash Share", "dd_share"),
+    ("Self-Delivery Share", "sd_share"), ("Commission Rate", "commission"), ("Delivery Cost/Order", "delivery_cost"),
+    ("Delivery Radius (km)", "radius"), ("Growth Factor", "growth"), ("Cuisine Type", "cuisine"), ("Segment", "segment"),
+    ("Subregion", "subregion"), ("Avg Order Value", "aov"), ("Monthly Orders", "orders"), ("COGS Rate", "cogs"), ("OPEX Rate", "opex")]
+
+
+def export_summary(scen: DataFrame, scored: DataFrame, best: str, key: str = "scenario_id") -> DataFrame:
+    """R4 + P12: every scenario's inputs, best model, its risk, and each model's forecast as text rows
+    (Section, Metric, Value). ``scored`` is :func:`score_scenarios`' result and is read once; a scenario that
+    could not be scored keeps its rows, with NULL risk and forecasts."""
+    row = lambda section, metric, value: F.struct(
+        F.lit(section).alias("Section"), metric.alias("Metric"), value.cast("string").alias("Value"))
+    inputs = scen.select(key, F.inline(F.array(
+        *[row("Scenario Inputs", F.lit(label), F.col(c)) for label, c in EXPORT_INPUTS],
+        row("Scenario Inputs", F.lit("Best Model"), F.lit(best)))))
+    forecast = row("Model Forecasts", F.col("model"), round_even("pred", 2))
+    risk = row("Scenario Inputs", F.lit("Best-Model Risk"), F.col("risk"))
+    return inputs.unionByName(scored.select(key, F.inline(F.when(F.col("is_best"), F.array(forecast, risk)).otherwise(F.array(forecast)))))
+
+
+def sweep_predictions(scen: DataFrame, model, band=None, codes: dict | None = None, n: int = SWEEP_POINTS,
+                      features=FEATURES, key: str = "scenario_id") -> DataFrame:
+    """``model`` at every commission rate of the sweep; ``band`` maps (rows with features) to the same rows with
+    ``band_lower`` and ``band_upper``. Codes are joined before the fan-out. Money and per cent at 2 decimals."""
+    feats = feature_columns(commission_sweep(split_errors(attach_codes(scen, codes=codes))[0], n))
+    keep = [key, "sweep_idx", "commission", "segment"]
+    out = model.predict(feats, keep=[*keep, *features])
+    shown = [key, "sweep_idx", round_even(F.col("commission") * 100.0, 2).alias("commission_pct"), round_even("pred", 2).alias("pred")]
+    if band is not None:
+        out = band(out)
+        shown += [round_even("band_lower", 2).alias("p2_5"), round_even("band_upper", 2).alias("p97_5")]
+    return out.select(*shown)
+
+
 def saved_forecasts(saved: DataFrame, scored: DataFrame, models: list, key: str = "scenario_id") -> DataFrame:
     """Every model's prediction of the saved scenarios as text, and the best model's risk."""
     wide = scored.groupBy(key).agg(

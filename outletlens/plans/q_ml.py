@@ -455,21 +455,68 @@ def m16_permutation_importance(spark, sf_dir):
     return permutation_importance(fitted["Random Forest"], test, n_repeats=10)
 
 
+# One cycle per repeat over the test rows in the order of a portable hash; the next row is the donor
+_IMPORTANCE = ["Segment_enc", "CuisineType_enc", "AOV"]
+_IMP_CTES = _GM_CTES + [
+    "te AS (SELECT sp.*, r, CAST(('0x' || substr(md5(concat_ws('|', CAST(RestaurantID AS VARCHAR), CAST(Yr AS VARCHAR), "
+    "CAST(Mo AS VARCHAR), '42:' || CAST(r AS VARCHAR))), 1, 8)) AS BIGINT) AS h FROM sp, (SELECT unnest(range(0, 10)) AS r) rr WHERE is_test)",
+    f"dn AS (SELECT r, label, COALESCE(lead(Segment_enc) OVER w, first_value(Segment_enc) OVER w) AS donor FROM te "
+    f"WINDOW w AS (PARTITION BY r ORDER BY h, {KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
+    "pr AS (SELECT r, 1e0 - sum((label - m.p) * (label - m.p)) / (count(*) * var_pop(label)) AS R2 FROM dn "
+    "JOIN (SELECT Segment_enc AS g, avg(label) AS p FROM sp WHERE NOT is_test GROUP BY 1) m ON m.g = dn.donor GROUP BY r)",
+    "b0 AS (SELECT R2 AS b FROM rt WHERE model = 'Segment Mean')"]
+
+
+@register("m16_group_model_importance", sql=with_base(
+    f"SELECT 'Segment_enc' AS feature, 0 AS feature_order, {R6('b')} AS baseline_r2, {R6('avg(b - R2)')} AS importance_mean, "
+    f"{R6('stddev_pop(b - R2)')} AS importance_std FROM pr, b0 GROUP BY b " + " ".join(
+        f"UNION ALL SELECT '{f}', {i}, {R6('b')}, 0e0, 0e0 FROM b0" for i, f in enumerate(_IMPORTANCE) if i), *_IMP_CTES))
+def m16_group_model_importance(spark, sf_dir):
+    """Importance to the segment means: of the segment code, and of two features that they do not read."""
+    fitted = _group_models(spark, sf_dir)[0]
+    test = prepared_table(spark, sf_dir).where(F.col("is_test"))
+    return report(permutation_importance(fitted["Segment Mean"], test, _IMPORTANCE, n_repeats=10))
+
+
 # --- M17 ------------------------------------------------------------------------------------------
-@register("m17_secondary_targets")
-def m17_secondary_targets(spark, sf_dir):
+def secondary_targets(spark, sf_dir, fit):
+    """Metrics of every secondary target's models (outliers out, codes of the rest); ``fit`` takes a
+    prepared table and gives the metrics."""
     bt = _bt(spark, sf_dir)
     out = None
     for target in SECONDARY_TARGETS:
-        prep = prepared(bt, target=target, exclude_outliers=True,
-                        codes=code_tables(spark, sf_dir, non_outliers=True))
-        _, _, metrics = train_and_evaluate(prep, models=["Random Forest", "Boosted Trees (deep)"],
-                                           cv=False, **CROSS_VALIDATED)
-        best = metrics.orderBy(F.col("R2").desc_nulls_last(), F.col("model_order").asc()).limit(1) \
-            .select(F.col("model").alias("_best"))
+        metrics = fit(prepared(bt, target=target, exclude_outliers=True,
+                               codes=code_tables(spark, sf_dir, non_outliers=True)))
+        best = best_model(metrics).select(F.col("model").alias("_best"))
         m = (metrics.join(F.broadcast(best), F.lit(True), "left")   # one row
              .select(F.lit(target).alias("target"), "model", "RMSE", "R2", "MAE", "n",
                      (F.col("model") == F.col("_best")).alias("is_best")))
         out = m if out is None else out.unionByName(m)
     return out
 
+
+@register("m17_secondary_targets")
+def m17_secondary_targets(spark, sf_dir):
+    return secondary_targets(spark, sf_dir, lambda prep: train_and_evaluate(
+        prep, models=["Random Forest", "Boosted Trees (deep)"], cv=False, **CROSS_VALIDATED)[2])
+
+
+_SECONDARY_CTES = [
+    "nt AS (SELECT * FROM t WHERE NOT IsOutlier)", *_codes("nt"), f"e AS ({_enc_join('nt')})",
+    "sp AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, {', '.join(c + '_enc' for c in CATEGORY_COLS)}, COALESCE({t}, 0e0) AS label, "
+        f"{_hash(42, 100)} < 20 AS is_test FROM e" for t in SECONDARY_TARGETS) + ")",
+    "rp AS (" + " UNION ALL ".join(
+        f"SELECT sp.target, '{n}' AS model, {i} AS model_order, label, m.p AS pred FROM sp JOIN (SELECT target, {g} AS g, avg(label) AS p "
+        f"FROM sp WHERE NOT is_test GROUP BY 1, 2) m ON m.target = sp.target AND m.g = sp.{g} WHERE is_test"
+        for i, (n, g) in enumerate(GROUP_MODELS)) + ")",
+    "rt AS (SELECT target, model, model_order, sqrt(avg((label - pred) * (label - pred))) AS RMSE, "
+    "1e0 - sum((label - pred) * (label - pred)) / (count(*) * var_pop(label)) AS R2, avg(abs(label - pred)) AS MAE, "
+    "CAST(count(*) AS BIGINT) AS n FROM rp GROUP BY 1, 2, 3)"]
+
+
+@register("m17_group_model_secondary_targets", sql=with_base(
+    f"SELECT target, model, {R6('RMSE')} AS RMSE, {R6('R2')} AS R2, {R6('MAE')} AS MAE, n, "
+    "row_number() OVER (PARTITION BY target ORDER BY rt.R2 DESC NULLS LAST, model_order) = 1 AS is_best FROM rt", *_SECONDARY_CTES))
+def m17_group_model_secondary_targets(spark, sf_dir):
+    return report(secondary_targets(spark, sf_dir, lambda prep: train_group_models(prep)[2]))

@@ -156,14 +156,8 @@ def w7_sweep_predictions(spark, sf_dir):
     """Best model + quantile band at every sweep point of every scenario (X2: round 2)."""
     prep, fitted, _, metrics = _trained(spark, sf_dir)
     best = best_model(metrics).first()["model"]
-    bt, scen = _scen(spark, sf_dir)
-    feats = S.feature_columns(S.commission_sweep(S.split_errors(S.attach_codes(scen, codes=code_tables(spark, sf_dir)))[0]))
     qm = _quantile_models(spark, sf_dir)
-    scored = fitted[best].predict(feats, keep=["scenario_id", "sweep_idx", "commission", *FEATURES])
-    band = predict_band(qm, scored)
-    return band.select("scenario_id", "sweep_idx", round_even(F.col("commission") * 100.0, 2).alias("commission_pct"),
-                       round_even("pred", 2).alias("pred"), round_even("band_lower", 2).alias("p2_5"),
-                       round_even("band_upper", 2).alias("p97_5"))
+    return S.sweep_predictions(_scen(spark, sf_dir)[1], fitted[best], lambda x: predict_band(qm, x), codes=code_tables(spark, sf_dir))
 
 
 # --- W3, W4, W5 with the fitted models ---------------------------------------------------
@@ -209,28 +203,70 @@ def w8_export_summary(spark, sf_dir):
     best = best_model(metrics).first()["model"]
     bt, scen = _scen(spark, sf_dir)
     feats = S.scenario_features(scen, codes=code_tables(spark, sf_dir))
-    labels = ["In-Store Share", "Uber Eats Share", "DoorDash Share", "Self-Delivery Share", "Commission Rate",
-              "Delivery Cost/Order", "Delivery Radius (km)", "Growth Factor", "Cuisine Type", "Segment",
-              "Subregion", "Avg Order Value", "Monthly Orders", "COGS Rate", "OPEX Rate"]
-    cols = ["in_store", "ue_share", "dd_share", "sd_share", "commission", "delivery_cost", "radius", "growth",
-            "cuisine", "segment", "subregion", "aov", "orders", "cogs", "opex"]
-    inputs = scen.select("scenario_id", F.inline(F.array(*[
-        F.struct(F.lit("Scenario Inputs").alias("Section"), F.lit(lab).alias("Metric"),
-                 F.col(c).cast("string").alias("Value")) for lab, c in zip(labels, cols)]
-        + [F.struct(F.lit("Scenario Inputs").alias("Section"), F.lit("Best Model").alias("Metric"),
-                    F.lit(best).alias("Value"))])))
     band = predict_band(_quantile_models(spark, sf_dir), S.split_errors(feats)[0]).select("scenario_id", "band_lower", "band_upper")
-    risk = S.score_scenarios(feats, {best: fitted[best]}, metrics, best, band).select(
-        "scenario_id", F.lit("Scenario Inputs").alias("Section"), F.lit("Best-Model Risk").alias("Metric"), F.col("risk").alias("Value"))
-    inputs = inputs.unionByName(risk)
-    feats = S.split_errors(feats)[0]
-    fc = None
-    for m in fitted:
-        p = fitted[m].predict(feats, keep=["scenario_id"]).select(
-            "scenario_id", F.lit("Model Forecasts").alias("Section"), F.lit(m).alias("Metric"),
-            round_even("pred", 2).cast("string").alias("Value"))
-        fc = p if fc is None else fc.unionByName(p)
-    return inputs.unionByName(fc)
+    return S.export_summary(scen, S.score_scenarios(feats, fitted, metrics, best, band), best)
+
+
+def _segment_band(spark, sf_dir, rows, segment):
+    """``rows`` with the profit band of their segment (quantiles of the training labels) in place of fitted ones."""
+    train = prepared_table(spark, sf_dir).where(~F.col("is_test"))
+    q = exact_quantiles(train, "label", {"_lo": 0.025, "_up": 0.975}, by=["Segment"])
+    q = broadcast_if_small(q).withColumnRenamed("Segment", "_seg")      # one row per segment
+    return rows.join(q, F.col(segment) == F.col("_seg"), "left").withColumns(
+        {"band_lower": F.least("_lo", "_up"), "band_upper": F.greatest("_lo", "_up")}).drop("_lo", "_up", "_seg")
+
+
+def _banded_group_scores(spark, sf_dir):
+    """(scenarios, best model, scores): the relational models, the best one with its segment's band."""
+    fitted, _, metrics = _group_models(spark, sf_dir)
+    best = best_model(metrics).first()["model"]
+    _, scen = _scen(spark, sf_dir)
+    band = _segment_band(spark, sf_dir, scen.select("scenario_id", "segment"), "segment")
+    scored = S.score_scenarios(S.scenario_features(scen, codes=code_tables(spark, sf_dir)), fitted, metrics, best, band)
+    return scen, best, scored
+
+
+_BAND_CTES = [*_GROUP_SCORES,
+    "sq AS (SELECT Segment AS seg, quantile_cont(label, 0.025) AS lo, quantile_cont(label, 0.975) AS up FROM sp WHERE NOT is_test GROUP BY 1)",
+    "rb AS (SELECT ri.scenario_id, model, is_best, pred, CASE WHEN is_best THEN least(sq.lo, sq.up) ELSE lower END AS lower, "
+    "CASE WHEN is_best THEN greatest(sq.lo, sq.up) ELSE upper END AS upper FROM ri JOIN scen ON scen.scenario_id = ri.scenario_id "
+    "JOIN sq ON sq.seg = scen.segment)"]
+_RISK = (f"CASE WHEN (lower < 0 AND upper > 0) OR {_W5_WIDTH} >= 80e0 THEN 'High' WHEN {_W5_WIDTH} >= 40e0 THEN 'Medium' ELSE 'Low' END")
+
+
+@register("w4_group_model_band_forecasts", sql=with_base(
+    f"SELECT scenario_id, model, is_best, {RN('pred', 2)} AS pred, {RN('lower', 2)} AS lower, {RN('upper', 2)} AS upper, {_RISK} AS risk, "
+    f"{RN(_W5_WIDTH, 4)} AS width_pct FROM rb", *_GM_CTES, _SCEN_CTE, *_BAND_CTES))
+def w4_group_model_band_forecasts(spark, sf_dir):
+    """Interval choice with a quantile band: the best model takes the band, the others their residual interval."""
+    out = _banded_group_scores(spark, sf_dir)[2]
+    return out.withColumns({**{c: round_even(c, 2) for c in ("pred", "lower", "upper")}, "width_pct": round_even("width_pct", 4)})
+
+
+_BEST_SQL = "(SELECT model FROM rt ORDER BY R2 DESC NULLS LAST, model_order LIMIT 1)"
+
+
+@register("w8_group_model_export_summary", sql=with_base(" UNION ALL ".join(
+    [f"SELECT scenario_id, 'Scenario Inputs' AS Section, '{label}' AS Metric, CAST({c} AS VARCHAR) AS Value FROM scen" for label, c in S.EXPORT_INPUTS]
+    + [f"SELECT scenario_id, 'Scenario Inputs', 'Best Model', {_BEST_SQL} FROM scen",
+       f"SELECT scenario_id, 'Scenario Inputs', 'Best-Model Risk', {_RISK} FROM rb WHERE is_best",
+       f"SELECT scenario_id, 'Model Forecasts', model, CAST({RN('pred', 2)} AS VARCHAR) FROM rb"]), *_GM_CTES, _SCEN_CTE, *_BAND_CTES))
+def w8_group_model_export_summary(spark, sf_dir):
+    """R4 with the relational models: inputs, best model, risk and forecasts as text rows."""
+    scen, best, scored = _banded_group_scores(spark, sf_dir)
+    return S.export_summary(scen, scored, best)
+
+
+@register("w7_group_model_sweep_predictions", sql=with_base(
+    f"SELECT rb.scenario_id, CAST(i AS INT) AS sweep_idx, {RN(_SWEEP + ' * 100e0', 2)} AS commission_pct, {RN('pred', 2)} AS pred, "
+    f"{RN('lower', 2)} AS p2_5, {RN('upper', 2)} AS p97_5 FROM rb, (SELECT unnest(range(0, 30)) AS i) r WHERE is_best",
+    *_GM_CTES, _SCEN_CTE, *_BAND_CTES))
+def w7_group_model_sweep_predictions(spark, sf_dir):
+    """The best relational model and its segment's band at every sweep point of every scenario."""
+    fitted, _, metrics = _group_models(spark, sf_dir)
+    best = best_model(metrics).first()["model"]
+    return S.sweep_predictions(_scen(spark, sf_dir)[1], fitted[best], lambda x: _segment_band(spark, sf_dir, x, "segment"),
+                               codes=code_tables(spark, sf_dir))
 
 
 @register("w8_group_model_forecast_table", sql=with_base(

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from outletlens.ml.evaluate import coverage, regression_metrics
-from outletlens.ml.importance import permutation_importance
+from outletlens.ml.importance import permutation_importance, with_donors
 from outletlens.ml.models import fit_model
 from outletlens.ml.quantile import fit_quantile_booster
 from outletlens.ml.store import bundle_complete, load_bundle, save_bundle
@@ -37,6 +37,30 @@ def test_permutation_is_the_same_cycle_at_any_size(spark):
     assert all(np.allclose(one[f], many[f], rtol=0, atol=1e-9) for f in one) and len(one) == 3
 
 
+def test_donors_of_a_repeat_are_one_cycle_over_all_rows(spark):
+    df = planted(spark, 60).withColumn("id", F.col("RestaurantID").cast("double"))
+    seen = []
+    for slices in (1, 5, 500):       # 500: most slices have no row
+        rows = with_donors(df, ["id"], 3, slices=slices).select("RestaurantID", "repeat", F.get("_donor", F.lit(0)).alias("d")).collect()
+        seen.append(sorted(rows))
+        for r in range(3):
+            donor = {x.RestaurantID: int(x.d) for x in rows if x.repeat == r}
+            at, steps = 0, 0
+            while steps == 0 or at != 0:
+                at, steps = donor[at], steps + 1
+            assert len(donor) == steps == 60
+    assert seen[0] == seen[1] == seen[2]
+    one = with_donors(df.where("id = 7"), ["id"], 2).collect()
+    assert [r._donor for r in one] == [[7.0], [7.0]]
+    assert with_donors(df.where("false"), ["id"], 2).count() == 0
+
+
+def test_rows_are_shuffled_once_a_repeat_and_fanned_out_after(spark):
+    df = planted(spark, 60)
+    plan = with_donors(df, ["x1", "x2", "x3"], 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 2 and "posexplode" not in plan       # rows and slices' first rows, by repeat only
+
+
 def test_quantile_booster_orders_bands(spark):
     rng = np.random.default_rng(5)
     x = rng.uniform(0, 10, 600)

@@ -86,3 +86,29 @@ def test_grid_optimum_beats_feasible_baseline(spark):
     r0 = [r for r in res if r.scenario_id == 0][0]
     assert (round(r0.opt_in_store * 100), round(r0.opt_ue_share * 100)) == (best[0], best[1])
     assert F is not None
+
+
+def test_export_summary_keeps_a_scenario_that_could_not_be_scored(spark):
+    scen = scen_frame(spark, [{}, {"cuisine": "unknown"}])
+    scored = spark.createDataFrame([(0, "A", True, 12.345, "Low"), (0, "B", False, 1.0, "High"), (1, "A", True, None, None), (1, "B", False, None, None)],
+                                   "scenario_id long, model string, is_best boolean, pred double, risk string")
+    rows = S.export_summary(scen, scored, "A").collect()
+    of = lambda i: {(r.Section, r.Metric): r.Value for r in rows if r.scenario_id == i}
+    assert len(rows) == 2 * (15 + 2 + 2)
+    assert of(0)[("Model Forecasts", "A")] in ("12.34", "12.35") and of(0)[("Scenario Inputs", "Best-Model Risk")] == "Low"
+    assert of(0)[("Scenario Inputs", "Best Model")] == "A" and of(0)[("Scenario Inputs", "Monthly Orders")] == "1190"
+    assert of(1)[("Model Forecasts", "B")] is None and of(1)[("Scenario Inputs", "Cuisine Type")] == "unknown"
+
+
+def test_sweep_predictions_have_every_point_and_an_optional_band(spark):
+    class Commission:
+        def predict(self, df, keep):
+            return df.select(*keep, (F.col("CommissionRate") * 1000).alias("pred"))
+    codes = {c: spark.createDataFrame([(v, 0)], f"{c} string, {c}_enc int") for c, v in
+             [("CuisineType", "Asian"), ("Segment", "Casual"), ("Subregion", "ASIA")]}
+    scen = scen_frame(spark, [{}, {"segment": "unknown"}])
+    band = lambda x: x.withColumns({"band_lower": F.col("pred") - 1, "band_upper": F.col("pred") + 1})
+    rows = S.sweep_predictions(scen, Commission(), band, codes=codes).orderBy("sweep_idx").collect()
+    assert [r.sweep_idx for r in rows] == list(range(30)) and {r.scenario_id for r in rows} == {0}
+    assert (rows[0].pred, rows[-1].pred, rows[0].commission_pct, rows[-1].p97_5) == (270.0, 330.0, 27.0, 331.0)
+    assert "p2_5" not in S.sweep_predictions(scen, Commission(), codes=codes).columns
