@@ -6,7 +6,8 @@ train-fitted population-std scaler applied to the flat columns first
 (M18: only the linear model sees scaled inputs). Training sets are persisted
 once per job (``MEMORY_AND_DISK``) because tree learners scan them many
 times; cross-validation fits of different folds run concurrently from a
-small driver thread pool, each fit itself distributed.
+small driver thread pool, each fit itself distributed. Linear regression needs no
+fits a fold: all its models come from one table of sums (:mod:`.linear`).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES, KEY_COLS, MODEL_ORDER
-from . import boosting
+from . import boosting, linear
 from .evaluate import cv_summary, regression_metrics, residual_quantiles
 from .prepare import check_finite, Scaler, fit_scaler
 
@@ -94,7 +95,8 @@ def _persist(df: DataFrame) -> DataFrame:
 def train_and_evaluate(prep: DataFrame, models=MODEL_ORDER, features=FEATURES, cv: bool = True,
                        folds: int = 5, parallelism: int = 4, key_cols=KEY_COLS, **params):
     """Fit every model on the training split, score the test split, and run
-    ``folds``-fold CV on the training split.
+    ``folds``-fold CV on the training split. The linear model and its fold models come from
+    one aggregate; the other learners are fitted fold by fold.
 
     Returns ``(fitted: dict, predictions DataFrame, metrics DataFrame)``;
     metrics has one row per model with RMSE, R2, MAE, residual quantiles and
@@ -102,10 +104,15 @@ def train_and_evaluate(prep: DataFrame, models=MODEL_ORDER, features=FEATURES, c
     """
     train = _persist(prep.where(~F.col("is_test")).select(*key_cols, *features, "label", "fold"))
     test = prep.where(F.col("is_test")).select(*key_cols, *features, "label")
-    jobs = [(m, None) for m in models] + ([(m, f) for m in models for f in range(folds)] if cv else [])
+    jobs = [(m, None) for m in models] + ([(m, f) for m in models if m != linear.NAME for f in range(folds)] if cv else [])
+    linear_folds = {}
 
     def run(job):
         m, f = job
+        if m == linear.NAME:
+            whole, by_fold = linear.fit_folds(train, features, "fold" if cv else None)
+            linear_folds.update(by_fold)
+            return job, whole
         data = train if f is None else train.where(F.col("fold") != f)
         return job, fit_model(m, data, features, **params)
 
@@ -123,10 +130,12 @@ def train_and_evaluate(prep: DataFrame, models=MODEL_ORDER, features=FEATURES, c
     if cv:
         fold_preds = None
         for m in models:
-            for f in range(folds):
-                held = train.where(F.col("fold") == f)
-                p = (fitted_all[(m, f)].predict(held, keep=["label"])
-                     .withColumns({"model": F.lit(m), "fold": F.lit(f)}))
+            if m == linear.NAME:
+                parts = [linear.held_out_predictions(train, linear_folds).withColumn("model", F.lit(m))]
+            else:
+                parts = [fitted_all[(m, f)].predict(train.where(F.col("fold") == f), keep=["label"])
+                         .withColumns({"model": F.lit(m), "fold": F.lit(f)}) for f in range(folds)]
+            for p in parts:
                 fold_preds = p if fold_preds is None else fold_preds.unionByName(p)
         metrics = metrics.join(cv_summary(regression_metrics(fold_preds, by=("model", "fold"))),
                                "model", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import money, round_even
 from ..ml import evaluate as E
+from ..ml import linear
 from ..ml.importance import permutation_importance
 from ..ml.models import fit_model, train_and_evaluate
 from ..ml.prepare import encode_categories, prepared, scaler_stats
@@ -438,6 +439,38 @@ def m5_linear_regression_on_aov(spark, sf_dir):
     return out.select(*KEY_COLS, round_even("pred", 4).alias("pred"))
 
 
+# Two features solved in closed form; the library solves the same sums in general
+_TWO = ["AOV", "DeliveryRadiusKM"]
+_OLS2 = ("(SELECT {k} b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM (SELECT {k} (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS b1, "
+         "(c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS b2, m1, m2, my FROM (SELECT {k} var_pop(AOV) AS v1, "
+         "var_pop(DeliveryRadiusKM) AS v2, covar_pop(AOV, DeliveryRadiusKM) AS v12, covar_pop(AOV, label) AS c1, "
+         "covar_pop(DeliveryRadiusKM, label) AS c2, avg(AOV) AS m1, avg(DeliveryRadiusKM) AS m2, avg(label) AS my "
+         "FROM {src}) a) b)")
+
+
+@register("m5_linear_regression_from_sums", sql=with_base(
+    f"SELECT {KEY}, {RN('c.b0 + c.b1 * AOV + c.b2 * DeliveryRadiusKM', 4)} AS pred FROM sp, "
+    f"{_OLS2.format(k='', src='sp WHERE NOT is_test')} c WHERE is_test", *_PREP_CTES))
+def m5_linear_regression_from_sums(spark, sf_dir):
+    prep = prepared_table(spark, sf_dir)
+    model, _ = linear.fit_folds(prep.where(~F.col("is_test")), _TWO, None)
+    return model.predict(prep.where(F.col("is_test")), keep=KEY_COLS).withColumn("pred", round_even("pred", 4))
+
+
+@register("m9_linear_cv_folds_from_sums", sql=with_base(
+    f"SELECT '{linear.NAME}' AS model, fold, {RN('sqrt(avg(e * e))', 4)} AS RMSE, "
+    f"{RN('1e0 - sum(e * e) / (count(*) * var_pop(label))', 4)} AS R2, {RN('avg(abs(e))', 4)} AS MAE, CAST(count(*) AS BIGINT) AS n "
+    "FROM (SELECT tr.fold, label, label - (c.b0 + c.b1 * AOV + c.b2 * DeliveryRadiusKM) AS e FROM tr JOIN "
+    + _OLS2.format(k="held,", src="(SELECT held, tr.* FROM tr JOIN (SELECT DISTINCT fold AS held FROM tr) h ON h.held <> tr.fold) o GROUP BY held")
+    + " c ON c.held = tr.fold) x GROUP BY fold", *_PREP_CTES, "tr AS (SELECT * FROM sp WHERE NOT is_test)"))
+def m9_linear_cv_folds_from_sums(spark, sf_dir):
+    train = prepared_table(spark, sf_dir).where(~F.col("is_test"))
+    _, by_fold = linear.fit_folds(train, _TWO)
+    held = linear.held_out_predictions(train, by_fold).withColumn("model", F.lit(linear.NAME))
+    m = E.regression_metrics(held, by=("model", "fold"))
+    return m.withColumns({c: round_even(c, 4) for c in ("RMSE", "R2", "MAE")})
+
+
 # --- M13, M14, M15 ------------------------------------------------------------------------------
 @register("m13_m15_quantile_coverage")
 def m13_m15_quantile_coverage(spark, sf_dir):
