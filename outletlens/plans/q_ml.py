@@ -21,7 +21,7 @@ from ..ml.quantile import fit_quantile_models, predict_band
 from ..ml.relational import GROUP_MODELS, train_group_models
 from ..ml.store import bundle_completeness
 from ..operators.ranking import best_model, first_by_actual
-from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, SECONDARY_TARGETS
+from ..schema import CATEGORY_COLS, FEATURES, KEY_COLS, QUANTILE_ALPHAS, SECONDARY_TARGETS
 from ..session import broadcast_if_small
 from .catalog import base_table, code_tables, prepared_table, register, report, session_key
 from .sqlbase import BIN_EDGE, BIN_IDX, EDGES_CTE, R6, RN, with_base
@@ -480,6 +480,29 @@ def m13_m15_quantile_coverage(spark, sf_dir):
                       lower="q_lower", upper="q_upper", median="q_median")
 
 
+# On the segment code alone each round moves a segment a tenth of the way to its own quantile
+# (the smallest label whose cumulative count reaches the level), from the quantile of all labels
+ROUNDS_ON_SEGMENT = 8
+_BAND_TERM = "q.{b} - (q.{b} - a.{b}) * pow(0.9e0, " + str(ROUNDS_ON_SEGMENT) + ")"
+BAND_ON_SEGMENT_SQL = (
+    f"SELECT {KEY}, " + ", ".join(f"{RN(_BAND_TERM.format(b=b), 4)} AS q_{b}" for b in QUANTILE_ALPHAS)
+    + " FROM sp JOIN (SELECT Segment_enc AS g, " + ", ".join(f"quantile_disc(label, {a}) AS {b}" for b, a in QUANTILE_ALPHAS.items())
+    + " FROM sp WHERE NOT is_test GROUP BY 1) q ON q.g = sp.Segment_enc, (SELECT "
+    + ", ".join(f"quantile_cont(label, {a}) AS {b}" for b, a in QUANTILE_ALPHAS.items()) + " FROM sp WHERE NOT is_test) a WHERE is_test")
+
+
+def band_on_segment(models, prep):
+    band = predict_band(models, prep.where(F.col("is_test")))
+    return band.select(*KEY_COLS, *[round_even(f"q_{b}", 4).alias(f"q_{b}") for b in QUANTILE_ALPHAS])
+
+
+@register("m13_quantile_boosting_on_segment", sql=with_base(BAND_ON_SEGMENT_SQL, *_PREP_CTES))
+def m13_quantile_boosting_on_segment(spark, sf_dir):
+    prep = prepared_table(spark, sf_dir)
+    models = fit_quantile_models(prep.where(~F.col("is_test")), rounds=ROUNDS_ON_SEGMENT, features=["Segment_enc"])
+    return band_on_segment(models, prep)
+
+
 # --- M16 ------------------------------------------------------------------------------------------
 @register("m16_permutation_importance")
 def m16_permutation_importance(spark, sf_dir):
