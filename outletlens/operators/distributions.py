@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binning import assign_bins, edge_stats
+from ..functions.binning import _finite, assign_bins, edge_stats
 from ..functions.compat import col_, null_nan
 from ..functions.quantiles import exact_quantiles
 from ..session import broadcast_if_small
@@ -50,6 +50,43 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
             .select("bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
+def nice_edges(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
+    """One row (``width, first, n``): bins of width 1, 2 or 5 times a power of ten that start at a multiple of
+    the width, the narrowest of which at most ``bins`` cover the finite values. Bin ``i`` is
+    ``[(first + i - 1) * width, (first + i) * width)``. A constant column has one bin of width 1, an empty one no row.
+    ``bins`` is 2 or more (values on both sides of zero never fit one aligned bin)."""
+    if bins < 2:
+        raise ValueError("bins must be 2 or more")
+    v = _finite(col)
+    mm = df.agg(F.min(v).alias("mn"), F.max(v).alias("mx")).where(F.col("mn").isNotNull())
+    raw = (F.col("mx") - F.col("mn")) / F.lit(float(bins))
+    ten = F.pow(F.lit(10.0), F.floor(F.log10(raw)).cast("double"))
+    # the two narrowest widths not below a bin's share; aligned bins may need one more than fits the narrower
+    nice = F.when(raw <= ten, F.array(F.lit(1.0), F.lit(2.0))).when(raw <= ten * 2, F.array(F.lit(2.0), F.lit(5.0))) \
+            .when(raw <= ten * 5, F.array(F.lit(5.0), F.lit(10.0))).otherwise(F.array(F.lit(10.0), F.lit(20.0)))
+    widths = F.when(raw > 0, F.transform(nice, lambda f: f * ten)).otherwise(F.array(F.lit(1.0)))
+    at = lambda c, w: F.floor(F.col(c) / w)
+    fits = F.filter(widths, lambda w: at("mx", w) - at("mn", w) + 1 <= bins)
+    mm = mm.withColumn("width", F.coalesce(F.get(fits, F.lit(0)), F.element_at(widths, -1)))
+    w = F.col("width")
+    return mm.select("width", at("mn", w).alias("first"), (at("mx", w) - at("mn", w) + 1).cast("int").alias("n"))
+
+
+def nice_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
+    """B3 with axis-friendly bins [L] (:func:`nice_edges`): every bin 1..n with its edges and count (0 if empty).
+    NULL, NaN and infinite values have no bin."""
+    edges = F.broadcast(nice_edges(df, col, bins))                    # one row
+    v = _finite(col)
+    counted = (df.select(v.alias("_v")).where(F.col("_v").isNotNull()).join(edges, F.lit(True))
+               .select((F.floor(F.col("_v") / F.col("width")) - F.col("first") + 1).cast("int").alias("bin"))
+               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    at = lambda i: (F.col("first") + i).cast("double") * F.col("width")
+    all_bins = edges.select("first", "width", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("bin"))
+    return (all_bins.join(F.broadcast(counted), "bin", "left")        # <= bins rows
+            .select("bin", at(F.col("bin") - 1).alias("lo"), at(F.col("bin")).alias("hi"),
+                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
+
+
 # --- B4 -------------------------------------------------------------------------
 def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFrame:
     """Per group: n, q1, median, q3, whisker ends (furthest values inside the
@@ -70,9 +107,11 @@ def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFra
 
 
 # --- B5 -------------------------------------------------------------------------
-def violin_density(df: DataFrame, col: str, by: str, grid: int = 50, fine_bins: int = 512) -> DataFrame:
+def violin_density(df: DataFrame, col: str, by: str, grid: int = 50, fine_bins: int = 512,
+                   reach: float = 0.0) -> DataFrame:
     """Gaussian KDE of ``col`` per group on ``grid`` points spanning the group's
-    range. Bandwidth: Silverman's rule ``1.059 * min(sd, IQR/1.349) * n^-1/5``.
+    range, or ``reach`` bandwidths more on either side (a plotting library's soft
+    span has 2) [L]. Bandwidth: Silverman's rule ``1.059 * min(sd, IQR/1.349) * n^-1/5``.
 
     Binned KDE: rows are first counted into ``fine_bins`` equal bins per group
     (a partial aggregate), then each grid point sums the Gaussian kernel over
@@ -97,8 +136,11 @@ def violin_density(df: DataFrame, col: str, by: str, grid: int = 50, fine_bins:
               .groupBy(by, "fb").agg(F.count(F.lit(1)).alias("c")))
     pts = st.select(by, "n", "bw", "mn", "mx", "w",
                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
-    pts = pts.withColumn("x", F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("gi").cast("double")
-                         / F.lit(float(grid - 1)))
+    lo, hi = F.col("mn"), F.col("mx")
+    if reach:
+        more = F.lit(float(reach)) * F.coalesce(F.col("bw"), F.lit(0.0))
+        lo, hi = lo - more, hi + more
+    pts = pts.withColumn("x", lo + (hi - lo) * F.col("gi").cast("double") / F.lit(float(grid - 1)))
     centre = F.col("mn") + (F.col("fb").cast("double") + F.lit(0.5)) * F.col("w")
     z = (F.col("x") - centre) / F.col("bw")
     kern = F.col("c").cast("double") * F.exp(F.lit(-0.5) * z * z)

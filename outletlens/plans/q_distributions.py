@@ -30,6 +30,24 @@ def b3_profit_histogram(spark, sf_dir):
     return report(D.histogram(_bt(spark, sf_dir), "TotalNetProfit", 50))
 
 
+_NICE_CTES = [
+    "mm AS (SELECT min(TotalNetProfit) AS mn, max(TotalNetProfit) AS mx FROM t)",
+    "tn AS (SELECT *, (mx - mn) / 50e0 AS raw, pow(10e0, floor(log10((mx - mn) / 50e0))) AS ten FROM mm)",
+    # every nice width from one power of ten below to two above; the narrowest that gives at most 50 aligned bins
+    "ws AS (SELECT f * ten AS w, mn, mx FROM tn, (SELECT unnest([1e0, 2e0, 5e0, 10e0, 20e0]) AS f) fs WHERE f * ten >= raw)",
+    "ne AS (SELECT w, floor(mn / w) AS first, CAST(floor(mx / w) - floor(mn / w) + 1 AS INT) AS n FROM ws "
+    "WHERE floor(mx / w) - floor(mn / w) + 1 <= 50 ORDER BY w LIMIT 1)"]
+
+
+@register("b3_nice_profit_histogram", sql=with_base(
+    f"SELECT CAST(i AS INT) AS bin, {R6('(first + i - 1) * w')} AS lo, {R6('(first + i) * w')} AS hi, "
+    "CAST(COALESCE(c.cnt, 0) AS BIGINT) AS count FROM (SELECT ne.*, unnest(range(1, n + 1)) AS i FROM ne) x LEFT JOIN "
+    "(SELECT floor(TotalNetProfit / w) - first + 1 AS b, count(*) AS cnt FROM t, ne WHERE TotalNetProfit IS NOT NULL GROUP BY 1) c "
+    "ON c.b = x.i", *_NICE_CTES))
+def b3_nice_profit_histogram(spark, sf_dir):
+    return report(D.nice_histogram(_bt(spark, sf_dir), "TotalNetProfit", 50))
+
+
 # --- B4 ----------------------------------------------------------------------------
 def _box_sql(col, by_expr, by_name, src="t"):
     return with_base(
@@ -78,16 +96,28 @@ _KDE_CTES = [
 ]
 
 
-@register("b5_violin_margin_by_segment", sql=with_base(
+def _kde_sql(*ctes):
+    return with_base(
     f"SELECT pts.g AS Segment, CAST(gi AS INT) AS gi, {R6('x')} AS x, {R6('bw')} AS bw, "
     + R6("sum(CAST(c AS DOUBLE) * exp(-0.5e0 * ((x - (mn + (CAST(fb AS DOUBLE) + 0.5e0) * w)) / bw) "
          "* ((x - (mn + (CAST(fb AS DOUBLE) + 0.5e0) * w)) / bw))) / (CAST(n AS DOUBLE) * bw * sqrt(2e0 * pi()))")
     + " AS density FROM pts JOIN binned ON binned.g = pts.g GROUP BY pts.g, gi, x, n, bw",
-    *_KDE_CTES))
+    *ctes)
+
+
+@register("b5_violin_margin_by_segment", sql=_kde_sql(*_KDE_CTES))
 def b5_violin_margin_by_segment(spark, sf_dir):
     return report(D.violin_density(_bt(spark, sf_dir), "OverallMargin", "Segment"))
 
 
+_SOFT = _KDE_CTES[-1].replace("mn + (mx - mn) *", "mn - 2e0 * bw + (mx + 2e0 * bw - (mn - 2e0 * bw)) *")
+
+
+@register("b5_violin_margin_soft_span", sql=_kde_sql(*_KDE_CTES[:-1], _SOFT))
+def b5_violin_margin_soft_span(spark, sf_dir):
+    return report(D.violin_density(_bt(spark, sf_dir), "OverallMargin", "Segment", reach=2.0))
+
+
 @register("b5_violin_box_by_segment", sql=_box_sql("OverallMargin", "Segment", "Segment"))
 def b5_violin_box_by_segment(spark, sf_dir):
     return report(D.box_stats(_bt(spark, sf_dir), "OverallMargin", "Segment"))
