@@ -69,3 +69,15 @@ def test_exact_optimum_and_status(spark):
     table = O.mix_report(O.optimise_exact(scen.where("scenario_id = 0"), shares_of(spark, *[k / 100 for k in range(0, 101, 10)])), shares_of(
         spark, *[k / 100 for k in range(0, 101, 10)])).orderBy("channel_order").collect()
     assert [t.safe_range for t in table] == ["10% to 90%"] * 4 and table[0].Optimized == pytest.approx(0.7)
+
+
+def test_boxes_hold_the_first_mix_of_every_cell(spark, scen):
+    """Split points on each share's own features alone: as many candidates as boxes, and every cell's first mix among them."""
+    outlets = base_table(spark, SF_SMALL)
+    points = {"InStoreShare": [0.15, 0.3], "UE_RevRatio": [0.2, 0.355], "Commission_UE": [0.05], "DD_share": [0.08, 0.3], "DeliveryCost_SD": [0.5, 1.0]}
+    ok, _ = S.split_errors(scen)
+    bounds = O.bounds_row(outlets)
+    every, few = O.candidate_mixes(ok, bounds), O.model_candidates(ok, bounds, points)
+    firsts = lambda c: sorted(map(tuple, O.cell_representatives(c, S.feature_columns, points).collect()))
+    assert firsts(few) == firsts(every)
+    assert 0 < few.count() <= ok.count() * 3 * 4 * 3 * 3 and few.count() < every.count() / 20
