@@ -95,3 +95,21 @@ def test_a_level_is_one_combined_aggregate_without_python(spark):
     plan = best_splits(data, _place({}, 0), {1}, 1.0, 0.0, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "Python" not in plan and "Join" not in plan
     assert plan.count("Exchange hashpartitioning") == 2        # by bin, then by feature; the best split needs no third
+
+
+def test_a_level_on_blocks_equals_its_sql_statement(spark):
+    from outletlens.ml import trees
+    from outletlens.ml.boosting import _place, best_of, best_splits
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 6, (200, 3)).astype(float), rng.normal(size=200)
+    df = table(spark, x, y)
+    names, points = ["x0", "x1", "x2"], [np.arange(6.0)] * 3
+    rows = best_splits(df.selectExpr("array(x0, x1, x2) AS v", "label").selectExpr(
+        "transform(v, e -> cast(e + 1 as smallint)) AS bins", "label", "0D AS F"), _place({}, 0), {1}, 1.0, 0.1, 2.0).collect()
+    want = min(rows, key=lambda r: (-r.gain, r.feature))
+    blocks = trees.in_blocks(trees.flat_rows(df, [F.col(c) for c in names], names, None), names, [None], [points], [200], [0.0], side="right")
+    found = trees._level(blocks.rdd, 3, {(0, 0): trees.Tree()}, 0, {(0, 0): [0]}, lambda fit, y, pred: pred - y, False,
+                         n_bins=7, score=best_of(1.0, 0.1, 2.0))[0, 0][0]
+    h, g, f, b, hl, gl = found
+    assert (f, b, h, hl) == (want.feature, want.bin, want.H, want.HL) and np.allclose([g, gl], [want.G, want.GL])
+    assert blocks.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism       # whatever files the rows came in

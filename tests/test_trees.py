@@ -91,3 +91,29 @@ def test_null_features_and_no_rows_are_errors(spark):
         fit_model("Gradient Boosting", df.where("false"), XS, rounds=2)
     with pytest.raises(Exception, match="NULL or NaN"):
         fit_model("Gradient Boosting", df.withColumn("x1", F.lit(None).cast("double")), XS, rounds=2)
+
+
+def test_blocks_of_a_single_file_are_dealt_over_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(3000 * cores).selectExpr("cast(id % 7 as double) AS x1", "cast(id as double) AS label", "cast(id % 2 as int) AS fold").coalesce(1)
+    for fits in ([None], [None, 0, 1]):
+        blocks = trees.binned(df, ["x1"], fits)
+        held = blocks.rdd.mapPartitions(lambda it: [[(b[0], len(b[2])) for b in it]]).collect()
+        assert blocks.lanes * len(fits) >= cores and len(held) == blocks.lanes * len(fits) and all(held)
+        assert all(len({fit for fit, _ in part}) == 1 for part in held)        # one table of sums a partition
+        assert [sum(n for part in held for fit, n in part if fit == k) for k in range(len(fits))] == blocks.counts
+        blocks.unpersist()
+
+
+def test_nodes_of_few_rows_split_as_by_their_sums():
+    rng = np.random.default_rng(6)
+    for rows in (2, 3, 9, 16):
+        n = 40 * rows
+        bins, w, y = rng.integers(0, 5, (3, n)).astype(np.uint8), rng.integers(1, 4, n).astype(float), rng.normal(size=n)
+        y[:rows] = 2.0                                                          # a node that no split gains on
+        at = np.repeat(np.arange(40), rows)
+        want = trees.best_splits(trees._sums(bins, at, 40, w, y, trees.MAX_BINS))
+        got = trees.best_splits_of_few(bins, np.arange(n).reshape(40, rows), w, y)
+        split = want[2] >= 0
+        assert not split[0] and split.sum() > 30 and np.array_equal(want[2], got[2])
+        assert np.allclose(want[0], got[0]) and all(np.array_equal(a[split], b[split]) for a, b in zip(want[1:], got[1:]))
