@@ -80,6 +80,27 @@ def test_substrings_hot_anchor_meets_runs_of_any_length(spark, monkeypatch):
     assert digest(df, 400) == sorted(removed(texts, 400))
 
 
+def test_substrings_near_copies_are_not_listed_window_by_window(spark, monkeypatch):
+    """Near copies of one text, more than a bucket takes: equal results, and rows in proportion to the runs."""
+    from outletlens.llm import substrings
+    monkeypatch.setattr(substrings, "GROUP", 8)
+    rows, scratch = Counter(), substrings.scratch
+
+    def counted(df, name, *more):
+        out = scratch(df, name, *more)
+        rows[name] += out.count()
+        return out
+    monkeypatch.setattr(substrings, "scratch", counted)
+    r = random.Random(12)
+    base, texts = prose(77, 400)[:1500], []
+    for i in range(120):
+        at = r.randint(0, 1490)
+        texts.append(base[:at] + f"#{i}#" + base[at + 4:])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert digest(df, 400) == sorted(removed(texts, 400))
+    assert rows["substr-seen"] < 50 * len(texts)
+
+
 def test_suffix_sort_orders_like_bytes():
     from outletlens.llm.hashing import prefix_hash
     from outletlens.llm.substrings import suffix_sort
