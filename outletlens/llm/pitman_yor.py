@@ -23,8 +23,10 @@ Nothing but totals passes the driver:
 2. a part keeps its restaurants (a *room*), and sends each word's numbers to the word's *shard*;
 3. per sweep, shards seat the root and answer with the words' root counts, rooms seat their customers
    and send back tables per word: aligned arrays, one per room and shard that share words;
-4. all texts are read again, their pairs go to the rooms, and per-text sums of logs come back. Pairs
-   of more than ``ENTRIES`` occurrences (few again) are scored where they are read.
+4. all texts are read again, in ``SLICES`` slices one after another (a row's slice is a hash of it), their
+   pairs go to the rooms, and per-text sums of logs come back; a slice's shuffles go before the next one's
+   come. The rooms know how often each pair occurs in all training texts, so a text's score does not depend
+   on its slice. Pairs of more than ``ENTRIES`` occurrences (few again) are scored where they are read.
 
 Words are known by 64-bit hashes (two of ten million share one once in some 10**5 corpora). Repeated rows
 are texts of their own; very long texts and ties need no care; an empty table gives no rows, and without
@@ -34,6 +36,7 @@ training texts N and V are 0 and all scores too. Only doc_id, text and the train
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -52,10 +55,14 @@ ENTRIES = 1 << 21
 SAMPLE_BYTES, SAMPLE_SHARE = 1 << 25, 1e-3
 #: Pairs that a task gathers before it sends them on, without and with their texts.
 GATHER, GATHER_TEXTS = 1 << 20, 3 << 18
+#: Slices of the texts that are scored one after another, where there is more than one part.
+SLICES = 3
 EXACT = 64
 THETA = 1.0
 _MAIL = "kind string, key long, other long, data binary"
-_SUMS = "row long, doc_id string, train boolean, n long, known long, base double, score double"
+_SUMS = "doc_id long, train boolean, n long, known long, base double, score double"
+#: Texts whose sums a task adds up before it sends them on.
+ADD_TEXTS = 1 << 20
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -229,12 +236,14 @@ def _build_rooms(bits: int, hot, entries: int):
         contexts, at_u = context[new], np.cumsum(new) - 1
         lanes, at_w = np.unique(_lane(word), return_inverse=True)
         one, many = c == 1, c > 1
+        again = one & (h > 0)                            # one customer, but other texts ask for it too
         single = np.bincount(at_u[one], minlength=len(contexts))
         slices = [(q, a, b) for q, a, b in _split(_top(lanes, bits))]
         place, here = _in(contexts, np.frombuffer(hot.value, np.uint64))
         rows = [("room", part, 0, _pack(single=single, shards=np.array([q for q, _, _ in slices]), sizes=np.array([b - a for _, a, b in slices]),
                                         u=at_u[many], w=at_w[many], c=c[many], frequent=np.flatnonzero(here), names=contexts[here])),
                 ("names", part, 0, _pack(contexts=contexts, lanes=lanes, seated=np.bincount(at_u, c, len(contexts)).astype(np.int64),
+                                         again_u=at_u[again], again_w=at_w[again],
                                          **{k: np.bincount(at_w, x, len(lanes)).astype(np.int64) for k, x in (("c", c), ("one", one), ("many", many))})),
                 ("tally", 0, 0, _pack(x=np.array([one.sum(), (c == 2).sum()])))]
         full = c + h >= entries
@@ -424,6 +433,7 @@ class _Scorer:
         sampled = self.room.u << 32 | self.room.w
         self.order = np.argsort(sampled)
         self.sampled = sampled[self.order]
+        self.again = np.sort(names["again_u"].astype(np.int64) << 32 | names["again_w"].astype(np.int64))
 
     def find(self, context, word):
         """Places of pairs' contexts and words, and among the room's sampled pairs (and whether there)."""
@@ -431,6 +441,13 @@ class _Scorer:
         at, here = _in(u << 32 | w, self.sampled)
         return u, w, np.where(here, self.order[at], 0) if len(self.order) else at, here
 
+    def customers(self, u, w, at, many, trained):
+        """Customers of pairs: two or more are kept by the room, and a training text has those with one,
+        which the room keeps where a text outside training has them as well."""
+        c = (trained | _in(u << 32 | w, self.again)[1]).astype(np.int64)
+        c[many] = self.room.c[at[many]]
+        return c
+
     def __call__(self, u, w, c, at):
         """Base and model logs of pairs with c customers, and whether their words are known."""
         p = np.zeros(len(u))
@@ -464,20 +481,17 @@ def _text_blocks(route, full, parts: int):
             row, doc, missing, train = (np.array(x) for x in zip(*texts, strict=True))
             waiting.clear()
             texts.clear()
-
-            def block(owner, **more):
-                mine, at = np.unique(owner, return_inverse=True)
-                return at, len(mine), {"row0": row[:1], "row": row[mine] - row[0], "doc": doc[mine],
-                                       "flags": (2 * missing + train)[mine].astype(np.uint8), **more}
-
-            rows = []
+            of = {"row0": row[:1], "size": np.array([len(row)])}          # a block is known by its first row
+            sums = {k: np.zeros(len(row)) for k in ("known", "base", "score")}
+            n = np.bincount(owner, minlength=len(row))
             if len(ready["key"]):
                 at, here = _in(mix(context ^ mix(word)), ready["key"])
                 if here.any():
-                    of, n, more = block(owner[here])
-                    sums = {k: np.bincount(of, ready[k][at[here]], n) for k in ("known", "base", "score")}
-                    rows.append(("block", parts + int(row[0] % 4096), 0, _pack(n=np.bincount(of), **sums, **more)))
+                    sums = {k: np.bincount(owner[here], ready[k][at[here]], len(row)) for k in sums}
                     context, word, owner = context[~here], word[~here], owner[~here]
+            rows = [("block", parts + int(mix(row[:1].astype(np.uint64))[0] % np.uint64(4096)), 0,
+                     _pack(doc=doc, missing=missing, train=train, n=n, **sums, **of))]
+            trained = np.packbits(train)
             for p, i in route.deal(context, word):
                 u, w, o = context[i], word[i], owner[i]
                 order = np.lexsort((w, u))                     # stable: a pair's texts stay in order
@@ -486,12 +500,11 @@ def _text_blocks(route, full, parts: int):
                 many = np.diff(first, append=len(order))
                 u, w, o = u[first], w[first], o[first]
                 pair = np.flatnonzero(_new(u, w))
-                of, _, more = block(o)
                 texts_of = np.diff(pair, append=len(o))
                 u, w = u[pair], w[pair]
                 new = np.flatnonzero(_new(u))
                 rows.append(("block", p, 0, _pack(u=u[new], run=np.diff(new, append=len(u)), **_words_of(w), **_sparse("texts", texts_of),
-                                                  owner=of, **_sparse("many", many), **more)))
+                                                  owner=o, **_sparse("many", many), trained=trained, **of)))
             return _mail(rows)
 
         for pdf in batches:
@@ -507,35 +520,80 @@ def _text_blocks(route, full, parts: int):
     return lean(run)
 
 
-def _sums(b: dict, n, known, base, score) -> pd.DataFrame:
-    docs = [None if m else str(d) for d, m in zip(b["doc"].tolist(), (b["flags"] > 1).tolist(), strict=True)]
-    return pd.DataFrame({"row": b["row"].astype(np.int64) + int(b["row0"][0]), "doc_id": pd.Series(docs, dtype=object), "train": (b["flags"] & 1) == 1,
-                         "n": n.astype(np.int64), "known": known.astype(np.int64), "base": base, "score": score})
-
-
 def _score_blocks(rounds: list, model: dict, parts: int):
+    """Per block: sums of its texts over one part's pairs."""
     def run(key, pdf):
-        blocks = [_unpack(d) for d in pdf.data[pdf.kind == "block"]]
-        if int(key[0]) >= parts:
-            return pd.concat([_sums(b, b["n"], b["known"], b["base"], b["score"]) for b in blocks])
+        part = int(key[0])
+        sent = pdf.data[pdf.kind == "block"].tolist()
+        blocks = [_unpack(d) for d in sent]
+        if part >= parts:
+            return _mail([("texts", int(b["row0"][0]), 0, d) for b, d in zip(blocks, sent, strict=True)])
+        if not blocks:
+            return _mail([])
         scorer = _Scorer(pdf[pdf.kind != "block"], rounds, model)
-        entries = [(np.repeat(np.arange(len(b["wat"])), _full(b, "texts")), b["owner"].astype(np.int64), _full(b, "many")) for b in blocks]
-        seen = [np.bincount(of, many * (b["flags"] & 1)[owner], len(b["wat"])).astype(np.int64) for b, (of, owner, many) in zip(blocks, entries, strict=True)]
-        context, word, (c,), pair, order = _types(*_pairs_of(blocks), [np.concatenate(seen or [np.zeros(0, np.int64)])])
-        u, w, places, _ = scorer.find(context, word)
-        scores = scorer(u, w, c, places)
+        entries, trained = [], []
+        for b in blocks:
+            of, owner = np.repeat(np.arange(len(b["wat"])), _full(b, "texts")), b["owner"].astype(np.int64)
+            entries.append((of, owner, _full(b, "many")))
+            trained.append(np.bincount(of, np.unpackbits(b["trained"])[owner], len(b["wat"])).astype(np.int64))
+        context, word, (trained,), pair, order = _types(*_pairs_of(blocks), [np.concatenate(trained)])
+        u, w, at, many = scorer.find(context, word)
+        scores = scorer(u, w, scorer.customers(u, w, at, many, trained > 0), at)
         back = np.empty(len(order), np.int64)
         back[order] = pair
-        out, at = [pd.DataFrame(columns=[x.split()[0] for x in _SUMS.split(", ")]).astype({"doc_id": object})], 0
+        rows, at = [], 0
         for b, (of, owner, many) in zip(blocks, entries, strict=True):
             mine = back[at + of]
             at += len(b["wat"])
-            sums = [np.bincount(owner, many * s[mine], len(b["row"])) for s in scores]
-            out.append(_sums(b, np.bincount(owner, many, len(b["row"])), sums[2], sums[0], sums[1]))
-        return pd.concat(out[1:] or out)
+            size = int(b["size"][0])
+            texts = np.flatnonzero(np.bincount(owner, minlength=size))
+            base, score, known = (np.bincount(owner, many * s[mine], size)[texts] for s in scores)
+            rows.append(("sums", int(b["row0"][0]), part, _pack(size=b["size"], texts=texts, known=known.astype(np.int64), base=base, score=score)))
+        return _mail(rows)
     return run
 
 
+def _add_sums(total: dict, b: dict) -> None:
+    for k, x in total.items():
+        x[b["texts"]] += b[k]                            # a text comes once
+
+
+def _add_blocks(batches):
+    """The sums of a block's texts over all parts of a task."""
+    waiting = {}
+
+    def send():
+        rows = []
+        for row0, total in waiting.items():
+            texts = np.flatnonzero((total["score"] != 0) | (total["base"] != 0))
+            rows.append(("sums", row0, 0, _pack(size=np.array([len(total["score"])]), texts=texts, known=total["known"][texts],
+                                                base=total["base"][texts], score=total["score"][texts])))
+        waiting.clear()
+        return _mail(rows)
+
+    for pdf in batches:
+        yield pdf[pdf.kind == "texts"]
+        for kind, row0, data in zip(pdf.kind, pdf.key.tolist(), pdf.data, strict=True):
+            if kind == "sums":
+                b = _unpack(data)
+                size = int(b["size"][0])
+                _add_sums(waiting.setdefault(row0, {"known": np.zeros(size, np.int64), "base": np.zeros(size), "score": np.zeros(size)}), b)
+                if sum(len(x["score"]) for x in waiting.values()) >= ADD_TEXTS:
+                    yield send()
+    if waiting:
+        yield send()
+
+
+def _texts_of_block(key, pdf):
+    about = _unpack(pdf.data[pdf.kind == "texts"].iloc[0])
+    total = {"known": about["known"].astype(np.int64), "base": about["base"].copy(), "score": about["score"].copy()}
+    for d in pdf.data[pdf.kind == "sums"]:
+        _add_sums(total, _unpack(d))
+    doc = pd.Series(about["doc"].astype(np.int64), dtype="Int64")
+    doc[about["missing"]] = pd.NA
+    return pd.DataFrame({"doc_id": doc, "train": about["train"], "n": about["n"].astype(np.int64), **total})
+
+
 def _add(table: DataFrame, kind: str) -> np.ndarray:
     """Sum of the small vectors of one kind, added up in tasks."""
     def run(batches):
@@ -575,9 +633,8 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     spark = docs.sparkSession
     ship(spark)
     sc = spark.sparkContext
-    # the row's number parts repeated ids; it is used within one reading of the table only
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                       F.coalesce(train, F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("row"))
+                       F.coalesce(train, F.lit(False)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
     bits = max(0, (int(size) // 6 // entries).bit_length())
     # as for the borders of a range shuffle, a sample tells how to deal pairs out; results do not depend on it
@@ -628,8 +685,20 @@ def score_texts(docs: DataFrame, train: Column, sweeps: int = 3, burn: int = 1,
     key = mix(u ^ mix(w))
     order = np.argsort(key)
     full = sc.broadcast(_pack(u=u[order], key=key[order], **{x: full[x].to_numpy()[order].astype(float) for x in ("base", "score", "known")}))
-    blocks = docs.mapInPandas(_text_blocks(route, full, parts), _MAIL)
-    sums = blocks.unionByName(ready).groupBy("key").applyInPandas(_score_blocks(rounds, model, parts), _SUMS)
-    out = sums.groupBy("row", "doc_id", "train").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "train", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
-                      F.lit(model["N"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    slices = SLICES if bits else 1
+    scored = []
+    for k in range(slices):
+        texts = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == k) if slices > 1 else docs
+        # a block is known by its first row's number, within one reading of the table only
+        texts = texts.withColumn("row", F.monotonically_increasing_id())
+        blocks = texts.mapInPandas(_text_blocks(route, full, parts), _MAIL)
+        sums = blocks.unionByName(ready).groupBy("key").applyInPandas(_score_blocks(rounds, model, parts), _MAIL)
+        out = sums.mapInPandas(lean(_add_blocks), _MAIL).groupBy("key").applyInPandas(_texts_of_block, _SUMS)
+        out = out.select("doc_id", "train", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
+                         F.lit(model["N"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+        if slices > 1:
+            out = scratch(out, "lm-scores")
+            del blocks, sums
+            release(spark)
+        scored.append(out)
+    return reduce(DataFrame.unionByName, scored)

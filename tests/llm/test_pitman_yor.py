@@ -144,3 +144,28 @@ def test_edges(spark, docs, no_docs):
     assert score_texts(no_docs, F.lit(True)).collect() == []
     none = score_texts(spark.createDataFrame([(1, "a b", None, None, None)], DOCS), F.lit(False)).first()
     assert tuple(none) == (1, False, 3, 0, 0, 0.0, 0.0)
+
+
+def test_texts_are_scored_in_slices(spark, monkeypatch):
+    """The pairs of all texts are never shuffled at once, and a text's score does not depend on its slice,
+    also where the one training text with its pair is in another slice."""
+    from outletlens.llm import pitman_yor
+    rows = corpus(3, 150)
+    rows += [(2000 + 2 * i + k, k == 0, f"left{i} right{i} left{i + 1}") for i in range(40) for k in (0, 1)]
+    rows += [(None, True, "nobody's text"), (-5, False, "nobody's text"), (-5, True, ""), (-5, False, None)]
+    parts, write = [], pitman_yor.scratch
+
+    def spy(df, name, **more):
+        out = write(df, name, **more)
+        if name == "lm-scores":
+            parts.append(out.count())
+        return out
+    monkeypatch.setattr(pitman_yor, "scratch", spy)
+    got = scored(spark, rows, entries=200)
+    assert len(parts) > 1 and sum(parts) == len(rows) and max(parts) < 0.6 * len(rows)
+    monkeypatch.setattr(pitman_yor, "SLICES", 1)
+    whole = scored(spark, rows, entries=200)
+    close(got, base(rows))
+    key = lambda r: (str(r[:5]), round(r[6], 6))
+    for g, w in zip(sorted(got, key=key), sorted(whole, key=key), strict=True):
+        assert g[:5] == w[:5] and g[6] == pytest.approx(w[6], rel=1e-9)
