@@ -107,3 +107,11 @@ def test_score_scenarios_interval_choice(spark):
         else:
             assert not r.is_best and abs(r.lower - (r.pred - 1.0)) < 1e-12 and abs(r.upper - (r.pred + 2.0)) < 1e-12
     assert len(out) == 240
+
+
+def test_registered_regularised_boosting_runs_all_rounds(monkeypatch):
+    from outletlens.plans.catalog import QUERIES, q_ml
+    seen = {}
+    monkeypatch.setattr(q_ml, "prepared_table", lambda spark, sf_dir: None)
+    monkeypatch.setattr(q_ml, "train_and_evaluate", lambda prep, **how: seen.update(how) or (None, None, "metrics"))
+    assert QUERIES["m8_regularised_boosting"](None, "") == "metrics" and seen["rounds"] == 100
