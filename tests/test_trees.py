@@ -117,3 +117,58 @@ def test_nodes_of_few_rows_split_as_by_their_sums():
         split = want[2] >= 0
         assert not split[0] and split.sum() > 30 and np.array_equal(want[2], got[2])
         assert np.allclose(want[0], got[0]) and all(np.array_equal(a[split], b[split]) for a, b in zip(want[1:], got[1:]))
+
+
+def shuffle_files(spark):
+    """Names of the shuffles whose files lie in this session's local folders."""
+    import os
+    import re
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {m.group() for top in folders for _, _, names in os.walk(top) for f in names if (m := re.match(r"shuffle_\d+", f))}
+
+
+def test_trees_of_a_forest_go_in_waves_that_leave_no_shuffle_files(spark, monkeypatch):
+    _, _, df = table(spark)
+    blocks = trees.binned(df, XS, [None, 0])
+    blocks.rdd.count()
+    want = [preds(m, df) for m in trees.fit_forest(blocks, "f", 5, 6, subtree_rows=60)]
+    waves, delete = [], trees.delete_shuffle
+
+    def counted(shuffled):
+        before = shuffle_files(spark)
+        delete(shuffled)
+        waves.append(before - shuffle_files(spark))
+    monkeypatch.setattr(trees, "delete_shuffle", counted)
+    monkeypatch.setattr(trees, "WAVE_BYTES", 1)
+    for deepest in (12, 3):
+        monkeypatch.setattr(trees, "DRIVER_DEPTH", deepest)
+        del waves[:]
+        found = trees.fit_forest(blocks, "f", 5, 6, subtree_rows=60)
+        assert len(waves) == 5 and all(len(gone) == 1 for gone in waves)
+        assert all(np.allclose(preds(m, df), w, atol=1e-9) for m, w in zip(found, want))
+
+
+def test_a_booster_keeps_predictions_beside_the_blocks_and_its_last_checkpoint_alone(spark, monkeypatch):
+    import glob
+    _, _, df = table(spark)
+    blocks = trees.binned(df, XS, [None, 0])
+    written = lambda: set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/rdd-*"))
+    before, most, held, settled = written(), [0], [], trees.Predictions.settled
+
+    def watched(self):
+        settled(self)
+        most.append(len(written() - before))
+        if self.held is not None:
+            held.append(self.held.map(lambda p: p.nbytes).sum())
+    monkeypatch.setattr(trees.Predictions, "settled", watched)
+    trees.fit_boosting(blocks, "b", 6, 2, 0.1, checkpoint_every=1)
+    assert max(most) == 1 and written() == before
+    assert set(held) == {8 * sum(blocks.counts)}
+
+
+def test_nodes_of_one_task_are_placed_where_its_rows_are():
+    rng = np.random.default_rng(8)
+    at = rng.integers(0, 7, 300)
+    among = np.flatnonzero(at > 2)
+    assert {n: u.tolist() for n, u in trees._by_node(at, among)} == {n: np.flatnonzero(at == n).tolist() for n in range(3, 7)}
+    assert len([*trees._by_node(at)]) == 7
